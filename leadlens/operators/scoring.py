@@ -22,7 +22,8 @@ LIST_COLS = ["lead_id", "nome_ficticio", "canal_captacao", "curso_interesse", "d
 
 def score_with_scorecard(df: DataFrame, score_col: str = "score", bands: str = "right") -> DataFrame:
     """Add the scorecard probability and its class (needs the raw lead columns)."""
-    out = df.withColumn(score_col, sigmoid(log_odds()))
+    out = df.withColumn("log_odds", log_odds())
+    out = out.withColumn(score_col, sigmoid(F.col("log_odds")))
     return out.withColumn("classificacao", band(score_col, bands))
 
 

@@ -106,3 +106,239 @@ def q_lookup_batch(spark, sf):
     req = read_table(spark, sf, "orders", ["o_orderkey"]).select((F.col("o_orderkey") * 2 + 1).alias("lead_id"))
     out = sel.lookup_ids(scoring.scored_leads(spark, sf), req)
     return out.select("lead_id", "found", "nome_ficticio", r6(F.col("score")).alias("score"), "classificacao")
+
+
+# ---------------------------------------------------------------- step 4: evaluation of the scorecard score
+from ..operators import metrics as M  # noqa: E402
+
+
+def _scored(spark, sf):
+    return scoring.scored_leads(spark, sf)
+
+
+def _round_cols(df, cols):
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return _round_cols(M.roc_auc(_scored(spark, sf), key="log_odds"), ["auc"])
+
+
+@register("avg_precision")
+def q_avg_precision(spark, sf):
+    return _round_cols(M.average_precision(_scored(spark, sf), key="log_odds"), ["avg_precision"])
+
+
+@register("confusion")
+def q_confusion(spark, sf):
+    return M.confusion(_scored(spark, sf))
+
+
+@register("confusion_at_0_2")
+def q_confusion_02(spark, sf):
+    return M.confusion(_scored(spark, sf), threshold=0.2)
+
+
+@register("class_report")
+def q_class_report(spark, sf):
+    return _round_cols(M.class_report(_scored(spark, sf), threshold=0.2), ["precision", "recall", "f1"])
+
+
+@register("roc_points")
+def q_roc_points(spark, sf):
+    return _round_cols(M.roc_points(_scored(spark, sf), key="log_odds"), ["threshold", "fpr", "tpr"])
+
+
+@register("roc_points_all")
+def q_roc_points_all(spark, sf):
+    return _round_cols(M.roc_points(_scored(spark, sf), drop_intermediate=False, key="log_odds"), ["threshold", "fpr", "tpr"])
+
+
+@register("pr_points")
+def q_pr_points(spark, sf):
+    return _round_cols(M.pr_points(_scored(spark, sf), key="log_odds"), ["threshold", "precision", "recall"])
+
+
+@register("impact_sweep")
+def q_impact_sweep(spark, sf):
+    return _round_cols(M.impact_sweep(_scored(spark, sf)), ["taxa_conversao_grupo", "esforco_relativo"])
+
+
+@register("density_by_class")
+def q_density_by_class(spark, sf):
+    return _round_cols(M.density_by_class(_scored(spark, sf), "score", bins=40), ["bin_lo", "bin_hi", "density"])
+
+
+# ---------------------------------------------------------------- step 3a: exploratory profile (raw leads)
+from ..operators import profile as P  # noqa: E402
+
+
+def _leads(spark, sf):
+    return leads_view(spark, sf)
+
+
+@register("shape")
+def q_shape(spark, sf):
+    return P.shape(_leads(spark, sf))
+
+
+@register("describe")
+def q_describe(spark, sf):
+    return _round_cols(P.describe(_leads(spark, sf)), ["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+
+@register("target_rate")
+def q_target_rate(spark, sf):
+    return _round_cols(P.target_summary(_leads(spark, sf)), ["rate", "imbalance", "response_rate"])
+
+
+@register("null_profile")
+def q_null_profile(spark, sf):
+    return _round_cols(P.null_profile(_leads(spark, sf)), ["pct"])
+
+
+@register("missing_effect")
+def q_missing_effect(spark, sf):
+    return _round_cols(P.missing_effect(_leads(spark, sf)), ["rate_with", "rate_without"])
+
+
+def _conv(key, **kw):
+    def fn(spark, sf):
+        return _round_cols(P.conversion_by(_leads(spark, sf), key, **kw), ["rate", "rate_pct"])
+    return fn
+
+
+register("conv_channel")(_conv("canal_captacao"))
+register("conv_course")(_conv("curso_interesse"))
+register("conv_attempts")(_conv("n_tentativas", order="key"))
+register("conv_age")(_conv("faixa_etaria", drop_null_keys=True))
+register("conv_shift")(_conv("turno_preferencia", drop_null_keys=True))
+
+
+@register("value_counts_target")
+def q_vc_target(spark, sf):
+    return _round_cols(P.value_counts(_leads(spark, sf), "converteu"), ["share"])
+
+
+@register("value_counts_channel")
+def q_vc_channel(spark, sf):
+    return _round_cols(P.value_counts(_leads(spark, sf), "canal_captacao"), ["share"])
+
+
+@register("days_bands")
+def q_days_bands(spark, sf):
+    return _round_cols(P.conversion_by_days_band(_leads(spark, sf)), ["rate_pct"])
+
+
+@register("box_days")
+def q_box_days(spark, sf):
+    return _round_cols(P.box_stats(_leads(spark, sf), "dias_sem_contato"),
+                       ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+
+@register("box_income")
+def q_box_income(spark, sf):
+    return _round_cols(P.box_stats(_leads(spark, sf), "renda_estimada"),
+                       ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+
+@register("hist_days")
+def q_hist_days(spark, sf):
+    return _round_cols(M.density_by_class(_leads(spark, sf), "dias_sem_contato", bins=30), ["bin_lo", "bin_hi", "density"])
+
+
+@register("hist_income")
+def q_hist_income(spark, sf):
+    return _round_cols(M.density_by_class(_leads(spark, sf), "renda_estimada", bins=40), ["bin_lo", "bin_hi", "density"])
+
+
+@register("group_means")
+def q_group_means(spark, sf):
+    return _round_cols(P.group_means(_leads(spark, sf)), ["mean_converted", "mean_not_converted", "difference"])
+
+
+@register("corr_matrix")
+def q_corr_matrix(spark, sf):
+    return _round_cols(P.corr_matrix(_leads(spark, sf)), ["corr"])
+
+
+@register("corr_target")
+def q_corr_target(spark, sf):
+    return _round_cols(P.corr_with_target(_leads(spark, sf)), ["corr", "abs_corr"])
+
+
+@register("crosstab_age")
+def q_crosstab_age(spark, sf):
+    return P.crosstab(_leads(spark, sf), "faixa_etaria")
+
+
+@register("numeric_summary")
+def q_numeric_summary(spark, sf):
+    return _round_cols(P.numeric_summary(_leads(spark, sf)), ["mean", "median", "min", "max"])
+
+
+# ---------------------------------------------------------------- step 3b: management view (scored leads)
+from ..operators import management as J  # noqa: E402
+
+
+@register("kpis")
+def q_kpis(spark, sf):
+    return _round_cols(J.kpis(_scored(spark, sf)), ["media_score", "pct_alto"])
+
+
+@register("score_hist")
+def q_score_hist(spark, sf):
+    return _round_cols(J.score_histogram(_scored(spark, sf)), ["bin_lo"])
+
+
+@register("by_channel")
+def q_by_channel(spark, sf):
+    return _round_cols(J.mean_score_by(_scored(spark, sf), "canal_captacao", ascending=True), ["score_medio"])
+
+
+@register("by_course")
+def q_by_course(spark, sf):
+    return _round_cols(J.mean_score_by(_scored(spark, sf), "curso_interesse", ascending=False), ["score_medio"])
+
+
+@register("class_counts")
+def q_class_counts(spark, sf):
+    return _round_cols(J.class_counts(_scored(spark, sf)), ["share"])
+
+
+@register("focus_impact")
+def q_focus_impact(spark, sf):
+    return _round_cols(J.focus_impact(_scored(spark, sf)), ["pct_foco", "esforco_poupado", "score_medio_foco"])
+
+
+@register("focus_impact_channel")
+def q_focus_impact_channel(spark, sf):
+    # management view filtered to one channel (filters pushed below the scoring)
+    s = scoring.filter_leads(_scored(spark, sf), canal="Indicação")
+    return _round_cols(J.focus_impact(s), ["pct_foco", "esforco_poupado", "score_medio_foco"])
+
+
+@register("best_channel")
+def q_best_channel(spark, sf):
+    return _round_cols(J.best_by(_scored(spark, sf), "canal_captacao"), ["score_medio"])
+
+
+@register("best_course")
+def q_best_course(spark, sf):
+    return _round_cols(J.best_by(_scored(spark, sf), "curso_interesse"), ["score_medio"])
+
+
+@register("response_rate")
+def q_response_rate(spark, sf):
+    return _round_cols(J.response_rate(_scored(spark, sf)), ["pct_resposta"])
+
+
+@register("selector_labels")
+def q_selector_labels(spark, sf):
+    return J.selector_options(_scored(spark, sf))
+
+
+@register("display_table")
+def q_display_table(spark, sf):
+    return J.display_table(_scored(spark, sf))

@@ -55,3 +55,233 @@ sql("lookup_batch", with_ctes(
     "SELECT r.lead_id, CASE WHEN s.lead_id IS NULL THEN 0 ELSE 1 END AS found, s.nome_ficticio, "
     "round(s.score, 6) AS score, s.classificacao "
     "FROM (SELECT DISTINCT o_orderkey * 2 + 1 AS lead_id FROM orders) r LEFT JOIN scored s ON r.lead_id = s.lead_id"))
+
+# ---------------------------------------------------------------- evaluation of the scorecard score
+_CURVE = [
+    "sc AS (SELECT log_odds, MAX(score) AS score, SUM(converteu) AS pos, COUNT(*) - SUM(converteu) AS neg "
+    "FROM scored GROUP BY log_odds)",
+    "rt AS (SELECT *, SUM(pos) OVER (ORDER BY log_odds DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps, "
+    "SUM(neg) OVER (ORDER BY log_odds DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps, "
+    "LEAD(pos) OVER (ORDER BY log_odds DESC) AS next_pos, LEAD(neg) OVER (ORDER BY log_odds DESC) AS next_neg FROM sc)",
+    "tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM sc)",
+]
+sql("roc_auc", with_ctes(
+    "SELECT round(CASE WHEN P > 0 AND N > 0 THEN (P * N - above) / (P * N) END, 6) AS auc "
+    "FROM (SELECT SUM(pos) AS P, SUM(neg) AS N, SUM(pos * (fps - 5e-1 * neg)) AS above FROM rt) t", _CURVE))
+sql("avg_precision", with_ctes(
+    "SELECT round(CASE WHEN P > 0 THEN s / P ELSE 0e0 END, 6) AS avg_precision "
+    "FROM (SELECT SUM(pos) AS P, SUM(pos * (tps / (tps + fps))) AS s FROM rt) t", _CURVE))
+
+
+def _confusion(t: str) -> str:
+    p = f"(score > {t})"
+    return (f"SELECT COUNT(*) FILTER (WHERE converteu = 0 AND NOT {p}) AS tn, "
+            f"COUNT(*) FILTER (WHERE converteu = 0 AND {p}) AS fp, "
+            f"COUNT(*) FILTER (WHERE converteu = 1 AND NOT {p}) AS fn, "
+            f"COUNT(*) FILTER (WHERE converteu = 1 AND {p}) AS tp FROM scored")
+
+
+sql("confusion", with_ctes(_confusion("5e-1")))
+sql("confusion_at_0_2", with_ctes(_confusion(d(0.2))))
+
+
+def _sdiv(a, b):
+    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) ELSE 0e0 END)"
+
+
+_cr = [f"cm AS ({_confusion(d(0.2))})",
+       "pr AS (SELECT *, " + ", ".join([
+           f"{_sdiv('tn', 'tn + fn')} AS p0", f"{_sdiv('tn', 'tn + fp')} AS r0",
+           f"{_sdiv('tp', 'tp + fp')} AS p1", f"{_sdiv('tp', 'tp + fn')} AS r1",
+           "tn + fp AS s0", "tp + fn AS s1", "tn + fp + fn + tp AS n",
+           f"{_sdiv('tp + tn', 'tn + fp + fn + tp')} AS acc"]) + " FROM cm)",
+       f"pr2 AS (SELECT *, {_sdiv('2 * p0 * r0', 'p0 + r0')} AS f0, {_sdiv('2 * p1 * r1', 'p1 + r1')} AS f1 FROM pr)"]
+sql("class_report", with_ctes(
+    "SELECT '0' AS label, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, s0 AS support FROM pr2 "
+    "UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), s1 FROM pr2 "
+    "UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), n FROM pr2 "
+    "UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), n FROM pr2 "
+    f"UNION ALL SELECT 'weighted avg', round({_sdiv('p0 * s0 + p1 * s1', 'n')}, 6), round({_sdiv('r0 * s0 + r1 * s1', 'n')}, 6), "
+    f"round({_sdiv('f0 * s0 + f1 * s1', 'n')}, 6), n FROM pr2", _cr))
+
+_roc_sel = ("SELECT round(threshold, 6) AS threshold, round(fps / N, 6) AS fpr, round(tps / P, 6) AS tpr FROM ("
+            "SELECT 'inf'::DOUBLE AS threshold, 0 AS tps, 0 AS fps UNION ALL "
+            "SELECT score, tps, fps FROM rt {where}) pts, tot")
+sql("roc_points", with_ctes(_roc_sel.format(
+    where="WHERE tps + fps = pos + neg OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"), _CURVE))
+sql("roc_points_all", with_ctes(_roc_sel.format(where=""), _CURVE))
+sql("pr_points", with_ctes(
+    "SELECT round(score, 6) AS threshold, round(tps / (tps + fps), 6) AS precision, "
+    "round(CASE WHEN P > 0 THEN tps / P ELSE 1e0 END, 6) AS recall FROM rt, tot "
+    "UNION ALL SELECT NULL, 1e0, 0e0", _CURVE))
+
+_ts = [float(x) for x in __import__("numpy").arange(0.1, 1.0, 0.1)]
+_tv = ", ".join(f"({d(round(t, 1))}, {d(t)})" for t in _ts)
+sql("impact_sweep", with_ctes(
+    "SELECT label AS threshold, c AS leads_contatados, m AS matriculas_esperadas, "
+    "round(CASE WHEN c > 0 THEN m / c ELSE 0e0 END, 6) AS taxa_conversao_grupo, "
+    "round(CASE WHEN total > 0 THEN c / total ELSE 0e0 END, 6) AS esforco_relativo, "
+    "CAST(trunc(c * CASE WHEN total > 0 THEN 1200e0 / total ELSE 0e0 END) AS BIGINT) AS leads_mensal_projetado, "
+    "CAST(trunc(m * CASE WHEN total > 0 THEN 1200e0 / total ELSE 0e0 END) AS BIGINT) AS matriculas_mensal_projetado "
+    f"FROM (SELECT t.label, COUNT(*) FILTER (WHERE s.score >= t.t) AS c, "
+    "COALESCE(SUM(CASE WHEN s.score >= t.t THEN s.converteu ELSE 0 END), 0) AS m, COUNT(*) AS total "
+    f"FROM (VALUES {_tv}) t(label, t) CROSS JOIN scored s GROUP BY t.label) x"))
+
+
+def density_sql(value: str, bins: int, src: str = "scored", label: str = "converteu") -> list[str]:
+    """CTEs dens_* computing the per-class density histogram; select from dens_out."""
+    return [
+        f"dens_d AS (SELECT {label} AS label, CAST({value} AS DOUBLE) AS x FROM {src} WHERE {value} IS NOT NULL)",
+        "dens_r0 AS (SELECT label, MIN(x) AS mn, MAX(x) AS mx, COUNT(*) AS n FROM dens_d GROUP BY label)",
+        "dens_r AS (SELECT label, n, CASE WHEN mn = mx THEN mn - 5e-1 ELSE mn END AS lo, "
+        "CASE WHEN mn = mx THEN mx + 5e-1 ELSE mx END AS hi FROM dens_r0)",
+        f"dens_c AS (SELECT d.label, least(CAST(floor((d.x - r.lo) * ({bins} / (r.hi - r.lo))) AS INTEGER), {bins - 1}) AS bin, "
+        "COUNT(*) AS cnt FROM dens_d d JOIN dens_r r ON d.label = r.label GROUP BY 1, 2)",
+        f"dens_g AS (SELECT label, n, lo, hi, CAST(unnest(range(0, {bins})) AS INTEGER) AS bin FROM dens_r)",
+        f"dens_out AS (SELECT g.label, g.bin, g.lo + g.bin * ((g.hi - g.lo) / {bins}) AS bin_lo, "
+        f"g.lo + (g.bin + 1) * ((g.hi - g.lo) / {bins}) AS bin_hi, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count, "
+        f"COALESCE(c.cnt, 0) / (g.n * (g.hi - g.lo) / {bins}) AS density "
+        "FROM dens_g g LEFT JOIN dens_c c ON g.label = c.label AND g.bin = c.bin)",
+    ]
+
+
+sql("density_by_class", with_ctes(
+    "SELECT label, bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, count, round(density, 6) AS density "
+    "FROM dens_out", density_sql("score", 40)))
+
+# ---------------------------------------------------------------- exploratory profile
+_NUM = ["lead_id", "dias_sem_contato", "n_tentativas", "respondeu_contato", "renda_estimada", "converteu"]
+sql("shape", with_ctes(f"SELECT COUNT(*) AS n_rows, {len(S.LEADS_SCHEMA.fields)} AS n_cols FROM leads"))
+sql("describe", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, COUNT({c}) AS count, round(AVG({c}), 6) AS mean, round(STDDEV_SAMP({c}), 6) AS std, "
+    f"round(CAST(MIN({c}) AS DOUBLE), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, "
+    f"round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, "
+    f"round(CAST(MAX({c}) AS DOUBLE), 6) AS max FROM leads" for c in _NUM)))
+sql("target_rate", with_ctes(
+    "SELECT n, converted, n - converted AS not_converted, round(rate, 6) AS rate, "
+    "round(CASE WHEN converted > 0 THEN (n - converted) / converted END, 6) AS imbalance, round(rr, 6) AS response_rate "
+    "FROM (SELECT COUNT(*) AS n, CAST(SUM(converteu) AS BIGINT) AS converted, AVG(converteu) AS rate, "
+    "AVG(respondeu_contato) AS rr FROM leads) t"))
+sql("null_profile", with_ctes("SELECT \"column\", nulls, round(nulls / n * 100, 6) AS pct FROM (" + " UNION ALL ".join(
+    f"SELECT '{f.name}' AS column, COUNT(*) FILTER (WHERE {f.name} IS NULL) AS nulls, COUNT(*) AS n FROM leads"
+    for f in S.LEADS_SCHEMA.fields) + ") t WHERE nulls > 0"))
+sql("missing_effect", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(AVG(converteu) FILTER (WHERE {c} IS NOT NULL) * 100, 6) AS rate_with, "
+    f"round(AVG(converteu) FILTER (WHERE {c} IS NULL) * 100, 6) AS rate_without FROM leads "
+    f"HAVING COUNT(*) FILTER (WHERE {c} IS NULL) > 0" for c in ["renda_estimada", "faixa_etaria", "turno_preferencia"])))
+
+
+def _conv_sql(key: str, drop_nulls: bool = False) -> str:
+    where = f"WHERE {key} IS NOT NULL" if drop_nulls else ""
+    return with_ctes(
+        f"SELECT {key}, total, converted, round(rate, 6) AS rate, round(rate * 100, 6) AS rate_pct, "
+        "repeat('█', CAST(trunc(round(rate * 100, 1)) AS INTEGER)) AS bar FROM ("
+        f"SELECT {key}, COUNT(converteu) AS total, CAST(SUM(converteu) AS BIGINT) AS converted, AVG(converteu) AS rate "
+        f"FROM leads {where} GROUP BY {key}) t")
+
+
+sql("conv_channel", _conv_sql("canal_captacao"))
+sql("conv_course", _conv_sql("curso_interesse"))
+sql("conv_attempts", _conv_sql("n_tentativas"))
+sql("conv_age", _conv_sql("faixa_etaria", True))
+sql("conv_shift", _conv_sql("turno_preferencia", True))
+
+
+def _vc_sql(key: str) -> str:
+    return with_ctes(f"SELECT {key}, count, round(count / SUM(count) OVER (), 6) AS share FROM ("
+                     f"SELECT {key}, COUNT(*) AS count FROM leads WHERE {key} IS NOT NULL GROUP BY {key}) t")
+
+
+sql("value_counts_target", _vc_sql("converteu"))
+sql("value_counts_channel", _vc_sql("canal_captacao"))
+
+_band = "CASE " + " ".join(
+    f"WHEN dias_sem_contato > {S.DAYS_BAND_EDGES[i]} AND dias_sem_contato <= {S.DAYS_BAND_EDGES[i + 1]} THEN {q(lbl)}"
+    for i, lbl in enumerate(S.DAYS_BAND_LABELS)) + " END"
+sql("days_bands", with_ctes(
+    f"SELECT faixa_dias, COUNT(*) AS total, round(AVG(converteu) * 100, 6) AS rate_pct FROM "
+    f"(SELECT {_band} AS faixa_dias, converteu FROM leads) t WHERE faixa_dias IS NOT NULL GROUP BY faixa_dias"))
+
+
+def _box_sql(col: str) -> str:
+    return with_ctes(
+        "SELECT b.label, w.n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
+        "round(whisker_lo, 6) AS whisker_lo, round(whisker_hi, 6) AS whisker_hi, outliers "
+        "FROM bq b JOIN (SELECT s.label, MIN(v) FILTER (WHERE v >= lo_f AND v <= hi_f) AS whisker_lo, "
+        "MAX(v) FILTER (WHERE v >= lo_f AND v <= hi_f) AS whisker_hi, "
+        "COUNT(*) FILTER (WHERE NOT (v >= lo_f AND v <= hi_f)) AS outliers, COUNT(*) AS n "
+        "FROM bs s JOIN bq ON s.label = bq.label GROUP BY s.label) w ON b.label = w.label",
+        [f"bs AS (SELECT converteu AS label, CAST({col} AS DOUBLE) AS v FROM leads WHERE {col} IS NOT NULL)",
+         "bq0 AS (SELECT label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, "
+         "quantile_cont(v, 0.75) AS q3 FROM bs GROUP BY label)",
+         "bq AS (SELECT *, q1 - 15e-1 * (q3 - q1) AS lo_f, q3 + 15e-1 * (q3 - q1) AS hi_f FROM bq0)"])
+
+
+sql("box_days", _box_sql("dias_sem_contato"))
+sql("box_income", _box_sql("renda_estimada"))
+_dens_sel = ("SELECT label, bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, count, "
+             "round(density, 6) AS density FROM dens_out")
+sql("hist_days", with_ctes(_dens_sel, density_sql("dias_sem_contato", 30, src="leads")))
+sql("hist_income", with_ctes(_dens_sel, density_sql("renda_estimada", 40, src="leads")))
+sql("group_means", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(m1, 6) AS mean_converted, round(m0, 6) AS mean_not_converted, "
+    f"round(m0 - m1, 6) AS difference FROM (SELECT AVG({c}) FILTER (WHERE converteu = 1) AS m1, "
+    f"AVG({c}) FILTER (WHERE converteu = 0) AS m0 FROM leads) t" for c in ["dias_sem_contato", "renda_estimada"])))
+_pairs = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1:]]
+sql("corr_matrix", with_ctes(" UNION ALL ".join(
+    [f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({a}, {b}), 6) AS corr FROM leads" for a, b in _pairs]
+    + [f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM leads" for a, b in _pairs]
+    + [f"SELECT '{c}', '{c}', 1e0" for c in _NUM])))
+sql("corr_target", with_ctes(
+    "SELECT variable, round(c, 6) AS corr, round(abs(c), 6) AS abs_corr, CASE WHEN c > 0 THEN '+' ELSE '-' END AS sign "
+    "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, converteu) AS c FROM leads"
+                                  for c in _NUM if c != "converteu") + ") t ORDER BY abs(c) DESC"))
+sql("crosstab_age", with_ctes(
+    "SELECT faixa_etaria, COUNT(*) FILTER (WHERE converteu = 0) AS n_0, COUNT(*) FILTER (WHERE converteu = 1) AS n_1 "
+    "FROM leads WHERE faixa_etaria IS NOT NULL GROUP BY faixa_etaria"))
+sql("numeric_summary", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(AVG({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, "
+    f"round(CAST(MIN({c}) AS DOUBLE), 6) AS min, round(CAST(MAX({c}) AS DOUBLE), 6) AS max FROM leads"
+    for c in ["dias_sem_contato", "n_tentativas", "renda_estimada"])))
+
+# ---------------------------------------------------------------- management view
+sql("kpis", with_ctes(
+    "SELECT total_leads, round(media_score, 6) AS media_score, leads_alto, "
+    "round(CASE WHEN total_leads > 0 THEN leads_alto / total_leads * 100 ELSE 0e0 END, 6) AS pct_alto FROM ("
+    f"SELECT COUNT(*) AS total_leads, AVG(score) AS media_score, COUNT(*) FILTER (WHERE classificacao = {q(S.CLASS_HIGH)}) "
+    "AS leads_alto FROM scored) t"))
+sql("score_hist", with_ctes(
+    "SELECT bin, round(bin * 5e-2, 6) AS bin_lo, COUNT(*) AS count FROM (SELECT least(CAST(floor(score / 5e-2) AS INTEGER), 19) "
+    "AS bin FROM scored WHERE score IS NOT NULL) t GROUP BY bin"))
+for _name, _key in [("by_channel", "canal_captacao"), ("by_course", "curso_interesse")]:
+    sql(_name, with_ctes(f"SELECT {_key}, round(AVG(score), 6) AS score_medio, COUNT(score) AS quantidade "
+                         f"FROM scored GROUP BY {_key}"))
+sql("class_counts", with_ctes(
+    "SELECT classificacao, count, round(count / SUM(count) OVER (), 6) AS share FROM (SELECT classificacao, COUNT(*) AS count "
+    "FROM scored WHERE classificacao IS NOT NULL GROUP BY classificacao) t"))
+
+
+def _focus_sql(where: str = "") -> str:
+    pct = "CASE WHEN n > 0 THEN leads_foco / n * 100 ELSE 0e0 END"
+    return with_ctes(
+        f"SELECT leads_foco, round({pct}, 6) AS pct_foco, round(100e0 - ({pct}), 6) AS esforco_poupado, "
+        "round(score_medio_foco, 6) AS score_medio_foco FROM ("
+        f"SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE classificacao = {q(S.CLASS_HIGH)}) AS leads_foco, "
+        f"AVG(score) FILTER (WHERE classificacao = {q(S.CLASS_HIGH)}) AS score_medio_foco FROM scored {where}) t")
+
+
+sql("focus_impact", _focus_sql())
+sql("focus_impact_channel", _focus_sql(f"WHERE canal_captacao = {q('Indicação')} AND score BETWEEN 0e0 AND 1e0"))
+for _name, _key in [("best_channel", "canal_captacao"), ("best_course", "curso_interesse")]:
+    sql(_name, with_ctes(f"SELECT {_key}, round(AVG(score), 6) AS score_medio FROM scored GROUP BY {_key} "
+                         f"ORDER BY AVG(score) DESC, {_key} LIMIT 1"))
+sql("response_rate", with_ctes("SELECT round(AVG(respondeu_contato) * 100, 6) AS pct_resposta FROM scored"))
+_label = ("nome_ficticio || ' — Score: ' || printf('%.0f', score * 100) || '% (' || COALESCE(classificacao, 'nan') || ')'")
+sql("selector_labels", with_ctes(
+    f"SELECT label, lead_id FROM (SELECT {_label} AS label, lead_id, ROW_NUMBER() OVER (PARTITION BY {_label} "
+    "ORDER BY score ASC, lead_id DESC) AS rn FROM scored) t WHERE rn = 1"))
+sql("display_table", with_ctes(
+    "SELECT lead_id AS \"ID\", nome_ficticio AS \"Nome\", canal_captacao AS \"Canal\", curso_interesse AS \"Curso\", "
+    "dias_sem_contato AS \"Dias s/ Contato\", n_tentativas AS \"Tentativas\", "
+    "CASE WHEN respondeu_contato = 1 THEN '✅' ELSE '❌' END AS \"Respondeu\", "
+    "printf('%.1f', score * 100) || '%' AS \"Score\", classificacao AS \"Classificação\" FROM scored ORDER BY score DESC, lead_id"))

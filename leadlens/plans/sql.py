@@ -125,7 +125,8 @@ def standard_ctes(dirty: bool = False) -> list[str]:
     """leads -> feat (leads + derived columns) -> scored (+ score, classificacao)."""
     return leads_ctes(dirty) + [
         f"feat AS (\n  SELECT *,\n    {features_select()}\n  FROM leads)",
-        f"scored0 AS (\n  SELECT *, {sigmoid_sql(log_odds_sql())} AS score FROM feat)",
+        f"scored00 AS (\n  SELECT *, {log_odds_sql()} AS log_odds FROM feat)",
+        f"scored0 AS (\n  SELECT *, {sigmoid_sql('log_odds')} AS score FROM scored00)",
         f"scored AS (\n  SELECT *, {band_right_sql()} AS classificacao FROM scored0)",
     ]
 
