@@ -342,3 +342,84 @@ def q_selector_labels(spark, sf):
 @register("display_table")
 def q_display_table(spark, sf):
     return J.display_table(_scored(spark, sf))
+
+
+# ---------------------------------------------------------------- step 5: split, class balance, preprocessing
+from ..operators import split as SP  # noqa: E402
+from ..operators.preprocess import Preprocessor  # noqa: E402
+
+
+def _split(spark, sf):
+    return SP.stratified_split(add_features(leads_view(spark, sf)))
+
+
+def _train(spark, sf):
+    return _split(spark, sf).where(F.col("split") == "train")
+
+
+@register("strat_split")
+def q_strat_split(spark, sf):
+    return _split(spark, sf).select("lead_id", "converteu", "split")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf):
+    return _split(spark, sf).groupBy("split", "converteu").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("class_weights")
+def q_class_weights(spark, sf):
+    return _round_cols(SP.class_weights(_train(spark, sf)), ["weight"])
+
+
+@register("pos_ratio")
+def q_pos_ratio(spark, sf):
+    return _round_cols(SP.negative_positive_ratio(_train(spark, sf)), ["scale_pos_weight"])
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    q = P.quantiles_long(_train(spark, sf), list(S.NUMERIC_COLS), [0.5])
+    return q.select("column", r6(F.col("quantile")).alias("median"))
+
+
+@register("standardise")
+def q_standardise(spark, sf):
+    tr = _train(spark, sf)
+    med = {r["column"]: r["quantile"] for r in P.quantiles_long(tr, list(S.NUMERIC_COLS), [0.5]).collect()}
+    xs = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in S.NUMERIC_COLS}
+    one = tr.agg(*[F.avg(x).alias(f"{c}__m") for c, x in xs.items()],
+                 *[F.stddev_pop(x).alias(f"{c}__s") for c, x in xs.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__m").alias("mean"),
+                              F.when(F.col(f"{c}__s") == 0, F.lit(1.0)).otherwise(F.col(f"{c}__s")).alias("std"))
+                     for c in S.NUMERIC_COLS])
+    return _round_cols(one.select(F.inline(rows)), ["mean", "std"])
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    tr = _train(spark, sf)
+    long = tr.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))
+                                         for c in S.CATEGORICAL_COLS])))
+    vc = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return vc.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("nn"), F.col("value"))).alias("mode"))
+
+
+def _fitted(spark, sf):
+    split = _split(spark, sf)
+    pp = Preprocessor().fit(split.where(F.col("split") == "train"))
+    return pp, split
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    pp, split = _fitted(spark, sf)
+    out = pp.transform(split, keep=["lead_id"])
+    return out.select("lead_id", *[c for c in out.columns if c.startswith("categoricas__")])
+
+
+@register("transform")
+def q_transform(spark, sf):
+    pp, split = _fitted(spark, sf)
+    out = pp.transform(split, keep=["lead_id"])
+    return out.withColumns({c: r6(F.col(f"`{c}`")) for c in out.columns if c.startswith("numericas__")})

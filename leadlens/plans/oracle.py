@@ -285,3 +285,67 @@ sql("display_table", with_ctes(
     "dias_sem_contato AS \"Dias s/ Contato\", n_tentativas AS \"Tentativas\", "
     "CASE WHEN respondeu_contato = 1 THEN '✅' ELSE '❌' END AS \"Respondeu\", "
     "printf('%.1f', score * 100) || '%' AS \"Score\", classificacao AS \"Classificação\" FROM scored ORDER BY score DESC, lead_id"))
+
+# ---------------------------------------------------------------- split, class balance, preprocessing
+SPLIT_CTES = [
+    "cc AS (SELECT converteu AS label, COUNT(*) AS n_c FROM feat GROUP BY converteu)",
+    "tt AS (SELECT SUM(n_c) AS n, CAST(ceil(2e-1 * SUM(n_c)) AS BIGINT) AS n_test FROM cc)",
+    "al AS (SELECT label, n_c, (n_c * (n - n_test)) // n AS fl, (n_c * (n - n_test)) % n AS rem, "
+    "n - n_test AS n_train FROM cc, tt)",
+    "al2 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, label) AS rk, n_train - SUM(fl) OVER () AS need FROM al)",
+    "alloc AS (SELECT label, n_c - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS test_c FROM al2)",
+    "rnk AS (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY converteu ORDER BY md5(CAST(lead_id AS VARCHAR) || '|42'), "
+    "lead_id) AS r FROM feat f)",
+    "splitted AS (SELECT rnk.*, CASE WHEN r <= test_c THEN 'test' ELSE 'train' END AS split FROM rnk "
+    "JOIN alloc ON rnk.converteu = alloc.label)",
+    "train AS (SELECT * FROM splitted WHERE split = 'train')",
+]
+sql("strat_split", with_ctes("SELECT lead_id, converteu, split FROM splitted", SPLIT_CTES))
+sql("split_sizes", with_ctes("SELECT split, converteu, COUNT(*) AS n FROM splitted GROUP BY split, converteu", SPLIT_CTES))
+sql("class_weights", with_ctes(
+    "SELECT converteu, n_c, round(SUM(n_c) OVER () / (COUNT(*) OVER () * n_c), 6) AS weight FROM "
+    "(SELECT converteu, COUNT(*) AS n_c FROM train GROUP BY converteu) t", SPLIT_CTES))
+sql("pos_ratio", with_ctes(
+    "SELECT neg, pos, round(neg / CASE WHEN pos > 0 THEN pos ELSE 1 END, 6) AS scale_pos_weight FROM "
+    "(SELECT COUNT(*) FILTER (WHERE converteu = 0) AS neg, COUNT(*) FILTER (WHERE converteu = 1) AS pos FROM train) t",
+    SPLIT_CTES))
+
+_STATS = ("stats AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5) AS med_{c}" for c in S.NUMERIC_COLS) + " FROM train)")
+_STATS2 = ("stats2 AS (SELECT " + ", ".join(
+    f"AVG(COALESCE(CAST({c} AS DOUBLE), med_{c})) AS mean_{c}, "
+    f"CASE WHEN stddev_pop(COALESCE(CAST({c} AS DOUBLE), med_{c})) = 0 THEN 1e0 "
+    f"ELSE stddev_pop(COALESCE(CAST({c} AS DOUBLE), med_{c})) END AS std_{c}" for c in S.NUMERIC_COLS)
+    + " FROM train, stats GROUP BY ALL)")
+sql("impute_median", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(med_{c}, 6) AS median FROM stats" for c in S.NUMERIC_COLS), SPLIT_CTES + [_STATS]))
+sql("standardise", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(mean_{c}, 6) AS mean, round(std_{c}, 6) AS std FROM stats2" for c in S.NUMERIC_COLS),
+    SPLIT_CTES + [_STATS, _STATS2]))
+_MODES = ("modes_long AS (SELECT \"column\", value FROM (SELECT \"column\", value, ROW_NUMBER() OVER (PARTITION BY \"column\" "
+          "ORDER BY n DESC, value) AS rn FROM (" + " UNION ALL ".join(
+              f"SELECT '{c}' AS column, {c} AS value, COUNT(*) AS n FROM train WHERE {c} IS NOT NULL GROUP BY {c}"
+              for c in S.CATEGORICAL_COLS) + ") v) w WHERE rn = 1)")
+sql("impute_mode", with_ctes("SELECT \"column\", value AS mode FROM modes_long", SPLIT_CTES + [_MODES]))
+_MODES_WIDE = ("modes AS (SELECT " + ", ".join(
+    f"MAX(value) FILTER (WHERE \"column\" = '{c}') AS mode_{c}" for c in S.CATEGORICAL_COLS) + " FROM modes_long)")
+_CATS = {"canal_captacao": sorted(S.CHANNELS), "curso_interesse": sorted(S.COURSES),
+         "faixa_etaria": sorted(S.AGE_BANDS), "turno_preferencia": sorted(S.SHIFTS)}
+
+
+def _onehot_cols() -> list[str]:
+    out = []
+    for c in S.CATEGORICAL_COLS:
+        for v in _CATS[c]:
+            out.append(f"CASE WHEN COALESCE({c}, mode_{c}) = {q(v)} THEN 1e0 ELSE 0e0 END AS \"categoricas__{c}_{v}\"")
+    return out
+
+
+sql("one_hot", with_ctes("SELECT lead_id, " + ", ".join(_onehot_cols()) + " FROM splitted, modes",
+                         SPLIT_CTES + [_MODES, _MODES_WIDE]))
+sql("transform", with_ctes(
+    "SELECT lead_id, " + ", ".join(
+        [f"round((COALESCE(CAST({c} AS DOUBLE), med_{c}) - mean_{c}) / std_{c}, 6) AS \"numericas__{c}\""
+         for c in S.NUMERIC_COLS] + _onehot_cols()
+        + [f"CAST({c} AS DOUBLE) AS \"binarias__{c}\"" for c in S.BINARY_COLS])
+    + " FROM splitted, stats, stats2, modes", SPLIT_CTES + [_STATS, _STATS2, _MODES, _MODES_WIDE]))
