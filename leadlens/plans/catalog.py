@@ -423,3 +423,81 @@ def q_transform(spark, sf):
     pp, split = _fitted(spark, sf)
     out = pp.transform(split, keep=["lead_id"])
     return out.withColumns({c: r6(F.col(f"`{c}`")) for c in out.columns if c.startswith("numericas__")})
+
+
+# ---------------------------------------------------------------- step 6: additive explanations (scorecard model)
+from ..operators import explain as H  # noqa: E402
+from ..functions.scorecard import scorecard_terms  # noqa: E402
+
+
+def _explained(spark, sf):
+    leads = leads_view(spark, sf)
+    terms = scorecard_terms()
+    means = H.background_means(H.background(leads, 100), terms)
+    return leads, terms, means
+
+
+@register("linear_shap_top3")
+def q_linear_shap_top3(spark, sf):
+    leads, terms, means = _explained(spark, sf)
+    out = H.flatten_top(H.top_k(leads, terms, means, 3)).drop("shap_sum", "top_feature")
+    return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])
+
+
+@register("shap_long")
+def q_shap_long(spark, sf):
+    leads, terms, means = _explained(spark, sf)
+    return _round_cols(H.explain_long(leads, terms, means), ["impact"])
+
+
+@register("shap_sum")
+def q_shap_sum(spark, sf):
+    leads, terms, means = _explained(spark, sf)
+    return _round_cols(H.explain_wide(leads, terms, means).select("lead_id", "shap_sum"), ["shap_sum"])
+
+
+@register("top_feature")
+def q_top_feature(spark, sf):
+    leads, terms, means = _explained(spark, sf)
+    return H.explain_wide(leads, terms, means).select("lead_id", "top_feature")
+
+
+@register("global_importance")
+def q_global_importance(spark, sf):
+    leads, terms, means = _explained(spark, sf)
+    return _round_cols(H.global_importance(leads, terms, means), ["mean_abs_impact"])
+
+
+# ---------------------------------------------------------------- step 8: messages
+from ..operators import messages as MSG  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+
+
+def _scored_explained(spark, sf):
+    scored = _scored(spark, sf)
+    terms = scorecard_terms()
+    means = H.background_means(H.background(leads_view(spark, sf), 100), terms)
+    return MSG.with_explanations(scored, terms, means)
+
+
+@register("shap_text")
+def q_shap_text(spark, sf):
+    return _scored_explained(spark, sf).select("lead_id", "shap_text")
+
+
+@register("prompt")
+def q_prompt(spark, sf):
+    return MSG.add_messages(_scored_explained(spark, sf)).select("lead_id", "prompt")
+
+
+@register("fallback_script")
+def q_fallback_script(spark, sf):
+    return _scored(spark, sf).select("lead_id", TX.fallback_script().alias("script"),
+                                     F.lit(TX.SOURCE_FALLBACK).alias("fonte"))
+
+
+@register("script_table")
+def q_script_table(spark, sf):
+    req = read_table(spark, sf, "orders", ["o_orderkey"]).select((F.col("o_orderkey") * 2 + 1).alias("lead_id"))
+    out = MSG.script_table(_scored(spark, sf), req, score_digits=None)
+    return out.withColumn("score", r6(F.col("score")))

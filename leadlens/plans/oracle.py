@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import schema as S
-from .sql import band_left_sql, band_right_sql, d, log_odds_sql, q, sigmoid_sql, with_ctes
+from ..functions import text as TX
+from .sql import band_left_sql, band_right_sql, case_map, d, log_odds_sql, q, sigmoid_sql, with_ctes
 
 ORACLE: dict[str, str] = {}
 
@@ -349,3 +352,89 @@ sql("transform", with_ctes(
          for c in S.NUMERIC_COLS] + _onehot_cols()
         + [f"CAST({c} AS DOUBLE) AS \"binarias__{c}\"" for c in S.BINARY_COLS])
     + " FROM splitted, stats, stats2, modes", SPLIT_CTES + [_STATS, _STATS2, _MODES, _MODES_WIDE]))
+
+# ---------------------------------------------------------------- additive explanations of the scorecard
+_TERMS = {
+    "canal_captacao": case_map("canal_captacao", S.SCORECARD_CHANNEL),
+    "respondeu_contato": f"CAST(respondeu_contato * {d(S.SCORECARD_RESPONDED)} AS DOUBLE)",
+    "dias_sem_contato": f"-({d(S.SCORECARD_DAYS)} * dias_sem_contato)",
+    "n_tentativas": f"({d(S.SCORECARD_ATTEMPTS_CURVE)} * ((n_tentativas - 2) * (n_tentativas - 2)) + {d(S.SCORECARD_ATTEMPTS_BONUS)})",
+    "curso_interesse": case_map("curso_interesse", S.SCORECARD_COURSE),
+}
+_EXPL = [
+    "bg AS (SELECT * FROM leads ORDER BY lead_id LIMIT 100)",
+    "bgm AS (SELECT " + ", ".join(f"AVG({t}) AS m_{n}" for n, t in _TERMS.items()) + " FROM bg)",
+    "att AS (SELECT lead_id, " + ", ".join(f"{t} - m_{n} AS shap_{n}" for n, t in _TERMS.items()) + " FROM leads, bgm)",
+    "att_long AS (" + " UNION ALL ".join(
+        f"SELECT lead_id, {i} AS slot, '{n}' AS feature, shap_{n} AS impact FROM att" for i, n in enumerate(_TERMS)) + ")",
+    "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY abs(impact) DESC, slot) AS rn FROM att_long)",
+]
+_dir = f"CASE WHEN impact IS NULL THEN NULL WHEN impact > 0 THEN {q('favorece conversão')} ELSE {q('desfavorece')} END"
+sql("linear_shap_top3", with_ctes(
+    "SELECT lead_id, " + ", ".join(
+        f"MAX(feature) FILTER (WHERE rn = {i}) AS top{i}_feature, round(MAX(impact) FILTER (WHERE rn = {i}), 6) AS top{i}_impact, "
+        f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3))
+    + " FROM ranked GROUP BY lead_id", _EXPL))
+sql("shap_long", with_ctes("SELECT lead_id, slot, feature, round(impact, 6) AS impact FROM att_long", _EXPL))
+sql("shap_sum", with_ctes("SELECT lead_id, round(" + " + ".join(f"shap_{n}" for n in _TERMS) + ", 6) AS shap_sum FROM att",
+                          _EXPL))
+sql("top_feature", with_ctes("SELECT lead_id, feature AS top_feature FROM ranked WHERE rn = 1", _EXPL))
+sql("global_importance", with_ctes(
+    "SELECT feature, round(AVG(abs(impact)), 6) AS mean_abs_impact FROM att_long GROUP BY feature "
+    "ORDER BY AVG(abs(impact)) DESC, feature LIMIT 10", _EXPL))
+
+
+
+# ---------------------------------------------------------------- messages (built from leadlens.functions.text)
+def _fill_sql(template: str, vals: dict) -> str:
+    parts = re.split(r"\{(\w+)\}", template)
+    out = []
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            if p:
+                out.append(q(p).replace("\n", "' || chr(10) || '"))
+        else:
+            out.append(vals[p])
+    return "(" + " || ".join(out) + ")"
+
+
+def script_sql(p: str = "") -> str:
+    """SQL twin of ``text.fallback_script`` (column prefix ``p``)."""
+    tok = f"regexp_extract(COALESCE({p}nome_ficticio, ''), '^\\s*(\\S+)', 1)"
+    vals = {"nome": f"(CASE WHEN {tok} = '' THEN {q(S.DEFAULT_NAME)} ELSE {tok} END)",
+            "curso": f"COALESCE({p}curso_interesse, {q(TX.FALLBACK_COURSE)})"}
+    ref = f"{p}canal_captacao IS NOT DISTINCT FROM {q(S.CHANNEL_REFERRAL)}"
+    retry = f"COALESCE({p}n_tentativas, 0) > {TX.RETRY_ATTEMPTS}"
+
+    def pick(a, b, c):
+        return (f"CASE WHEN {ref} THEN {_fill_sql(a, vals)} WHEN {retry} THEN {_fill_sql(b, vals)} "
+                f"ELSE {_fill_sql(c, vals)} END")
+
+    intro = pick(TX.REFERRAL_INTRO, TX.RETRY_INTRO, TX.DEFAULT_INTRO)
+    body = pick(TX.REFERRAL_BODY, TX.RETRY_BODY, TX.DEFAULT_BODY)
+    return f"(({intro}) || chr(10) || ({body}) || chr(10) || {q(TX.CLOSING)})"
+
+
+def prompt_sql() -> str:
+    dft = TX.PROMPT_DEFAULTS
+    vals = {"nome": f"COALESCE(nome_ficticio, {q(dft['nome'])})",
+            "curso_interesse": f"COALESCE(curso_interesse, {q(dft['curso_interesse'])})",
+            "canal_captacao": f"COALESCE(canal_captacao, {q(dft['canal_captacao'])})",
+            "dias_sem_contato": f"COALESCE(CAST(dias_sem_contato AS VARCHAR), {q(dft['dias_sem_contato'])})",
+            "n_tentativas": f"COALESCE(CAST(n_tentativas AS VARCHAR), {q(dft['n_tentativas'])})",
+            "score": "(printf('%.0f', COALESCE(score, 0e0) * 100e0) || '%')",
+            "shap_top_features": f"COALESCE(shap_text, {q(TX.NO_EXPLANATION)})"}
+    return _fill_sql(TX.PROMPT_TEMPLATE, vals)
+
+
+_TEXT = ["shap_txt AS (SELECT lead_id, string_agg(feature || ' (' || printf('%.2f', abs(impact)) || ')', ', ' ORDER BY rn) "
+         "AS shap_text FROM ranked WHERE rn <= 3 GROUP BY lead_id)",
+         "sx AS (SELECT s.*, t.shap_text FROM scored s JOIN shap_txt t ON s.lead_id = t.lead_id)"]
+sql("shap_text", with_ctes("SELECT lead_id, shap_text FROM sx", _EXPL + _TEXT))
+sql("prompt", with_ctes(f"SELECT lead_id, {prompt_sql()} AS prompt FROM sx", _EXPL + _TEXT))
+sql("fallback_script", with_ctes(f"SELECT lead_id, {script_sql()} AS script, 'fallback' AS fonte FROM scored"))
+sql("script_table", with_ctes(
+    "SELECT r.lead_id, CASE WHEN s.lead_id IS NULL THEN 0 ELSE 1 END AS found, s.nome_ficticio AS nome, "
+    f"round(s.score, 6) AS score, CASE WHEN s.lead_id IS NOT NULL THEN {script_sql('s.')} END AS script, "
+    "CASE WHEN s.lead_id IS NOT NULL THEN 'fallback' END AS fonte "
+    "FROM (SELECT DISTINCT o_orderkey * 2 + 1 AS lead_id FROM orders) r LEFT JOIN scored s ON r.lead_id = s.lead_id"))
