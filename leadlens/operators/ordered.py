@@ -54,11 +54,19 @@ def _split_points(df: DataFrame, key: Column, by: list[str], n_buckets: int) ->
     return agg.collect()
 
 
+def split_point_agg(key: Column, n_buckets: int):
+    """The aggregate that yields a group's split points (``_sp``); callers may
+    fold it into an aggregation they run anyway and pass the rows on."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    return F.percentile_approx(key, probs, max(10000, 20 * n_buckets)).alias("_sp")
+
+
 def with_bucket(df: DataFrame, key: Column, by: list[str], n_buckets: int = DEFAULT_BUCKETS,
-                name: str = "_bucket") -> DataFrame:
-    """Add a bucket id that is non-decreasing in ``key`` within each group."""
+                name: str = "_bucket", split_rows: list | None = None) -> DataFrame:
+    """Add a bucket id that is non-decreasing in ``key`` within each group.
+    ``split_rows``: already collected rows (by..., _sp)."""
     n_buckets = n_buckets or default_buckets(df.sparkSession)
-    rows = _split_points(df, key, by, n_buckets)
+    rows = split_rows if split_rows is not None else _split_points(df, key, by, n_buckets)
     if len(rows) <= _MAX_LITERAL_GROUPS:
         expr = None
         for r in rows:
@@ -87,7 +95,7 @@ def with_bucket(df: DataFrame, key: Column, by: list[str], n_buckets: int = DEFA
 
 def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[str, str],
                    by: list[str] | None = None, n_buckets: int = DEFAULT_BUCKETS,
-                   next_cols: list[str] | None = None) -> DataFrame:
+                   next_cols: list[str] | None = None, split_rows: list | None = None) -> DataFrame:
     """Inclusive running sums in the given order within groups ``by``.
 
     order      sort expressions (with asc/desc); ties must be broken by them
@@ -98,7 +106,7 @@ def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[s
     """
     by = list(by or [])
     b = "_bucket"
-    bdf = with_bucket(df, key, by, n_buckets, b)
+    bdf = with_bucket(df, key, by, n_buckets, b, split_rows)
     tot = bdf.groupBy(*by, b).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     w_off = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*by, b, *[F.coalesce(F.sum(f"_t_{o}").over(w_off), F.lit(0)).alias(f"_o_{o}")

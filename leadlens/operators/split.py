@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .ordered import running_totals
+from .ordered import default_buckets, running_totals, split_point_agg
 
 
 def order_key(id_col: str = S.ID_COL, seed: int = 42) -> Column:
@@ -45,11 +45,15 @@ def stratified_split(df: DataFrame, label: str = S.LABEL_COL, test_size: float =
                      id_col: str = S.ID_COL) -> DataFrame:
     """Adds ``split`` = 'train' / 'test'.  Only the per-class counts reach the
     driver (one number per class)."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    test_n = allocate_test(counts, test_size)
     keyed = df.withColumns({"_h": order_key(id_col, seed), "_one": F.lit(1)})
+    nb = default_buckets(df.sparkSession)
+    # one pass: class sizes and the split points of the order key per class
+    rows = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
+                                    split_point_agg(_prefix60(F.col("_h")), nb)).collect()
+    counts = {r[label]: r["_n"] for r in rows}
+    test_n = allocate_test(counts, test_size)
     ranked = running_totals(keyed, [F.col("_h").asc(), F.col(id_col).asc()], _prefix60(F.col("_h")),
-                            {"_rank": "_one"}, by=[label])
+                            {"_rank": "_one"}, by=[label], n_buckets=nb, split_rows=rows)
     limit = None
     for c, t in test_n.items():
         cond = F.col(label) == F.lit(c)

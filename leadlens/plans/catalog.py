@@ -501,3 +501,42 @@ def q_script_table(spark, sf):
     req = read_table(spark, sf, "orders", ["o_orderkey"]).select((F.col("o_orderkey") * 2 + 1).alias("lead_id"))
     out = MSG.script_table(_scored(spark, sf), req, score_digits=None)
     return out.withColumn("score", r6(F.col("score")))
+
+
+# ---------------------------------------------------------------- step 7: models, scoring, streaming (rows-only checks)
+from . import training as TR  # noqa: E402
+
+
+@register("train_compare")
+def q_train_compare(spark, sf):
+    tm = TR.train_all(spark, leads_view(spark, sf), TR.TrainConfig())
+    return tm.comparison
+
+
+@register("train_logistic")
+def q_train_logistic(spark, sf):
+    tm = TR.train_all(spark, leads_view(spark, sf), TR.TrainConfig(models=("LogisticRegression",)))
+    return tm.comparison
+
+
+@register("score_all")
+def q_score_all(spark, sf):
+    leads = leads_view(spark, sf)
+    tm = TR.train_all(spark, leads, TR.TrainConfig(models=("LogisticRegression",)))
+    scored = TR.score_with(tm.preprocessor, tm.models[tm.best], leads)
+    return scored.select("lead_id", r6(F.col("score")).alias("score"), band_right(F.col("score")).alias("classificacao"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    """Leads written as files, scored by a streaming query (available-now
+    trigger) into a file sink, read back as a table."""
+    from ..session import scratch_path
+    from ..sources.io import write_table
+    from ..streaming.score_stream import run_scoring_stream
+    src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-out")
+    write_table(leads_view(spark, sf).repartition(4), src, fmt="parquet")
+    qy = run_scoring_stream(spark, src, sink)
+    qy.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("lead_id", r6(F.col("score")).alias("score"), "classificacao")

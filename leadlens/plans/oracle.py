@@ -438,3 +438,6 @@ sql("script_table", with_ctes(
     f"round(s.score, 6) AS score, CASE WHEN s.lead_id IS NOT NULL THEN {script_sql('s.')} END AS script, "
     "CASE WHEN s.lead_id IS NOT NULL THEN 'fallback' END AS fonte "
     "FROM (SELECT DISTINCT o_orderkey * 2 + 1 AS lead_id FROM orders) r LEFT JOIN scored s ON r.lead_id = s.lead_id"))
+
+# ---------------------------------------------------------------- streaming scoring (same result as batch, left-closed bands)
+sql("stream_score", with_ctes(f"SELECT lead_id, round(score, 6) AS score, {band_left_sql()} AS classificacao FROM scored0"))
