@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import attach_one_row
 from .ordered import running_totals
 
@@ -24,12 +25,15 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "converteu",
     two engines whose ``exp`` differ in the last bit agree on ties."""
     y = F.col(label).cast("long")
     k = F.col(key or score)
+    df = df.where(k.isNotNull() & F.col(score).isNotNull() & y.isNotNull())
     return df.groupBy(k.alias("key")).agg(
         F.max(F.col(score)).alias("score"), F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 
 
 def _desc_curve(df: DataFrame, score: str, label: str, next_cols=None, key: str | None = None) -> DataFrame:
-    sc = score_counts(df, score, label, key)
+    # one row per distinct threshold, materialised once in the shared folder:
+    # the bucketing passes then read this reduced table, not the source
+    sc = cut_lineage(score_counts(df, score, label, key))
     return running_totals(sc, [F.col("key").desc()], -F.col("key"),
                           {"tps": "pos", "fps": "neg"}, next_cols=next_cols)
 

@@ -7,13 +7,12 @@ one task.  ``running_totals`` splits the order into buckets instead:
 1. split points of a numeric bucket key, per group, from ``percentile_approx``
    (a mergeable sketch; B-1 values per group, collected to the driver, so the
    collected size is bounded by groups x B);
-2. every row gets its bucket (a balanced CASE tree over the split literals,
-   JVM-side; a bucket holds every copy of a key value, and callers pass one
-   row per distinct key so no bucket is hot);
-3. per-(group, bucket) totals -> exclusive offsets by a window over that small
-   table;
-4. offsets joined back (small side broadcast, size groups x B) and a window
-   partitioned by (group, bucket) finishes the running sum.
+2. every row gets its bucket (binary search over the split points with
+   ml.feature.Bucketizer, JVM-side; a bucket holds every copy of a key value,
+   and callers pass one row per distinct key so no bucket is hot);
+3. per-(group, bucket) totals (at most groups x B rows) are collected and
+   become literal arrays of exclusive offsets;
+4. one window partitioned by (group, bucket) finishes the running sum.
 
 Results are exact whatever the split points are: the buckets only decide how
 the work is spread.
@@ -21,9 +20,12 @@ the work is spread.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
 _MAX_LITERAL_GROUPS = 64
 
@@ -37,16 +39,6 @@ def default_buckets(spark) -> int:
     return max(8, min(1024, 2 * p))
 
 
-def _tree(v: Column, splits: list) -> Column:
-    """Number of split points strictly below v, as a balanced CASE tree."""
-    def build(lo, hi):  # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2  # is count > mid ?  <=> splits[mid] < v
-        return F.when(v > F.lit(splits[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, len(splits))
-
-
 def _split_points(df: DataFrame, key: Column, by: list[str], n_buckets: int) -> list:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = max(10000, 20 * n_buckets)
@@ -67,32 +59,56 @@ def with_bucket(df: DataFrame, key: Column, by: list[str], n_buckets: int = DEFA
     ``split_rows``: already collected rows (by..., _sp)."""
     n_buckets = n_buckets or default_buckets(df.sparkSession)
     rows = split_rows if split_rows is not None else _split_points(df, key, by, n_buckets)
+    kc = "_bkey"
+    # evaluate the key once per row; buckets come from a binary search over
+    # the group's split points (ml.feature.Bucketizer, JVM-side)
+    out = df.withColumn(kc, key.cast("double"))
     if len(rows) <= _MAX_LITERAL_GROUPS:
-        expr = None
-        for r in rows:
-            splits = sorted({float(x) for x in (r["_sp"] or []) if x is not None})
-            t = _tree(key.cast("double"), splits)
+        picked, tmp = None, []
+        for i, r in enumerate(rows):
+            splits = sorted({float(x) for x in (r["_sp"] or []) if x is not None and x == x})
+            col_i = f"_b{i}"
+            if splits:
+                out = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol=kc,
+                                 outputCol=col_i, handleInvalid="keep").transform(out)
+                bcol = F.coalesce(F.col(col_i).cast("int"), F.lit(0))
+                tmp.append(col_i)
+            else:
+                bcol = F.lit(0)
             if not by:
-                expr = t
+                picked = bcol
                 break
             cond = None
             for g in by:
                 c = F.col(g).eqNullSafe(F.lit(r[g]))
                 cond = c if cond is None else cond & c
-            expr = F.when(cond, t) if expr is None else expr.when(cond, t)
-        if expr is None:
-            expr = F.lit(0)
-        return df.withColumn(name, expr)
+            picked = F.when(cond, bcol) if picked is None else picked.when(cond, bcol)
+        if picked is None:
+            picked = F.lit(0)
+        return out.withColumn(name, picked).drop(kc, *tmp)
     # Many groups: keep the split arrays in a table and count split points below
     # the key per row (exact, O(B) per row).
-    sp = df.groupBy(*by).agg(F.percentile_approx(key, [i / n_buckets for i in range(1, n_buckets)],
-                                                 max(10000, 20 * n_buckets)).alias("_sp"))
-    kc = "_bkey"
-    out = df.withColumn(kc, key.cast("double")).join(sp, by, "left")
+    sp = df.groupBy(*by).agg(split_point_agg(key, n_buckets))
+    out = out.join(sp, by, "left")
     out = out.withColumn(name, F.size(F.filter(F.col("_sp"), lambda x: x < F.col(kc))))
     return out.drop("_sp", kc)
 
 
+def _group_case(by: list[str], per_group: dict, make) -> Column:
+    """CASE over the groups of ``by`` choosing ``make(value)`` per group key."""
+    expr = None
+    for gk, val in per_group.items():
+        e = make(val)
+        if not by:
+            return e
+        cond = None
+        for g, v in zip(by, gk):
+            c = F.col(g).eqNullSafe(F.lit(v))
+            cond = c if cond is None else cond & c
+        expr = F.when(cond, e) if expr is None else expr.when(cond, e)
+    return expr if expr is not None else F.lit(None)
+
+
 def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[str, str],
                    by: list[str] | None = None, n_buckets: int = DEFAULT_BUCKETS,
                    next_cols: list[str] | None = None, split_rows: list | None = None) -> DataFrame:
@@ -102,36 +118,62 @@ def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[s
     key        numeric column non-decreasing along ``order`` (bucketing key)
     sums       {output name: input column} for running sums
     next_cols  also return ``next_<c>``: the value of c on the following row
-               in order (null on a group's last row)
+               in order (null on a group's last row); needs a key that is
+               unique per row
+    split_rows already collected split points (see ``split_point_agg``)
+
+    The per-bucket totals (at most groups x B rows) are collected and turned
+    into literal offset arrays, so the final step is one window partitioned
+    by (group, bucket) with no join.
     """
     by = list(by or [])
     b = "_bucket"
     bdf = with_bucket(df, key, by, n_buckets, b, split_rows)
-    tot = bdf.groupBy(*by, b).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
-    w_off = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, b, *[F.coalesce(F.sum(f"_t_{o}").over(w_off), F.lit(0)).alias(f"_o_{o}")
-                               for o in sums])
-    # offsets table has groups x B rows at most
-    joined = bdf.join(F.broadcast(off), [*by, b], "inner")
+    aggs = [F.sum(src).alias(f"_t_{o}") for o, src in sums.items()]
+    if next_cols:
+        bdf = bdf.withColumn("_bk", key.cast("double"))
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in next_cols]), F.col("_bk")).alias("_first"))
+    tot = bdf.groupBy(*by, b).agg(*aggs).collect()          # bounded: groups x B rows
+    groups: dict = {}
+    for r in tot:
+        groups.setdefault(tuple(r[g] for g in by), []).append(r)
+    offsets, firsts = {}, {}
+    for gk, rs in groups.items():
+        rs.sort(key=lambda r: r[b])
+        size = rs[-1][b] + 1
+        for o in sums:
+            arr, run, j = [], 0, 0
+            for idx in range(size):
+                arr.append(run)
+                if j < len(rs) and rs[j][b] == idx:
+                    run += rs[j][f"_t_{o}"] or 0
+                    j += 1
+            offsets.setdefault(o, {})[gk] = arr
+        if next_cols:
+            # first row of the next non-empty bucket, per bucket
+            nxt = [None] * size
+            following = None
+            present = {r[b]: r["_first"] for r in rs}
+            for idx in range(size - 1, -1, -1):
+                nxt[idx] = following
+                if idx in present:
+                    following = present[idx]
+            firsts[gk] = nxt
     w = Window.partitionBy(*by, b).orderBy(*order)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {o: F.sum(src).over(w_run) + F.col(f"_o_{o}") for o, src in sums.items()}
-    if next_cols:
-        cols.update({f"_ln_{c}": F.lead(c).over(w) for c in next_cols})
-        cols["_last_in_bucket"] = F.lead(F.lit(1)).over(w).isNull()
-        cols["_rn"] = F.row_number().over(w)
-    out = joined.withColumns(cols).drop(*[f"_o_{o}" for o in sums])
+    bidx = F.col(b) + F.lit(1)
+    cols = {}
+    for o, src in sums.items():
+        off = _group_case(by, offsets[o], lambda arr: F.element_at(F.array(*[F.lit(int(x)) for x in arr]), bidx))
+        cols[o] = F.sum(src).over(w_run) + off
     if next_cols:
-        firsts = out.filter(F.col("_rn") == 1).select(*by, b, *next_cols)
-        wf = Window.partitionBy(*by).orderBy(b)
-        nxt = firsts.select(*by, b, *[F.lead(c).over(wf).alias(f"_nb_{c}") for c in next_cols])
-        out = out.join(F.broadcast(nxt), [*by, b], "inner")
-        out = out.withColumns({
-            f"next_{c}": F.when(F.col("_last_in_bucket"), F.col(f"_nb_{c}")).otherwise(F.col(f"_ln_{c}"))
-            for c in next_cols})
-        out = out.drop("_rn", "_last_in_bucket", *[f"_ln_{c}" for c in next_cols],
-                       *[f"_nb_{c}" for c in next_cols])
-    return out.drop(b)
+        last = F.lead(F.lit(1)).over(w).isNull()
+        for i, c in enumerate(next_cols):
+            def make(arr, i=i):
+                return F.element_at(F.array(*[F.lit(None if v is None else v[i]) for v in arr]), bidx)
+            cols[f"next_{c}"] = F.when(last, _group_case(by, firsts, make)).otherwise(F.lead(c).over(w))
+    out = bdf.withColumns(cols)
+    return out.drop(b, *(["_bk"] if next_cols else []))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
@@ -145,6 +187,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     by = list(by or [])
     vc = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
             .agg(F.count(F.lit(1)).alias("_n")))
+    # distinct (value, count) pairs, materialised once in the shared folder and
+    # read by the bucketing passes instead of the source
+    vc = cut_lineage(vc)
     rt = running_totals(vc, [F.col(value).asc()], F.col(value), {"_cum": "_n"}, by, n_buckets)
     sizes = vc.groupBy(*by).agg(F.sum("_n").alias("_total"))
     pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")

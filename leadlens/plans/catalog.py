@@ -22,6 +22,7 @@ from ..operators import select as sel
 from ..operators import scoring
 from ..sources.leads import leads_view
 from ..sources.tables import read_table
+from ..session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -406,7 +407,9 @@ def q_impute_mode(spark, sf):
 
 
 def _fitted(spark, sf):
-    split = _split(spark, sf)
+    # the split is read by every fitting aggregation and by the transform:
+    # materialise it once in the shared folder (reliable checkpoint)
+    split = cut_lineage(_split(spark, sf))
     pp = Preprocessor().fit(split.where(F.col("split") == "train"))
     return pp, split
 

@@ -24,7 +24,7 @@ from ..functions.features import add_features
 from ..operators import metrics as M
 from ..operators.preprocess import Preprocessor
 from ..operators.split import stratified_split, weight_column
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
 MODEL_NAMES = ("LogisticRegression", "RandomForest", "GBT")
 
@@ -85,8 +85,9 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
     cfg = cfg or TrainConfig()
     shared_dir(spark)  # iterative learners checkpoint into the shared folder
     # the split feeds the preprocessing fit (several aggregations) and the
-    # transform; keep it instead of recomputing the join and ranking
-    data = prepared(leads, cfg).persist()
+    # transform: materialise it once in the shared folder (reliable checkpoint;
+    # survives executor loss and cuts the join + ranking lineage)
+    data = cut_lineage(prepared(leads, cfg))
     train = data.where(F.col("split") == "train")
     pp = Preprocessor().fit(train)
     counts = {r[0]: r[1] for r in train.groupBy(S.LABEL_COL).count().collect()}  # one row per class
@@ -123,7 +124,6 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
         return TrainedModels(pp, fitted, comp, best, meta)
     finally:
         x.unpersist()
-        data.unpersist()
 
 
 def metadata_frame(spark: SparkSession, meta: dict) -> DataFrame:
