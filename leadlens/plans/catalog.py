@@ -543,3 +543,20 @@ def q_stream_score(spark, sf):
     qy.awaitTermination()
     out = spark.read.parquet(sink)
     return out.select("lead_id", r6(F.col("score")).alias("score"), "classificacao")
+
+
+# ---------------------------------------------------------------- step 9: permutation attribution (rows-only check)
+from ..operators.permutation import permutation_attribution  # noqa: E402
+
+SCORECARD_INPUTS = ["canal_captacao", "respondeu_contato", "dias_sem_contato", "n_tentativas", "curso_interesse"]
+
+
+@register("permutation_shap")
+def q_permutation_shap(spark, sf):
+    """Scorecard probability (not additive in probability units) explained by
+    sampled orderings against the first 100 leads."""
+    leads = leads_view(spark, sf).select("lead_id", *SCORECARD_INPUTS)
+    bg = H.background(leads, 100)
+    out = permutation_attribution(leads, lambda d: d.withColumn("score", sigmoid(log_odds())),
+                                  SCORECARD_INPUTS, bg, n_permutations=2)
+    return _round_cols(out, ["impact"])
