@@ -75,3 +75,35 @@ def list_leads(scored: DataFrame, canal: str | None = None, curso: str | None =
         s.alias("score"),
         F.col("classificacao"),
     )
+
+
+def score_leads(new: DataFrame, terms: dict, means: dict, score=None, k: int = 3,
+                score_digits: int | None = 4) -> DataFrame:
+    """Score new lead payloads set-based: validation (``is_valid``,
+    ``reasons``), derived features, score (scorecard by default, or any
+    native score column), left-closed class and the top-k explanation
+    entries.  Invalid rows keep their reasons and get no score."""
+    from . import explain as H
+    from .select import default_name, validate
+    v = validate(default_name(new))
+    feat = add_features(v)
+    s = score if score is not None else sigmoid(log_odds())
+    ok = F.col("is_valid") == 1
+    out = feat.withColumn("score", F.when(ok, s))
+    out = out.withColumn("classificacao", F.when(ok, band("score", "left")))
+    att = H.attribution_columns(terms, means)
+    ranked = F.array_sort(F.array(*[
+        F.struct((-F.abs(c)).alias("k"), F.lit(i).alias("slot"), F.lit(n).alias("feature"), c.alias("impact"))
+        for i, (n, c) in enumerate(att.items())]))
+    top = F.transform(F.slice(ranked, 1, k), lambda t: F.struct(t["feature"].alias("feature"), t["impact"].alias("impact")))
+    out = out.withColumn("top_features", F.when(ok, top))
+    if score_digits is not None:
+        out = out.withColumn("score", F.round("score", score_digits))
+    return out
+
+
+def list_leads_explained(scored_explained: DataFrame, **kw) -> DataFrame:
+    """The ranked list with the top explanation entries attached per lead."""
+    lst = list_leads(scored_explained, **kw)
+    return lst.join(scored_explained.select("lead_id", "top_features"), "lead_id", "left") \
+              .orderBy(F.desc("score"), F.asc("lead_id"))

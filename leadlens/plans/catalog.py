@@ -560,3 +560,24 @@ def q_permutation_shap(spark, sf):
     out = permutation_attribution(leads, lambda d: d.withColumn("score", sigmoid(log_odds())),
                                   SCORECARD_INPUTS, bg, n_permutations=2)
     return _round_cols(out, ["impact"])
+
+
+# ---------------------------------------------------------------- step 8b: scoring new leads, explained list
+@register("score_new_leads")
+def q_score_new_leads(spark, sf):
+    """The faulty lead payloads (validation fixture) scored set-based, with
+    explanations against the first 100 leads of the clean table."""
+    terms = scorecard_terms()
+    means = H.background_means(H.background(leads_view(spark, sf), 100), terms)
+    out = scoring.score_leads(leads_view(spark, sf, dirty=True), terms, means, score_digits=None)
+    out = H.flatten_top(out.select("lead_id", "is_valid", "reasons", r6(F.col("score")).alias("score"),
+                                   "classificacao", "top_features"))
+    return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])
+
+
+@register("list_explained")
+def q_list_explained(spark, sf):
+    out = scoring.list_leads_explained(_scored_explained(spark, sf), canal="Indicação", score_min=0.1,
+                                       score_digits=None)
+    out = H.flatten_top(out).withColumn("score", r6(F.col("score")))
+    return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])

@@ -441,3 +441,32 @@ sql("script_table", with_ctes(
 
 # ---------------------------------------------------------------- streaming scoring (same result as batch, left-closed bands)
 sql("stream_score", with_ctes(f"SELECT lead_id, round(score, 6) AS score, {band_left_sql()} AS classificacao FROM scored0"))
+
+# ---------------------------------------------------------------- scoring new leads, explained list
+_valid = "(" + " AND ".join(
+    [f"{c} IS NOT NULL" for c in ["canal_captacao", "curso_interesse", "dias_sem_contato", "n_tentativas",
+                                  "respondeu_contato"]]
+    + ["dias_sem_contato >= 0", "n_tentativas >= 0", "respondeu_contato BETWEEN 0 AND 1"]) + ")"
+_NEW = [
+    "bg AS (SELECT * FROM lead_lab ORDER BY lead_id LIMIT 100)",
+    "bgm AS (SELECT " + ", ".join(f"AVG({t}) AS m_{n}" for n, t in _TERMS.items()) + " FROM bg)",
+    f"nv AS (SELECT *, CASE WHEN {_valid} THEN 1 ELSE 0 END AS is_valid, concat_ws(',', {_reasons}) AS reasons FROM leads)",
+    "att AS (SELECT lead_id, " + ", ".join(f"{t} - m_{n} AS shap_{n}" for n, t in _TERMS.items()) + " FROM nv, bgm WHERE is_valid = 1)",
+    "att_long AS (" + " UNION ALL ".join(
+        f"SELECT lead_id, {i} AS slot, '{n}' AS feature, shap_{n} AS impact FROM att" for i, n in enumerate(_TERMS)) + ")",
+    "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY abs(impact) DESC, slot) AS rn FROM att_long)",
+    "top AS (SELECT lead_id, " + ", ".join(
+        f"MAX(feature) FILTER (WHERE rn = {i}) AS top{i}_feature, round(MAX(impact) FILTER (WHERE rn = {i}), 6) AS top{i}_impact, "
+        f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3)) + " FROM ranked GROUP BY lead_id)",
+]
+sql("score_new_leads", with_ctes(
+    f"SELECT nv.lead_id, is_valid, reasons, CASE WHEN is_valid = 1 THEN round({sigmoid_sql(log_odds_sql())}, 6) END AS score, "
+    f"CASE WHEN is_valid = 1 THEN {band_left_sql(sigmoid_sql(log_odds_sql()))} END AS classificacao, "
+    + ", ".join(f"top{i}_feature, top{i}_impact, top{i}_direction" for i in (1, 2, 3))
+    + " FROM nv LEFT JOIN top ON nv.lead_id = top.lead_id", _NEW, dirty=True))
+sql("list_explained", with_ctes(
+    f"SELECT {_LIST}, " + ", ".join(
+        f"MAX(feature) FILTER (WHERE rn = {i}) AS top{i}_feature, round(MAX(impact) FILTER (WHERE rn = {i}), 6) AS top{i}_impact, "
+        f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3))
+    + f" FROM scored JOIN ranked USING (lead_id) WHERE canal_captacao = {q('Indicação')} AND score BETWEEN {d(0.1)} AND 1e0 "
+    "GROUP BY ALL", _EXPL))
