@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (equi-join on a
-    constant key; the one-row side is broadcast)."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row.
+
+    The aggregate runs once as a scalar subquery (a struct of its columns);
+    its value is then a constant of the outer plan: no join."""
+    s = one.select(F.struct(*[F.col(c) for c in one.columns]).alias("_s")).scalar()
+    return df.withColumns({c: s[c] for c in one.columns})

@@ -81,3 +81,12 @@ def leads_view(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFra
             "canal_captacao": F.when(kk % 83 == 0, F.lit(None).cast("string")).otherwise(F.col("canal_captacao")),
         })
     return df.select(*[f.name for f in S.LEADS_SCHEMA.fields])
+
+
+def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """Register ``leads`` and ``scored_leads`` (scorecard score and class) as
+    temporary views, so the lead table can also be queried with spark.sql."""
+    from ..operators.scoring import scored_leads
+    leads_view(spark, sf_dir).createOrReplaceTempView(f"{prefix}leads")
+    scored_leads(spark, sf_dir).createOrReplaceTempView(f"{prefix}scored_leads")
+    return [f"{prefix}leads", f"{prefix}scored_leads"]

@@ -44,3 +44,22 @@ def run_scoring_stream(spark: SparkSession, source: str, sink: str, checkpoint:
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def run_new_lead_stream(spark: SparkSession, source: str, sink: str, terms: dict, means: dict,
+                        checkpoint: str | None = None, fmt: str = "json", available_now: bool = True):
+    """New lead payloads (nine fields, no id) arriving as files: validated,
+    scored with left-closed classes and explained (top 3), written with their
+    arrival file and a content-hash id.  Stateless, so no watermark."""
+    from ..operators.scoring import score_leads
+    payload = spark.readStream.schema(S.NEW_LEAD_SCHEMA).format(fmt).load(source)
+    payload = payload.withColumn("source_file", F.col("_metadata.file_path"))
+    # payload id: content hash of the fields and the arrival file
+    payload = payload.withColumn("lead_id", F.xxhash64(*[F.col(f.name) for f in S.NEW_LEAD_SCHEMA.fields],
+                                                       F.col("source_file")))
+    out = score_leads(payload, terms, means).select(
+        "source_file", "lead_id", "is_valid", "reasons", "score", "classificacao", "top_features")
+    w = (out.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "new-lead-ckpt")).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

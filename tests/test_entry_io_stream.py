@@ -59,3 +59,27 @@ def test_model_save_load_scores_equal(spark):
                                   keep=["lead_id"], vector_col="features")
     ml = model.transform(x).select("lead_id", positive_probability().alias("p"))
     assert a.join(ml, "lead_id").where(F.abs(F.col("score") - F.col("p")) > 1e-9).count() == 0
+
+
+def test_new_lead_payload_stream(spark, new_leads):
+    from leadlens.functions.scorecard import scorecard_terms
+    from leadlens.operators import explain as H
+    from leadlens.streaming.score_stream import run_new_lead_stream
+    d = tempfile.mkdtemp(prefix="leadlens-test-")
+    new_leads.coalesce(1).write.json(f"{d}/in")
+    terms = scorecard_terms()
+    means = H.background_means(H.background(leads_view(spark, SF_SMALL), 100), terms)
+    run_new_lead_stream(spark, f"{d}/in", f"{d}/out", terms, means, checkpoint=f"{d}/ckpt").awaitTermination()
+    rows = spark.read.parquet(f"{d}/out").collect()
+    assert len(rows) == new_leads.count()
+    bad = [r for r in rows if r.is_valid == 0]
+    assert len(bad) == 3 and all(r.score is None and r.top_features is None for r in bad), bad
+    good = [r for r in rows if r.is_valid == 1]
+    assert all(r.score is not None and 0 <= r.score < 1 and len(r.top_features) == 3 for r in good), good
+
+
+def test_sql_views(spark):
+    from leadlens.sources.leads import register_views
+    register_views(spark, SF_SMALL, prefix="t_")
+    n = spark.sql("SELECT COUNT(*) FROM t_scored_leads WHERE classificacao IS NOT NULL").collect()[0][0]
+    assert n > 0
