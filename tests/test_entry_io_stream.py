@@ -83,3 +83,22 @@ def test_sql_views(spark):
     register_views(spark, SF_SMALL, prefix="t_")
     n = spark.sql("SELECT COUNT(*) FROM t_scored_leads WHERE classificacao IS NOT NULL").collect()[0][0]
     assert n > 0
+
+
+def test_service_methods(spark, new_leads):
+    from leadlens.plans.service import LeadService
+    from leadlens.plans.training import TrainConfig, train_all
+    leads = leads_view(spark, SF_SMALL)
+    tm = train_all(spark, leads, TrainConfig(models=("LogisticRegression",)))
+    svc = LeadService.start(spark, leads, tm.preprocessor, tm.models[tm.best], tm.metadata)
+    try:
+        lst = svc.list_leads(canal="Instagram", score_min=0.2).collect()
+        assert lst and all(r.canal_captacao == "Instagram" and r.score >= 0.2 for r in lst)
+        assert [r.score for r in lst] == sorted([r.score for r in lst], reverse=True)
+        sc = svc.score(new_leads).collect()
+        assert sum(r.is_valid for r in sc) == 6 and all(len(r.top_features) == 3 for r in sc if r.is_valid)
+        req = spark.createDataFrame([(1,), (2,), (10 ** 9,)], "lead_id long")
+        scr = {r.lead_id: r for r in svc.scripts(req).collect()}
+        assert scr[10 ** 9].found == 0 and scr[1].found == 1 and scr[1].script.startswith("Oi ")
+    finally:
+        svc.close()

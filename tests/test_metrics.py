@@ -101,3 +101,27 @@ def test_edge_cases(spark):
     assert M.impact_sweep(empty).count() == 9
     single = spark.createDataFrame([(1, 0.9)], "converteu int, score double")
     assert M.average_precision(single).collect()[0]["avg_precision"] == 1.0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=2, max_size=40))
+def test_auc_ap_properties(spark, pairs):
+    y = np.array([p[0] for p in pairs])
+    s = np.array([p[1] / 6 for p in pairs])               # many ties by construction
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "converteu int, score double")
+    auc = M.roc_auc(df).collect()[0]["auc"]
+    pos, neg = s[y == 1], s[y == 0]
+    if len(pos) == 0 or len(neg) == 0:
+        assert auc is None
+    else:
+        exp = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(auc - exp) < 1e-12
+        th = np.unique(s)[::-1]
+        tps = np.array([((s >= t) & (y == 1)).sum() for t in th])
+        fps = np.array([((s >= t) & (y == 0)).sum() for t in th])
+        ap = np.sum(np.diff(np.r_[0, tps / tps[-1]]) * tps / (tps + fps))
+        assert abs(M.average_precision(df).collect()[0]["avg_precision"] - ap) < 1e-12
