@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
+MAX_BACKGROUND = 10_000
+
 
 def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFrame], features: list[str],
                             background: DataFrame, n_permutations: int = 2, seed: int = 42,
@@ -40,8 +42,10 @@ def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFr
     background  bounded sample of rows (collected: |B| x d values)
     """
     d = len(features)
-    bg = background.select(*features).collect()
+    bg = background.select(*features).limit(MAX_BACKGROUND + 1).collect()
     nb = len(bg)
+    if nb > MAX_BACKGROUND:
+        raise ValueError(f"background must be a bounded sample (at most {MAX_BACKGROUND} rows)")
     if nb == 0 or d == 0:
         raise ValueError("empty background or feature list")
     rng = np.random.default_rng(seed)
