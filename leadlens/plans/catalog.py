@@ -581,3 +581,14 @@ def q_list_explained(spark, sf):
                                        score_digits=None)
     out = H.flatten_top(out).withColumn("score", r6(F.col("score")))
     return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])
+
+
+@register("default_score")
+def q_default_score(spark, sf):
+    """Explicit degraded scoring (every lead 0.5 / Médio), only when asked for."""
+    return scoring.default_score(leads_view(spark, sf)).select("lead_id", "score", "classificacao")
+
+
+@register("preview")
+def q_preview(spark, sf):
+    return P.preview(leads_view(spark, sf), 5)

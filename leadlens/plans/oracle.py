@@ -470,3 +470,6 @@ sql("list_explained", with_ctes(
         f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3))
     + f" FROM scored JOIN ranked USING (lead_id) WHERE canal_captacao = {q('Indicação')} AND score BETWEEN {d(0.1)} AND 1e0 "
     "GROUP BY ALL", _EXPL))
+
+sql("default_score", with_ctes(f"SELECT lead_id, 5e-1 AS score, {q(S.CLASS_MID)} AS classificacao FROM leads"))
+sql("preview", with_ctes(f"SELECT {LEAD_COLS} FROM leads ORDER BY lead_id LIMIT 5"))
