@@ -125,3 +125,13 @@ def test_auc_ap_properties(spark, pairs):
         fps = np.array([((s >= t) & (y == 0)).sum() for t in th])
         ap = np.sum(np.diff(np.r_[0, tps / tps[-1]]) * tps / (tps + fps))
         assert abs(M.average_precision(df).collect()[0]["avg_precision"] - ap) < 1e-12
+
+
+def test_evaluation_bundle(scored):
+    b = M.evaluation_bundle(scored)
+    try:
+        assert set(b) >= {"auc_roc", "avg_precision", "confusion", "class_report", "roc_points", "pr_points", "impact"}
+        assert b["auc_roc"].collect()[0]["auc"] == M.roc_auc(scored).collect()[0]["auc"]
+        assert b["impact"].count() == 9
+    finally:
+        b["_input"].unpersist()
