@@ -47,7 +47,8 @@ def _split_points(df: DataFrame, key: Column, by: list[str], n_buckets: int) ->
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = max(10000, 20 * n_buckets)
     agg = df.groupBy(*by).agg(F.percentile_approx(key, probs, acc).alias("_sp"))
-    return agg.collect()
+    # bounded: beyond _MAX_LITERAL_GROUPS groups the split points stay in a table
+    return agg.limit(_MAX_LITERAL_GROUPS + 1).collect()
 
 
 def split_point_agg(key: Column, n_buckets: int):
@@ -63,6 +64,8 @@ def with_bucket(df: DataFrame, key: Column, by: list[str], n_buckets: int = DEFA
     ``split_rows``: already collected rows (by..., _sp)."""
     n_buckets = n_buckets or default_buckets(df.sparkSession)
     rows = split_rows if split_rows is not None else _split_points(df, key, by, n_buckets)
+    if len(rows) > _MAX_LITERAL_GROUPS and not by:
+        raise ValueError("split rows for a single group expected")
     kc = "_bkey"
     # evaluate the key once per row; buckets come from a binary search over
     # the group's split points (ml.feature.Bucketizer, JVM-side)
@@ -132,6 +135,11 @@ def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[s
     """
     by = list(by or [])
     b = "_bucket"
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
+    if split_rows is None:
+        split_rows = _split_points(df, key, by, n_buckets)
+    if len(split_rows) > _MAX_LITERAL_GROUPS:
+        return _running_totals_many_groups(df, order, key, sums, by, n_buckets, next_cols)
     bdf = with_bucket(df, key, by, n_buckets, b, split_rows)
     aggs = [F.sum(src).alias(f"_t_{o}") for o, src in sums.items()]
     if next_cols:
@@ -180,6 +188,35 @@ def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[s
     return out.drop(b, *(["_bk"] if next_cols else []))
 
 
+def _running_totals_many_groups(df: DataFrame, order: list[Column], key: Column, sums: dict[str, str],
+                                by: list[str], n_buckets: int, next_cols: list[str] | None) -> DataFrame:
+    """Same result for many groups: split points, bucket totals and offsets
+    stay distributed (windows partitioned by group over the small per-bucket
+    table, joined back on (group, bucket))."""
+    b = "_bucket"
+    bdf = with_bucket(df, key, by, n_buckets, b, split_rows=[None] * (_MAX_LITERAL_GROUPS + 1))
+    aggs = [F.sum(src).alias(f"_t_{o}") for o, src in sums.items()]
+    if next_cols:
+        bdf = bdf.withColumn("_bk", key.cast("double"))
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in next_cols]), F.col("_bk")).alias("_first"))
+    tot = bdf.groupBy(*by, b).agg(*aggs)
+    wb = Window.partitionBy(*by).orderBy(b)
+    cols = [F.coalesce(F.sum(f"_t_{o}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{o}")
+            for o in sums]
+    if next_cols:
+        cols.append(F.lead("_first").over(wb).alias("_nb"))
+    off = tot.select(*by, b, *cols)
+    j = bdf.join(off, [*by, b])
+    w = Window.partitionBy(*by, b).orderBy(*order)
+    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {o: F.sum(src).over(w_run) + F.col(f"_o_{o}") for o, src in sums.items()}
+    if next_cols:
+        last = F.lead(F.lit(1)).over(w).isNull()
+        new.update({f"next_{c}": F.when(last, F.col("_nb")[c]).otherwise(F.lead(c).over(w)) for c in next_cols})
+    out = j.withColumns(new)
+    return out.drop(b, *[f"_o_{o}" for o in sums], *(["_bk", "_nb"] if next_cols else []))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
                     n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics
@@ -201,14 +238,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     h = (F.col("_total") - 1) * F.col("prob")
     tg = tg.select(*[f"_g_{g}" for g in by], "prob", F.floor(h).alias("_rlo"), F.ceil(h).alias("_rhi"),
                    (h - F.floor(h)).alias("_frac"))
-    # tg has groups x len(probs) rows
     start, end = F.col("_cum") - F.col("_n"), F.col("_cum")
     lo_hit = (start <= F.col("_rlo")) & (F.col("_rlo") < end)
     hi_hit = (start <= F.col("_rhi")) & (F.col("_rhi") < end)
     cond = lo_hit | hi_hit
     for g in by:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    m = rt.join(F.broadcast(tg), cond, "inner").select(
+    # ungrouped: a handful of target rows, broadcast; grouped: an equi-join on
+    # the group keys planned by size (groups x probs rows)
+    m = rt.join(tg if by else F.broadcast(tg), cond, "inner").select(
         *[F.col(f"_g_{g}").alias(g) for g in by], "prob", "_frac",
         F.when(lo_hit, F.col(value)).alias("_vlo"), F.when(hi_hit, F.col(value)).alias("_vhi"))
     res = m.groupBy(*by, "prob").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),

@@ -26,3 +26,22 @@ def test_running_totals_and_next(spark, values):
     s = pd.Series(values).value_counts().sort_index()
     assert list(out.cum) == list(s.cumsum())
     assert list(out.next_v.iloc[:-1]) == list(s.index[1:]) and pd.isna(out.next_v.iloc[-1])
+
+
+def test_many_groups_stay_distributed(spark):
+    """More groups than the literal limit: split points, totals and offsets
+    stay in tables (no driver-side collection of per-group data)."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 100, 4000), "v": rng.integers(0, 50, 4000)})
+    df = spark.createDataFrame(pdf)
+    q = exact_quantiles(df, "v", [0.1, 0.5, 0.9], by=["g"], n_buckets=8).toPandas()
+    assert len(q) == 300
+    for _, r in q.iterrows():
+        assert abs(np.percentile(pdf[pdf.g == r["g"]].v, r["prob"] * 100) - r["quantile"]) < 1e-9
+    vc = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    rt = running_totals(vc, [F.col("v").asc()], F.col("v"), {"cum": "n"}, by=["g"], n_buckets=4,
+                        next_cols=["v"]).toPandas()
+    for g, grp in rt.groupby("g"):
+        grp = grp.sort_values("v")
+        s = pdf[pdf.g == g].v.value_counts().sort_index()
+        assert list(grp.cum) == list(s.cumsum()) and list(grp.next_v.iloc[:-1]) == list(s.index[1:])
