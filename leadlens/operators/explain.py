@@ -71,6 +71,17 @@ def _ranked(names: list[str], prefix: str) -> Column:
     return F.array_sort(arr)
 
 
+def top_features_column(terms: dict[str, Column], means: dict[str, float], k: int = 3) -> Column:
+    """Top-k (feature, impact) structs by |impact| (original order on ties),
+    computed from the row's own columns: a projection, no join."""
+    att = attribution_columns(terms, means)
+    ranked = F.array_sort(F.array(*[
+        F.struct((-F.abs(c)).alias("k"), F.lit(i).alias("slot"), F.lit(n).alias("feature"), c.alias("impact"))
+        for i, (n, c) in enumerate(att.items())]))
+    return F.transform(F.slice(ranked, 1, k),
+                       lambda t: F.struct(t["feature"].alias("feature"), t["impact"].alias("impact")))
+
+
 def top_k(df: DataFrame, terms: dict[str, Column], means: dict[str, float], k: int = 3,
           keep: list[str] | None = None) -> DataFrame:
     """Top-k features by absolute impact per row as ``top_features``: an

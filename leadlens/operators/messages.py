@@ -26,8 +26,8 @@ def message_context(df: DataFrame, top_col: str = "top_features") -> Column:
 def with_explanations(scored: DataFrame, terms: dict, means: dict, k: int = 3) -> DataFrame:
     """Scored leads with ``top_features`` (top-k attribution entries) and
     ``shap_text`` attached."""
-    top = H.top_k(scored, terms, means, k, keep=[S.ID_COL]).select(S.ID_COL, "top_features")
-    return scored.join(top, S.ID_COL).withColumn("shap_text", TX.explanation_text("top_features", k))
+    out = scored.withColumn("top_features", H.top_features_column(terms, means, k))
+    return out.withColumn("shap_text", TX.explanation_text("top_features", k))
 
 
 def add_messages(df: DataFrame) -> DataFrame:

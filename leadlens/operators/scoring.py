@@ -91,19 +91,21 @@ def score_leads(new: DataFrame, terms: dict, means: dict, score=None, k: int = 3
     ok = F.col("is_valid") == 1
     out = feat.withColumn("score", F.when(ok, s))
     out = out.withColumn("classificacao", F.when(ok, band("score", "left")))
-    att = H.attribution_columns(terms, means)
-    ranked = F.array_sort(F.array(*[
-        F.struct((-F.abs(c)).alias("k"), F.lit(i).alias("slot"), F.lit(n).alias("feature"), c.alias("impact"))
-        for i, (n, c) in enumerate(att.items())]))
-    top = F.transform(F.slice(ranked, 1, k), lambda t: F.struct(t["feature"].alias("feature"), t["impact"].alias("impact")))
-    out = out.withColumn("top_features", F.when(ok, top))
+    out = out.withColumn("top_features", F.when(ok, H.top_features_column(terms, means, k)))
     if score_digits is not None:
         out = out.withColumn("score", F.round("score", score_digits))
     return out
 
 
 def list_leads_explained(scored_explained: DataFrame, **kw) -> DataFrame:
-    """The ranked list with the top explanation entries attached per lead."""
-    lst = list_leads(scored_explained, **kw)
-    return lst.join(scored_explained.select("lead_id", "top_features"), "lead_id", "left") \
-              .orderBy(F.desc("score"), F.asc("lead_id"))
+    """The ranked list with the top explanation entries of each lead (the
+    ``top_features`` column of the explained table) kept on every row."""
+    out = filter_leads(scored_explained, kw.get("canal"), kw.get("curso"), kw.get("score_min", 0.0),
+                       kw.get("score_max", 1.0))
+    digits = kw.get("score_digits", 4)
+    s = F.col("score") if digits is None else F.round("score", digits)
+    out = out.orderBy(F.desc("score"), F.asc("lead_id"))
+    if kw.get("limit"):
+        out = out.limit(kw["limit"])
+    return out.select(*[c for c in LIST_COLS if c != "score"], s.alias("score"), "top_features") \
+              .select(*LIST_COLS, "top_features")
