@@ -63,6 +63,18 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "convert
     return tot.select(F.when(F.col("P") > 0, F.col("s") / F.col("P")).otherwise(F.lit(0.0)).alias("avg_precision"))
 
 
+def auc_ap(df: DataFrame, score: str = "score", label: str = "converteu", key: str | None = None) -> DataFrame:
+    """AUC-ROC and step-wise average precision from one curve pass: one row
+    (auc, avg_precision)."""
+    rt = _desc_curve(df, score, label, key=key)
+    t = rt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+               F.sum(F.col("pos") * (F.col("fps") - F.lit(0.5) * F.col("neg"))).alias("above"),
+               F.sum(F.col("pos") * (F.col("tps") / (F.col("tps") + F.col("fps")))).alias("s"))
+    pn = F.col("P") * F.col("N")
+    return t.select(F.when((F.col("P") > 0) & (F.col("N") > 0), (pn - F.col("above")) / pn).alias("auc"),
+                    F.when(F.col("P") > 0, F.col("s") / F.col("P")).otherwise(F.lit(0.0)).alias("avg_precision"))
+
+
 def predict(score: str = "score", threshold: float = 0.5):
     """Hard prediction: positive when the probability is above the cut."""
     return F.when(F.col(score) > F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
@@ -230,7 +242,7 @@ def evaluation_bundle(df: DataFrame, score: str = "score", label: str = "convert
     base = df.select(F.col(score).alias("score"), F.col(label).alias("converteu")).persist()
     return {
         "_input": base,
-        "auc_roc": roc_auc(base), "avg_precision": average_precision(base),
+        "auc_ap": auc_ap(base), "auc_roc": roc_auc(base), "avg_precision": average_precision(base),
         "confusion": confusion(base, threshold=threshold),
         "class_report": class_report(base, threshold=threshold),
         "roc_points": roc_points(base), "pr_points": pr_points(base),

@@ -106,8 +106,8 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
             model = est.fit(tr)
             fitted[name] = model
             pred = model.transform(te).select(S.LABEL_COL, positive_probability().alias("score"))
-            auc = M.roc_auc(pred).collect()[0]["auc"]
-            ap = M.average_precision(pred).collect()[0]["avg_precision"]
+            m = M.auc_ap(pred).collect()[0]
+            auc, ap = m["auc"], m["avg_precision"]
             rows.append((name, auc, ap))
         best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0))[0]
         comp = spark.createDataFrame([(n, a, p, n == best) for n, a, p in rows],

@@ -36,6 +36,12 @@ def test_auc_equals_pair_count(scored):
     assert abs(M.roc_auc(scored).collect()[0]["auc"] - pairs) < 1e-12
 
 
+def test_auc_ap_one_pass(scored):
+    r = M.auc_ap(scored).collect()[0]
+    assert r["auc"] == M.roc_auc(scored).collect()[0]["auc"]
+    assert abs(r["avg_precision"] - M.average_precision(scored).collect()[0]["avg_precision"]) < 1e-15
+
+
 def test_average_precision_stepwise(scored):
     y, s = _arrays()
     th, tps, fps = _curve(y, s)
