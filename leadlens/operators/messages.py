@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions import text as TX
 from . import explain as H
 from .select import lookup_ids

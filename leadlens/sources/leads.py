@@ -90,3 +90,15 @@ def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[s
     leads_view(spark, sf_dir).createOrReplaceTempView(f"{prefix}leads")
     scored_leads(spark, sf_dir).createOrReplaceTempView(f"{prefix}scored_leads")
     return [f"{prefix}leads", f"{prefix}scored_leads"]
+
+
+def materialize_leads(spark: SparkSession, sf_dir: str, path: str, partitions: int | None = None) -> DataFrame:
+    """Compute the lead view once (the orders/customer join) and store it as a
+    Parquet table, range-partitioned on lead_id so id lookups and ranges touch
+    few files; returns the table read back with the explicit schema.  Services
+    and repeated analyses read this table instead of re-joining."""
+    df = leads_view(spark, sf_dir)
+    if partitions:
+        df = df.repartitionByRange(partitions, "lead_id")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(S.LEADS_SCHEMA).parquet(path)

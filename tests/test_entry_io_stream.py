@@ -102,3 +102,11 @@ def test_service_methods(spark, new_leads):
         assert scr[10 ** 9].found == 0 and scr[1].found == 1 and scr[1].script.startswith("Oi ")
     finally:
         svc.close()
+
+
+def test_materialized_leads_equal_view(spark):
+    from leadlens.sources.leads import materialize_leads
+    d = tempfile.mkdtemp(prefix="leadlens-test-")
+    t = materialize_leads(spark, SF_SMALL, f"{d}/leads", partitions=4)
+    v = leads_view(spark, SF_SMALL)
+    assert t.exceptAll(v).count() == 0 and v.exceptAll(t).count() == 0

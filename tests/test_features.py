@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from leadlens import schema as S
 from leadlens.functions.bands import band_left, band_right
