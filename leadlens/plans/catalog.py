@@ -592,3 +592,23 @@ def q_default_score(spark, sf):
 @register("preview")
 def q_preview(spark, sf):
     return P.preview(leads_view(spark, sf), 5)
+
+
+@register("box_stats")
+def q_box_stats(spark, sf):
+    """Box statistics by class for days and income in one long table."""
+    leads = _leads(spark, sf)
+    parts = [P.box_stats(leads, c).withColumn("column", F.lit(c)) for c in ("dias_sem_contato", "renda_estimada")]
+    return _round_cols(parts[0].unionByName(parts[1]), ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+
+@register("hist_class")
+def q_hist_class(spark, sf):
+    """Class density histograms: days (30 bins) and income (40 bins)."""
+    leads = _leads(spark, sf)
+    hs = P.class_histograms(leads)
+    out = None
+    for c, h in hs.items():
+        h = h.withColumn("column", F.lit(c))
+        out = h if out is None else out.unionByName(h)
+    return _round_cols(out, ["bin_lo", "bin_hi", "density"])

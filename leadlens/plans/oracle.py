@@ -473,3 +473,10 @@ sql("list_explained", with_ctes(
 
 sql("default_score", with_ctes(f"SELECT lead_id, 5e-1 AS score, {q(S.CLASS_MID)} AS classificacao FROM leads"))
 sql("preview", with_ctes(f"SELECT {LEAD_COLS} FROM leads ORDER BY lead_id LIMIT 5"))
+
+
+_bd, _bi = ORACLE["box_days"], ORACLE["box_income"]
+sql("box_stats", f"SELECT *, 'dias_sem_contato' AS \"column\" FROM ({_bd}) a "
+                 f"UNION ALL SELECT *, 'renda_estimada' AS \"column\" FROM ({_bi}) b")
+sql("hist_class", f"SELECT *, 'dias_sem_contato' AS \"column\" FROM ({ORACLE['hist_days']}) a "
+                  f"UNION ALL SELECT *, 'renda_estimada' AS \"column\" FROM ({ORACLE['hist_income']}) b")
