@@ -82,7 +82,8 @@ def score_leads(new: DataFrame, terms: dict, means: dict, score=None, k: int = 3
     """Score new lead payloads set-based: validation (``is_valid``,
     ``reasons``), derived features, score (scorecard by default, or any
     native score column), left-closed class and the top-k explanation
-    entries.  Invalid rows keep their reasons and get no score."""
+    entries (null when ``terms`` is empty).  Invalid rows keep their reasons
+    and get no score."""
     from . import explain as H
     from .select import default_name, validate
     v = validate(default_name(new))
@@ -91,7 +92,10 @@ def score_leads(new: DataFrame, terms: dict, means: dict, score=None, k: int = 3
     ok = F.col("is_valid") == 1
     out = feat.withColumn("score", F.when(ok, s))
     out = out.withColumn("classificacao", F.when(ok, band("score", "left")))
-    out = out.withColumn("top_features", F.when(ok, H.top_features_column(terms, means, k)))
+    if terms:
+        out = out.withColumn("top_features", F.when(ok, H.top_features_column(terms, means, k)))
+    else:  # no additive terms (non-linear model): explanations come from permutation_attribution
+        out = out.withColumn("top_features", F.lit(None).cast("array<struct<feature:string,impact:double>>"))
     if score_digits is not None:
         out = out.withColumn("score", F.round("score", score_digits))
     return out

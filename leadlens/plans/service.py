@@ -68,8 +68,7 @@ class LeadService:
             s = linear_score_expr(self.preprocessor, self.model)
             return scoring.score_leads(payloads, self.terms, self.means, score=s)
         scored = score_with(self.preprocessor, self.model, payloads, "_s")
-        return scoring.score_leads(scored, self.terms or {"_none": F.lit(0.0)}, self.means or {"_none": 0.0},
-                                   score=F.col("_s")).drop("_s")
+        return scoring.score_leads(scored, self.terms, self.means, score=F.col("_s")).drop("_s")
 
     def scripts(self, requests: DataFrame, id_col: str = S.ID_COL) -> DataFrame:
         return MSG.script_table(self.scored, requests.select(F.col(id_col).alias(S.ID_COL)))

@@ -110,3 +110,9 @@ def test_materialized_leads_equal_view(spark):
     t = materialize_leads(spark, SF_SMALL, f"{d}/leads", partitions=4)
     v = leads_view(spark, SF_SMALL)
     assert t.exceptAll(v).count() == 0 and v.exceptAll(t).count() == 0
+
+
+def test_score_leads_without_terms(spark, new_leads):
+    from leadlens.operators.scoring import score_leads
+    rows = score_leads(new_leads, {}, {}).collect()
+    assert all(r.top_features is None for r in rows) and sum(r.is_valid for r in rows) == 6
