@@ -121,7 +121,7 @@ sql("pr_points", with_ctes(
 _ts = [float(x) for x in __import__("numpy").arange(0.1, 1.0, 0.1)]
 _tv = ", ".join(f"({d(round(t, 1))}, {d(t)})" for t in _ts)
 sql("impact_sweep", with_ctes(
-    "SELECT label AS threshold, c AS leads_contatados, m AS matriculas_esperadas, "
+    "SELECT label AS threshold, c AS leads_contatados, CAST(m AS BIGINT) AS matriculas_esperadas, "
     "round(CASE WHEN c > 0 THEN m / c ELSE 0e0 END, 6) AS taxa_conversao_grupo, "
     "round(CASE WHEN total > 0 THEN c / total ELSE 0e0 END, 6) AS esforco_relativo, "
     "CAST(trunc(c * CASE WHEN total > 0 THEN 1200e0 / total ELSE 0e0 END) AS BIGINT) AS leads_mensal_projetado, "
