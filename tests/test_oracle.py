@@ -20,14 +20,20 @@ def con():
     c.close()
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def test_all_sql_twins_agree(spark, con):
     qs, sqls = E.queries(), E.oracle_sql()
     bad = []
     for name, text in sqls.items():
         sdf = qs[name](spark, SF_SMALL)
         scols, srows = sdf.columns, [tuple(r) for r in sdf.collect()]
-        res = con.execute(text)
-        dcols, drows = [c[0] for c in res.description], res.fetchall()
+        rel = con.sql(text)
+        dcols, drows = rel.columns, rel.fetchall()
+        dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
         if sorted(scols) != sorted(dcols) or rows_of(scols, srows) != rows_of(dcols, drows):
             bad.append(name)
+        elif any(TYPES.get(t, t) != dtypes.get(c) for c, t in sdf.dtypes):
+            bad.append(f"{name} (types)")
     assert not bad, bad
