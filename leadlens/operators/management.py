@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from .common import attach_one_row
 
 
@@ -37,7 +38,8 @@ def mean_score_by(scored: DataFrame, key: str, ascending: bool = True) -> DataFr
 
 def class_counts(scored: DataFrame) -> DataFrame:
     """Leads per class and share of all classified leads (unclassified dropped)."""
-    c = scored.where(F.col("classificacao").isNotNull()).groupBy("classificacao").agg(F.count(F.lit(1)).alias("count"))
+    c = cut_lineage(scored.where(F.col("classificacao").isNotNull()).groupBy("classificacao")
+                    .agg(F.count(F.lit(1)).alias("count")))            # one row per class
     tot = c.agg(F.sum("count").alias("_tot"))
     return attach_one_row(c, tot).select("classificacao", "count", (F.col("count") / F.col("_tot")).alias("share"))
 

@@ -211,28 +211,45 @@ def impact_sweep(df: DataFrame, score: str = "score", label: str = "converteu",
 def density_by_class(df: DataFrame, value: str, label: str = "converteu", bins: int = 40) -> DataFrame:
     """Density histogram per class over each class's own [min, max] range
     (equal-width bins, last bin closed; a constant class uses min-0.5..max+0.5).
-    Returns every bin, empty ones included: (label, bin, bin_lo, bin_hi, count, density)."""
+    Returns every bin, empty ones included: (label, bin, bin_lo, bin_hi, count, density).
+
+    Two passes: the per-class ranges (one row per class, collected), then the
+    bin counts with those ranges as literals."""
     x = F.col(value).cast("double")
     d = df.where(F.col(value).isNotNull()).select(F.col(label).alias("label"), x.alias("x"))
-    rng = d.groupBy("label").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("n"))
-    rng = rng.select("label", "n",
-                     F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                     F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # one row per class: broadcast is bounded by the number of classes
+    ranges = d.groupBy("label").agg(F.min("x").alias("mn"), F.max("x").alias("mx"),
+                                    F.count(F.lit(1)).alias("n")).collect()
+    spark = df.sparkSession
+    lo_hi = {}
+    for r in ranges:
+        lo, hi = (r["mn"] - 0.5, r["mx"] + 0.5) if r["mn"] == r["mx"] else (r["mn"], r["mx"])
+        lo_hi[r["label"]] = (lo, hi, r["n"])
+    schema = "label {}, bin int, lo double, hi double, n long".format(
+        dict(df.select(F.col(label)).dtypes)[label])
+    grid = spark.createDataFrame([(k, b, lo, hi, n) for k, (lo, hi, n) in lo_hi.items() for b in range(bins)],
+                                 schema)
+    if not lo_hi:
+        return grid.select("label", "bin", F.col("lo").alias("bin_lo"), F.col("hi").alias("bin_hi"),
+                           F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("density"))
+
+    def per_class(i):
+        e = None
+        for k, t in lo_hi.items():
+            cond = F.col("label") == F.lit(k)
+            e = F.when(cond, F.lit(t[i])) if e is None else e.when(cond, F.lit(t[i]))
+        return e
+
+    lo, hi = per_class(0), per_class(1)
     nb = F.lit(bins)
-    idx = F.floor((F.col("x") - F.col("lo")) * (nb / (F.col("hi") - F.col("lo")))).cast("int")
-    counts = (d.join(F.broadcast(rng), "label")
-               .select("label", F.least(idx, nb - 1).alias("bin"))
-               .groupBy("label", "bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = rng.select("label", "n", "lo", "hi", F.explode(F.sequence(F.lit(0), nb - 1)).alias("bin"))
+    idx = F.floor((F.col("x") - lo) * (nb / (hi - lo))).cast("int")
+    counts = d.select("label", F.least(idx, nb - 1).alias("bin")).groupBy("label", "bin") \
+              .agg(F.count(F.lit(1)).alias("count"))
     width = (F.col("hi") - F.col("lo")) / nb
-    out = grid.join(counts, ["label", "bin"], "left").select(
-        "label", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
-    out = out.join(F.broadcast(rng.select("label", "n", "lo", "hi")), "label")
-    return out.select("label", "bin", "bin_lo", "bin_hi", "count",
-                      (F.col("count") / (F.col("n") * (F.col("hi") - F.col("lo")) / nb)).alias("density"))
+    out = grid.join(counts, ["label", "bin"], "left")      # grid: classes x bins rows
+    cnt = F.coalesce(F.col("count"), F.lit(0)).cast("long")
+    return out.select("label", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+                      (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), cnt.alias("count"),
+                      (cnt / (F.col("n") * (F.col("hi") - F.col("lo")) / nb)).alias("density"))
 
 
 def evaluation_bundle(df: DataFrame, score: str = "score", label: str = "converteu",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..session import cut_lineage
 from .common import attach_one_row
 from .metrics import density_by_class
 from .ordered import exact_quantiles
@@ -135,7 +136,9 @@ def text_bar(pct, char: str = "█"):
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
     """count and share per value (nulls excluded)."""
-    c = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    # one row per value, materialised once: the total is then read from it,
+    # not from another pass over the source
+    c = cut_lineage(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count")))
     tot = c.agg(F.sum("count").alias("_tot"))
     return attach_one_row(c, tot).select(key, "count", (F.col("count") / F.col("_tot")).alias("share"))
 

@@ -46,9 +46,11 @@ def default_name(df: DataFrame, col: str = S.NAME_COL) -> DataFrame:
 
 def option_lists(df: DataFrame) -> DataFrame:
     """Distinct channel and course values (filter option lists) as (field, value)."""
-    a = df.select(F.lit("canal_captacao").alias("field"), F.col("canal_captacao").alias("value"))
-    b = df.select(F.lit("curso_interesse").alias("field"), F.col("curso_interesse").alias("value"))
-    return a.unionByName(b).where(F.col("value").isNotNull()).distinct().orderBy("field", "value")
+    both = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))
+                     for c in ("canal_captacao", "curso_interesse")])
+    # one pass over the table: both fields unpivoted, then one distinct
+    return (df.select(F.inline(both)).where(F.col("value").isNotNull()).distinct()
+              .orderBy("field", "value"))
 
 
 def lookup_ids(scored: DataFrame, requests: DataFrame, id_col: str = "lead_id") -> DataFrame:
