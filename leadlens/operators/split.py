@@ -72,9 +72,10 @@ def negative_positive_ratio(df: DataFrame, label: str = S.LABEL_COL) -> DataFram
 
 def class_weights(df: DataFrame, label: str = S.LABEL_COL) -> DataFrame:
     """Balanced weights n / (k * n_c) per class (k = number of classes)."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = c.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
+    from ..session import cut_lineage
     from .common import attach_one_row
+    c = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c")))   # one row per class
+    tot = c.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
     return attach_one_row(c, tot).select(label, "n_c", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
