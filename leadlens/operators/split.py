@@ -31,6 +31,8 @@ def _prefix60(h: Column) -> Column:
 def allocate_test(counts: dict, test_size: float = 0.2) -> dict:
     """{class: test rows} for class sizes ``counts``."""
     n = sum(counts.values())
+    if n == 0:
+        return {c: 0 for c in counts}
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
     fl = {c: (k * n_train) // n for c, k in counts.items()}

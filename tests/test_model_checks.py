@@ -31,3 +31,17 @@ def test_logistic_gradient_near_zero(spark):
     reg = 1.0 / n                                      # regParam = 1 / (C * sum of weights), C = 1
     grads = [g["g0"] / g["sw"]] + [g[f"g{i + 1}"] / g["sw"] + reg * b for i, b in enumerate(coefs)]
     assert max(abs(x) for x in grads) < 1e-3, grads
+
+
+def test_comparison_and_metadata(spark):
+    from leadlens.plans.training import metadata_frame
+    leads = leads_view(spark, SF_SMALL)
+    tm = train_all(spark, leads, TrainConfig(models=("LogisticRegression", "RandomForest"), rf_trees=10,
+                                             rf_max_depth=4))
+    rows = tm.comparison.collect()
+    assert [r.model for r in rows] == ["LogisticRegression", "RandomForest"]       # insertion order
+    assert sum(r.best for r in rows) == 1
+    best = [r for r in rows if r.best][0]
+    assert best.auc_roc == max(r.auc_roc for r in rows) and best.model == tm.best
+    meta = metadata_frame(spark, tm.metadata).collect()[0]
+    assert meta.melhor_modelo == tm.best and meta.n_features == 16 and meta.n_treino + meta.n_teste == leads.count()

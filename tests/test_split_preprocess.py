@@ -56,3 +56,21 @@ def test_one_hot_rows_sum_to_one(spark):
         cols = [F.col(f"`{n}`") for n in pp.slot_names() if n.startswith(f"categoricas__{c}_")]
         s = sum(cols[1:], cols[0])
         assert x.where(s != 1.0).count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(0, 5), st.integers(0, 10_000), min_size=1, max_size=6))
+def test_allocation_properties(counts):
+    n = sum(counts.values())
+    t = allocate_test(counts)
+    assert sum(t.values()) == math.ceil(0.2 * n)
+    n_train = n - math.ceil(0.2 * n)
+    for c, k in counts.items():
+        train_c = k - t[c]
+        assert 0 <= t[c] <= k
+        if n:
+            assert abs(train_c - k * n_train / n) < 1 + 1e-9      # largest remainder: within one row
