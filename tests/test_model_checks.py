@@ -45,3 +45,18 @@ def test_comparison_and_metadata(spark):
     assert best.auc_roc == max(r.auc_roc for r in rows) and best.model == tm.best
     meta = metadata_frame(spark, tm.metadata).collect()[0]
     assert meta.melhor_modelo == tm.best and meta.n_features == 16 and meta.n_treino + meta.n_teste == leads.count()
+
+
+def test_service_with_tree_model(spark, new_leads):
+    from leadlens.plans.service import LeadService
+    leads = leads_view(spark, SF_SMALL)
+    tm = train_all(spark, leads, TrainConfig(models=("RandomForest",), rf_trees=5, rf_max_depth=3))
+    svc = LeadService.start(spark, leads, tm.preprocessor, tm.models["RandomForest"], tm.metadata)
+    try:
+        rows = svc.score(new_leads).collect()
+        valid = [r for r in rows if r.is_valid]
+        assert len(valid) == 6 and all(0.0 <= r.score <= 1.0 for r in valid)
+        assert all(r.top_features is None for r in rows)       # trees: use permutation_attribution
+        assert svc.list_leads(limit=5).count() == 5
+    finally:
+        svc.close()
