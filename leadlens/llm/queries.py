@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import langid, pii, simhash_dedup
+from leadlens.llm import langid, line_dedup, packing, pii, simhash_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,22 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(docs, pii.fit(docs), keep=["doc_id"]).drop("redacted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
+}
