@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import langid, line_dedup, packing, pii, simhash_dedup
+from leadlens.llm import langid, line_dedup, merkle, packing, pii, simhash_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +41,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edited(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op8_merkle": op8_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
+    "op8_merkle": merkle.SQL,
 }
