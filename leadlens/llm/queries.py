@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import langid, line_dedup, merkle, packing, pii, simhash_dedup
+from leadlens.llm import (ann_forest, hilbert_shards, langid, line_dedup, merkle, packing, pii, sentencepiece_fst,
+                          simhash_dedup, token_counts)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(docs, pii.fit(docs), keep=["doc_id"]).drop("redacted")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after three edits, with the characters that had to be cut anew."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trees = token_counts.with_trees(docs).withColumn("n_tokens_before", F.col("n_tokens")) \
+        .withColumn("edits", token_counts.sample_edits(F.col("text")))
+    return token_counts.apply_edits(trees).select(
+        "doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
+        F.length("text").cast("long").alias("n_chars_edited"), "recut_chars")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -41,17 +52,38 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    both = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, keep=["doc_id", "text"]))
+    return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+                       F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_fst.MARK, " ")).alias("round_trip"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edited(_documents(spark, sf_dir))
 
 
+def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards.assign(_documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_merkle": op8_merkle,
+    "op9_ann_forest": op9_ann_forest,
+    "op10_hilbert": op10_hilbert,
 }
 
 ORACLE_SQL: dict[str, str] = {
