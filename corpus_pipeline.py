@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadlens.llm import langid
+from leadlens.llm import langid, line_dedup, packing, pii, simhash_dedup
 from leadlens.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,7 +17,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(out.lang_pred != langid.UNDETERMINED).select(*COLUMNS)
 
 
-STAGES = [("language ID", language_id)]
+def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines that many sites share out of all documents but their first; keeps every document."""
+    out = line_dedup.remove_boilerplate(docs)
+    return out.withColumn("n_chars", F.when(out.n_removed > 0, F.length("text").cast("long")).otherwise(out.n_chars)) \
+        .select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash_dedup.one_of_each(docs).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each piece of personal data; keeps every document."""
+    out = pii.annotate(docs, pii.fit(docs))
+    return out.select("doc_id", F.col("redacted").alias("text"), "lang", "source",
+                      F.when(out.spans != "", F.length("redacted").cast("long")).otherwise(out.n_chars).alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of what is left into training windows; a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language_id), ("line dedup", boilerplate_lines), ("SimHash near-dedup", near_duplicates),
+          ("PII", personal_data), ("packing", pack)]
 
 # The stages hold fitted models and fingerprints, which SQL cannot express.
 ORACLE_SQL = None

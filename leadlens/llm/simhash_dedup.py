@@ -224,15 +224,32 @@ def near_links(prints: DataFrame, max_bits: int = 3, bucket_rows: int = 200_000)
     return dealt.repartition(parts, "r", "top", "pair").select("r", "pair", "k").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, text: str = "text", key: str = "doc_id",
-                    bucket_rows: int = 200_000) -> DataFrame:
-    """One row for each document: key, ``simhash`` (long) and ``component_id``, its group's smallest key."""
-    marked = written(fingerprints(docs.select(F.col(key), F.col(text)), width, text, keep=[key]), "simhash")
+def grouped(docs: DataFrame, width: int = 3, max_bits: int = 3, text: str = "text", key: str = "doc_id",
+            bucket_rows: int = 200_000) -> DataFrame:
+    """One row for each document: key, ``text_hash``, ``simhash``, ``group`` (a fingerprint) and ``component_id``."""
+    source = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"))
+    marked = written(fingerprints(source, width, text, keep=[key, "text_hash"]), "simhash")
     prints = written(marked.groupBy("simhash").agg(F.min(key).alias("first_id")), "prints")
     roots = connected_components(near_links(prints.select("simhash"), max_bits, bucket_rows))
     linked = prints.join(roots, prints.simhash == roots.node).select("simhash", "first_id", "root")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = linked.join(smallest, "root").select("simhash", F.col("component_id").alias("joined_id"))
+    members = linked.join(smallest, "root").select("simhash", "root", F.col("component_id").alias("joined_id"))
     ids = prints.join(members, "simhash", "left").select(
-        "simhash", F.coalesce("joined_id", "first_id").alias("component_id"))
-    return marked.join(ids, "simhash").select(key, "simhash", "component_id")
+        "simhash", F.coalesce("root", "simhash").alias("group"), F.coalesce("joined_id", "first_id").alias("component_id"))
+    return marked.join(ids, "simhash").select(key, "text_hash", "simhash", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """One row for each document: key, ``simhash`` (long) and ``component_id``, its group's smallest key."""
+    return grouped(docs, key=key, **options).select(key, "simhash", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one of smallest key (null last, then by text hash), once."""
+    first = grouped(docs, text=text, key=key, **options).groupBy("group").agg(
+        F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "text_hash")).alias("w")) \
+        .select(F.col("w.k").alias("_k"), F.col("w.text_hash").alias("_h"))
+    first = first.select(F.xxhash64(F.lit(7), "_k").alias("_first"), "_h")  # never null, as a key may be
+    kept = docs.withColumns({"_id": F.xxhash64(F.lit(7), key), "_hash": F.xxhash64(text)})
+    stay = kept.join(first, (F.col("_id") == F.col("_first")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return stay.dropDuplicates(["_id", "_hash"]).select(*docs.columns)

@@ -97,6 +97,14 @@ def test_documents(spark):
     assert sorted((str(r.doc_id), r.simhash % (1 << 64), r.component_id) for r in got) == \
         sorted((str(i), p, c) for (i, _), p, c in zip(rows, prints, want))
     assert S.near_duplicates(df.limit(0)).count() == 0
+    components = brute_components(list(range(len(rows))), prints)
+    groups = {}
+    for (i, t), c in zip(rows, components):
+        groups.setdefault(c, []).append((i is None, i or 0, t))
+    want = sorted((None if none else i) or 0 for none, i, _ in (min(g, key=lambda r: r[:2]) for g in groups.values()))
+    stay = S.one_of_each(df)
+    assert stay.columns == df.columns and sorted(r.doc_id or 0 for r in stay.collect()) == want
+    assert S.one_of_each(df.limit(0)).count() == 0
 
 
 def test_components_of_chains_and_hubs(spark):
