@@ -31,6 +31,11 @@ LEAF = rf"[^.!?\n]{{1,{LEAF_CHARS}}}"
 COARSE = 32  # quantile segments of the ids, each cut further at equal widths
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, also where ``use`` refers to it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def paragraphs(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
 
@@ -39,10 +44,10 @@ def sections(par: Column) -> Column:
     """Sections as (first, digest): the index of the first paragraph, from 0, and the node."""
     ends = F.filter(F.sequence(F.lit(1), F.size(par)),
                     lambda i: (i == F.size(par)) | F.substring(F.element_at(par, i), 64, 1).isin("0", "8"))
-    return F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)).alias("a"),
-                                    ends.alias("b")),
-                       lambda s: F.struct(s["a"].alias("first"), F.sha2(F.array_join(
-                           F.slice(par, s["a"] + 1, s["b"] - s["a"]), ""), 256).alias("digest")))
+    return _let(ends, lambda e: F.transform(
+        F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)).alias("a"), e.alias("b")),
+        lambda s: F.struct(s["a"].alias("first"), F.sha2(F.array_join(
+            F.slice(par, s["a"] + 1, s["b"] - s["a"]), ""), 256).alias("digest"))))
 
 
 def leaves(text: Column) -> Column:
@@ -71,16 +76,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _first_difference(a: Column, b: Column) -> Column:
-    n = F.greatest(F.size(a), F.size(b))
-    return F.get(F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~F.get(a, i).eqNullSafe(F.get(b, i))), F.lit(0))
+    def search(v: Column) -> Column:
+        n = F.greatest(F.size(v["a"]), F.size(v["b"]))
+        return F.get(F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~F.get(v["a"], i).eqNullSafe(F.get(v["b"], i))),
+                     F.lit(0))
+    return _let(F.struct(a.alias("a"), b.alias("b")), search)
 
 
 def first_edit(par_a: Column, sec_a: Column, par_b: Column, sec_b: Column) -> Column:
     """Index of the first differing paragraph, from 0: found in the first section that differs."""
-    at = _first_difference(sec_a["digest"], sec_b["digest"])
-    skip = F.coalesce(F.get(sec_a["first"], at), F.get(sec_b["first"], at))
-    rest = lambda p: F.slice(p, skip + 1, F.size(p))
-    return F.when(skip.isNull(), F.size(par_a)).otherwise(skip + _first_difference(rest(par_a), rest(par_b)))
+    skip = _let(_first_difference(sec_a["digest"], sec_b["digest"]),
+                lambda at: F.coalesce(F.get(sec_a["first"], at), F.get(sec_b["first"], at)))
+    return _let(skip, lambda s: F.when(s.isNull(), F.size(par_a)).otherwise(
+        s + _first_difference(F.slice(par_a, s + 1, F.size(par_a)), F.slice(par_b, s + 1, F.size(par_b)))))
 
 
 def with_next(docs: DataFrame, columns: list[str], make=None, key: str = "doc_id", text: str = "text") -> DataFrame:
