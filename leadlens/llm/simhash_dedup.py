@@ -234,8 +234,9 @@ def grouped(docs: DataFrame, width: int = 3, max_bits: int = 3, text: str = "tex
     linked = prints.join(roots, prints.simhash == roots.node).select("simhash", "first_id", "root")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = linked.join(smallest, "root").select("simhash", "root", F.col("component_id").alias("joined_id"))
-    ids = prints.join(members, "simhash", "left").select(
-        "simhash", F.coalesce("root", "simhash").alias("group"), F.coalesce("joined_id", "first_id").alias("component_id"))
+    ids = written(prints.join(members, "simhash", "left").select(  # written, so that a frequent fingerprint's rows
+        "simhash", F.coalesce("root", "simhash").alias("group"),     # can be split in the join below
+        F.coalesce("joined_id", "first_id").alias("component_id")), "groups")
     return marked.join(ids, "simhash").select(key, "text_hash", "simhash", "group", "component_id")
 
 
