@@ -1,261 +1,124 @@
 """Exact order statistics without a single-task window.
 
-A window ordered over a whole table (running sums for ROC / precision-recall
-curves, ranks for an exact split, exact quantiles) would put every row into
-one task.  ``running_totals`` splits the order into buckets instead:
+A window ordered over a whole table (running sums of ROC and precision-recall curves, exact
+quantiles) would put every row into one task.  Two primitives avoid this; both take the same
+path whatever the number of rows or groups, and group keys may be null.
 
-1. split points of a numeric bucket key, per group, from ``percentile_approx``
-   (a mergeable sketch; B-1 values per group, collected to the driver, so the
-   collected size is bounded by groups x B);
-2. every row gets its bucket (binary search over the split points with
-   ml.feature.Bucketizer, JVM-side; a bucket holds every copy of a key value,
-   and callers pass one row per distinct key so no bucket is hot);
-3. per-(group, bucket) totals (at most groups x B rows) are collected and
-   become literal arrays of exclusive offsets;
-4. one window partitioned by (group, bucket) finishes the running sum.
+``running_totals`` cuts the order into buckets at approximate quantiles of a numeric key (a
+mergeable sketch for each group).  Each bucket's totals, one small row each, become offsets by
+a window over that small table; one window partitioned by (group, bucket) finishes the sums.
 
-Results are exact whatever the split points are: the buckets only decide how
-the work is spread.
+``exact_quantiles`` brackets and selects: a sketch bounds each wanted order statistic from
+below and above, one aggregation counts the rows under the bracket and the values inside
+it, and the exact rank is found among those few values.  It reads the input twice and
+shuffles counts only.
+
+Results are exact whatever the sketches say: they only decide how the work is spread.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import attach_one_row
 
-DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
-_MAX_LITERAL_GROUPS = 64
+POINTS = 1000              # equally spaced quantile points kept of each group
+BROADCAST_GROUPS = 10_000  # tables of one row a group are broadcast up to this many rows
 
 
 def default_buckets(spark) -> int:
-    """Two buckets per shuffle partition, between 8 and 4096.
-
-    A cluster sizes spark.sql.shuffle.partitions to its data, so the rows per
-    bucket (one window partition) follow; at the cap a 10^11-row input puts
-    about 2.5e7 distinct keys in a bucket, a sort one task handles with spill."""
-    try:
-        p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        p = 200
-    return max(8, min(4096, 2 * p))
-
-
-def _split_points(df: DataFrame, key: Column, by: list[str], n_buckets: int) -> list:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10000, 20 * n_buckets)
-    agg = df.groupBy(*by).agg(F.percentile_approx(key, probs, acc).alias("_sp"))
-    # bounded: beyond _MAX_LITERAL_GROUPS groups the split points stay in a table
-    return agg.limit(_MAX_LITERAL_GROUPS + 1).collect()
-
+    """Two buckets for each shuffle partition: a cluster sizes those to its data."""
+    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-def split_point_agg(key: Column, n_buckets: int):
-    """The aggregate that yields a group's split points (``_sp``); callers may
-    fold it into an aggregation they run anyway and pass the rows on."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    return F.percentile_approx(key, probs, max(10000, 20 * n_buckets)).alias("_sp")
 
+def join_groups(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``groups`` (one row for each key ``by``, already materialised).
 
-def with_bucket(df: DataFrame, key: Column, by: list[str], n_buckets: int = DEFAULT_BUCKETS,
-                name: str = "_bucket", split_rows: list | None = None) -> DataFrame:
-    """Add a bucket id that is non-decreasing in ``key`` within each group.
-    ``split_rows``: already collected rows (by..., _sp)."""
-    n_buckets = n_buckets or default_buckets(df.sparkSession)
-    rows = split_rows if split_rows is not None else _split_points(df, key, by, n_buckets)
-    if len(rows) > _MAX_LITERAL_GROUPS and not by:
-        raise ValueError("split rows for a single group expected")
-    kc = "_bkey"
-    # evaluate the key once per row; buckets come from a binary search over
-    # the group's split points (ml.feature.Bucketizer, JVM-side)
-    out = df.withColumn(kc, key.cast("double"))
-    if len(rows) <= _MAX_LITERAL_GROUPS:
-        picked, tmp = None, []
-        for i, r in enumerate(rows):
-            splits = sorted({float(x) for x in (r["_sp"] or []) if x is not None and x == x})
-            col_i = f"_b{i}"
-            if splits:
-                out = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol=kc,
-                                 outputCol=col_i, handleInvalid="keep").transform(out)
-                bcol = F.coalesce(F.col(col_i).cast("int"), F.lit(0))
-                tmp.append(col_i)
-            else:
-                bcol = F.lit(0)
-            if not by:
-                picked = bcol
-                break
-            cond = None
-            for g in by:
-                c = F.col(g).eqNullSafe(F.lit(r[g]))
-                cond = c if cond is None else cond & c
-            picked = F.when(cond, bcol) if picked is None else picked.when(cond, bcol)
-        if picked is None:
-            picked = F.lit(0)
-        return out.withColumn(name, picked).drop(kc, *tmp)
-    # Many groups: keep the split arrays in a table and count split points below
-    # the key per row (exact, O(B) per row).
-    sp = df.groupBy(*by).agg(split_point_agg(key, n_buckets))
-    out = out.join(sp, by, "left")
-    out = out.withColumn(name, F.size(F.filter(F.col("_sp"), lambda x: x < F.col(kc))))
-    return out.drop("_sp", kc)
+    Null keys match.  The table is broadcast if it is small; with many groups, whose rows
+    spread over tasks by themselves, it is joined as Spark sees fit."""
+    if not by:
+        return attach_one_row(df, groups)
+    right = groups.select(*[F.col(g).alias(f"_g_{g}") for g in by], *[c for c in groups.columns if c not in by])
+    if groups.count() <= BROADCAST_GROUPS:
+        right = F.broadcast(right)
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in by]
+    return df.join(right, cond).drop(*[f"_g_{g}" for g in by])
 
 
-def _group_case(by: list[str], per_group: dict, make) -> Column:
-    """CASE over the groups of ``by`` choosing ``make(value)`` per group key."""
-    expr = None
-    for gk, val in per_group.items():
-        e = make(val)
-        if not by:
-            return e
-        cond = None
-        for g, v in zip(by, gk):
-            c = F.col(g).eqNullSafe(F.lit(v))
-            cond = c if cond is None else cond & c
-        expr = F.when(cond, e) if expr is None else expr.when(cond, e)
-    return expr if expr is not None else F.lit(None)
+def count_below(points: Column, value: Column, size: int) -> Column:
+    """How many of the sorted array ``points`` (at most ``size``) are below ``value``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(points)) & (F.get(points, at + step - 1) < value), at + step).otherwise(at))
 
 
 def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[str, str],
-                   by: list[str] | None = None, n_buckets: int = DEFAULT_BUCKETS,
-                   next_cols: list[str] | None = None, split_rows: list | None = None) -> DataFrame:
+                   by: list[str] | None = None, n_buckets: int | None = None,
+                   next_cols: list[str] | None = None) -> DataFrame:
     """Inclusive running sums in the given order within groups ``by``.
 
     order      sort expressions (with asc/desc); ties must be broken by them
     key        numeric column non-decreasing along ``order`` (bucketing key)
-    sums       {output name: input column} for running sums
-    next_cols  also return ``next_<c>``: the value of c on the following row
-               in order (null on a group's last row); needs a key that is
-               unique per row
-    split_rows already collected split points (see ``split_point_agg``)
+    sums       {output name: input column}; a sum keeps its type
+    next_cols  also return ``next_<c>``: the value of c on the following row in order
+               (null on a group's last row); needs a key that is unique per row
 
-    The per-bucket totals (at most groups x B rows) are collected and turned
-    into literal offset arrays, so the final step is one window partitioned
-    by (group, bucket) with no join.
+    ``df`` is read three times, so callers pass a materialised table.
     """
-    by = list(by or [])
-    b = "_bucket"
-    n_buckets = n_buckets or default_buckets(df.sparkSession)
-    if split_rows is None:
-        split_rows = _split_points(df, key, by, n_buckets)
-    if len(split_rows) > _MAX_LITERAL_GROUPS:
-        return _running_totals_many_groups(df, order, key, sums, by, n_buckets, next_cols)
-    bdf = with_bucket(df, key, by, n_buckets, b, split_rows)
-    aggs = [F.sum(src).alias(f"_t_{o}") for o, src in sums.items()]
-    if next_cols:
-        bdf = bdf.withColumn("_bk", key.cast("double"))
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in next_cols]), F.col("_bk")).alias("_first"))
-    tot = bdf.groupBy(*by, b).agg(*aggs).collect()          # bounded: groups x B rows
-    groups: dict = {}
-    for r in tot:
-        groups.setdefault(tuple(r[g] for g in by), []).append(r)
-    offsets, firsts = {}, {}
-    for gk, rs in groups.items():
-        rs.sort(key=lambda r: r[b])
-        size = rs[-1][b] + 1
-        for o in sums:
-            arr, run, j = [], 0, 0
-            for idx in range(size):
-                arr.append(run)
-                if j < len(rs) and rs[j][b] == idx:
-                    run += rs[j][f"_t_{o}"] or 0
-                    j += 1
-            offsets.setdefault(o, {})[gk] = arr
-        if next_cols:
-            # first row of the next non-empty bucket, per bucket
-            nxt = [None] * size
-            following = None
-            present = {r[b]: r["_first"] for r in rs}
-            for idx in range(size - 1, -1, -1):
-                nxt[idx] = following
-                if idx in present:
-                    following = present[idx]
-            firsts[gk] = nxt
+    by, b = list(by or []), "_bucket"
+    n = n_buckets or default_buckets(df.sparkSession)
+    probs = [i / n for i in range(1, n)]
+    sketch = cut_lineage(df.groupBy(*by).agg(
+        F.array_distinct(F.percentile_approx(key.cast("double"), probs, max(10_000, 20 * n))).alias("_points")))
+    bucketed = join_groups(df, sketch, by).withColumn(
+        b, F.coalesce(count_below(F.col("_points"), key.cast("double"), n), F.lit(0))).drop("_points")
+    totals = bucketed.groupBy(*by, b).agg(
+        *[F.sum(src).alias(f"_t_{o}") for o, src in sums.items()],
+        *([F.min_by(F.struct(*next_cols), key).alias("_first")] if next_cols else []))
+    small = Window.partitionBy(*by).orderBy(b)   # at most n rows a group
+    offsets = totals.select(
+        *[F.col(g).alias(f"_g_{g}") for g in by], F.col(b).alias("_b"),
+        *[F.sum(f"_t_{o}").over(small.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{o}") for o in sums],
+        *([F.lead("_first").over(small).alias("_following")] if next_cols else []))
+    joined = bucketed.join(offsets, [F.col(b) == F.col("_b"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in by]])
     w = Window.partitionBy(*by, b).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bidx = F.col(b) + F.lit(1)
-    cols = {}
-    for o, src in sums.items():
-        off = _group_case(by, offsets[o], lambda arr: F.element_at(F.array(*[F.lit(int(x)) for x in arr]), bidx))
-        cols[o] = F.sum(src).over(w_run) + off
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {o: F.sum(src).over(run) + F.coalesce(F.col(f"_o_{o}"), F.lit(0)) for o, src in sums.items()}
     if next_cols:
         last = F.lead(F.lit(1)).over(w).isNull()
-        for i, c in enumerate(next_cols):
-            def make(arr, i=i):
-                return F.element_at(F.array(*[F.lit(None if v is None else v[i]) for v in arr]), bidx)
-            cols[f"next_{c}"] = F.when(last, _group_case(by, firsts, make)).otherwise(F.lead(c).over(w))
-    out = bdf.withColumns(cols)
-    return out.drop(b, *(["_bk"] if next_cols else []))
+        new.update({f"next_{c}": F.when(last, F.col("_following")[c]).otherwise(F.lead(c).over(w)) for c in next_cols})
+    return joined.withColumns(new).select(*df.columns, *new)
 
 
-def _running_totals_many_groups(df: DataFrame, order: list[Column], key: Column, sums: dict[str, str],
-                                by: list[str], n_buckets: int, next_cols: list[str] | None) -> DataFrame:
-    """Same result for many groups: split points, bucket totals and offsets
-    stay distributed (windows partitioned by group over the small per-bucket
-    table, joined back on (group, bucket))."""
-    b = "_bucket"
-    bdf = with_bucket(df, key, by, n_buckets, b, split_rows=[None] * (_MAX_LITERAL_GROUPS + 1))
-    aggs = [F.sum(src).alias(f"_t_{o}") for o, src in sums.items()]
-    if next_cols:
-        bdf = bdf.withColumn("_bk", key.cast("double"))
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in next_cols]), F.col("_bk")).alias("_first"))
-    tot = bdf.groupBy(*by, b).agg(*aggs)
-    wb = Window.partitionBy(*by).orderBy(b)
-    cols = [F.coalesce(F.sum(f"_t_{o}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{o}")
-            for o in sums]
-    if next_cols:
-        cols.append(F.lead("_first").over(wb).alias("_nb"))
-    off = tot.select(*by, b, *cols)
-    j = bdf.join(off, [*by, b])
-    w = Window.partitionBy(*by, b).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {o: F.sum(src).over(w_run) + F.col(f"_o_{o}") for o, src in sums.items()}
-    if next_cols:
-        last = F.lead(F.lit(1)).over(w).isNull()
-        new.update({f"next_{c}": F.when(last, F.col("_nb")[c]).otherwise(F.lead(c).over(w)) for c in next_cols})
-    out = j.withColumns(new)
-    return out.drop(b, *[f"_o_{o}" for o in sums], *(["_bk", "_nb"] if next_cols else []))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics
-    (the 'linear' / continuous definition), nulls ignored.
-
-    Returns (by..., prob, quantile).  Values are first reduced to distinct
-    (value, count) pairs (partial aggregation), so heavy repeated values cost
-    one row each."""
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., prob, quantile): exact quantiles with linear interpolation between order
+    statistics (the 'linear' definition), nulls ignored; no row for a group without values."""
     by = list(by or [])
-    vc = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
-            .agg(F.count(F.lit(1)).alias("_n")))
-    # distinct (value, count) pairs, materialised once in the shared folder and
-    # read by the bucketing passes instead of the source
-    vc = cut_lineage(vc)
-    rt = running_totals(vc, [F.col(value).asc()], F.col(value), {"_cum": "_n"}, by, n_buckets)
-    sizes = vc.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    tg = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in by], "_total", pr)
-    h = (F.col("_total") - 1) * F.col("prob")
-    tg = tg.select(*[f"_g_{g}" for g in by], "prob", F.floor(h).alias("_rlo"), F.ceil(h).alias("_rhi"),
-                   (h - F.floor(h)).alias("_frac"))
-    start, end = F.col("_cum") - F.col("_n"), F.col("_cum")
-    lo_hit = (start <= F.col("_rlo")) & (F.col("_rlo") < end)
-    hi_hit = (start <= F.col("_rhi")) & (F.col("_rhi") < end)
-    cond = lo_hit | hi_hit
-    for g in by:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    # ungrouped: a handful of target rows, broadcast; grouped: an equi-join on
-    # the group keys planned by size (groups x probs rows)
-    m = rt.join(tg if by else F.broadcast(tg), cond, "inner").select(
-        *[F.col(f"_g_{g}").alias(g) for g in by], "prob", "_frac",
-        F.when(lo_hit, F.col(value)).alias("_vlo"), F.when(hi_hit, F.col(value)).alias("_vhi"))
-    res = m.groupBy(*by, "prob").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
-                                     F.first("_frac").alias("_frac"))
-    q = F.col("_vlo").cast("double") + (F.col("_vhi").cast("double") - F.col("_vlo").cast("double")) * F.col("_frac")
-    return res.select(*by, "prob", q.alias("quantile"))
-
-
-def exact_quantile_map(df: DataFrame, value: str, probs: list[float]) -> dict[float, float]:
-    """Driver-side dict {prob: quantile} of a global (ungrouped) exact quantile.
-    Only len(probs) numbers reach the driver."""
-    return {r["prob"]: r["quantile"] for r in exact_quantiles(df, value, probs).collect()}
+    src = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    grid = [i / POINTS for i in range(POINTS + 1)]
+    sketch = cut_lineage(src.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", grid, 10 * POINTS).alias("_points")).where("_n > 0"))
+    target = []
+    for p in probs:
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        # the ranks lie between grid points; one more on each side covers the sketch's error (NaN is the largest value)
+        left = F.floor(F.floor(at) / F.col("_n") * POINTS).cast("int") - 1
+        right = F.ceil((F.ceil(at) + 1) / F.col("_n") * POINTS).cast("int") + 1
+        target.append(F.struct(F.lit(float(p)).alias("prob"), at.alias("at"),
+                               F.when(left < 0, F.lit(float("-inf"))).otherwise(F.get("_points", left)).alias("low"),
+                               F.when(right > POINTS, F.lit(float("nan"))).otherwise(F.get("_points", right)).alias("high")))
+    wanted = cut_lineage(sketch.select(*by, F.array(*target).alias("_t")))
+    hits = join_groups(src, wanted, by).select(*by, "_v", F.explode("_t").alias("t")).where("_v <= t.high")
+    counts = hits.groupBy(*by, F.col("t.prob").alias("prob"), F.col("t.at").alias("_at"),
+                          F.when(F.col("_v") >= F.col("t.low"), F.col("_v")).alias("_in")) \
+        .agg(F.count("*").alias("_c"))   # the rows under the bracket are one count, with a null value
+    end = F.sum("_c").over(Window.partitionBy(*by, "prob").orderBy(F.col("_in").asc_nulls_first()))
+    placed = counts.withColumn("_end", end).where(F.col("_in").isNotNull())
+    first, second = F.floor("_at"), F.ceil("_at")
+    holds = lambda r: (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end"))
+    found = placed.groupBy(*by, "prob", "_at").agg(F.max(F.when(holds(first), F.col("_in"))).alias("_lo"),
+                                                   F.max(F.when(holds(second), F.col("_in"))).alias("_hi"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - first)
+    return found.select(*by, "prob", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("quantile"))

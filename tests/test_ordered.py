@@ -1,10 +1,14 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leadlens.operators.ordered import exact_quantiles, running_totals
+from leadlens.operators.split import allocate_test, stratified_split
 
 
 def test_quantiles_match_linear_interpolation(spark):
@@ -12,7 +16,7 @@ def test_quantiles_match_linear_interpolation(spark):
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": np.round(rng.normal(size=3000), 1)})
     pdf.loc[::3, "v"] = 0.5      # a heavy repeated value
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(spark.createDataFrame(pdf), "v", probs, by=["g"], n_buckets=8).collect()
+    got = exact_quantiles(spark.createDataFrame(pdf), "v", probs, by=["g"]).collect()
     for r in got:
         assert abs(np.percentile(pdf[pdf.g == r["g"]].v, r["prob"] * 100) - r["quantile"]) < 1e-9
 
@@ -29,12 +33,11 @@ def test_running_totals_and_next(spark, values):
 
 
 def test_many_groups_stay_distributed(spark):
-    """More groups than the literal limit: split points, totals and offsets
-    stay in tables (no driver-side collection of per-group data)."""
+    """Split points, totals and offsets stay in tables."""
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 100, 4000), "v": rng.integers(0, 50, 4000)})
     df = spark.createDataFrame(pdf)
-    q = exact_quantiles(df, "v", [0.1, 0.5, 0.9], by=["g"], n_buckets=8).toPandas()
+    q = exact_quantiles(df, "v", [0.1, 0.5, 0.9], by=["g"]).toPandas()
     assert len(q) == 300
     for _, r in q.iterrows():
         assert abs(np.percentile(pdf[pdf.g == r["g"]].v, r["prob"] * 100) - r["quantile"]) < 1e-9
@@ -45,3 +48,57 @@ def test_many_groups_stay_distributed(spark):
         grp = grp.sort_values("v")
         s = pdf[pdf.g == g].v.value_counts().sort_index()
         assert list(grp.cum) == list(s.cumsum()) and list(grp.next_v.iloc[:-1]) == list(s.index[1:])
+
+
+@pytest.mark.parametrize("groups", [0, 10, 64, 65, 200])
+def test_a_null_group_is_kept_at_any_number_of_groups(spark, groups):
+    rows = [(g, float(v) / 2, v) for g in [None, *range(groups)] for v in range(5)]
+    df = spark.createDataFrame(rows, "g int, part double, v int")
+    rt = running_totals(df, [F.col("v").asc()], F.col("v"), {"cum": "part"}, by=["g"], n_buckets=4, next_cols=["v"]).collect()
+    assert len(rt) == len(rows)
+    for g in (None, *range(groups)):
+        own = sorted((r.v, r.cum, r.next_v) for r in rt if r.g == g)
+        assert own == [(0, 0.0, 1), (1, 0.5, 2), (2, 1.5, 3), (3, 3.0, 4), (4, 5.0, None)]
+    q = {r.g: r.quantile for r in exact_quantiles(df, "v", [0.5], by=["g"]).collect()}
+    assert q == {g: 2.0 for g in (None, *range(groups))}
+
+
+def test_fractional_sums_and_large_keys(spark):
+    df = spark.createDataFrame([((1 << 60) + i, 0.3) for i in range(40)], "k long, x double")
+    rt = sorted(running_totals(df, [F.col("k").asc()], F.col("k"), {"cum": "x"}, n_buckets=8, next_cols=["k"]).collect())
+    assert abs(rt[-1].cum - 12.0) < 1e-9
+    assert [r.next_k for r in rt] == [(1 << 60) + i for i in range(1, 40)] + [None]
+
+
+def test_no_rows_and_no_values(spark):
+    none = spark.createDataFrame([], "g int, v double")
+    null = spark.createDataFrame([(1, None)], "g int, v double")
+    for df in (none, null):
+        for by in (["g"], None):
+            assert exact_quantiles(df, "v", [0.5], by=by).collect() == []
+    assert running_totals(none, [F.col("v").asc()], F.col("v"), {"cum": "g"}, next_cols=["g"]).collect() == []
+    assert stratified_split(spark.createDataFrame([], "lead_id long, converteu int")).collect() == []
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, float("inf"), float("-inf")])), min_size=1, max_size=60))
+def test_quantiles_of_any_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", [0.0, 0.3, 1.0]).collect()}
+    kept = np.array(sorted(v for v in values if v is not None))
+    if not len(kept):
+        assert got == {}
+        return
+    assert got[0.0] == kept[0] and got[1.0] == kept[-1]
+    if np.isfinite(kept).all():
+        assert abs(got[0.3] - np.percentile(kept, 30)) <= 1e-9 * max(1, np.abs(kept).max())
+
+
+def test_split_takes_the_smallest_keys_of_each_class(spark):
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(2000)]
+    got = {r.lead_id: r.split for r in stratified_split(spark.createDataFrame(rows, "lead_id long, converteu int")).collect()}
+    counts = {c: sum(x == c for _, x in rows) for c in (None, 0, 1, 2)}
+    test = allocate_test(counts)
+    for c in counts:
+        ordered = sorted((hashlib.md5(f"{i}|42".encode()).hexdigest(), i) for i, x in rows if x == c)
+        assert {i for _, i in ordered[:test[c]]} == {i for i, x in rows if x == c and got[i] == "test"}
