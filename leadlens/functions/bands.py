@@ -2,7 +2,8 @@
 
 ``right``: (0, 0.3] Baixo, (0.3, 0.6] Médio, (0.6, 1] Alto; a score of 0 (or
 outside (0, 1]) gets no class (null).  Used for tables.
-``left``: < 0.3 Baixo, < 0.6 Médio, else Alto.  Used for a single scored lead.
+``left``: < 0.3 Baixo, < 0.6 Médio, else Alto; no class without a score.  Used for a single
+scored lead.
 The two differ exactly at 0, 0.3 and 0.6.
 """
 
@@ -28,7 +29,7 @@ def band_left(score="score") -> Column:
     lo, hi = S.BAND_EDGES
     return (F.when(s < F.lit(lo), F.lit(S.CLASS_LOW))
             .when(s < F.lit(hi), F.lit(S.CLASS_MID))
-            .otherwise(F.lit(S.CLASS_HIGH)))
+            .when(s.isNotNull(), F.lit(S.CLASS_HIGH)))
 
 
 def band(score="score", rule: str = "right") -> Column:

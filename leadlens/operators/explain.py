@@ -63,9 +63,13 @@ def explain_long(df: DataFrame, terms: dict[str, Column], means: dict[str, float
     return df.select(id_col, F.inline(rows))
 
 
+def _rank_key(impact: Column) -> Column:
+    return F.coalesce(-F.abs(impact), F.lit(1.0)).alias("k")
+
+
 def _ranked(names: list[str], prefix: str) -> Column:
-    """Array of (feature, impact) sorted by |impact| desc, original order on ties."""
-    arr = F.array(*[F.struct((-F.abs(F.col(prefix + n))).alias("k"), F.lit(i).alias("slot"),
+    """Array of (feature, impact) sorted by |impact| desc, original order on ties, unknown impacts last."""
+    arr = F.array(*[F.struct(_rank_key(F.col(prefix + n)), F.lit(i).alias("slot"),
                              F.lit(n).alias("feature"), F.col(prefix + n).alias("impact"))
                     for i, n in enumerate(names)])
     return F.array_sort(arr)
@@ -76,7 +80,7 @@ def top_features_column(terms: dict[str, Column], means: dict[str, float], k: in
     computed from the row's own columns: a projection, no join."""
     att = attribution_columns(terms, means)
     ranked = F.array_sort(F.array(*[
-        F.struct((-F.abs(c)).alias("k"), F.lit(i).alias("slot"), F.lit(n).alias("feature"), c.alias("impact"))
+        F.struct(_rank_key(c), F.lit(i).alias("slot"), F.lit(n).alias("feature"), c.alias("impact"))
         for i, (n, c) in enumerate(att.items())]))
     return F.transform(F.slice(ranked, 1, k),
                        lambda t: F.struct(t["feature"].alias("feature"), t["impact"].alias("impact")))

@@ -31,8 +31,8 @@ def score_histogram(scored: DataFrame, width: float = 0.05) -> DataFrame:
 
 
 def mean_score_by(scored: DataFrame, key: str, ascending: bool = True) -> DataFrame:
-    """Mean score and count per key, ordered by the mean."""
-    out = scored.groupBy(key).agg(F.avg("score").alias("score_medio"), F.count("score").alias("quantidade"))
+    """Mean score and count per key, ordered by the mean; a null key is no group."""
+    out = scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg("score").alias("score_medio"), F.count("score").alias("quantidade"))
     return out.orderBy(F.col("score_medio").asc() if ascending else F.col("score_medio").desc(), key)
 
 
@@ -56,13 +56,15 @@ def focus_impact(scored: DataFrame) -> DataFrame:
 
 
 def best_by(scored: DataFrame, key: str) -> DataFrame:
-    """The key value with the highest mean score (ties: first label)."""
-    m = scored.groupBy(key).agg(F.avg("score").alias("score_medio"))
+    """The key value with the highest mean score (ties: first label); null is no key."""
+    m = scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg("score").alias("score_medio"))
     return m.orderBy(F.desc("score_medio"), F.asc(key)).limit(1)
 
 
 def response_rate(scored: DataFrame) -> DataFrame:
-    return scored.agg((F.avg(F.col("respondeu_contato")) * 100).alias("pct_resposta"))
+    """Share of all leads that responded, in %: an unknown response counts as none.  Null on an empty table."""
+    one = scored.agg(F.coalesce(F.sum("respondeu_contato"), F.lit(0)).alias("s"), F.count("*").alias("n"))
+    return one.select(F.when(F.col("n") > 0, F.col("s") / F.col("n") * 100).alias("pct_resposta"))
 
 
 def percent_text(x, digits: int = 1):

@@ -30,20 +30,21 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "converteu",
         F.max(F.col(score)).alias("score"), F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 
 
-def _desc_curve(df: DataFrame, score: str, label: str, next_cols=None, key: str | None = None) -> DataFrame:
-    # one row per distinct threshold, materialised once in the shared folder:
-    # the bucketing passes then read this reduced table, not the source
+def curve(df: DataFrame, score: str = "score", label: str = "converteu", key: str | None = None) -> DataFrame:
+    """The threshold table under every curve metric: key, score, pos, neg, running tps and fps, next_pos, next_neg.
+
+    One row per distinct threshold, materialised once in the shared folder: the bucketing
+    passes read this reduced table, not the source.  Each metric below takes it as ``table``."""
     sc = cut_lineage(score_counts(df, score, label, key))
-    return running_totals(sc, [F.col("key").desc()], -F.col("key"),
-                          {"tps": "pos", "fps": "neg"}, next_cols=next_cols)
+    return running_totals(sc, [F.col("key").desc()], -F.col("key"), {"tps": "pos", "fps": "neg"}, next_cols=["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "converteu",
-            key: str | None = None) -> DataFrame:
+            key: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """AUC-ROC with ties counted half: sum over distinct scores of
     pos(s) * (negatives below s + neg(s)/2), over P*N.  One row ``auc``
     (null when a class is absent)."""
-    rt = _desc_curve(df, score, label, key=key)
+    rt = table or curve(df, score, label, key)
     # fps is the count of negatives with score >= s, so negatives strictly
     # below s = N - fps.
     tot = rt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
@@ -54,19 +55,20 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "converteu",
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "converteu",
-                      key: str | None = None) -> DataFrame:
+                      key: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """Step-wise average precision: sum over thresholds of (R_k - R_{k-1}) * P_k
     (no interpolation).  One row ``avg_precision``; 0 when there is no positive."""
-    rt = _desc_curve(df, score, label, key=key)
+    rt = table or curve(df, score, label, key)
     tot = rt.agg(F.sum("pos").alias("P"),
                  F.sum(F.col("pos") * (F.col("tps") / (F.col("tps") + F.col("fps")))).alias("s"))
     return tot.select(F.when(F.col("P") > 0, F.col("s") / F.col("P")).otherwise(F.lit(0.0)).alias("avg_precision"))
 
 
-def auc_ap(df: DataFrame, score: str = "score", label: str = "converteu", key: str | None = None) -> DataFrame:
+def auc_ap(df: DataFrame, score: str = "score", label: str = "converteu", key: str | None = None,
+           table: DataFrame | None = None) -> DataFrame:
     """AUC-ROC and step-wise average precision from one curve pass: one row
     (auc, avg_precision)."""
-    rt = _desc_curve(df, score, label, key=key)
+    rt = table or curve(df, score, label, key)
     t = rt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                F.sum(F.col("pos") * (F.col("fps") - F.lit(0.5) * F.col("neg"))).alias("above"),
                F.sum(F.col("pos") * (F.col("tps") / (F.col("tps") + F.col("fps")))).alias("s"))
@@ -135,12 +137,12 @@ def class_report(df: DataFrame, score: str = "score", label: str = "converteu",
 
 
 def roc_points(df: DataFrame, score: str = "score", label: str = "converteu",
-               drop_intermediate: bool = True, key: str | None = None) -> DataFrame:
+               drop_intermediate: bool = True, key: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """ROC curve: (threshold, fpr, tpr) per distinct score, descending, with an
     opening (0, 0) point at an infinite threshold.  ``drop_intermediate``
     removes points collinear with both neighbours (the own counts of the next
-    point equal the own counts of this one)."""
-    rt = _desc_curve(df, score, label, next_cols=["pos", "neg"] if drop_intermediate else None, key=key)
+    point equal the own counts of this one).  The rate of an absent class is null."""
+    rt = table or curve(df, score, label, key)
     P_N = rt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = rt
     if drop_intermediate:
@@ -152,15 +154,15 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "converteu",
     spark = df.sparkSession
     opening = spark.createDataFrame([(float("inf"), 0, 0)], "threshold double, tps long, fps long")
     allp = attach_one_row(opening.unionByName(pts), P_N)
-    return allp.select("threshold", (F.col("fps") / F.col("N")).alias("fpr"),
-                       (F.col("tps") / F.col("P")).alias("tpr"))
+    return allp.select("threshold", F.when(F.col("N") > 0, F.col("fps") / F.col("N")).alias("fpr"),
+                       F.when(F.col("P") > 0, F.col("tps") / F.col("P")).alias("tpr"))
 
 
 def pr_points(df: DataFrame, score: str = "score", label: str = "converteu",
-              key: str | None = None) -> DataFrame:
+              key: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """Precision-recall curve: (threshold, precision, recall) per distinct score
     plus the closing (precision 1, recall 0) point with a null threshold."""
-    rt = _desc_curve(df, score, label, key=key)
+    rt = table or curve(df, score, label, key)
     P_N = rt.agg(F.sum("pos").alias("P"))
     pts = rt.select(F.col("score").cast("double").alias("threshold"),
                     _safe_div(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"), "tps")
@@ -254,14 +256,15 @@ def density_by_class(df: DataFrame, value: str, label: str = "converteu", bins:
 
 def evaluation_bundle(df: DataFrame, score: str = "score", label: str = "converteu",
                       threshold: float = 0.5) -> dict[str, DataFrame]:
-    """All evaluation tables of one scored table.  The two-column input is
-    persisted once and reused; the caller unpersists ``bundle['_input']``."""
-    base = df.select(F.col(score).alias("score"), F.col(label).alias("converteu")).persist()
+    """All evaluation tables of one scored table.  The two columns and the curve are
+    materialised once in the shared folder; every table below reads those."""
+    base = cut_lineage(df.select(F.col(score).alias("score"), F.col(label).alias("converteu")))
+    table = cut_lineage(curve(base))
     return {
-        "_input": base,
-        "auc_ap": auc_ap(base), "auc_roc": roc_auc(base), "avg_precision": average_precision(base),
+        "auc_ap": auc_ap(base, table=table), "auc_roc": roc_auc(base, table=table),
+        "avg_precision": average_precision(base, table=table),
         "confusion": confusion(base, threshold=threshold),
         "class_report": class_report(base, threshold=threshold),
-        "roc_points": roc_points(base), "pr_points": pr_points(base),
+        "roc_points": roc_points(base, table=table), "pr_points": pr_points(base, table=table),
         "impact": impact_sweep(base),
     }

@@ -115,11 +115,11 @@ def missing_effect(df: DataFrame, cols=("renda_estimada", "faixa_etaria", "turno
     return one.select(F.inline(rows)).where(F.col("_nulls") > 0).drop("_nulls")
 
 
-def conversion_by(df: DataFrame, key: str, label: str = S.LABEL_COL, drop_null_keys: bool = False,
+def conversion_by(df: DataFrame, key: str, label: str = S.LABEL_COL, drop_null_keys: bool = True,
                   order: str = "rate") -> DataFrame:
     """total, converted, rate and rate in % per key value.  ``order`` = 'rate'
     (descending) or 'key' (ascending).  A text bar of width int(rate %) is
-    included (``bar``)."""
+    included (``bar``).  A null key is no group unless ``drop_null_keys`` is off."""
     src = df.where(F.col(key).isNotNull()) if drop_null_keys else df
     y = F.col(label)
     out = src.groupBy(key).agg(F.count(y).alias("total"), F.sum(y).cast("long").alias("converted"),
@@ -199,31 +199,40 @@ def group_means(df: DataFrame, cols=("dias_sem_contato", "renda_estimada"), labe
     return one.select(F.inline(rows))
 
 
+def pearson(a: str, b: str):
+    """Pearson correlation over the rows where both are present; NaN if either is constant there."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan")))
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, pairwise-complete
     (a pair skips rows where either value is null), all pairs in one
-    aggregation.  Long form (var1, var2, corr), both orders plus the diagonal."""
+    aggregation.  Long form (var1, var2, corr), both orders plus the diagonal.  A pair
+    with a constant column, and the diagonal of one, is NaN."""
     cols = cols or numeric_columns(df)
     pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    one = df.agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs], *[pearson(c, c).alias(f"{c}__{c}") for c in cols])
     structs = []
     for a, b in pairs:
         structs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"{a}__{b}").alias("corr")))
         structs.append(F.struct(F.lit(b).alias("var1"), F.lit(a).alias("var2"), F.col(f"{a}__{b}").alias("corr")))
     for c in cols:
-        structs.append(F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.lit(1.0).alias("corr")))
+        structs.append(F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"),
+                                F.when(F.isnan(f"{c}__{c}"), F.col(f"{c}__{c}")).otherwise(F.lit(1.0)).alias("corr")))
     return one.select(F.inline(F.array(*structs)))
 
 
 def corr_with_target(df: DataFrame, label: str = S.LABEL_COL, cols: list[str] | None = None) -> DataFrame:
-    """Correlations with the label sorted by magnitude, with the sign."""
+    """Correlations with the label sorted by magnitude, ties by name, with the sign; NaN for a constant column, last."""
     cols = [c for c in (cols or numeric_columns(df)) if c != label]
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
+    one = df.agg(*[pearson(c, label).alias(c) for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("corr")) for c in cols])
     return (one.select(F.inline(rows))
                .withColumns({"abs_corr": F.abs("corr"),
                              "sign": F.when(F.col("corr") > 0, F.lit("+")).otherwise(F.lit("-"))})
-               .orderBy(F.desc("abs_corr")))
+               .orderBy(F.isnan("abs_corr"), F.desc("abs_corr"), "variable"))
 
 
 def crosstab(df: DataFrame, row: str, label: str = S.LABEL_COL, values=(0, 1)) -> DataFrame:

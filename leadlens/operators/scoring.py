@@ -46,11 +46,14 @@ def _is_set(v) -> bool:
 def filter_leads(df: DataFrame, canal: str | None = None, curso: str | None = None,
                  score_min: float = 0.0, score_max: float = 1.0) -> DataFrame:
     """Optional equality filters (None, '' or 'Todos' mean no filter) and an
-    inclusive score range."""
+    inclusive score range.  The whole range 0..1 is no filter either: leads without a
+    score stay, and the list shows them last."""
     if _is_set(canal):
         df = df.filter(F.col("canal_captacao") == F.lit(canal))
     if _is_set(curso):
         df = df.filter(F.col("curso_interesse") == F.lit(curso))
+    if score_min <= 0 and score_max >= 1:
+        return df
     return df.filter(F.col("score").between(F.lit(float(score_min)), F.lit(float(score_max))))
 
 

@@ -32,6 +32,10 @@ AGE_CUTS = [(20, "18-24"), (55, "25-34"), (80, "35-44"), (93, "45-54"), (100, "5
 SHIFT_CUTS = [(5, "Manhã"), (11, "Tarde"), (20, "Noite")]
 
 
+# every how many leads a column is null in the view with nulls
+NULL_EVERY = {"canal_captacao": 83, "dias_sem_contato": 61, "n_tentativas": 71, "respondeu_contato": 53}
+
+
 def _cuts(b: Column, cuts) -> Column:
     out = None
     for hi, label in cuts[:-1]:
@@ -47,10 +51,12 @@ def base_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(cn, o.o_custkey == cn.c_custkey)
 
 
-def leads_view(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+def leads_view(spark: SparkSession, sf_dir: str, dirty: bool = False, nulls: bool = False) -> DataFrame:
     """Lead table (schema ``LEADS_SCHEMA``).  ``dirty=True`` injects faults for the
     validation operator: days = -1 where k % 97 = 0, responded = 2 where
-    k % 89 = 0, channel null where k % 83 = 0 (the label is drawn before)."""
+    k % 89 = 0, channel null where k % 83 = 0 (the label is drawn before).  ``nulls=True``
+    takes values away: channel where k % 83 = 0, days where k % 61 = 0, attempts where
+    k % 71 = 0, response where k % 53 = 0."""
     j = base_join(spark, sf_dir)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     cols = {
@@ -80,6 +86,9 @@ def leads_view(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFra
             "respondeu_contato": F.when(kk % 89 == 0, F.lit(2)).otherwise(F.col("respondeu_contato")),
             "canal_captacao": F.when(kk % 83 == 0, F.lit(None).cast("string")).otherwise(F.col("canal_captacao")),
         })
+    if nulls:
+        kk = F.col("_k")
+        df = df.withColumns({c: F.when(kk % m != 0, F.col(c)) for c, m in NULL_EVERY.items()})
     return df.select(*[f.name for f in S.LEADS_SCHEMA.fields])
 
 

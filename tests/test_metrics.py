@@ -140,4 +140,4 @@ def test_evaluation_bundle(scored):
         assert b["auc_roc"].collect()[0]["auc"] == M.roc_auc(scored).collect()[0]["auc"]
         assert b["impact"].count() == 9
     finally:
-        b["_input"].unpersist()
+    
\ No newline at end of file
