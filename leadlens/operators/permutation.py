@@ -20,17 +20,16 @@ no window, no join, no all-pairs product.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from math import factorial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 
-MAX_BACKGROUND = 10_000
-
-
 def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFrame], features: list[str],
                             background: DataFrame, n_permutations: int = 2, seed: int = 42,
                             id_col: str = S.ID_COL, score_col: str = "score") -> DataFrame:
@@ -39,13 +38,11 @@ def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFr
     predict     DataFrame -> DataFrame adding ``score_col``; receives hybrid
                 rows carrying every column of ``df`` with the feature columns
                 replaced
-    background  bounded sample of rows (collected: |B| x d values)
+    background  the caller's bounded sample of rows (collected: |B| x d values)
     """
     d = len(features)
-    bg = background.select(*features).limit(MAX_BACKGROUND + 1).collect()
+    bg = background.select(*features).collect()
     nb = len(bg)
-    if nb > MAX_BACKGROUND:
-        raise ValueError(f"background must be a bounded sample (at most {MAX_BACKGROUND} rows)")
     if nb == 0 or d == 0:
         raise ValueError("empty background or feature list")
     rng = np.random.default_rng(seed)
@@ -79,3 +76,37 @@ def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFr
     long = step.select(id_col, F.explode(F.filter(gains, lambda g: g.isNotNull())).alias("g"))
     return (long.groupBy(id_col, F.col("g.feature").alias("feature"))
                 .agg((F.sum("g.v") / F.lit(float(n_permutations * nb))).alias("impact")))
+
+
+def _mean_score(own: Column, pairs: Column, link: Callable[[Column], Column]) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * link(own + p["c"]))
+
+
+def exact_attribution(df: DataFrame, terms: dict[str, Column], background: DataFrame, link: Callable[[Column], Column],
+                      intercept: float = 0.0, id_col: str = S.ID_COL) -> DataFrame:
+    """(id, feature, impact): exact Shapley values of ``link(intercept + sum of terms)``.
+
+    A coalition's value is the mean over the background of the score with the other features
+    taken from there; of those only the sum of terms matters, a literal for each background
+    row (equal ones counted once).  All 2^d values are computed inside the row: no explode of
+    background rows, no shuffle.  An unknown term makes the lead's values null.
+    """
+    names, d = list(terms), len(terms)
+    rows = background.select(*[t.cast("double").alias(f"t{j}") for j, t in enumerate(terms.values())]).collect()
+    if not rows:
+        raise ValueError("empty background")
+    values = []
+    for mask in range(1 << d):
+        rest = Counter(sum((r[j] for j in range(d) if not mask >> j & 1), intercept) for r in rows
+                       if all(r[j] is not None for j in range(d) if not mask >> j & 1))
+        n = sum(rest.values())
+        pairs = F.expr("array(" + ", ".join(   # one expression to parse, not a column object for each number
+            f"named_struct('c', {float(c)!r}D, 'w', {k / n!r}D)" for c, k in sorted(rest.items())) + ")")
+        values.append(_mean_score(sum((F.col(f"_t{j}") for j in range(d) if mask >> j & 1), F.lit(0.0)), pairs, link))
+    weight = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
+    out = df.select(id_col, *[t.cast("double").alias(f"_t{j}") for j, t in enumerate(terms.values())]) \
+        .withColumn("_v", F.array(*values))
+    impact = lambda j: sum((F.lit(weight[m.bit_count()]) * (F.col("_v")[m | 1 << j] - F.col("_v")[m])
+                            for m in range(1 << d) if not m >> j & 1), F.lit(0.0))
+    return out.select(id_col, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), impact(j).alias("impact"))
+                                                 for j, n in enumerate(names)])))

@@ -1,8 +1,9 @@
 """The lead service as DataFrame methods (no server).
 
 ``LeadService.start`` does what a service start-up does: load the fitted
-preprocessor and model, read the leads, score every lead once and keep the
-scored table (persisted; the caller closes the service).  The request
+preprocessor and model, read the leads, score every lead once, write the scored
+table to the shared folder and read it back.  Linear models are explained by their
+terms, any other model by ``permutation_attribution`` over the raw inputs.  The request
 handlers become set-based methods: ``list_leads`` (filters + ranking),
 ``score`` (a DataFrame of new payloads -> score, class, top-3 explanation),
 ``scripts`` (a DataFrame of requested ids -> message per id, unknown ids
@@ -22,7 +23,9 @@ from ..functions.features import add_features
 from ..operators import explain as H
 from ..operators import messages as MSG
 from ..operators import scoring
+from ..operators.permutation import permutation_attribution
 from ..operators.preprocess import Preprocessor
+from ..session import cut_lineage
 from .training import linear_score_expr, score_with
 
 
@@ -34,6 +37,7 @@ class LeadService:
     scored: DataFrame
     terms: dict
     means: dict
+    background: DataFrame
     metadata: dict
 
     @classmethod
@@ -41,11 +45,17 @@ class LeadService:
               metadata: dict | None = None, background_rows: int = 100) -> "LeadService":
         scored = score_with(preprocessor, model, leads).withColumn("classificacao", band("score", "right"))
         terms = cls._terms(preprocessor, model)
-        feat_bg = H.background(add_features(leads), background_rows)
-        means = H.background_means(feat_bg, terms) if terms else {}
+        background = cut_lineage(H.background(leads, background_rows))
+        means = H.background_means(add_features(background), terms) if terms else {}
         if terms:
             scored = MSG.with_explanations(scored, terms, means)
-        return cls(spark, preprocessor, model, scored.persist(), terms, means, metadata or {})
+        return cls(spark, preprocessor, model, cut_lineage(scored), terms, means, background, metadata or {})
+
+    def attributions(self, leads: DataFrame, id_col: str = S.ID_COL, n_permutations: int = 2) -> DataFrame:
+        """(id, feature, impact) of raw leads for any model; a lead's impacts sum to its score minus the
+        background's mean score."""
+        return permutation_attribution(leads, lambda d: score_with(self.preprocessor, self.model, d), list(S.RAW_INPUT_COLS),
+                                       self.background, n_permutations, id_col=id_col)
 
     @staticmethod
     def _terms(pp: Preprocessor, model) -> dict:
@@ -55,9 +65,6 @@ class LeadService:
         coefs = list(model.coefficients.toArray())
         return {n: F.lit(float(b)) * c for n, b, c in zip(pp.slot_names(), coefs, pp.slot_columns())}
 
-    def close(self) -> None:
-        self.scored.unpersist()
-
     def list_leads(self, canal=None, curso=None, score_min: float = 0.0, score_max: float = 1.0,
                    limit: int | None = None) -> DataFrame:
         return scoring.list_leads(self.scored, canal, curso, score_min, score_max, limit=limit)
@@ -68,7 +75,14 @@ class LeadService:
             s = linear_score_expr(self.preprocessor, self.model)
             return scoring.score_leads(payloads, self.terms, self.means, score=s)
         scored = score_with(self.preprocessor, self.model, payloads, "_s")
-        return scoring.score_leads(scored, self.terms, self.means, score=F.col("_s")).drop("_s")
+        out = scoring.score_leads(scored, self.terms, self.means, score=F.col("_s")).drop("_s", "top_features")
+        # payloads that are alike have one explanation; ids are theirs only within this call
+        out = out.withColumn("_key", F.xxhash64(*S.RAW_INPUT_COLS))
+        valid = out.where(F.col("is_valid") == 1).select("_key", *S.RAW_INPUT_COLS).dropDuplicates(["_key"])
+        ranked = self.attributions(valid, "_key").groupBy("_key").agg(F.slice(F.array_sort(F.collect_list(   # one per feature
+            F.struct((-F.abs("impact")).alias("k"), "feature", "impact"))), 1, 3).alias("_top"))
+        return out.join(ranked, "_key", "left").withColumn("top_features", F.when(F.col("is_valid") == 1, F.transform(
+            "_top", lambda t: F.struct(t["feature"].alias("feature"), t["impact"].alias("impact"))))).drop("_key", "_top")
 
     def scripts(self, requests: DataFrame, id_col: str = S.ID_COL) -> DataFrame:
         return MSG.script_table(self.scored, requests.select(F.col(id_col).alias(S.ID_COL)))

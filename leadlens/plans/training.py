@@ -23,7 +23,7 @@ from ..functions.common import sigmoid
 from ..functions.features import add_features
 from ..operators import metrics as M
 from ..operators.preprocess import Preprocessor
-from ..operators.split import stratified_split, weight_column
+from ..operators.split import allocation, stratified_split, weight_column
 from ..session import cut_lineage, shared_dir
 
 MODEL_NAMES = ("LogisticRegression", "RandomForest", "GBT")
@@ -36,7 +36,7 @@ class TrainConfig:
     lr_max_iter: int = 1000
     lr_c: float = 1.0             # inverse regularisation strength (L2)
     rf_trees: int = 200
-    rf_max_depth: int = 12        # Spark caps depth at 30; deep forests grow costly
+    rf_max_depth: int = 30        # the largest depth Spark ML allows; the source's trees have no limit
     gbt_iter: int = 200
     gbt_step: float = 0.1
     gbt_depth: int = 5
@@ -51,6 +51,19 @@ class TrainedModels:
     comparison: DataFrame              # model, auc_roc, avg_precision, best
     best: str
     metadata: dict = field(default_factory=dict)
+    reports: dict = field(default_factory=dict)      # name -> class report on the test rows
+    pr_curves: dict = field(default_factory=dict)    # name -> precision-recall points on the test rows
+
+
+def comparison(scored: DataFrame, models: list[str], label: str = S.LABEL_COL) -> DataFrame:
+    """model, auc_roc, avg_precision and best of score columns of one table (ties: first name)."""
+    rows = []
+    for m in models:
+        r = M.auc_ap(scored, m, label).first()
+        rows.append((m, r["auc"], r["avg_precision"]))
+    best = min(rows, key=lambda r: (-(r[1] if r[1] is not None else -1.0), r[0]))[0]
+    return scored.sparkSession.createDataFrame([(n, a, p, n == best) for n, a, p in rows],
+                                               "model string, auc_roc double, avg_precision double, best boolean")
 
 
 def prepared(df_leads: DataFrame, cfg: TrainConfig) -> DataFrame:
@@ -77,6 +90,10 @@ def estimators(cfg: TrainConfig, n_train: int, pos_weight: float) -> dict:
     return est
 
 
+def n_sum(sizes: dict, name: str) -> int:
+    return sum(r[name] for r in sizes.values())
+
+
 def positive_probability(col: str = "probability") -> Column:
     return vector_to_array(F.col(col)).getItem(1)
 
@@ -90,7 +107,9 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
     data = cut_lineage(prepared(leads, cfg))
     train = data.where(F.col("split") == "train")
     pp = Preprocessor().fit(train)
-    counts = {r[0]: r[1] for r in train.groupBy(S.LABEL_COL).count().collect()}  # one row per class
+    sizes = {r[S.LABEL_COL]: r for r in allocation(data, test_size=cfg.test_size).collect()}   # one row per class
+    counts = {c: r["n_train"] for c, r in sizes.items() if r["n_train"]}
+    n_train, n_test = n_sum(sizes, "n_train"), n_sum(sizes, "n_test")
     n_all, k = sum(counts.values()), len(counts)
     weights = {c: n_all / (k * n) for c, n in counts.items()}
     spw = counts.get(0, 0) / counts.get(1, 1)
@@ -100,19 +119,19 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
     x = x.select(S.ID_COL, S.LABEL_COL, "split", "features", "weight", "pos_weight").persist()
     try:
         tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
-        n_train = tr.count()
-        fitted, rows = {}, []
+        fitted, rows, reports, curves = {}, [], {}, {}
         for name, est in estimators(cfg, n_train, spw).items():
             model = est.fit(tr)
             fitted[name] = model
-            pred = model.transform(te).select(S.LABEL_COL, positive_probability().alias("score"))
-            m = M.auc_ap(pred).collect()[0]
+            pred = cut_lineage(model.transform(te).select(S.LABEL_COL, positive_probability().alias("score")))
+            table = cut_lineage(M.curve(pred))
+            m = M.auc_ap(pred, table=table).collect()[0]
+            reports[name], curves[name] = M.class_report(pred), M.pr_points(pred, table=table)
             auc, ap = m["auc"], m["avg_precision"]
             rows.append((name, auc, ap))
         best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0))[0]
         comp = spark.createDataFrame([(n, a, p, n == best) for n, a, p in rows],
                                      "model string, auc_roc double, avg_precision double, best boolean")
-        n_test = x.where(F.col("split") == "test").count()
         best_row = [r for r in rows if r[0] == best][0]
         meta = {
             "melhor_modelo": best, "auc_roc": best_row[1], "avg_precision": best_row[2],
@@ -121,7 +140,7 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
             "data_treinamento": datetime.now(timezone.utc).isoformat(), "threshold": cfg.threshold,
             "comparacao_modelos": {n: {"auc_roc": a, "avg_precision": p} for n, a, p in rows},
         }
-        return TrainedModels(pp, fitted, comp, best, meta)
+        return TrainedModels(pp, fitted, comp, best, meta, reports, curves)
     finally:
         x.unpersist()
 

@@ -94,6 +94,16 @@ ALL_OPTION = "Todos"
 DEFAULT_NAME = "Lead"
 
 
+# Prefixes of the transformed slot names.
+SLOT_NUMERIC = "numericas__"
+SLOT_CATEGORICAL = "categoricas__"
+SLOT_BINARY = "binarias__"
+
+# raw inputs of the model, from which the other features are derived
+RAW_INPUT_COLS = ("canal_captacao", "curso_interesse", "faixa_etaria", "turno_preferencia", "dias_sem_contato",
+                  "n_tentativas", "respondeu_contato", "renda_estimada")
+
+
 def numeric_and_categorical() -> tuple[list[str], list[str]]:
     """Schema accessor: (numeric columns, categorical columns) of the model input."""
     return list(NUMERIC_COLS), list(CATEGORICAL_COLS)

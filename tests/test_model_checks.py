@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leadlens import schema as S
 from leadlens.functions.common import sigmoid
-from leadlens.plans.training import TrainConfig, prepared, train_all
+from leadlens.plans.training import TrainConfig, prepared, score_with, train_all
 from leadlens.sources.leads import leads_view
 
 from conftest import SF_SMALL
@@ -52,11 +52,14 @@ def test_service_with_tree_model(spark, new_leads):
     leads = leads_view(spark, SF_SMALL)
     tm = train_all(spark, leads, TrainConfig(models=("RandomForest",), rf_trees=5, rf_max_depth=3))
     svc = LeadService.start(spark, leads, tm.preprocessor, tm.models["RandomForest"], tm.metadata)
-    try:
-        rows = svc.score(new_leads).collect()
-        valid = [r for r in rows if r.is_valid]
-        assert len(valid) == 6 and all(0.0 <= r.score <= 1.0 for r in valid)
-        assert all(r.top_features is None for r in rows)       # trees: use permutation_attribution
-        assert svc.list_leads(limit=5).count() == 5
-    finally:
-        svc.close()
+    rows = svc.score(new_leads).collect()
+    valid = [r for r in rows if r.is_valid]
+    assert len(valid) == 6 and all(0.0 <= r.score <= 1.0 for r in valid)
+    assert all((r.top_features is None) != (r.is_valid == 1) for r in rows)
+    assert all(len(r.top_features) == 3 and abs(r.top_features[0].impact) >= abs(r.top_features[2].impact) for r in valid)
+    assert svc.list_leads(limit=5).count() == 5
+    some = leads.where("lead_id <= 4")
+    base = score_with(svc.preprocessor, svc.model, svc.background).agg({"score": "avg"}).first()[0]
+    total = {r.lead_id: r.s for r in svc.attributions(some).groupBy("lead_id").agg(F.sum("impact").alias("s")).collect()}
+    for r in svc.scored.where("lead_id <= 4").collect():
+        assert abs(total[r.lead_id] - (r.score - base)) < 1e-9     # impacts sum to score minus base

@@ -74,3 +74,14 @@ def test_allocation_properties(counts):
         assert 0 <= t[c] <= k
         if n:
             assert abs(train_c - k * n_train / n) < 1 + 1e-9      # largest remainder: within one row
+
+
+def test_vector_equals_the_wide_slots(spark):
+    df = add_features(leads_view(spark, SF_SMALL))
+    pp = Preprocessor().fit(df)
+    odd = df.limit(40).withColumn("canal_captacao", F.when(F.col("lead_id") % 2 == 0, F.lit("Canal Novo")))
+    wide = {r.lead_id: [r[n] for n in pp.slot_names()] for r in pp.transform(odd, keep=["lead_id"]).collect()}
+    rows = pp.transform(odd, keep=["lead_id"], vector_col="v").collect()
+    assert len(rows) == len(wide) == 40
+    for r in rows:
+        assert np.allclose(r.v.toArray(), wide[r.lead_id], atol=0, rtol=1e-12)
