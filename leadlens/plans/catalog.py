@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -370,7 +371,8 @@ def q_split_sizes(spark, sf):
 
 @register("class_weights")
 def q_class_weights(spark, sf):
-    return _round_cols(SP.class_weights(_train(spark, sf)), ["weight"])
+    sizes = SP.allocation(leads_view(spark, sf))   # the split's class sizes need no split
+    return _round_cols(SP.balanced_weights(sizes), ["weight"])
 
 
 @register("pos_ratio")
@@ -526,8 +528,8 @@ def q_train_logistic(spark, sf):
 def q_score_all(spark, sf):
     leads = leads_view(spark, sf)
     tm = TR.train_all(spark, leads, TR.TrainConfig(models=("LogisticRegression",)))
-    scored = TR.score_with(tm.preprocessor, tm.models[tm.best], leads)
-    return scored.select("lead_id", r6(F.col("score")).alias("score"), band_right(F.col("score")).alias("classificacao"))
+    scored = TR.score_with(tm.preprocessor, tm.models[tm.best], SP.stratified_split(leads))
+    return scored.select("lead_id", "split", r6(F.col("score")).alias("score"), band_right(F.col("score")).alias("classificacao"))
 
 
 @register("stream_score")
@@ -538,27 +540,23 @@ def q_stream_score(spark, sf):
     from ..sources.io import write_table
     from ..streaming.score_stream import run_scoring_stream
     src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-out")
-    write_table(leads_view(spark, sf).repartition(4), src, fmt="parquet")
+    write_table(leads_view(spark, sf), src, fmt="parquet")
     qy = run_scoring_stream(spark, src, sink)
     qy.awaitTermination()
     out = spark.read.parquet(sink)
     return out.select("lead_id", r6(F.col("score")).alias("score"), "classificacao")
 
 
-# ---------------------------------------------------------------- step 9: permutation attribution (rows-only check)
-from ..operators.permutation import permutation_attribution  # noqa: E402
-
-SCORECARD_INPUTS = ["canal_captacao", "respondeu_contato", "dias_sem_contato", "n_tentativas", "curso_interesse"]
+# ---------------------------------------------------------------- step 9: exact attribution of a non-additive score
+from ..operators.permutation import exact_attribution  # noqa: E402
 
 
 @register("permutation_shap")
 def q_permutation_shap(spark, sf):
-    """Scorecard probability (not additive in probability units) explained by
-    sampled orderings against the first 100 leads."""
-    leads = leads_view(spark, sf).select("lead_id", *SCORECARD_INPUTS)
-    bg = H.background(leads, 100)
-    out = permutation_attribution(leads, lambda d: d.withColumn("score", sigmoid(log_odds())),
-                                  SCORECARD_INPUTS, bg, n_permutations=2)
+    """Scorecard probability (not additive in probability units): exact Shapley values over all
+    32 coalitions against the first 100 leads."""
+    leads = leads_view(spark, sf)
+    out = exact_attribution(leads, scorecard_terms(), H.background(leads, 100), sigmoid, S.SCORECARD_INTERCEPT)
     return _round_cols(out, ["impact"])
 
 
@@ -612,3 +610,100 @@ def q_hist_class(spark, sf):
         h = h.withColumn("column", F.lit(c))
         out = h if out is None else out.unionByName(h)
     return _round_cols(out, ["bin_lo", "bin_hi", "density"])
+
+
+# ---------------------------------------------------------------- step 10: values taken away from the lead view
+def _scored_nulls(spark, sf):
+    return scoring.score_with_scorecard(add_features(leads_view(spark, sf, nulls=True)))
+
+
+@register("list_all_nulls")
+def q_list_all_nulls(spark, sf):
+    """The whole list: leads that cannot be scored stay, at the end, without score and class."""
+    return scoring.list_leads(_scored_nulls(spark, sf), score_digits=None).withColumn("score", r6(F.col("score")))
+
+
+@register("by_channel_nulls")
+def q_by_channel_nulls(spark, sf):
+    return _round_cols(J.mean_score_by(_scored_nulls(spark, sf), "canal_captacao"), ["score_medio"])
+
+
+@register("best_channel_nulls")
+def q_best_channel_nulls(spark, sf):
+    return _round_cols(J.best_by(_scored_nulls(spark, sf), "canal_captacao"), ["score_medio"])
+
+
+@register("response_rate_nulls")
+def q_response_rate_nulls(spark, sf):
+    return _round_cols(J.response_rate(_scored_nulls(spark, sf)), ["pct_resposta"])
+
+
+@register("conv_channel_nulls")
+def q_conv_channel_nulls(spark, sf):
+    return _round_cols(P.conversion_by(leads_view(spark, sf, nulls=True), "canal_captacao"), ["rate", "rate_pct"])
+
+
+@register("conv_attempts_nulls")
+def q_conv_attempts_nulls(spark, sf):
+    return _round_cols(P.conversion_by(leads_view(spark, sf, nulls=True), "n_tentativas", order="key"), ["rate", "rate_pct"])
+
+
+@register("bands_left_nulls")
+def q_bands_left_nulls(spark, sf):
+    return _scored_nulls(spark, sf).select("lead_id", r6(F.col("score")).alias("score"), band_left(F.col("score")).alias("classificacao"))
+
+
+@register("linear_shap_top3_nulls")
+def q_linear_shap_top3_nulls(spark, sf):
+    leads, terms = leads_view(spark, sf, nulls=True), scorecard_terms()
+    means = H.background_means(H.background(leads, 100), terms)
+    out = H.flatten_top(H.top_k(leads, terms, means, 3)).drop("shap_sum", "top_feature")
+    return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])
+
+
+# ---------------------------------------------------------------- step 11: a linear model of fixed coefficients over the slots
+class FixedLinear:
+    """Stands in for a fitted logistic model, so that scoring and explanation have an SQL twin."""
+
+    def __init__(self, slots: int):
+        self.coefficients = np.array([(i * 7 % 11 - 5) / 10 for i in range(slots)])
+        self.intercept = -1.0
+
+    def terms(self, pp: Preprocessor) -> dict:
+        return H.linear_terms(dict(zip(pp.slot_names(), self.coefficients.tolist())))
+
+
+def _fixed(spark, sf):
+    pp, split = _fitted(spark, sf)
+    x = pp.transform(split, keep=["lead_id", "converteu", "split", "dias_sem_contato"])
+    model = FixedLinear(len(pp.slot_names()))
+    z = F.lit(model.intercept)
+    for t in model.terms(pp).values():
+        z = z + t
+    return cut_lineage(x.withColumn("z", z)), model.terms(pp)   # read twice: the background, then all rows
+
+
+@register("fixed_model_score")
+def q_fixed_model_score(spark, sf):
+    x, _ = _fixed(spark, sf)
+    s = sigmoid(F.col("z"))
+    return x.select("lead_id", "split", r6(s).alias("score"), band_right(s).alias("classificacao"))
+
+
+@register("fixed_model_shap_top3")
+def q_fixed_model_shap_top3(spark, sf):
+    """Attributions over the 32 slots: coefficient x (slot - background mean), the three largest."""
+    x, terms = _fixed(spark, sf)
+    means = H.background_means(H.background(x, 100), terms)
+    out = H.flatten_top(H.top_k(x, terms, means, 3)).drop("shap_sum", "top_feature")
+    return _round_cols(out, ["top1_impact", "top2_impact", "top3_impact"])
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """AUC and average precision of three fixed predictors on the test rows, the best one marked."""
+    x, _ = _fixed(spark, sf)
+    leads = leads_view(spark, sf).select(F.col("lead_id"), log_odds().alias("scorecard"))
+    test = cut_lineage(x.where("split = 'test'").join(leads, "lead_id").select(
+        "converteu", "scorecard", F.round("z", 9).alias("fixed_linear"), (-F.col("dias_sem_contato")).cast("double").alias("recency")))
+    return _round_cols(TR.comparison(test, ["scorecard", "fixed_linear", "recency"]), ["auc_roc", "avg_precision"])

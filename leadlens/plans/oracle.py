@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from .. import schema as S
@@ -45,6 +46,8 @@ sql("response_propensity", with_ctes(
     "CASE WHEN n_tentativas >= 1 THEN 5e-2 ELSE -1e-1 END, 5e-2), 9e-1), 6) AS prob_resposta FROM leads"))
 
 sql("bands_right", with_ctes(f"SELECT lead_id, round(score, 6) AS score, {band_right_sql()} AS classificacao FROM scored0"))
+sql("bands_left_nulls", with_ctes(
+    f"SELECT lead_id, round(score, 6) AS score, {band_left_sql()} AS classificacao FROM scored0", nulls=True))
 sql("bands_left", with_ctes(f"SELECT lead_id, round(score, 6) AS score, {band_left_sql()} AS classificacao FROM scored0"))
 
 _LIST = ("lead_id, nome_ficticio, canal_captacao, curso_interesse, dias_sem_contato, n_tentativas, "
@@ -52,7 +55,8 @@ _LIST = ("lead_id, nome_ficticio, canal_captacao, curso_interesse, dias_sem_cont
 sql("list_leads", with_ctes(
     f"SELECT {_LIST} FROM scored WHERE canal_captacao = {q('Indicação')} AND score BETWEEN {d(0.1)} AND 1e0 "
     "ORDER BY score DESC, lead_id"))
-sql("list_all", with_ctes(f"SELECT {_LIST} FROM scored WHERE score BETWEEN 0e0 AND 1e0 ORDER BY score DESC, lead_id"))
+for _name, _nulls in (("list_all", False), ("list_all_nulls", True)):
+    sql(_name, with_ctes(f"SELECT {_LIST} FROM scored ORDER BY score DESC NULLS LAST, lead_id", nulls=_nulls))
 
 sql("lookup_batch", with_ctes(
     "SELECT r.lead_id, CASE WHEN s.lead_id IS NULL THEN 0 ELSE 1 END AS found, s.nome_ficticio, "
@@ -174,20 +178,21 @@ sql("missing_effect", with_ctes(" UNION ALL ".join(
     f"HAVING COUNT(*) FILTER (WHERE {c} IS NULL) > 0" for c in ["renda_estimada", "faixa_etaria", "turno_preferencia"])))
 
 
-def _conv_sql(key: str, drop_nulls: bool = False) -> str:
-    where = f"WHERE {key} IS NOT NULL" if drop_nulls else ""
+def _conv_sql(key: str, nulls: bool = False) -> str:
     return with_ctes(
         f"SELECT {key}, total, converted, round(rate, 6) AS rate, round(rate * 100, 6) AS rate_pct, "
         "repeat('█', CAST(trunc(round(rate * 100, 1)) AS INTEGER)) AS bar FROM ("
         f"SELECT {key}, COUNT(converteu) AS total, CAST(SUM(converteu) AS BIGINT) AS converted, AVG(converteu) AS rate "
-        f"FROM leads {where} GROUP BY {key}) t")
+        f"FROM leads WHERE {key} IS NOT NULL GROUP BY {key}) t", nulls=nulls)
 
 
 sql("conv_channel", _conv_sql("canal_captacao"))
+sql("conv_channel_nulls", _conv_sql("canal_captacao", nulls=True))
+sql("conv_attempts_nulls", _conv_sql("n_tentativas", nulls=True))
 sql("conv_course", _conv_sql("curso_interesse"))
 sql("conv_attempts", _conv_sql("n_tentativas"))
-sql("conv_age", _conv_sql("faixa_etaria", True))
-sql("conv_shift", _conv_sql("turno_preferencia", True))
+sql("conv_age", _conv_sql("faixa_etaria"))
+sql("conv_shift", _conv_sql("turno_preferencia"))
 
 
 def _vc_sql(key: str) -> str:
@@ -256,9 +261,10 @@ sql("kpis", with_ctes(
 sql("score_hist", with_ctes(
     "SELECT bin, round(bin * 5e-2, 6) AS bin_lo, COUNT(*) AS count FROM (SELECT least(CAST(floor(score / 5e-2) AS INTEGER), 19) "
     "AS bin FROM scored WHERE score IS NOT NULL) t GROUP BY bin"))
-for _name, _key in [("by_channel", "canal_captacao"), ("by_course", "curso_interesse")]:
+for _name, _key, _nulls in [("by_channel", "canal_captacao", False), ("by_course", "curso_interesse", False),
+                            ("by_channel_nulls", "canal_captacao", True)]:
     sql(_name, with_ctes(f"SELECT {_key}, round(AVG(score), 6) AS score_medio, COUNT(score) AS quantidade "
-                         f"FROM scored GROUP BY {_key}"))
+                         f"FROM scored WHERE {_key} IS NOT NULL GROUP BY {_key}", nulls=_nulls))
 sql("class_counts", with_ctes(
     "SELECT classificacao, count, round(count / SUM(count) OVER (), 6) AS share FROM (SELECT classificacao, COUNT(*) AS count "
     "FROM scored WHERE classificacao IS NOT NULL GROUP BY classificacao) t"))
@@ -275,10 +281,12 @@ def _focus_sql(where: str = "") -> str:
 
 sql("focus_impact", _focus_sql())
 sql("focus_impact_channel", _focus_sql(f"WHERE canal_captacao = {q('Indicação')} AND score BETWEEN 0e0 AND 1e0"))
-for _name, _key in [("best_channel", "canal_captacao"), ("best_course", "curso_interesse")]:
-    sql(_name, with_ctes(f"SELECT {_key}, round(AVG(score), 6) AS score_medio FROM scored GROUP BY {_key} "
-                         f"ORDER BY AVG(score) DESC, {_key} LIMIT 1"))
-sql("response_rate", with_ctes("SELECT round(AVG(respondeu_contato) * 100, 6) AS pct_resposta FROM scored"))
+for _name, _key, _nulls in [("best_channel", "canal_captacao", False), ("best_course", "curso_interesse", False),
+                            ("best_channel_nulls", "canal_captacao", True)]:
+    sql(_name, with_ctes(f"SELECT {_key}, round(AVG(score), 6) AS score_medio FROM scored WHERE {_key} IS NOT NULL "
+                         f"GROUP BY {_key} ORDER BY AVG(score) DESC, {_key} LIMIT 1", nulls=_nulls))
+for _name, _nulls in (("response_rate", False), ("response_rate_nulls", True)):
+    sql(_name, with_ctes("SELECT round(SUM(respondeu_contato) / COUNT(*) * 100, 6) AS pct_resposta FROM scored", nulls=_nulls))
 _label = ("nome_ficticio || ' — Score: ' || printf('%.0f', score * 100) || '% (' || COALESCE(classificacao, 'nan') || ')'")
 sql("selector_labels", with_ctes(
     f"SELECT label, lead_id FROM (SELECT {_label} AS label, lead_id, ROW_NUMBER() OVER (PARTITION BY {_label} "
@@ -367,14 +375,14 @@ _EXPL = [
     "att AS (SELECT lead_id, " + ", ".join(f"{t} - m_{n} AS shap_{n}" for n, t in _TERMS.items()) + " FROM leads, bgm)",
     "att_long AS (" + " UNION ALL ".join(
         f"SELECT lead_id, {i} AS slot, '{n}' AS feature, shap_{n} AS impact FROM att" for i, n in enumerate(_TERMS)) + ")",
-    "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY abs(impact) DESC, slot) AS rn FROM att_long)",
+    "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY abs(impact) DESC NULLS LAST, slot) AS rn FROM att_long)",
 ]
 _dir = f"CASE WHEN impact IS NULL THEN NULL WHEN impact > 0 THEN {q('favorece conversão')} ELSE {q('desfavorece')} END"
-sql("linear_shap_top3", with_ctes(
-    "SELECT lead_id, " + ", ".join(
-        f"MAX(feature) FILTER (WHERE rn = {i}) AS top{i}_feature, round(MAX(impact) FILTER (WHERE rn = {i}), 6) AS top{i}_impact, "
-        f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3))
-    + " FROM ranked GROUP BY lead_id", _EXPL))
+_TOP3 = ("SELECT lead_id, " + ", ".join(
+    f"MAX(feature) FILTER (WHERE rn = {i}) AS top{i}_feature, round(MAX(impact) FILTER (WHERE rn = {i}), 6) AS top{i}_impact, "
+    f"MAX({_dir}) FILTER (WHERE rn = {i}) AS top{i}_direction" for i in (1, 2, 3)) + " FROM ranked GROUP BY lead_id")
+sql("linear_shap_top3", with_ctes(_TOP3, _EXPL))
+sql("linear_shap_top3_nulls", with_ctes(_TOP3, _EXPL, nulls=True))
 sql("shap_long", with_ctes("SELECT lead_id, slot, feature, round(impact, 6) AS impact FROM att_long", _EXPL))
 sql("shap_sum", with_ctes("SELECT lead_id, round(" + " + ".join(f"shap_{n}" for n in _TERMS) + ", 6) AS shap_sum FROM att",
                           _EXPL))
@@ -480,3 +488,61 @@ sql("box_stats", f"SELECT *, 'dias_sem_contato' AS \"column\" FROM ({_bd}) a "
                  f"UNION ALL SELECT *, 'renda_estimada' AS \"column\" FROM ({_bi}) b")
 sql("hist_class", f"SELECT *, 'dias_sem_contato' AS \"column\" FROM ({ORACLE['hist_days']}) a "
                   f"UNION ALL SELECT *, 'renda_estimada' AS \"column\" FROM ({ORACLE['hist_income']}) b")
+
+# ---------------------------------------------------------------- exact Shapley values of the scorecard probability
+_NAMES = list(_TERMS)
+
+
+def _shapley_sql() -> str:
+    d_ = len(_NAMES)
+    weight = [math.factorial(s) * math.factorial(d_ - s - 1) / math.factorial(d_) for s in range(d_)]
+    total = lambda m: " + ".join([d(S.SCORECARD_INTERCEPT)] + [f"{'x' if m >> j & 1 else 'b'}.t{j}" for j in range(d_)])
+    v = ", ".join(f"AVG({sigmoid_sql(total(m))}) AS v{m}" for m in range(1 << d_))
+    terms = ", ".join(f"{t} AS t{j}" for j, t in enumerate(_TERMS.values()))
+    phi = " UNION ALL ".join(
+        f"SELECT lead_id, '{n}' AS feature, round(" + " + ".join(
+            f"{d(weight[m.bit_count()])} * (v{m | 1 << j} - v{m})" for m in range(1 << d_) if not m >> j & 1)
+        + ", 6) AS impact FROM v" for j, n in enumerate(_NAMES))
+    return with_ctes(phi, [
+        f"b AS (SELECT {terms} FROM (SELECT * FROM leads ORDER BY lead_id LIMIT 100) l)",
+        f"x AS (SELECT lead_id, {terms} FROM leads)",
+        f"v AS (SELECT x.lead_id, {v} FROM x CROSS JOIN b GROUP BY x.lead_id)"])
+
+
+sql("permutation_shap", _shapley_sql())
+
+# ---------------------------------------------------------------- a linear model of fixed coefficients over the slots
+_SLOTS = ([(f"numericas__{c}", f"(COALESCE(CAST({c} AS DOUBLE), med_{c}) - mean_{c}) / std_{c}") for c in S.NUMERIC_COLS]
+          + [(f"categoricas__{c}_{v}", f"CASE WHEN COALESCE({c}, mode_{c}) = {q(v)} THEN 1e0 ELSE 0e0 END")
+             for c in S.CATEGORICAL_COLS for v in _CATS[c]]
+          + [(f"binarias__{c}", f"CAST({c} AS DOUBLE)") for c in S.BINARY_COLS])
+_COEF = [(i * 7 % 11 - 5) / 10 for i in range(len(_SLOTS))]
+_FIXED = SPLIT_CTES + [_STATS, _STATS2, _MODES, _MODES_WIDE,
+    "slots AS (SELECT lead_id, converteu, split, dias_sem_contato, " + ", ".join(f"{e} AS s{i}" for i, (_, e) in enumerate(_SLOTS))
+    + " FROM splitted, stats, stats2, modes)",
+    "fixed AS (SELECT *, " + "(" * len(_COEF) + d(-1.0) + "".join(f" + {d(b)} * s{i})" for i, b in enumerate(_COEF)) + " AS z FROM slots)"]
+sql("fixed_model_score", with_ctes(
+    f"SELECT lead_id, split, round({sigmoid_sql('z')}, 6) AS score, {band_right_sql(sigmoid_sql('z'))} AS classificacao FROM fixed", _FIXED))
+_FIXED_SHAP = _FIXED + [
+    "fm AS (SELECT " + ", ".join(f"AVG({d(b)} * s{i}) AS m{i}" for i, b in enumerate(_COEF))
+    + " FROM (SELECT * FROM slots ORDER BY lead_id LIMIT 100) t)",
+    "att_long AS (" + " UNION ALL ".join(f"SELECT lead_id, {i} AS slot, {q(n)} AS feature, {d(b)} * s{i} - m{i} AS impact FROM slots, fm"
+                                         for i, ((n, _), b) in enumerate(zip(_SLOTS, _COEF))) + ")",
+    "ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY abs(round(impact, 9)) DESC NULLS LAST, slot) AS rn FROM att_long)"]
+sql("fixed_model_shap_top3", with_ctes(_TOP3, _FIXED_SHAP))
+
+
+def _auc_ap_sql(name: str, key: str) -> str:
+    return (f"SELECT '{name}' AS model, (SUM(pos) * SUM(neg) - SUM(pos * (fps - 5e-1 * neg))) / (SUM(pos) * SUM(neg)) AS auc_roc, "
+            "SUM(pos * (tps / (tps + fps))) / SUM(pos) AS avg_precision FROM (SELECT *, "
+            "SUM(pos) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps, "
+            "SUM(neg) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps FROM ("
+            f"SELECT {key} AS k, SUM(f.converteu) AS pos, COUNT(*) - SUM(f.converteu) AS neg FROM fixed f "
+            "JOIN scored00 c ON f.lead_id = c.lead_id WHERE f.split = 'test' GROUP BY 1) g) h")
+
+
+sql("model_comparison", with_ctes(
+    "SELECT model, round(auc_roc, 6) AS auc_roc, round(avg_precision, 6) AS avg_precision, "
+    "ROW_NUMBER() OVER (ORDER BY auc_roc DESC, model) = 1 AS best FROM ("
+    + " UNION ALL ".join(_auc_ap_sql(n, k) for n, k in (("scorecard", "c.log_odds"), ("fixed_linear", "round(f.z, 9)"),
+                                                       ("recency", "-f.dias_sem_contato"))) + ") t", _FIXED))

@@ -48,7 +48,7 @@ def sigmoid_sql(x: str) -> str:
 LEAD_COLS = [f.name for f in S.LEADS_SCHEMA.fields]
 
 
-def leads_ctes(dirty: bool = False) -> list[str]:
+def leads_ctes(dirty: bool = False, nulls: bool = False) -> list[str]:
     base = """lead_base AS (
   SELECT o.o_orderkey AS k, o.o_custkey AS c, o.o_orderstatus, o.o_totalprice,
          cn.c_name, cn.c_acctbal, cn.n_name
@@ -72,7 +72,7 @@ def leads_ctes(dirty: bool = False) -> list[str]:
   FROM lead_base)"""
     u = "(((7919 * k + 104729 * c) % 10007 + 5e-1) / 10007e0)"
     label = f"CASE WHEN {u} < {sigmoid_sql(log_odds_sql() + ' + 15e-1')} THEN 1 ELSE 0 END"
-    if not dirty:
+    if not dirty and not nulls:
         sel = ", ".join(LEAD_COLS[:-1])
         leads = f"leads AS (\n  SELECT {sel}, {label} AS converteu FROM lead_cols)"
         return [base, cols, leads]
@@ -82,6 +82,11 @@ def leads_ctes(dirty: bool = False) -> list[str]:
         "respondeu_contato": "CASE WHEN k % 89 = 0 THEN 2 ELSE respondeu_contato END AS respondeu_contato",
         "canal_captacao": "CASE WHEN k % 83 = 0 THEN NULL ELSE canal_captacao END AS canal_captacao",
     }
+    if nulls:
+        repl = {"canal_captacao": "CASE WHEN k % 83 <> 0 THEN canal_captacao END AS canal_captacao",
+                "dias_sem_contato": "CASE WHEN k % 61 <> 0 THEN dias_sem_contato END AS dias_sem_contato",
+                "n_tentativas": "CASE WHEN k % 71 <> 0 THEN n_tentativas END AS n_tentativas",
+                "respondeu_contato": "CASE WHEN k % 53 <> 0 THEN respondeu_contato END AS respondeu_contato"}
     sel = ", ".join(repl.get(cname, cname) for cname in LEAD_COLS)
     return [base, cols, labelled, f"leads AS (\n  SELECT {sel} FROM lead_lab)"]
 
@@ -118,12 +123,12 @@ def band_right_sql(s: str = "score") -> str:
 def band_left_sql(s: str = "score") -> str:
     lo, hi = S.BAND_EDGES
     return (f"CASE WHEN {s} < {d(lo)} THEN {q(S.CLASS_LOW)} WHEN {s} < {d(hi)} "
-            f"THEN {q(S.CLASS_MID)} ELSE {q(S.CLASS_HIGH)} END")
+            f"THEN {q(S.CLASS_MID)} WHEN {s} IS NOT NULL THEN {q(S.CLASS_HIGH)} END")
 
 
-def standard_ctes(dirty: bool = False) -> list[str]:
+def standard_ctes(dirty: bool = False, nulls: bool = False) -> list[str]:
     """leads -> feat (leads + derived columns) -> scored (+ score, classificacao)."""
-    return leads_ctes(dirty) + [
+    return leads_ctes(dirty, nulls) + [
         f"feat AS (\n  SELECT *,\n    {features_select()}\n  FROM leads)",
         f"scored00 AS (\n  SELECT *, {log_odds_sql()} AS log_odds FROM feat)",
         f"scored0 AS (\n  SELECT *, {sigmoid_sql('log_odds')} AS score FROM scored00)",
@@ -131,6 +136,6 @@ def standard_ctes(dirty: bool = False) -> list[str]:
     ]
 
 
-def with_ctes(select: str, extra: list[str] | None = None, dirty: bool = False) -> str:
-    ctes = standard_ctes(dirty) + list(extra or [])
+def with_ctes(select: str, extra: list[str] | None = None, dirty: bool = False, nulls: bool = False) -> str:
+    ctes = standard_ctes(dirty, nulls) + list(extra or [])
     return "WITH " + ",\n".join(ctes) + "\n" + select

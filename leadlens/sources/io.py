@@ -64,13 +64,17 @@ def save_model(spark: SparkSession, path: str, preprocessor, model, metadata: di
 def load_model(spark: SparkSession, path: str):
     """(preprocessor, model, metadata).  A missing model raises; missing
     metadata gives an empty dict."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml import classification as C
+    from pyspark.ml.util import DefaultParamsReader
 
     from ..operators.preprocess import Preprocessor
     try:
         meta = json.loads(_read_text(spark, f"{path}/metadata"))
-    except Exception:  # noqa: BLE001 - metadata is optional
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         meta = {}
     pp = Preprocessor.from_json(_read_text(spark, f"{path}/preprocessor"))
-    cls = getattr(C, meta.get("model_class", "LogisticRegressionModel"))
-    return pp, cls.load(f"{path}/model"), meta
+    saved = DefaultParamsReader.loadMetadata(f"{path}/model", spark)["class"]   # the class that was saved
+    return pp, getattr(C, saved.rpartition(".")[2]).load(f"{path}/model"), meta

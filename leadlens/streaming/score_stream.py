@@ -16,6 +16,7 @@ from ..functions.bands import band
 from ..functions.common import sigmoid
 from ..functions.features import add_features
 from ..functions.scorecard import log_odds
+from ..operators.select import validate
 from ..session import scratch_path
 
 
@@ -37,9 +38,11 @@ def run_scoring_stream(spark: SparkSession, source: str, sink: str, checkpoint:
                        columns: list[str] | None = None, score: Column | None = None,
                        available_now: bool = True):
     """Start the scoring stream; with ``available_now`` it processes what is
-    there and stops.  Returns the StreamingQuery."""
+    there and stops.  Returns the StreamingQuery.  Rows are validated first: an
+    invalid one keeps its ``reasons`` (a column to ask for) and gets neither score nor class."""
     cols = columns or [S.ID_COL, "score", "classificacao"]
-    out = score_frame(lead_stream(spark, source), score).select(*cols)
+    s = F.when(F.col("is_valid") == 1, score if score is not None else sigmoid(log_odds()))
+    out = score_frame(validate(lead_stream(spark, source)), s).select(*cols)
     w = (out.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -1,5 +1,8 @@
+import shutil
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -91,17 +94,44 @@ def test_service_methods(spark, new_leads):
     leads = leads_view(spark, SF_SMALL)
     tm = train_all(spark, leads, TrainConfig(models=("LogisticRegression",)))
     svc = LeadService.start(spark, leads, tm.preprocessor, tm.models[tm.best], tm.metadata)
-    try:
-        lst = svc.list_leads(canal="Instagram", score_min=0.2).collect()
-        assert lst and all(r.canal_captacao == "Instagram" and r.score >= 0.2 for r in lst)
-        assert [r.score for r in lst] == sorted([r.score for r in lst], reverse=True)
-        sc = svc.score(new_leads).collect()
-        assert sum(r.is_valid for r in sc) == 6 and all(len(r.top_features) == 3 for r in sc if r.is_valid)
-        req = spark.createDataFrame([(1,), (2,), (10 ** 9,)], "lead_id long")
-        scr = {r.lead_id: r for r in svc.scripts(req).collect()}
-        assert scr[10 ** 9].found == 0 and scr[1].found == 1 and scr[1].script.startswith("Oi ")
-    finally:
-        svc.close()
+    lst = svc.list_leads(canal="Instagram", score_min=0.2).collect()
+    assert lst and all(r.canal_captacao == "Instagram" and r.score >= 0.2 for r in lst)
+    assert [r.score for r in lst] == sorted([r.score for r in lst], reverse=True)
+    sc = svc.score(new_leads).collect()
+    assert sum(r.is_valid for r in sc) == 6 and all(len(r.top_features) == 3 for r in sc if r.is_valid)
+    req = spark.createDataFrame([(1,), (2,), (10 ** 9,)], "lead_id long")
+    scr = {r.lead_id: r for r in svc.scripts(req).collect()}
+    assert scr[10 ** 9].found == 0 and scr[1].found == 1 and scr[1].script.startswith("Oi ")
+
+
+def test_stream_rejects_faulty_rows(spark, tmp_path):
+    from leadlens.sources.io import write_table
+    from leadlens.streaming.score_stream import run_scoring_stream
+    dirty = leads_view(spark, SF_SMALL, dirty=True)
+    write_table(dirty, str(tmp_path / "src"), fmt="parquet")
+    run_scoring_stream(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                       columns=["lead_id", "reasons", "score", "classificacao"]).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    faulty = [r for r in rows if r.reasons]
+    assert len(rows) == dirty.count() and faulty
+    assert all(r.score is None and r.classificacao is None for r in faulty)
+    assert all(r.score is not None and r.classificacao for r in rows if not r.reasons)
+
+
+def test_missing_metadata_is_optional_but_a_damaged_one_is_not(spark, tmp_path):
+    from leadlens.plans.training import TrainConfig, train_all
+    from leadlens.sources.io import load_model, save_model
+    tm = train_all(spark, leads_view(spark, SF_SMALL), TrainConfig(models=("RandomForest",), rf_trees=3, rf_max_depth=2))
+    path = str(tmp_path / "m")
+    save_model(spark, path, tm.preprocessor, tm.models["RandomForest"], tm.metadata)
+    spark.createDataFrame([("{",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    with pytest.raises(ValueError):
+        load_model(spark, path)
+    shutil.rmtree(f"{path}/metadata")
+    pp, model, meta = load_model(spark, path)
+    assert meta == {} and type(model).__name__ == "RandomForestClassificationModel" and pp == tm.preprocessor
+    assert set(tm.reports) == set(tm.pr_curves) == {"RandomForest"}
+    assert tm.reports["RandomForest"].count() == 5 and tm.pr_curves["RandomForest"].count() > 1
 
 
 def test_materialized_leads_equal_view(spark):
