@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.llm.arrow_map import without
+from leadlens.llm.tables import written
 
 LG_K = 12     # 4096 registers: a standard error of 1.6 %
 BAND = 0.1
@@ -45,14 +46,15 @@ def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str
     lines = _lines(docs, text, F.col(key).alias("id"), F.col(site).alias("site"))
     sketches = lines.groupBy("line_a", "line_b").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("id").alias("first_id"))
-    open_ = sketches.where(F.col("sites") >= min_sites * (1 - BAND))
+    open_ = written(sketches.where(F.col("sites") >= min_sites * (1 - BAND)), "line-sketches")
     sure = open_.where(F.col("sites") > min_sites * (1 + BAND))
     near = open_.where(F.col("sites") <= min_sites * (1 + BAND))
     exact = lines.join(near.select("line_a", "line_b"), ["line_a", "line_b"], "left_semi") \
         .select("line_a", "line_b", "site").distinct().groupBy("line_a", "line_b").agg(F.count("site").alias("exact")) \
         .where(F.col("exact") >= min_sites)
-    return sure.select("line_a", "line_b", "first_id").unionByName(
-        near.join(exact, ["line_a", "line_b"]).select("line_a", "line_b", "first_id"))
+    # written, so that the rows of a frequent line can be split where lines meet this table
+    return written(sure.select("line_a", "line_b", "first_id").unionByName(
+        near.join(exact, ["line_a", "line_b"]).select("line_a", "line_b", "first_id")), "boilerplate")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source",
