@@ -7,8 +7,8 @@ calibrated there: it is the amount of rows a search must visit for ``target`` of
 neighbours of sample vectors within the sample.  Larger tables have nearer neighbours, so
 their recall is above that.
 
-Index.  Every row is put into a leaf of every tree.  Neighbouring leaves form a unit of work;
-a unit of too many rows (a frequent vector, say) is dealt out over several blocks.
+Index.  Every row is put into a leaf of every tree.  Each tree's leaves form a few units of
+work; a unit of too many rows (or a frequent vector) is dealt out over several blocks.
 
 Search.  A query walks all trees through one shared priority queue ordered by the margin to
 the splits passed, until its budget of rows is used up.  It is sent to the units of its
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from leadlens.llm.arrow_map import append_columns
 from leadlens.llm.tables import written
 
-UNIT_LEAVES = 32      # leaves of one tree that are searched together, one bit each
+TREE_UNITS = 4        # units of work into which each tree's leaves fall
 BLOCK_ROWS = 16_384   # rows of a unit that one task searches at once
 QUERY_ROWS = 256      # queries compared with a block at once
 
@@ -127,12 +127,11 @@ def build(sample: np.ndarray, total: int, max_norm: float, trees: int = 8, leaf_
         scores = sample @ sample[i]
         scores[i] = -np.inf
         true = np.argsort(-scores, kind="stable")[:min(k, len(sample) - 1)]
-        found, seen = np.full(len(sample), np.inf), 0.0
+        reached, seen = np.full(forest.shares.shape, np.inf), 0.0
         for t, at in forest.visits(sample[i], np.inf):
             seen += forest.shares[t, at]
-            rows = leaf[:, t] == at
-            found[rows] = np.minimum(found[rows], seen)
-        needed += found[true].tolist()
+            reached[t, at] = seen
+        needed += reached[np.arange(trees), leaf[true]].min(axis=1).tolist()
     forest.budget = float(np.quantile(needed, target)) if needed else float(trees)
     return forest
 
@@ -147,30 +146,33 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
-def best_of(q: np.ndarray, mask: np.ndarray, ids: np.ndarray, x: np.ndarray, leaf: np.ndarray,
+def best_of(q: np.ndarray, mask: np.ndarray, ids: np.ndarray, x: np.ndarray, starts: np.ndarray,
             rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best rows for each query: query number, row id, score.
 
-    ``rows`` are the queries' own ids; ``mask`` tells by bits which leaves a query visits.
+    ``rows`` are the queries' own ids; ``mask`` (queries x leaves) tells which leaves a query
+    visits; the rows of leaf i are those from ``starts[i]`` to ``starts[i + 1]``.
     """
-    cols = np.flatnonzero(((np.bitwise_or.reduce(mask) >> leaf) & 1).astype(bool))
-    if not len(cols):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    s = q @ x[cols].T
-    s[((mask[:, None] >> leaf[cols][None, :]) & 1 == 0) | (rows[:, None] == ids[cols][None, :])] = -np.inf
-    low = np.partition(s, -k, axis=1)[:, -k] if len(cols) > k else np.full(len(s), -np.inf)
-    slack = 1e-9 * np.abs(s, where=np.isfinite(s), out=np.zeros_like(s)).max(axis=1)
+    s = np.full((len(q), len(x)), -np.inf)
+    for leaf in range(len(starts) - 1):
+        a, b = starts[leaf], starts[leaf + 1]
+        asks = np.flatnonzero(mask[:, leaf]) if a < b else ()
+        if len(asks):
+            s[asks, a:b] = q[asks] @ x[a:b].T
+    s[rows[:, None] == ids[None, :]] = -np.inf
+    low = np.partition(s, -k, axis=1)[:, -k] if len(x) > k else np.full(len(s), -np.inf)
+    slack = 1e-9 * np.sqrt((q ** 2).sum(axis=1) * (x ** 2).sum(axis=1).max())  # more than rounding can move a score
     i, j = np.nonzero((s >= (low - slack)[:, None]) & (s > -np.inf))
-    score = (q[i] * x[cols[j]]).sum(axis=1)  # the same order of summation for every pair
-    order = np.lexsort((ids[cols[j]], -score, i))
+    score = (q[i] * x[j]).sum(axis=1)  # the same order of summation for every pair
+    order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
-    starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.empty(0, np.int64)
-    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.empty(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
     keep = rank < k
-    return i[keep], ids[cols[j[keep]]], score[keep]
+    return i[keep], ids[j[keep]], score[keep]
 
 
-def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int, leaves: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (tree, unit, block), each block's index rows before the queries sent to it."""
     key, index, x = None, [], None
     for b in batches:
@@ -181,16 +183,19 @@ def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.
             part = b.slice(at, end - at)
             if tuple(keys[at]) != key:
                 key, index, x = tuple(keys[at]), [], None
-            ids, bits = part.column("vec_id").to_numpy(), part.column("bits").to_numpy()
-            vectors = _matrix(part.column("vec"), dim)
+            ids, vectors = part.column("vec_id").to_numpy(), _matrix(part.column("vec"), dim)
             if not query[at]:
-                index.append((ids, bits, vectors))
+                index.append((ids, part.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64), vectors))
             elif index:
                 if x is None:
                     own, leaf, x = (np.concatenate(c) for c in zip(*index))
+                    by_leaf = np.argsort(leaf, kind="stable")
+                    own, x, starts = own[by_leaf], x[by_leaf], np.searchsorted(leaf[by_leaf], np.arange(leaves + 1))
+                visits = np.array([np.frombuffer(v, np.uint8) for v in part.column("visits").to_pylist()])
+                mask = np.unpackbits(visits, axis=1, count=leaves).astype(bool)
                 for a in range(0, len(ids), QUERY_ROWS):
                     s = slice(a, a + QUERY_ROWS)
-                    i, vec_id, score = best_of(vectors[s], bits[s], own, x, leaf, ids[s], k)
+                    i, vec_id, score = best_of(vectors[s], mask[s], own, x, starts, ids[s], k)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[s][i]), pa.array(vec_id), pa.array(score)],
                                                      names=["query_id", "vec_id", "score"])
 
@@ -214,6 +219,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     sample.sort(key=lambda r: (r["vec_id"], r["vec"]))
     forest = build(np.array([r["vec"] for r in sample]).reshape(-1, dim), total, float(np.sqrt(sizes["m"])),
                    trees, leaf_rows, k, target)
+    leaves = max(1, (1 << forest.depth) // TREE_UNITS)   # of a unit
     shared = spark.sparkContext.broadcast(forest)  # trees x leaves x dim numbers, bounded by the sample
 
     def place():
@@ -228,33 +234,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         def each(part: pa.RecordBatch) -> list[pa.Array]:
             out = []
             for q in _matrix(part.column("vec"), dim):
-                masks: dict[tuple[int, int], int] = {}
+                visited: dict[tuple[int, int], list[int]] = {}
                 for t, at in f.visits(q, f.budget, 10 * k / total):
-                    unit = (t, at // UNIT_LEAVES)
-                    masks[unit] = masks.get(unit, 0) | 1 << at % UNIT_LEAVES
-                out.append([{"tree": t, "unit": u, "bits": m} for (t, u), m in masks.items()])
-            return [pa.array(out, pa.list_(pa.struct([("tree", pa.int64()), ("unit", pa.int64()), ("bits", pa.int64())])))]
+                    visited.setdefault((t, at // leaves), []).append(at % leaves)
+                row = []
+                for (t, u), found in visited.items():
+                    mask = np.zeros(leaves, dtype=bool)
+                    mask[found] = True
+                    row.append({"tree": t, "unit": u, "visits": np.packbits(mask).tobytes()})
+                out.append(row)
+            return [pa.array(out, pa.list_(pa.struct([("tree", pa.int64()), ("unit", pa.int64()), ("visits", pa.binary())])))]
         return each
 
-    longs = [T.StructField(c, T.LongType()) for c in ("tree", "unit", "bits")]
+    to = T.StructType([T.StructField("tree", T.LongType()), T.StructField("unit", T.LongType()), T.StructField("visits", T.BinaryType())])
     placed = written(append_columns(held, [T.StructField("leaf", T.ArrayType(T.LongType()))], place,
                                     slice_rows=4096, keep=["vec_id", "vec"])
                      .select("vec_id", "vec", F.posexplode("leaf").alias("tree", "leaf")), "ann-index")
     index = placed.select("vec_id", "vec", F.col("tree").cast("long").alias("tree"),
-                          F.floor(F.col("leaf") / UNIT_LEAVES).alias("unit"), (F.col("leaf") % UNIT_LEAVES).alias("bits"))
+                          F.floor(F.col("leaf") / leaves).alias("unit"), (F.col("leaf") % leaves).alias("leaf"))
     blocks = F.broadcast(index.groupBy("tree", "unit").agg(  # at most trees x leaves rows
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     rows = index.join(blocks, ["tree", "unit"]).select(
         "tree", "unit", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).alias("block"),
-        F.lit(False).alias("query"), "vec_id", "bits", "vec")
-    asked = held.where("query").groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    sent = append_columns(asked, [T.StructField("to", T.ArrayType(T.StructType(longs)))], walk) \
+        F.lit(False).alias("query"), "vec_id", "leaf", F.lit(None).cast("binary").alias("visits"), "vec")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but long work for each row
+    asked = held.where("query").groupBy("vec_id").agg(F.min("vec").alias("vec")).repartition(parts, "vec_id")
+    sent = append_columns(asked, [T.StructField("to", T.ArrayType(to))], walk) \
         .select("vec_id", "vec", F.inline("to")).join(blocks, ["tree", "unit"]) \
         .select("tree", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"),
-                F.lit(True).alias("query"), "vec_id", "bits", "vec")
+                F.lit(True).alias("query"), "vec_id", F.lit(None).cast("long").alias("leaf"), "visits", "vec")
     found = rows.unionByName(sent).repartition("tree", "unit", "block") \
         .sortWithinPartitions("tree", "unit", "block", "query") \
-        .mapInArrow(lambda batches: _search(batches, dim, k), "query_id long, vec_id long, score double")
+        .mapInArrow(lambda batches: _search(batches, dim, k, leaves), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) \
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
