@@ -15,9 +15,9 @@ and each bucket of equal leading segments is one independent subtree.  A bucket
 ``bucket_rows`` fingerprints is unrolled by ``SPLIT_BITS`` more levels into node pairs, each
 a unit of work of its own.
 
-A task reports links that form a spanning forest of what it has linked, and skips node pairs
-whose leaves already hang together; so a large group of near copies costs neither all its
-pairs nor their output, and no link between components is lost.
+A task keeps the forest of what it has linked, skips node pairs whose leaves already hang
+together, and reports each linked fingerprint with the first one of its group; so a large
+group of near copies costs neither all its pairs nor their output, and no link is lost.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other.
 Rows with the same ``doc_id`` count as separate rows of equal id.  A null ``doc_id`` is
@@ -84,26 +84,21 @@ class Forest:
             i = self.parent[i]
         return i
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Link the pairs; returns those that joined two trees."""
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
         open_ = self.label[a] != self.label[b]
-        used = []
         for i, j in zip(a[open_].tolist(), b[open_].tolist()):
             p, q = self.root(i), self.root(j)
-            if p != q:
-                self.parent[max(p, q)] = min(p, q)
-                used.append((i, j))
-        if used:
+            self.parent[max(p, q)] = min(p, q)
+        if open_.any():
             p = np.array(self.parent)
             while not np.array_equal(p, p[p]):
                 p = p[p]
             self.label, self.parent = p, p.tolist()
-        return used
 
 
 def trie_links(keys: np.ndarray, roots: tuple[np.ndarray, ...], depth: int, max_bits: int,
-               forest: Forest) -> list[tuple[int, int]]:
-    """Links among sorted ``keys`` found below the node pairs ``roots`` (lo, hi, lo, hi, errors)."""
+               forest: Forest) -> None:
+    """Link the leaves of sorted ``keys`` below the node pairs ``roots`` (lo, hi, lo, hi, errors)."""
     ones: dict[int, np.ndarray] = {}
 
     def middle(lo: np.ndarray, hi: np.ndarray, d: int) -> np.ndarray:
@@ -112,7 +107,6 @@ def trie_links(keys: np.ndarray, roots: tuple[np.ndarray, ...], depth: int, max_
             ones[d] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
         return hi - (ones[d][hi] - ones[d][lo])
 
-    out: list[tuple[int, int]] = []
     stack = [(depth, roots)]
     while stack:
         d, pairs = stack.pop()
@@ -134,7 +128,7 @@ def trie_links(keys: np.ndarray, roots: tuple[np.ndarray, ...], depth: int, max_
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             i, j = a[which] + k // nb[few][which], b[which] + k % nb[few][which]
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= max_bits)
-            out += forest.link(i[near], j[near])
+            forest.link(i[near], j[near])
         alo, ahi, blo, bhi, err = (x[~few] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -146,19 +140,18 @@ def trie_links(keys: np.ndarray, roots: tuple[np.ndarray, ...], depth: int, max_
         joined = tuple(np.concatenate([k[c] for k in kids]) for c in range(5))
         good = (joined[0] < joined[1]) & (joined[2] < joined[3]) & (joined[4] <= max_bits)
         stack.append((d + 1, tuple(x[good] for x in joined)))
-    return out
 
 
 def links_of(rotation: np.ndarray, masks: np.ndarray, keys: np.ndarray, lead: int,
              max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of one task, as pairs of fingerprints.
+    """What hangs together among the rows of one task: each linked fingerprint with its group's first one.
 
     ``masks`` is -1 for whole buckets; else it names the node pair (x, y) ``SPLIT_BITS`` below
     the bucket as x * 2**SPLIT_BITS + y, x <= y, and the rows are the leaves of both nodes.
     """
     order = np.lexsort((keys, masks, rotation))
     rotation, masks, keys = rotation[order], masks[order], keys[order]
-    forest, found = Forest(len(keys)), []
+    forest = Forest(len(keys))
     top = keys >> np.uint64(64 - lead)
     starts = np.flatnonzero(np.concatenate([[True], (top[1:] != top[:-1]) | (masks[1:] != masks[:-1])
                                             | (rotation[1:] != rotation[:-1])]))
@@ -167,7 +160,7 @@ def links_of(rotation: np.ndarray, masks: np.ndarray, keys: np.ndarray, lead: in
     lo, hi = starts[whole], ends[whole]
     several = hi - lo > 1
     lo, hi = lo[several], hi[several]
-    found += trie_links(keys, (lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64)), lead, max_bits, forest)
+    trie_links(keys, (lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64)), lead, max_bits, forest)
     lo, hi, mask = starts[~whole], ends[~whole], masks[starts[~whole]]
     if len(lo):
         x, y = mask >> SPLIT_BITS, mask & ((1 << SPLIT_BITS) - 1)
@@ -179,10 +172,9 @@ def links_of(rotation: np.ndarray, masks: np.ndarray, keys: np.ndarray, lead: in
         blo, bhi = np.where(own, lo, mid), hi
         good = (alo < ahi) & (blo < bhi)
         err = np.bitwise_count((x ^ y).astype(np.uint64)).astype(np.int64)
-        found += trie_links(keys, tuple(v[good] for v in (alo, ahi, blo, bhi, err)), lead + SPLIT_BITS, max_bits, forest)
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    i, j = np.array(found).T
+        trie_links(keys, tuple(v[good] for v in (alo, ahi, blo, bhi, err)), lead + SPLIT_BITS, max_bits, forest)
+    i = np.flatnonzero(forest.label != np.arange(len(keys)))
+    j = forest.label[i]
     turn = rotation[i].astype(np.uint64) * np.uint64(lead)
     back = lambda v: (v >> turn) | np.where(turn > 0, v << ((np.uint64(64) - turn) % np.uint64(64)), np.uint64(0))
     return back(keys[i]), back(keys[j])
@@ -198,7 +190,7 @@ def _rotated(value: Column, turn: Column, lead: int, turns: int) -> Column:
 
 
 def near_links(prints: DataFrame, max_bits: int = 3, bucket_rows: int = 200_000) -> DataFrame:
-    """Links (u, v) that connect all of ``prints`` (simhash: long, different) within ``max_bits``."""
+    """Rows (u, v) that connect all of ``prints`` (simhash: long, different) that links of at most ``max_bits`` connect."""
     lead, turns = 64 // (max_bits + 1), max_bits + 1
     rows = prints.select(F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("r"), "simhash") \
         .select("r", _rotated(F.col("simhash"), F.col("r"), lead, turns).alias("k")) \
