@@ -82,7 +82,8 @@ def estimators(cfg: TrainConfig, n_train: int, pos_weight: float) -> dict:
     if "RandomForest" in cfg.models:
         est["RandomForest"] = RandomForestClassifier(
             featuresCol="features", labelCol=S.LABEL_COL, weightCol="weight", numTrees=cfg.rf_trees,
-            maxDepth=cfg.rf_max_depth, seed=cfg.seed)
+            maxDepth=cfg.rf_max_depth, seed=cfg.seed, maxMemoryInMB=1024,   # more nodes a pass, fewer passes
+            cacheNodeIds=True, checkpointInterval=10)
     if "GBT" in cfg.models:
         est["GBT"] = GBTClassifier(
             featuresCol="features", labelCol=S.LABEL_COL, weightCol="pos_weight", maxIter=cfg.gbt_iter,
