@@ -15,8 +15,9 @@ happen between the two neighbours alone.  So each position has one state of fini
 the tropical shortest path runs from left to right with one state a position, and its output
 is what the merge procedure gives, without simulating it on the text.
 
-No piece has the mark anywhere but in front, so the lattice falls apart before each run of
-marks.  The paths of short parts are remembered within a task, up to a bounded number.
+No piece spans a place between two characters that no piece has side by side, so the lattice
+falls apart there, as it does before each run of marks.  The paths of short parts are
+remembered within a task, up to a bounded number, those used of late for longest.
 
 Defined cases: null text gives null ids, an empty text none; a text of any length is read
 whole; decoding gives the text back, with U+2581 read as a space.  Invalid byte runs decode
@@ -29,6 +30,7 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from leadlens.llm.arrow_map import append_columns
 
 MARK = "▁"
-REMEMBERED = 600_000  # paths and pair weights kept by a task; beyond, the memory is emptied
+REMEMBERED = 800_000  # paths, and pair weights, that a task keeps at most
 SHORT = 48            # parts of up to so many characters are remembered
 END = ""              # key of a trie node's piece
 
@@ -72,6 +74,11 @@ class Transducer:
             for ch in self.text_of[i]:
                 node = node.setdefault(ch, {})
             node[END] = i
+        self.pairs = {a + b for p in self.score for a, b in zip(p, p[1:])}
+        self.older: dict[str, bytes] = {}
+        self.high = {i for b, i in self.byte_id.items() if b >= 0x80}
+        self.plain = ["" if i in self.silent else " ⁇ " if i == self.unknown else
+                      chr(self.byte_of[i]) if i in self.byte_of else t.replace(MARK, " ") for i, t in enumerate(self.text_of)]
         self.paths: dict[str, bytes] = {}
         self.weights: dict[int, bool] = {}
 
@@ -152,17 +159,30 @@ class Transducer:
         out = []
         for part in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", self.normalise(text)):
             path = self.paths.get(part)
-            if path is None:
-                path = self.shortest_path(part)
-                if len(part) <= SHORT:
-                    if len(self.paths) >= REMEMBERED:
-                        self.paths.clear()
-                    self.paths[part] = path
-            out.append(path)
+            out.append(self.path_of(part) if path is None else path)
         return b"".join(out)
 
+    def path_of(self, part: str) -> bytes:
+        path = self.older.get(part)
+        if path is None:
+            cuts = [i for i in range(1, len(part)) if part[i - 1:i + 1] not in self.pairs]
+            if cuts:
+                spans = zip([0, *cuts], [*cuts, len(part)])
+                path = b"".join([self.paths.get(part[a:b]) or self.path_of(part[a:b]) for a, b in spans])
+            else:
+                path = self.shortest_path(part)
+        if len(part) <= SHORT:
+            if len(self.paths) >= REMEMBERED // 2:
+                self.older, self.paths = self.paths, {}
+            self.paths[part] = path
+        return path
+
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: pieces to text, byte runs to characters, marks to spaces."""
+        first = next((i for i in ids if i not in self.silent), None)
+        drop = int(self.dummy_prefix and first is not None and self.text_of[first].startswith(MARK))
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.plain.__getitem__, ids))[drop:]
         out, run = [], bytearray()
         for i in ids:
             byte = self.byte_of.get(i)
@@ -172,12 +192,10 @@ class Transducer:
             if run:
                 out.append(_characters(run))
                 run = bytearray()
-            if i not in self.silent:
-                out.append(self.text_of[i] if i != self.unknown else " ⁇ ")
+            out.append(self.plain[i])
         if run:
             out.append(_characters(run))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return "".join(out)[drop:]
 
 
 def _characters(run: bytearray) -> str:
@@ -220,8 +238,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "tex
         t = transducer(model_path(model))
 
         def each(part: pa.RecordBatch) -> list[pa.Array]:
-            rows = [None if x is None else _ids(t.encode(x)) for x in part.column(text).to_pylist()]
-            return [pa.array(rows, pa.list_(pa.int32()))]
+            rows = [None if x is None else t.encode(x) for x in part.column(text).to_pylist()]
+            ends = np.cumsum([0] + [len(r or b"") // 4 for r in rows])
+            values = np.frombuffer(b"".join(r or b"" for r in rows), dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values),
+                                             mask=pa.array([r is None for r in rows], pa.bool_()))]
         return each
 
     return append_columns(docs, [T.StructField("pieces", T.ArrayType(T.IntegerType()))], make, keep=keep)
@@ -233,7 +254,10 @@ def decode(docs: DataFrame, model: str = "piece_bpe_32k.model", keep: list[str]
         t = transducer(model_path(model))
 
         def each(part: pa.RecordBatch) -> list[pa.Array]:
-            rows = [None if x is None else t.decode(x) for x in part.column("pieces").to_pylist()]
+            column = part.column("pieces")
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            rows = [t.decode(values[a:b].tolist()) if ok else None
+                    for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
             return [pa.array(rows, pa.string())]
         return each
 
