@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,19 @@ from pyspark.sql import types as T
 SLICE_ROWS = 256
 
 
+def for_workers(df: DataFrame) -> DataFrame:
+    """``df``, with this package on the import path of the Python workers started for it.
+
+    A driver that only changed its own ``sys.path`` would else leave them without it; where
+    the package is installed or shipped with the job, the entry does no harm."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without its columns named like ``names`` (any letter case), so new ones cannot clash."""
     low = {n.lower() for n in names}
@@ -40,4 +54,4 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new,
                                                  names=kept + [f.name for f in fields])
 
-    return df.mapInArrow(run, schema)
+    return for_workers(df).mapInArrow(run, schema)

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from leadlens.llm.arrow_map import for_workers
 from leadlens.llm.bpe import encoder
 
 END_ID = 1
@@ -158,4 +159,4 @@ def pack(docs: DataFrame, size: int = 2048, text: str = "text", key: str = "doc_
         if rows:
             yield batch()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return for_workers(docs).select(key, text).mapInArrow(run, schema)

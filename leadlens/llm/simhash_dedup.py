@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.llm.arrow_map import append_columns
+from leadlens.llm.arrow_map import append_columns, for_workers
 from leadlens.llm.tables import connected_components, written
 
 SEED = 42
@@ -213,7 +213,7 @@ def near_links(prints: DataFrame, max_bits: int = 3, bucket_rows: int = 200_000)
             u, v = links_of(r, p, k.view(np.uint64), lead, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return dealt.repartition(parts, "r", "top", "pair").select("r", "pair", "k").mapInArrow(run, "u long, v long")
+    return for_workers(dealt).repartition(parts, "r", "top", "pair").select("r", "pair", "k").mapInArrow(run, "u long, v long")
 
 
 def grouped(docs: DataFrame, width: int = 3, max_bits: int = 3, text: str = "text", key: str = "doc_id",

@@ -96,3 +96,12 @@ def test_documents(spark):
             at += n
         assert at == 2048 or at & (at - 1) == 0
     assert K.pack(df.limit(0)).count() == 0
+
+
+def test_workers_can_import_the_package(spark):
+    import os
+
+    import leadlens
+    K.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(leadlens.__file__)))
+    assert root in spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
