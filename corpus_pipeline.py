@@ -13,8 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that have no determinable language (no text, or no letter in it)."""
-    out = langid.annotate(docs, langid.fit(docs))
-    return out.where(out.lang_pred != langid.UNDETERMINED).select(*COLUMNS)
+    out = langid.annotate(docs, langid.fit(docs), letter="has_letter")
+    return out.where("has_letter").select(*COLUMNS)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

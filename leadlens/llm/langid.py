@@ -9,13 +9,16 @@ every other n-gram adds nothing to the kernel with any landmark.
 Model.  ``landmarks`` labelled texts span the Nyström space.  One-versus-rest ridge
 regression on the Nyström features has targets +1 and -1.  Languages have equal total weight.
 
-Fitting uses a bounded sample: about ``per_lang`` rows of each language, chosen by a hash of
-``doc_id``, with texts of ``min_chars`` to ``max_chars`` characters.  The sample is all that
-reaches the driver.  Scoring covers every whole text: a batch becomes a presence matrix,
-which is multiplied with the landmark matrix and then with the coefficients.
+Fitting uses a bounded sample of the labelled rows that are not held out: about ``per_lang``
+rows of each language, chosen by a hash of ``doc_id``, with texts of ``min_chars`` to
+``max_chars`` characters.  A language with fewer of these is filled up with longer texts, the
+shortest first and whole, to ``per_lang * max_chars`` characters in all, and then with shorter
+ones; any language with a letter in a labelled text has a row at least, however long.  The
+sample is all that reaches the driver.  Scoring covers every whole text: a batch becomes a
+presence matrix, which is multiplied with the landmark matrix and then with the coefficients.
 
 Defined cases: null text, empty text or a text without letters gives ``und`` with score 0;
-so does every text if no labelled row exists.  Ties between languages go to the
+so does every text if no labelled row with a letter exists.  Ties between languages go to the
 alphabetically first one.  Repeated rows get equal results.  All input columns are kept,
 except that ``lang_pred`` and ``score`` are replaced.
 """
@@ -37,6 +40,9 @@ UNDETERMINED = "und"
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
+LETTER = r"[\p{L}\p{Cn}]"  # also what Java's Unicode version does not know; letters() decides
+INSIDE, SHORT = 0, 1  # length classes of the sample, longer texts from 2 on
+HASH_STEP = 2.0 ** -40
 PART = 1 << 19  # characters of a very long text that are turned into n-grams at once
 
 
@@ -74,6 +80,13 @@ def gram_keys(cp: np.ndarray, max_n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def text_grams(text: str | None, max_n: int) -> np.ndarray:
+    """Sorted different n-grams of a text, long ones taken in overlapping parts."""
+    cp = letters(text or "")
+    parts = [np.unique(gram_keys(cp[at:at + PART + max_n - 1], max_n)) for at in range(0, len(cp), PART)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+
+
 def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys * MIX) >> np.uint64(64 - SLOT_BITS)
 
@@ -148,7 +161,7 @@ def train(texts: list[str], labels: list[str], landmarks: int = 160, max_n: int
         return KernelModel([], max_n, np.empty(0, np.uint64), np.empty((0, 0), np.uint8), np.empty((0, 0)), np.empty(0))
     each = max(1, landmarks // len(langs))
     chosen = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:each]]
-    grams = [np.unique(gram_keys(letters(texts[i]), max_n)) for i in chosen]
+    grams = [text_grams(texts[i], max_n) for i in chosen]
     keys = np.unique(np.concatenate(grams))
     vocab = keys[np.sort(np.unique(_slots(keys), return_index=True)[1])]
     bits = np.array([np.isin(vocab, g, assume_unique=True) for g in grams])
@@ -172,36 +185,63 @@ def train(texts: list[str], labels: list[str], landmarks: int = 160, max_n: int
     return model
 
 
+def sample_cuts(sizes: dict[int, tuple[int, int, float]], rows: int, chars: int) -> dict[int, float]:
+    """Below which hash the rows of each length class are taken, for one language.
+
+    ``sizes`` has the rows, characters and smallest hash of each class.  The quota ``rows`` goes to
+    the texts inside the range, then to longer ones within ``chars``, then to shorter ones.
+    """
+    cuts: dict[int, float] = {}
+    for c in sorted(sizes, key=lambda c: (c == SHORT, c)):
+        n, total, _ = sizes[c]
+        cuts[c] = max(0.0, min(1.0, rows / n, chars / total if c > SHORT else 1.0))
+        rows, chars = rows - cuts[c] * n, chars - cuts[c] * total
+        if cuts[c] < 1 and c > SHORT:
+            chars = 0  # no longer class
+    sure = min(sizes)  # one row at least, also where the share of a class rounds to none
+    cuts[sure] = max(cuts[sure], sizes[sure][2] + HASH_STEP)
+    return {c: cut for c, cut in cuts.items() if cut > 0}
+
+
 def fit(docs: DataFrame, per_lang: int = 512, landmarks: int = 160, max_n: int = 3,
         min_chars: int = 100, max_chars: int = 4000, text: str = "text", lang: str = "lang",
         key: str = "doc_id") -> KernelModel:
     """Learn from rows with a label that are not held out (see the module text for the sample)."""
+    size = F.length("t")
+    longer = F.lit(2) + F.floor(2 * F.log2(size / max_chars)).cast("int")
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
-        F.col("l").isNotNull() & ~held_out(F.col("k")) & F.col("k").isNotNull()
-        & F.length("t").between(min_chars, max_chars))
-    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+        F.col("l").isNotNull() & ~held_out(F.col("k")) & F.col("k").isNotNull() & F.col("t").rlike(LETTER)) \
+        .withColumn("class", F.when(size < min_chars, SHORT).when(size <= max_chars, INSIDE).otherwise(longer)) \
+        .withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    sizes: dict[str, dict[int, tuple[int, int, float]]] = {}
+    for r in usable.groupBy("l", "class").agg(F.count("*").alias("n"), F.sum(size).alias("chars"),
+                                              F.min("u").alias("first")).collect():
+        sizes.setdefault(r["l"], {})[r["class"]] = (r["n"], r["chars"], r["first"])
+    cuts = [(name, c, cut) for name, of in sizes.items() for c, cut in sample_cuts(of, per_lang, per_lang * max_chars).items()]
+    if not cuts:
         return train([], [], landmarks, max_n)
-    unit = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, F.lit(per_lang / n)).otherwise(share)
-    rows = usable.where(unit < share).select("l", "t", unit.alias("u"), "k").collect()
-    rows.sort(key=lambda r: (r["u"], r["k"], r["t"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, class int, cut double"))
+    rows = usable.join(chosen, ["l", "class"]).where("u < cut").select("l", "t", "u", "k").collect()
+    rows = sorted((r for r in rows if len(letters(r["t"]))), key=lambda r: (r["u"], r["k"], r["t"]))
     return train([r["t"] for r in rows], [r["l"] for r in rows], landmarks, max_n)
 
 
-def annotate(docs: DataFrame, model: KernelModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """All rows of ``docs`` with ``lang_pred`` and ``score``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks x max_chars
+def annotate(docs: DataFrame, model: KernelModel, text: str = "text", keep: list[str] | None = None,
+             letter: str | None = None) -> DataFrame:
+    """All rows of ``docs`` with ``lang_pred`` and ``score``, and if named a column ``letter``: the text has one."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' different n-grams
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if letter:
+        fields.append(T.StructField(letter, T.BooleanType()))
 
     def make():
         scorer = held.value.scorer()
 
         def each(part: pa.RecordBatch) -> list[pa.Array]:
-            pred, score = scorer.predict(part.column(text).to_pylist())
-            return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            texts = part.column(text).to_pylist()
+            pred, score = scorer.predict(texts)
+            new = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            return new + ([pa.array([bool(t) and len(letters(t)) > 0 for t in texts], pa.bool_())] if letter else [])
         return each
 
-    return append_columns(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())],
-                          make, slice_rows=128, keep=keep)
+    return append_columns(docs, fields, make, slice_rows=128, keep=keep)
