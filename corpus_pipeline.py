@@ -18,8 +18,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that many sites share out of all documents but their first; keeps every document."""
-    out = line_dedup.remove_boilerplate(docs)
+    """Takes lines that many sites share out of all documents but their first; keeps every document.
+
+    A document of such lines alone is a copy as a whole and stays for the next stage to decide."""
+    out = line_dedup.remove_boilerplate(docs, spare_copies_only=True)
     return out.withColumn("n_chars", F.when(out.n_removed > 0, F.length("text").cast("long")).otherwise(out.n_chars)) \
         .select(*COLUMNS)
 

@@ -8,7 +8,8 @@ inside it get an exact distinct count.  A line spread over ``min_sites`` sites o
 boilerplate: it goes from every document but its first (the smallest ``doc_id``).
 
 A document that would lose more than half of its characters stays as it is: it is a copy as a
-whole, which is for document-level duplicate removal to decide, not for line removal.
+whole, which is for document-level duplicate removal to decide, not for line removal.  With
+``spare_copies_only`` only a document is spared of which no line would stay but empty ones.
 
 Lines are known by two 64-bit hashes, documents by a hash of id and text, so that repeated
 rows are treated alike.
@@ -58,16 +59,17 @@ def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source",
-                       key: str = "doc_id") -> DataFrame:
+                       key: str = "doc_id", spare_copies_only: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and the columns ``n_lines`` and ``n_removed``."""
     docs = without(docs, ["n_lines", "n_removed", "row_a", "row_b", "removed"])
     boiler = spread_lines(docs, min_sites, text, site, key)
-    lines = _lines(docs, text, F.col(key).alias("id"), F.length(text).alias("size"), *_row_keys(key, text))
+    size = F.length(F.translate(text, "\n", "") if spare_copies_only else text)
+    lines = _lines(docs, text, F.col(key).alias("id"), size.alias("size"), *_row_keys(key, text))
     gone = lines.join(boiler, ["line_a", "line_b"]).where(~F.col("id").eqNullSafe(F.col("first_id"))) \
         .groupBy("row_a", "row_b", "pos").agg(F.first("n").alias("n"), F.first("size").alias("size")) \
         .groupBy("row_a", "row_b").agg(F.collect_list("pos").alias("removed"), F.sum("n").alias("lost"),
                                        F.first("size").alias("size")) \
-        .where(F.col("lost") * 2 <= F.col("size")).select("row_a", "row_b", "removed")
+        .where(F.col("lost") < F.col("size") if spare_copies_only else F.col("lost") * 2 <= F.col("size")).select("row_a", "row_b", "removed")
     marked = docs.select("*", *_row_keys(key, text)).join(gone, ["row_a", "row_b"], "left")
     split = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
