@@ -12,9 +12,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that have no determinable language (no text, or no letter in it)."""
-    out = langid.annotate(docs, langid.fit(docs), letter="has_letter")
-    return out.where("has_letter").select(*COLUMNS)
+    """Fills a missing language with the predicted one and drops the documents that have no determinable language.
+
+    These are texts without a letter, and texts without a label that share no n-gram with any
+    landmark.  A label counts as the language, and without any label to learn from none is missed."""
+    out = langid.annotate(docs, langid.fit(docs), ground="ground")
+    known = F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNDETERMINED)))
+    return out.where((F.col("ground") != langid.NO_LETTER) & (F.col("lang").isNotNull() | (F.col("ground") != langid.NO_KERNEL))) \
+        .withColumn("lang", known).select(*COLUMNS)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from leadlens.llm.arrow_map import append_columns
 
 UNDETERMINED = "und"
+#: Grounds of a prediction: n-grams shared with a landmark, none (the bias decides alone), no fitted language, no letter.
+KERNEL, NO_KERNEL, NO_MODEL, NO_LETTER = "kernel", "no kernel", "no model", "no letter"
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
@@ -132,20 +134,25 @@ class Scorer:
 
     def kernel(self, texts: list[str | None]) -> np.ndarray:
         """Normalised kernel of each text with each landmark."""
-        p = self.presence(texts)
+        return self._normalised(self.presence(texts))
+
+    def _normalised(self, p: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
         return (p @ self.land_t) / own
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score, (decision + 1) / 2 held to 0..1, of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
+        """Language, score, (decision + 1) / 2 held to 0..1, and ground of each text."""
+        lettered = np.array([bool(t) and len(letters(t)) > 0 for t in texts], dtype=bool)
         if not self.m.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        decision = self.kernel(texts) @ self.m.coef + self.m.bias
+            return ([UNDETERMINED] * len(texts), np.zeros(len(texts)),
+                    [NO_MODEL if ok else NO_LETTER for ok in lettered])
+        p = self.presence(texts)
+        decision = self._normalised(p) @ self.m.coef + self.m.bias
         best = decision.argmax(axis=1)
         score = np.clip((decision[np.arange(len(texts)), best] + 1) / 2, 0, 1)
-        lettered = np.array([bool(t) and len(letters(t)) > 0 for t in texts], dtype=bool)
         return ([self.m.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)],
-                np.where(lettered, score, 0.0))
+                np.where(lettered, score, 0.0),
+                [(KERNEL if some else NO_KERNEL) if ok else NO_LETTER for ok, some in zip(lettered, p.any(axis=1))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,21 +234,20 @@ def fit(docs: DataFrame, per_lang: int = 512, landmarks: int = 160, max_n: int =
 
 
 def annotate(docs: DataFrame, model: KernelModel, text: str = "text", keep: list[str] | None = None,
-             letter: str | None = None) -> DataFrame:
-    """All rows of ``docs`` with ``lang_pred`` and ``score``, and if named a column ``letter``: the text has one."""
+             ground: str | None = None) -> DataFrame:
+    """All rows of ``docs`` with ``lang_pred`` and ``score``, and their ground in the column ``ground`` if named."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' different n-grams
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    if letter:
-        fields.append(T.StructField(letter, T.BooleanType()))
+    if ground:
+        fields.append(T.StructField(ground, T.StringType()))
 
     def make():
         scorer = held.value.scorer()
 
         def each(part: pa.RecordBatch) -> list[pa.Array]:
-            texts = part.column(text).to_pylist()
-            pred, score = scorer.predict(texts)
+            pred, score, why = scorer.predict(part.column(text).to_pylist())
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            return new + ([pa.array([bool(t) and len(letters(t)) > 0 for t in texts], pa.bool_())] if letter else [])
+            return new + ([pa.array(why, pa.string())] if ground else [])
         return each
 
     return append_columns(docs, fields, make, slice_rows=128, keep=keep)

@@ -60,3 +60,13 @@ def test_texts_without_letters_teach_nothing(spark):
     docs = corpus(spark, {"aa": (300,)}).unionByName(
         spark.createDataFrame([(k, "12 34 " * 40, "zz", "s", None) for k in range(7000, 7040)], SCHEMA))
     assert langid.fit(docs).langs == ["aa"]
+
+
+def test_the_stage_acts_on_the_decision(spark):
+    rows = [(40001, text_of("aa", 300, 1), None, "s", 300), (40002, text_of("bb", 40, 2), None, "s", 40),
+            (40003, "日本語", None, "s", 3), (40005, "日本語", "ja", "s", 3),  # 40005 is held out
+            (40006, "12 34", "aa", "s", 5)]
+    docs = corpus(spark, {"aa": (300,), "bb": (300,)}).unionByName(spark.createDataFrame(rows, SCHEMA))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert (got[40001], got[40002], got[40005]) == ("aa", "bb", "ja")
+    assert 40003 not in got and 40006 not in got and len(got) == docs.count() - 2
