@@ -42,6 +42,7 @@ KERNEL, NO_KERNEL, NO_MODEL, NO_LETTER = "kernel", "no kernel", "no model", "no
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
+COLUMNS = 1 << 18  # n-grams of the landmark matrix that are unpacked at once
 LETTER = r"[\p{L}\p{Cn}]"  # also what Java's Unicode version does not know; letters() decides
 INSIDE, SHORT = 0, 1  # length classes of the sample, longer texts from 2 on
 HASH_STEP = 2.0 ** -40
@@ -97,7 +98,7 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 class KernelModel:
     langs: list[str]
     max_n: int
-    vocab: np.ndarray       # keys of the landmarks' n-grams, one to a slot
+    vocab: np.ndarray       # sorted keys of the landmarks' n-grams
     landmarks: np.ndarray   # packed presence bits, a row for each landmark
     coef: np.ndarray        # landmarks x languages
     bias: np.ndarray
@@ -116,20 +117,33 @@ class Scorer:
         self.col_at = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
         slots = _slots(model.vocab)
         self.key_at[slots], self.col_at[slots] = model.vocab, np.arange(size)
-        bits = np.unpackbits(model.landmarks, axis=1, count=size).astype(np.float32) if size else np.zeros((0, 0))
-        own = np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-        self.land_t = np.ascontiguousarray((bits / own).T.astype(np.float32))
+        more = self.key_at[slots] != model.vocab  # those whose slot another n-gram has; they are searched for
+        self.more, self.more_col = model.vocab[more], np.flatnonzero(more)
+        self.crowded = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.crowded[slots[more]] = True
+        self.own = np.sqrt(np.maximum(np.bitwise_count(model.landmarks).sum(axis=1, dtype=np.int64), 1))[:, None]
+        self.land_t = self._land(0) if size <= COLUMNS else None
+
+    def _land(self, at: int) -> np.ndarray:
+        """The normalised landmark matrix, transposed, for ``COLUMNS`` n-grams from ``at`` on."""
+        count = min(COLUMNS, len(self.m.vocab) - at)
+        bits = np.unpackbits(self.m.landmarks[:, at // 8:(at + COLUMNS) // 8], axis=1, count=count) if count else np.zeros((0, 0))
+        return np.ascontiguousarray((bits / self.own).T.astype(np.float32))
 
     def presence(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.m.vocab)), dtype=np.float32)
+        out = np.zeros((len(texts), len(self.m.vocab)), dtype=bool)
         for i, text in enumerate(texts):
             if text:
                 cp = letters(text)
                 for at in range(0, len(cp), PART):  # parts overlap, so no n-gram is missed
                     keys = gram_keys(cp[at:at + PART + self.m.max_n - 1], self.m.max_n)
                     slots = _slots(keys)
-                    cols = self.col_at[slots[self.key_at[slots] == keys]]
-                    out[i, cols[cols >= 0]] = 1
+                    hit = self.key_at[slots] == keys
+                    out[i, self.col_at[slots[hit]]] = True
+                    rest = keys[~hit & self.crowded[slots]]
+                    if len(rest):
+                        where = np.minimum(np.searchsorted(self.more, rest), len(self.more) - 1)
+                        out[i, self.more_col[where[self.more[where] == rest]]] = True
         return out
 
     def kernel(self, texts: list[str | None]) -> np.ndarray:
@@ -137,8 +151,11 @@ class Scorer:
         return self._normalised(self.presence(texts))
 
     def _normalised(self, p: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
-        return (p @ self.land_t) / own
+        own = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+        if self.land_t is not None:
+            return (p.astype(np.float32) @ self.land_t) / own
+        return sum(p[:, at:at + COLUMNS].astype(np.float32) @ self._land(at)
+                   for at in range(0, p.shape[1], COLUMNS)) / own
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
         """Language, score, (decision + 1) / 2 held to 0..1, and ground of each text."""
@@ -169,8 +186,7 @@ def train(texts: list[str], labels: list[str], landmarks: int = 160, max_n: int
     each = max(1, landmarks // len(langs))
     chosen = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:each]]
     grams = [text_grams(texts[i], max_n) for i in chosen]
-    keys = np.unique(np.concatenate(grams))
-    vocab = keys[np.sort(np.unique(_slots(keys), return_index=True)[1])]
+    vocab = np.unique(np.concatenate(grams))
     bits = np.array([np.isin(vocab, g, assume_unique=True) for g in grams])
     model = KernelModel(langs, max_n, vocab, np.packbits(bits, axis=1), np.zeros((len(chosen), len(langs))),
                         np.zeros(len(langs)))
@@ -179,7 +195,7 @@ def train(texts: list[str], labels: list[str], landmarks: int = 160, max_n: int
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > values.max() * 1e-6
     to_phi = vectors[:, good] / np.sqrt(values[good])
-    rows = [scorer.kernel(texts[a:a + 256]).astype(np.float64) @ to_phi for a in range(0, len(texts), 256)]
+    rows = [scorer.kernel(texts[a:a + 128]).astype(np.float64) @ to_phi for a in range(0, len(texts), 128)]
     phi = np.concatenate(rows)
     y = np.array([[1.0 if x == lang else -1.0 for lang in langs] for x in labels])
     share = {lang: labels.count(lang) for lang in langs}

@@ -70,3 +70,27 @@ def test_the_stage_acts_on_the_decision(spark):
     got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert (got[40001], got[40002], got[40005]) == ("aa", "bb", "ja")
     assert 40003 not in got and 40006 not in got and len(got) == docs.count() - 2
+
+
+def common(a, b):
+    """The kernel by its definition: n-grams that both have, over the geometric mean of their own counts."""
+    a, b = (set(langid.text_grams(t, 3).tolist()) for t in (a, b))
+    return a & b, a, b
+
+
+@pytest.mark.parametrize("slot_bits, columns", [(20, 1 << 18), (8, 1 << 18), (4, 64)])
+def test_no_gram_leaves_the_kernel(monkeypatch, slot_bits, columns):
+    """Also where most n-grams share a slot, and where the landmark matrix is unpacked in pieces."""
+    monkeypatch.setattr(langid, "SLOT_BITS", slot_bits)
+    monkeypatch.setattr(langid, "COLUMNS", columns)
+    texts = [text_of(lang, 400, i) for i, lang in enumerate(["aa", "bb", "cc"] * 3)]
+    model = langid.train(texts, ["aa", "bb", "cc"] * 3)
+    land = [t for lang in range(3) for t in texts[lang::3]]
+    vocab = set().union(*(langid.text_grams(t, 3).tolist() for t in land))
+    assert set(model.vocab.tolist()) == vocab
+    new = ["kalo wyrf", "řadě a xyz 12", "日本", "", None]
+    got = model.scorer().kernel(new)
+    for t, row in zip(new, got):
+        for x, value in zip(land, row):
+            both, a, b = common(t, x)
+            assert value == pytest.approx(len(both) / max(1, len(a & vocab) * len(b)) ** 0.5, abs=1e-6)
