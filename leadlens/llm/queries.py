@@ -5,13 +5,14 @@ Each one applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import (ann_forest, hilbert_shards, langid, line_dedup, merkle, packing, pii, sentencepiece_fst,
-                          simhash_dedup, token_counts)
+from leadlens.llm import (ann_forest, fill_in_middle, hilbert_shards, langid, line_dedup, merkle, packing,
+                          periodic_runs, pii, secret_scan, sentencepiece_fst, simhash_dedup, token_counts)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,52 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def looped_tail(row: dict, words: list[str]) -> list[str]:
+    """The words of every tenth document with a periodic tail, as the contract of op11 asks."""
+    h, n = zlib.crc32(str(row["doc_id"]).encode()), len(words)
+    if row["doc_id"] is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of every document's words, every tenth document with a loop put in."""
+    out = periodic_runs.find_runs(_documents(spark, sf_dir), keep=["doc_id"], prepare=looped_tail, reads=("doc_id",))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256")) \
+        .select("doc_id", "n_runs", (-F.col("best.before")).alias("start"), "best.length",
+                (-F.col("best.shorter")).alias("period"),
+                F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = secret_scan.annotate(docs, secret_scan.fit(docs), keep=["doc_id"])
+
+    def number(kind: str):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(findings):
+        return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("findings", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return out.select("doc_id", *[number(k) for k in secret_scan.BASE], F.sha2(joined(base), 256).alias("base_sha256"),
+                      joined(F.col("findings")).alias("spans"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restore(fill_in_middle.fill_in_middle(_documents(spark, sf_dir), keep=["doc_id"]))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -84,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle": op8_merkle,
     "op9_ann_forest": op9_ann_forest,
     "op10_hilbert": op10_hilbert,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
