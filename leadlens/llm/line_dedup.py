@@ -7,16 +7,16 @@ line on every page costs one sketch a task.  An estimate outside the band ``1 -/
 inside it get an exact distinct count.  A line spread over ``min_sites`` sites or more is
 boilerplate: it goes from every document but its first (the smallest ``doc_id``).
 
-A document that would lose more than half of its characters stays as it is: it is a copy as a
-whole, which is for document-level duplicate removal to decide, not for line removal.  With
-``spare_copies_only`` only a document is spared of which no line would stay but empty ones.
+A document of which no line would stay but empty ones stays as it is: it is a copy as a whole,
+which is for document-level duplicate removal to decide, not for line removal.
 
 Lines are known by two 64-bit hashes, documents by a hash of id and text, so that repeated
 rows are treated alike.
 
 Defined cases: null text stays null with no lines; an empty text has one empty line, which
 stays; a null site counts for no site; a line whose documents all have null ids keeps all
-those; an empty table gives no rows.  Input columns named like new ones are replaced.
+those; an empty table gives no rows.  Input columns named ``n_lines`` or ``n_removed`` are replaced, all
+others stay.
 """
 
 from __future__ import annotations
@@ -25,18 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.llm.arrow_map import without
-from leadlens.llm.tables import written
+from leadlens.llm.tables import fresh, let, written
 
 LG_K = 12     # 4096 registers: a standard error of 1.6 %
 BAND = 0.1
 
 
-def _row_keys(doc: str, text: str) -> list[Column]:
-    return [F.xxhash64(doc, text).alias("row_a"), F.xxhash64(F.lit(7), doc, text).alias("row_b")]
+def _row_keys(doc: str, text: str, a: str, b: str) -> list[Column]:
+    return [F.xxhash64(doc, text).alias(a), F.xxhash64(F.lit(7), doc, text).alias(b)]
 
 
 def _lines(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
-    split = docs.select(*columns, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where("line <> ''")
+    # what belongs to the document is computed before its lines are, not again for each of them
+    rows = docs.select(*columns, F.col(text).alias("whole"))
+    split = rows.select(*[c for c in rows.columns if c != "whole"],
+                        F.posexplode(F.split("whole", "\n", -1)).alias("pos", "line")).where("line <> ''")
     return split.select(*[c for c in split.columns if c != "line"], F.xxhash64("line").alias("line_a"),
                         F.xxhash64(F.lit(7), "line").alias("line_b"), F.length("line").alias("n"))
 
@@ -59,26 +62,27 @@ def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source",
-                       key: str = "doc_id", spare_copies_only: bool = False) -> DataFrame:
+                       key: str = "doc_id") -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and the columns ``n_lines`` and ``n_removed``."""
-    docs = without(docs, ["n_lines", "n_removed", "row_a", "row_b", "removed"])
+    docs = without(docs, ["n_lines", "n_removed"])
+    row_a, row_b, removed = fresh(docs, "row_a", "row_b", "removed")
     boiler = spread_lines(docs, min_sites, text, site, key)
-    size = F.length(F.translate(text, "\n", "") if spare_copies_only else text)
-    lines = _lines(docs, text, F.col(key).alias("id"), size.alias("size"), *_row_keys(key, text))
+    own = F.length(F.translate(text, "\n", ""))   # of all lines but the empty ones
+    lines = _lines(docs, text, F.col(key).alias("id"), own.alias("size"), *_row_keys(key, text, "row_a", "row_b"))
     gone = lines.join(boiler, ["line_a", "line_b"]).where(~F.col("id").eqNullSafe(F.col("first_id"))) \
         .groupBy("row_a", "row_b", "pos").agg(F.first("n").alias("n"), F.first("size").alias("size")) \
-        .groupBy("row_a", "row_b").agg(F.collect_list("pos").alias("removed"), F.sum("n").alias("lost"),
+        .groupBy("row_a", "row_b").agg(F.collect_list("pos").alias(removed), F.sum("n").alias("lost"),
                                        F.first("size").alias("size")) \
-        .where(F.col("lost") < F.col("size") if spare_copies_only else F.col("lost") * 2 <= F.col("size")).select("row_a", "row_b", "removed")
-    marked = docs.select("*", *_row_keys(key, text)).join(gone, ["row_a", "row_b"], "left")
-    split = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    names = [c for c in docs.columns]
-    return marked.select(*[cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in names],
-                         F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-                         F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
+        .where("lost < size").select(F.col("row_a").alias(row_a), F.col("row_b").alias(row_b), removed)
+    marked = docs.select("*", *_row_keys(key, text, row_a, row_b)).join(gone, [row_a, row_b], "left")
+    # the text is split once a row: each line kept is then looked up in the same array
+    kept = let(F.split(text, "\n", -1), lambda parts: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(1), F.size(parts)), F.transform(removed, lambda i: i + 1)),
+        lambda i: F.element_at(parts, i)), "\n"))
+    cleaned = F.when(F.col(removed).isNull(), F.col(text)).otherwise(kept)
+    return marked.select(*[cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
+                         F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).alias("n_lines"),
+                         F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"))
 
 
 #: DuckDB twin over a table ``documents`` for ``remove_boilerplate(...)`` as doc_id, text, n_lines, n_removed.
@@ -94,7 +98,8 @@ marked AS (
   SELECT l.*, b.line IS NOT NULL AND l.doc_id IS DISTINCT FROM b.first_id AS gone
   FROM lines l LEFT JOIN boiler b ON l.line = b.line),
 sized AS (
-  SELECT *, 2 * sum(CASE WHEN gone THEN length(line) ELSE 0 END) OVER (PARTITION BY doc_id) <= length(text) AS apply
+  SELECT *, sum(CASE WHEN gone THEN length(line) ELSE 0 END) OVER (PARTITION BY doc_id)
+            < sum(length(line)) OVER (PARTITION BY doc_id) AS apply
   FROM marked)
 SELECT doc_id,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (gone AND apply)), '') AS text,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.session import scratch_path
@@ -18,6 +20,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also where ``use`` refers to it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where needed so that they clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Component of each node of ``links`` (u, v: long): rows (node, root), root the smallest node.
 

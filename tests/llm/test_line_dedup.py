@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -22,7 +23,7 @@ def plain(rows, min_sites):
     for i, t, _ in rows:
         lines = t.split("\n") if t is not None else []
         gone = [bool(x) and len(sites[x]) >= min_sites and first.get(x) != i for x in lines]
-        if sum(len(x) for x, g in zip(lines, gone) if g) * 2 > len(t or ""):
+        if all(g for x, g in zip(lines, gone) if x):   # nothing but empty lines would stay
             gone = [False] * len(lines)
         out.append((i, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone)))
     return sorted(out, key=str)
@@ -56,6 +57,24 @@ def test_empty_table_and_long_text(spark):
                   key=str) == plain(rows, 3)
 
 
+def test_many_lines_in_one_document(spark):
+    n = 100_000
+    rows = [(i, f"head\n{i} " + "\n".join(f"{k}" for k in range(n)), f"s{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = time.time()
+    got = {r.doc_id: r for r in L.remove_boilerplate(df, 2).collect()}
+    assert time.time() - start < 30
+    assert got[0].text == rows[0][1] and got[0].n_lines == n + 1 and got[1].text == "1 0" and got[1].n_removed == n
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "a\nb", "s1", 5, 6, 7), (2, "a\nc", "s2", 5, 6, 7)],
+                               "doc_id long, text string, source string, row_a int, Row_B int, removed int")
+    got = L.remove_boilerplate(df, 2)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb", "s1", 5, 6, 7, 2, 0), (2, "c", "s2", 5, 6, 7, 2, 1)]
+
+
 def test_sql_twin(spark):
     rows = [r for r in made(10) if r[0] is not None and r[0] != 3 and r[1] is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -31,5 +31,5 @@ def test_the_stage_takes_shared_lines_from_short_pages(spark):
 
 def test_counts_of_lines(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in
-           L.remove_boilerplate(frame(spark), spare_copies_only=True).collect()}
+           L.remove_boilerplate(frame(spark)).collect()}
     assert (got[0], got[1], got[50], got[51], got[52]) == ((3, 0), (3, 2), (4, 2), (2, 0), (4, 0))
