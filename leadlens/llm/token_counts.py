@@ -1,6 +1,7 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens.
 
-A text is cut into pre-tokens (byte-level BPE's words), whose ids never cross their borders.
+A text is cut into pre-tokens (byte-level BPE's words, and the strings of the vocabulary's added
+tokens, which come first), whose ids never cross their borders.
 Runs of ``LEAF`` pre-tokens are the leaves of a tree; each node holds the sums of characters
 and of tokens below it.  The root's sum is the document's count.
 
@@ -22,7 +23,9 @@ rows.  Input columns named like new ones are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlens.llm.arrow_map import append_columns
-from leadlens.llm.bpe import encoder
+from leadlens.llm.bpe import added_tokens, encoder
 
 LEAF = 32
 GROWN = 8 * LEAF
-CONTEXT = 4
+CONTEXT = 20   # a word looks 4 characters ahead at most; added tokens are up to 16 long
 REMEMBERED = 500_000  # pre-tokens whose counts a task keeps
 
 
@@ -46,6 +49,18 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def words_from(text: str, first: int = 0) -> Iterator[tuple[str, int]]:
+    """The pre-tokens of ``text`` from ``first`` on, with their ends; between added tokens words are cut alone."""
+    at = first
+    for m in added_tokens().finditer(text, first):
+        for w in _pattern().finditer(text, at, m.start()):
+            yield w.group(), w.end()
+        yield m.group(), m.end()
+        at = m.end()
+    for w in _pattern().finditer(text, at):
+        yield w.group(), w.end()
+
+
 class Counter:
     """Token count of a pre-token, remembered up to a bound."""
 
@@ -88,7 +103,7 @@ class PreTokenTree:
 
     @classmethod
     def of(cls, text: str, count: Counter) -> PreTokenTree:
-        words = _pattern().findall(text)
+        words = [w for w, _ in words_from(text)]
         runs = [words[a:a + LEAF] for a in range(0, len(words), LEAF)]
         return cls.over([sum(map(len, r)) for r in runs], [sum(map(count, r)) for r in runs])
 
@@ -125,8 +140,8 @@ class PreTokenTree:
         shift, after = len(inserted) - removed, start + removed
         last, border = leaf, first + int(self.chars[leaf + self.width])  # old leaves leaf..last are replaced
         at, tokens, words = first, 0, 0
-        for m in _pattern().finditer(new, first):
-            tokens, words, at = tokens + count(m.group()), words + 1, m.end()
+        for word, at in words_from(new, first):
+            tokens, words = tokens + count(word), words + 1
             while last + 1 < self.width and (border < after or border + shift < at):
                 last += 1
                 border += int(self.chars[last + self.width])
@@ -143,8 +158,7 @@ class PreTokenTree:
 
     def recut(self, text: str, leaf: int, first: int, end: int, count: Counter) -> PreTokenTree:
         """A tree in which the leaf over text[first:end] is split into leaves of ``LEAF`` pre-tokens."""
-        words = [m.group() for m in _pattern().finditer(text, first) if m.end() <= end] if end < len(text) else \
-            _pattern().findall(text, first)
+        words = [w for w, _ in takewhile(lambda w: w[1] <= end, words_from(text, first))]
         runs = [words[a:a + LEAF] for a in range(0, len(words), LEAF)]
         chars, tokens = self.chars[self.width:].tolist(), self.tokens[self.width:].tolist()
         own_chars = chars[:leaf] + [sum(map(len, r)) for r in runs] + chars[leaf + 1:]

@@ -79,7 +79,6 @@ def check_packing(got, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
