@@ -8,8 +8,9 @@ exact Shapley value of feature j against a background set B is
 background means are one aggregation over B (bounded: B is a fixed-size
 sample), the attributions one projection per row.
 
-For other models ``permutation_attribution`` estimates Shapley values by
-sampled feature orderings, as a distributed Spark job (see there).
+Tree ensembles get exact values too, from their node table (see ``trees``).  For other models
+``permutation_attribution`` estimates Shapley values by sampled feature orderings, as a
+distributed Spark job (see there).
 """
 
 from __future__ import annotations
@@ -128,9 +129,11 @@ def linear_terms(coefficients: dict[str, float]) -> dict[str, Column]:
 
 
 def choose_method(model) -> str:
-    """'linear' for linear models (exact additive attribution), 'permutation'
-    for tree ensembles and any other model."""
+    """'linear' for linear models (exact additive attribution), 'tree' for tree ensembles (exact, from
+    the node table), 'permutation' for any other model."""
     name = type(model).__name__
-    if name in ("LogisticRegressionModel", "LinearRegressionModel", "LinearSVCModel"):
+    if name in ("LogisticModel", "LogisticRegressionModel", "LinearRegressionModel", "LinearSVCModel"):
         return "linear"
+    if name in ("TreeEnsemble", "RandomForestClassificationModel", "GBTClassificationModel", "DecisionTreeClassificationModel"):
+        return "tree"
     return "permutation"

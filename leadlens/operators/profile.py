@@ -8,8 +8,6 @@ with ``stack``/``inline``.  Exact quantiles go through
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +16,7 @@ from .. import schema as S
 from ..session import cut_lineage
 from .common import attach_one_row
 from .metrics import density_by_class
+from .moments import pair_moments
 from .ordered import exact_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -199,37 +198,36 @@ def group_means(df: DataFrame, cols=("dias_sem_contato", "renda_estimada"), labe
     return one.select(F.inline(rows))
 
 
-def pearson(a: str, b: str):
-    """Pearson correlation over the rows where both are present; NaN if either is constant there."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan")))
+def correlations(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(a, b, corr) for pairs of columns, by number, from one pass over ``df``.
+
+    Each pair takes the rows where both are present; NaN if either is constant there."""
+    listed = df.sparkSession.createDataFrame([(i, j, cols[i], cols[j]) for i, j in pairs], "i int, j int, a string, b string")
+    found = pair_moments(df, cols, pairs)
+    corr = F.try_divide(F.col("sij"), F.sqrt("si") * F.sqrt("sj"))
+    return listed.join(found, ["i", "j"], "left").select(
+        "a", "b", F.when(F.col("i") == F.col("j"), F.when(F.col("si") > 0, 1.0)).otherwise(corr).alias("corr")) \
+        .withColumn("corr", F.coalesce("corr", F.lit(float("nan"))))
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, pairwise-complete
     (a pair skips rows where either value is null), all pairs in one
-    aggregation.  Long form (var1, var2, corr), both orders plus the diagonal.  A pair
+    pass.  Long form (var1, var2, corr), both orders plus the diagonal.  A pair
     with a constant column, and the diagonal of one, is NaN."""
     cols = cols or numeric_columns(df)
-    pairs = list(combinations(cols, 2))
-    one = df.agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs], *[pearson(c, c).alias(f"{c}__{c}") for c in cols])
-    structs = []
-    for a, b in pairs:
-        structs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"{a}__{b}").alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("var1"), F.lit(a).alias("var2"), F.col(f"{a}__{b}").alias("corr")))
-    for c in cols:
-        structs.append(F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"),
-                                F.when(F.isnan(f"{c}__{c}"), F.col(f"{c}__{c}")).otherwise(F.lit(1.0)).alias("corr")))
-    return one.select(F.inline(F.array(*structs)))
+    one = correlations(df, cols, [(i, j) for i in range(len(cols)) for j in range(i, len(cols))])
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("var1"), F.col("b").alias("var2")))) \
+        .otherwise(F.array(F.struct(F.col("a").alias("var1"), F.col("b").alias("var2")),
+                           F.struct(F.col("b").alias("var1"), F.col("a").alias("var2"))))
+    return one.select(F.inline(both), "corr")
 
 
 def corr_with_target(df: DataFrame, label: str = S.LABEL_COL, cols: list[str] | None = None) -> DataFrame:
     """Correlations with the label sorted by magnitude, ties by name, with the sign; NaN for a constant column, last."""
     cols = [c for c in (cols or numeric_columns(df)) if c != label]
-    one = df.agg(*[pearson(c, label).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("corr")) for c in cols])
-    return (one.select(F.inline(rows))
+    one = correlations(df, [*cols, label], [(i, len(cols)) for i in range(len(cols))])
+    return (one.select(F.col("a").alias("variable"), "corr")
                .withColumns({"abs_corr": F.abs("corr"),
                              "sign": F.when(F.col("corr") > 0, F.lit("+")).otherwise(F.lit("-"))})
                .orderBy(F.isnan("abs_corr"), F.desc("abs_corr"), "variable"))

@@ -521,14 +521,14 @@ def q_train_compare(spark, sf):
 @register("train_logistic")
 def q_train_logistic(spark, sf):
     tm = TR.train_all(spark, leads_view(spark, sf), TR.TrainConfig(models=("LogisticRegression",)))
-    return tm.comparison
+    return _round_cols(tm.comparison, ["auc_roc", "avg_precision"])
 
 
 @register("score_all")
 def q_score_all(spark, sf):
     leads = leads_view(spark, sf)
     tm = TR.train_all(spark, leads, TR.TrainConfig(models=("LogisticRegression",)))
-    scored = TR.score_with(tm.preprocessor, tm.models[tm.best], SP.stratified_split(leads))
+    scored = TR.score_with(tm.preprocessor, tm.models[tm.best], tm.data)   # the split as it was written for training
     return scored.select("lead_id", "split", r6(F.col("score")).alias("score"), band_right(F.col("score")).alias("classificacao"))
 
 
@@ -560,6 +560,58 @@ def q_permutation_shap(spark, sf):
     return _round_cols(out, ["impact"])
 
 
+from ..operators import trees as TT  # noqa: E402
+from ..operators.boosting import BoostedTrees  # noqa: E402
+
+# A small forest of fixed values over raw and derived lead columns; an unknown value goes right.
+FIXED_FOREST = [
+    ("dias_sem_contato", 7, ("n_tentativas", 3, ("is_indicacao", 0.5, 0.12, 0.3), 0.08),
+     ("respondeu_contato", 0.5, 0.02, ("dias_sem_contato", 14, 0.11, 0.05))),
+    ("is_indicacao", 0.5, ("respondeu_contato", 0.5, 0.03, ("n_tentativas", 1, 0.16, 0.09)),
+     ("renda_estimada", 4000, 0.21, ("dias_sem_contato", 3, 0.33, 0.18))),
+    ("renda_estimada", 2500, ("n_tentativas", 4, 0.1, 0.04), ("dias_sem_contato", 21, ("respondeu_contato", 0.5, 0.07, 0.19), 0.01)),
+]
+FOREST_FEATURES = ["dias_sem_contato", "n_tentativas", "respondeu_contato", "renda_estimada", "is_indicacao"]
+
+
+@register("tree_shap_top3")
+def q_tree_shap_top3(spark, sf):
+    """Exact attribution of a forest's score against the first 100 leads: score, sum and the three largest impacts."""
+    feat = add_features(leads_view(spark, sf))
+    forest = TT.TreeEnsemble.of(FOREST_FEATURES, FIXED_FOREST, base=0.05)
+    x = TT.features_of(forest)
+    impacts = TT.tree_impacts(feat, forest, H.background(feat, 100), x, ["lead_id"])
+    top = H.flatten_top(impacts.select(
+        "lead_id", F.aggregate("impacts", F.lit(0.0), lambda a, v: a + v).alias("shap_sum"),
+        TT.top_impacts(F.col("impacts"), forest.names).alias("top_features")))
+    return _round_cols(top, ["shap_sum", "top1_impact", "top2_impact", "top3_impact"])
+
+
+@register("tree_scores")
+def q_tree_scores(spark, sf):
+    feat = add_features(leads_view(spark, sf))
+    forest = TT.TreeEnsemble.of(FOREST_FEATURES, FIXED_FOREST, base=0.05)
+    return _round_cols(TT.score_trees(feat, forest, TT.features_of(forest), ["lead_id"]), ["score"])
+
+
+# cuts of the boosted model of two rounds
+BOOST_CUTS = {"dias_sem_contato": [3.0, 7.0, 14.0, 30.0], "n_tentativas": [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0],
+              "respondeu_contato": [0.0], "is_indicacao": [0.0]}
+
+
+@register("boosted_two_rounds")
+def q_boosted_two_rounds(spark, sf):
+    """Two rounds of second-order boosting of depth 2 over fixed cuts; positives weigh negatives / positives."""
+    feat = cut_lineage(add_features(leads_view(spark, sf)).select("lead_id", "converteu", *BOOST_CUTS))
+    ratio = SP.negative_positive_ratio(feat).first()["scale_pos_weight"]
+    x = F.array(*[F.col(c).cast("double") for c in BOOST_CUTS])
+    rows = feat.select("lead_id", "converteu", x.alias("features"),
+                       F.when(F.col("converteu") == 1, F.lit(float(ratio))).otherwise(1.0).alias("pos_weight"))
+    model = BoostedTrees(rounds=2, rate=0.3, depth=2, cuts=list(BOOST_CUTS.values()), names=list(BOOST_CUTS)).fit(rows)
+    s = TT.score_trees(rows, model, F.col("features"), ["lead_id"])
+    return s.select("lead_id", r6(F.col("score")).alias("score"), band_right(F.col("score")).alias("classificacao"))
+
+
 # ---------------------------------------------------------------- step 8b: scoring new leads, explained list
 @register("score_new_leads")
 def q_score_new_leads(spark, sf):

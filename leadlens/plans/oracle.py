@@ -7,11 +7,17 @@ import re
 
 from .. import schema as S
 from ..functions import text as TX
+from .catalog import BOOST_CUTS, FIXED_FOREST, FOREST_FEATURES
+from .oracle_models import boosting_sql, forest_sql, newton_ctes, tree_shap_ctes
 from .sql import band_left_sql, band_right_sql, case_map, d, log_odds_sql, q, sigmoid_sql, with_ctes
 
 ORACLE: dict[str, str] = {}
 
 
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def sql(name: str, text: str):
     ORACLE[name] = text
 
@@ -541,6 +547,19 @@ def _auc_ap_sql(name: str, key: str) -> str:
             "JOIN scored00 c ON f.lead_id = c.lead_id WHERE f.split = 'test' GROUP BY 1) g) h")
 
 
+# ---------------------------------------------------------------- fitted and fixed models
+NEWTON_STEPS = 9
+_NEWTON = _FIXED + newton_ctes(len(_SLOTS), NEWTON_STEPS)
+sql("score_all", recursive(with_ctes(
+    f"SELECT lead_id, split, round({sigmoid_sql('z')}, 6) AS score, {band_right_sql(sigmoid_sql('z'))} AS classificacao FROM newton", _NEWTON)))
+sql("train_logistic", recursive(with_ctes(
+    "SELECT model, round(auc_roc, 6) AS auc_roc, round(avg_precision, 6) AS avg_precision, TRUE AS best FROM ("
+    + _auc_ap_sql("LogisticRegression", "round(f.z, 9)").replace("FROM fixed f", "FROM newton f") + ") t", _NEWTON)))
+sql("tree_scores", with_ctes(f"SELECT lead_id, round({forest_sql(FIXED_FOREST, 0.05, str)}, 6) AS score FROM feat"))
+sql("tree_shap_top3", with_ctes(_TOP3.replace("SELECT lead_id, ", "SELECT lead_id, round(SUM(impact), 6) AS shap_sum, "),
+                                tree_shap_ctes(FIXED_FOREST, 0.05, FOREST_FEATURES)))
+sql("boosted_two_rounds", boosting_sql(BOOST_CUTS, 2, 2, 0.3))
+
 sql("model_comparison", with_ctes(
     "SELECT model, round(auc_roc, 6) AS auc_roc, round(avg_precision, 6) AS avg_precision, "
     "ROW_NUMBER() OVER (ORDER BY auc_roc DESC, model) = 1 AS best FROM ("

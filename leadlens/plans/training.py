@@ -2,9 +2,10 @@
 on training rows -> three class-balanced classifiers -> evaluation on the
 test rows -> selection by AUC-ROC -> persistence.
 
-Models are Spark ML estimators.  The selected logistic model also scores as a
-native expression (sigmoid of a sum of products over the slot columns), so
-batch and stream scoring stay inside whole-stage codegen.
+The logistic regression is fitted by Newton steps and the boosted trees by second-order
+boosting (operators ``logistic`` and ``boosting``); the forest is Spark ML's.  The logistic
+model scores as a native expression (sigmoid of a sum of products over the slot columns), so
+batch and stream scoring stay inside whole-stage codegen; boosted trees score in Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,13 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.common import sigmoid
 from ..functions.features import add_features
+from ..operators import explain as H
 from ..operators import metrics as M
+from ..operators.boosting import BoostedTrees
+from ..operators.logistic import LogisticModel, NewtonLogistic
 from ..operators.preprocess import Preprocessor
 from ..operators.split import allocation, stratified_split, weight_column
+from ..operators.trees import TreeEnsemble, score_trees
 from ..session import cut_lineage, shared_dir
 
 MODEL_NAMES = ("LogisticRegression", "RandomForest", "GBT")
@@ -47,12 +52,13 @@ class TrainConfig:
 @dataclass
 class TrainedModels:
     preprocessor: Preprocessor
-    models: dict                       # name -> fitted Spark ML model
+    models: dict                       # name -> fitted model
     comparison: DataFrame              # model, auc_roc, avg_precision, best
     best: str
     metadata: dict = field(default_factory=dict)
     reports: dict = field(default_factory=dict)      # name -> class report on the test rows
     pr_curves: dict = field(default_factory=dict)    # name -> precision-recall points on the test rows
+    data: DataFrame | None = None                    # leads with features and split, in the shared folder
 
 
 def comparison(scored: DataFrame, models: list[str], label: str = S.LABEL_COL) -> DataFrame:
@@ -70,24 +76,17 @@ def prepared(df_leads: DataFrame, cfg: TrainConfig) -> DataFrame:
     return stratified_split(add_features(df_leads), test_size=cfg.test_size, seed=cfg.seed)
 
 
-def estimators(cfg: TrainConfig, n_train: int, pos_weight: float) -> dict:
+def estimators(cfg: TrainConfig, slots: list[str]) -> dict:
     est = {}
     if "LogisticRegression" in cfg.models:
-        # same objective as an L2 logistic regression with C and balanced class
-        # weights: sum_i w_i loss_i / sum_i w_i + (1 / (C * sum_i w_i)) * |b|^2 / 2,
-        # and sum_i w_i = n for balanced weights.
-        est["LogisticRegression"] = LogisticRegression(
-            featuresCol="features", labelCol=S.LABEL_COL, weightCol="weight", maxIter=cfg.lr_max_iter,
-            regParam=1.0 / (cfg.lr_c * n_train), elasticNetParam=0.0, standardization=False, tol=1e-6)
+        est["LogisticRegression"] = NewtonLogistic(label=S.LABEL_COL, c=cfg.lr_c, max_iter=cfg.lr_max_iter)
     if "RandomForest" in cfg.models:
         est["RandomForest"] = RandomForestClassifier(
             featuresCol="features", labelCol=S.LABEL_COL, weightCol="weight", numTrees=cfg.rf_trees,
             maxDepth=cfg.rf_max_depth, seed=cfg.seed, maxMemoryInMB=1024,   # more nodes a pass, fewer passes
             cacheNodeIds=True, checkpointInterval=10)
     if "GBT" in cfg.models:
-        est["GBT"] = GBTClassifier(
-            featuresCol="features", labelCol=S.LABEL_COL, weightCol="pos_weight", maxIter=cfg.gbt_iter,
-            stepSize=cfg.gbt_step, maxDepth=cfg.gbt_depth, seed=cfg.seed, checkpointInterval=10)
+        est["GBT"] = BoostedTrees(rounds=cfg.gbt_iter, rate=cfg.gbt_step, depth=cfg.gbt_depth, label=S.LABEL_COL, names=slots)
     return est
 
 
@@ -99,6 +98,16 @@ def positive_probability(col: str = "probability") -> Column:
     return vector_to_array(F.col(col)).getItem(1)
 
 
+def probabilities(model, x: DataFrame, keep: list[str], features: str = "features") -> DataFrame:
+    """``keep`` and the positive-class probability ``score`` by any fitted model over a vector column."""
+    if isinstance(model, LogisticModel):
+        return x.select(*keep, vector_to_array(features).alias("_x")).select(
+            *keep, sigmoid(model.margin(F.col("_x"))).alias("score"))
+    if isinstance(model, TreeEnsemble):
+        return score_trees(x, model, vector_to_array(features), keep)
+    return model.transform(x).select(*keep, positive_probability().alias("score"))
+
+
 def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = None) -> TrainedModels:
     cfg = cfg or TrainConfig()
     shared_dir(spark)  # iterative learners checkpoint into the shared folder
@@ -121,10 +130,10 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
     try:
         tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
         fitted, rows, reports, curves = {}, [], {}, {}
-        for name, est in estimators(cfg, n_train, spw).items():
+        for name, est in estimators(cfg, pp.slot_names()).items():
             model = est.fit(tr)
             fitted[name] = model
-            pred = cut_lineage(model.transform(te).select(S.LABEL_COL, positive_probability().alias("score")))
+            pred = cut_lineage(probabilities(model, te, [S.LABEL_COL]))
             table = cut_lineage(M.curve(pred))
             m = M.auc_ap(pred, table=table).collect()[0]
             reports[name], curves[name] = M.class_report(pred), M.pr_points(pred, table=table)
@@ -141,7 +150,7 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
             "data_treinamento": datetime.now(timezone.utc).isoformat(), "threshold": cfg.threshold,
             "comparacao_modelos": {n: {"auc_roc": a, "avg_precision": p} for n, a, p in rows},
         }
-        return TrainedModels(pp, fitted, comp, best, meta, reports, curves)
+        return TrainedModels(pp, fitted, comp, best, meta, reports, curves, data)
     finally:
         x.unpersist()
 
@@ -165,9 +174,11 @@ def linear_score_expr(pp: Preprocessor, model) -> Column:
 def score_with(pp: Preprocessor, model, df: DataFrame, score_col: str = "score") -> DataFrame:
     """Score raw leads (features are derived here) with any fitted model."""
     feat = add_features(df)
-    if type(model).__name__ == "LogisticRegressionModel":
+    if H.choose_method(model) == "linear":
         return feat.withColumn(score_col, linear_score_expr(pp, model))
     x = pp.transform(feat, keep=feat.columns, vector_col="_features")
+    if isinstance(model, TreeEnsemble):
+        return score_trees(x, model, vector_to_array("_features"), feat.columns, score_col)
     out = model.setFeaturesCol("_features").setProbabilityCol("_prob").setRawPredictionCol("_raw") \
                .setPredictionCol("_pred").transform(x)
     return out.withColumn(score_col, vector_to_array(F.col("_prob")).getItem(1)).drop("_features", "_prob", "_raw", "_pred")

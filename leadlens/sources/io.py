@@ -52,10 +52,19 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def save_model(spark: SparkSession, path: str, preprocessor, model, metadata: dict) -> None:
-    """Preprocessor constants (JSON), the Spark ML model (its own writer) and
-    the metadata record (JSON) under one folder."""
+    """Preprocessor constants (JSON), the model and the metadata record (JSON) under one folder.
+
+    A Spark ML model has its own writer; a logistic model is its coefficients (JSON), a tree
+    ensemble its node table."""
+    kind = type(model).__name__
     _write_text(spark, preprocessor.to_json(), f"{path}/preprocessor")
-    model.write().overwrite().save(f"{path}/model")
+    _write_text(spark, kind, f"{path}/kind")
+    if kind == "LogisticModel":
+        _write_text(spark, model.to_json(), f"{path}/model")
+    elif kind == "TreeEnsemble":
+        model.to_frame(spark).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     meta = dict(metadata)
     meta["model_class"] = type(model).__name__
     _write_text(spark, json.dumps(meta, ensure_ascii=False, default=str), f"{path}/metadata")
@@ -68,7 +77,9 @@ def load_model(spark: SparkSession, path: str):
     from pyspark.ml import classification as C
     from pyspark.ml.util import DefaultParamsReader
 
+    from ..operators.logistic import LogisticModel
     from ..operators.preprocess import Preprocessor
+    from ..operators.trees import TreeEnsemble
     try:
         meta = json.loads(_read_text(spark, f"{path}/metadata"))
     except AnalysisException as e:
@@ -76,5 +87,10 @@ def load_model(spark: SparkSession, path: str):
             raise
         meta = {}
     pp = Preprocessor.from_json(_read_text(spark, f"{path}/preprocessor"))
+    kind = _read_text(spark, f"{path}/kind")
+    if kind == "LogisticModel":
+        return pp, LogisticModel.from_json(_read_text(spark, f"{path}/model")), meta
+    if kind == "TreeEnsemble":
+        return pp, TreeEnsemble.from_frame(spark.read.parquet(f"{path}/model")), meta
     saved = DefaultParamsReader.loadMetadata(f"{path}/model", spark)["class"]   # the class that was saved
     return pp, getattr(C, saved.rpartition(".")[2]).load(f"{path}/model"), meta
