@@ -41,6 +41,13 @@ def scorecard_terms(canal="canal_captacao", responded="respondeu_contato",
     }
 
 
+def safe_terms() -> dict[str, Column]:
+    """The terms as ``try_`` expressions: an input that overflows gives an unknown term, not a failed job."""
+    d = F.try_subtract(F.col("n_tentativas"), F.lit(S.SCORECARD_ATTEMPTS_PEAK))
+    curve = F.lit(S.SCORECARD_ATTEMPTS_CURVE) * F.try_multiply(d, d) + F.lit(S.SCORECARD_ATTEMPTS_BONUS)
+    return {**scorecard_terms(), "n_tentativas": curve}
+
+
 def log_odds(canal="canal_captacao", responded="respondeu_contato", days="dias_sem_contato",
              attempts="n_tentativas", curso="curso_interesse") -> Column:
     t = scorecard_terms(canal, responded, days, attempts, curso)

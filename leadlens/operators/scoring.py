@@ -6,13 +6,13 @@ is the input of the list, lookup, management and message operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.bands import band
 from ..functions.features import add_features
-from ..functions.scorecard import log_odds
+from ..functions.scorecard import log_odds, safe_terms
 from ..functions.common import sigmoid
 from ..sources.leads import leads_view
 
@@ -39,6 +39,32 @@ def default_score(df: DataFrame, value: float = 0.5, label: str = S.CLASS_MID) -
     return df.withColumns({"score": F.lit(float(value)), "classificacao": F.lit(label)})
 
 
+def score_or_default(df: DataFrame, value: float = 0.5, label: str = S.CLASS_MID,
+                     observation: Observation | None = None) -> DataFrame:
+    """Scorecard score row by row: a row that cannot be scored falls back alone.
+
+    ``status`` is ``rejected`` (a value outside its domain: no score), ``degraded`` (an input is
+    missing, or its term fails: the default score and class, with the reasons in ``error``) or
+    ``scored``.  ``observation`` gets the numbers of each status in the same pass."""
+    from .select import validation_rules
+    outside = F.concat_ws(",", *[F.when(cond, F.lit(name)) for name, cond in validation_rules() if not name.startswith("missing_")])
+    terms = safe_terms()
+    failed = F.concat_ws(",", *[F.when(t.isNull(), F.when(F.col(c).isNull(), F.lit(f"missing_{c}")).otherwise(F.lit(f"failed_{c}")))
+                                for c, t in terms.items()])
+    z = ((((F.lit(S.SCORECARD_INTERCEPT) + terms["canal_captacao"]) + terms["respondeu_contato"])
+          + terms["dias_sem_contato"]) + terms["n_tentativas"]) + terms["curso_interesse"]
+    known = df.withColumns({"_outside": outside, "_failed": failed, "_z": z})
+    status = F.when(F.col("_outside") != "", "rejected").when(F.col("_failed") != "", "degraded").otherwise("scored")
+    out = known.withColumn("status", status).withColumns({
+        "error": F.when(F.col("status") == "rejected", F.col("_outside")).when(F.col("status") == "degraded", F.col("_failed")),
+        "score": F.when(F.col("status") == "scored", sigmoid(F.col("_z"))).when(F.col("status") == "degraded", F.lit(float(value)))})
+    out = out.withColumn("classificacao", F.when(F.col("status") == "degraded", F.lit(label)).otherwise(band("score", "right"))) \
+        .drop("_outside", "_failed", "_z")
+    if observation is None:
+        return out
+    return out.observe(observation, *[F.count_if(F.col("status") == s).alias(s) for s in ("scored", "degraded", "rejected")])
+
+
 def _is_set(v) -> bool:
     return v is not None and v != "" and v != S.ALL_OPTION
 

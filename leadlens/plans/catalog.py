@@ -639,6 +639,33 @@ def q_default_score(spark, sf):
     return scoring.default_score(leads_view(spark, sf)).select("lead_id", "score", "classificacao")
 
 
+@register("row_fallback")
+def q_row_fallback(spark, sf):
+    """The faulty leads, some with missing values and some with attempts beyond what the rule can square."""
+    huge = F.when(F.col("lead_id") % 101 == 0, F.lit(2_000_000_000)).otherwise(F.col("n_tentativas"))
+    lost = F.when(F.col("lead_id") % 103 != 0, F.col("dias_sem_contato"))
+    leads = leads_view(spark, sf, dirty=True).withColumns({"n_tentativas": huge, "dias_sem_contato": lost})
+    out = scoring.score_or_default(leads)
+    return out.select("lead_id", "status", "error", r6(F.col("score")).alias("score"), "classificacao")
+
+
+@register("payload_lines")
+def q_payload_lines(spark, sf):
+    """Leads as JSON lines, some cut short, blank, of a wrong type or with an unknown field: each scored or rejected."""
+    from ..sources import payloads
+    k = F.col("lead_id")
+    line = F.to_json(F.struct(*payloads.FIELDS))
+    cut = F.substring(line, F.lit(1), F.length(line) - 9)
+    text = F.regexp_replace(line, '"dias_sem_contato":[0-9]+', '"dias_sem_contato":"soon"')
+    more = F.concat(F.lit('{"utm":"x",'), F.substring(line, F.lit(2), F.length(line)))
+    broken = F.when(k % 97 == 0, cut).when(k % 79 == 0, F.lit(" ")).when(k % 89 == 0, text).when(k % 83 == 0, more).otherwise(line)
+    lines = leads_view(spark, sf).select("lead_id", broken.alias("value"))
+    good, bad = payloads.divided(lines)
+    s = sigmoid(log_odds())
+    scored = good.select("lead_id", F.lit(1).alias("is_valid"), "reasons", "rescued", r6(s).alias("score"), band_left(s).alias("classificacao"))
+    return scored.unionByName(bad.select("lead_id", F.lit(0).alias("is_valid"), "reasons"), allowMissingColumns=True)
+
+
 @register("preview")
 def q_preview(spark, sf):
     return P.preview(leads_view(spark, sf), 5)

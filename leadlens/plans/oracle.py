@@ -547,6 +547,29 @@ def _auc_ap_sql(name: str, key: str) -> str:
             "JOIN scored00 c ON f.lead_id = c.lead_id WHERE f.split = 'test' GROUP BY 1) g) h")
 
 
+# ---------------------------------------------------------------- rows that fail alone, broken payloads
+_FAULTY = [
+    "faulty AS (SELECT * REPLACE (CASE WHEN lead_id % 101 = 0 THEN 2000000000 ELSE n_tentativas END AS n_tentativas, "
+    "CASE WHEN lead_id % 103 <> 0 THEN dias_sem_contato END AS dias_sem_contato) FROM leads)",
+    "reasoned AS (SELECT *, concat_ws(',', CASE WHEN dias_sem_contato < 0 THEN 'negative_dias_sem_contato' END, "
+    "CASE WHEN n_tentativas < 0 THEN 'negative_n_tentativas' END, "
+    "CASE WHEN NOT (respondeu_contato BETWEEN 0 AND 1) THEN 'respondeu_contato_out_of_range' END) AS outside, "
+    "concat_ws(',', CASE WHEN dias_sem_contato IS NULL THEN 'missing_dias_sem_contato' END, "
+    "CASE WHEN CAST(n_tentativas - 2 AS BIGINT) * CAST(n_tentativas - 2 AS BIGINT) > 2147483647 THEN 'failed_n_tentativas' END) AS failed "
+    "FROM faulty)",
+    f"graded AS (SELECT lead_id, CASE WHEN outside <> '' THEN 'rejected' WHEN failed <> '' THEN 'degraded' ELSE 'scored' END AS status, "
+    f"CASE WHEN outside <> '' THEN outside WHEN failed <> '' THEN failed END AS error, CASE WHEN outside <> '' THEN NULL "
+    f"WHEN failed <> '' THEN 5e-1 ELSE {sigmoid_sql(log_odds_sql(att='CAST(n_tentativas AS BIGINT)'))} END AS score FROM reasoned)"]
+sql("row_fallback", with_ctes(
+    f"SELECT lead_id, status, error, round(score, 6) AS score, CASE WHEN status = 'degraded' THEN {q(S.CLASS_MID)} "
+    f"ELSE {band_right_sql()} END AS classificacao FROM graded", _FAULTY, dirty=True))
+_ok = "(lead_id % 97 <> 0 AND lead_id % 79 <> 0 AND lead_id % 89 <> 0)"
+sql("payload_lines", with_ctes(
+    f"SELECT lead_id, CASE WHEN {_ok} THEN 1 ELSE 0 END AS is_valid, CASE WHEN lead_id % 97 = 0 THEN 'malformed' "
+    "WHEN lead_id % 79 = 0 THEN 'empty' WHEN lead_id % 89 = 0 THEN 'bad_type_dias_sem_contato,missing_dias_sem_contato' ELSE '' END AS reasons, "
+    f"CASE WHEN {_ok} AND lead_id % 83 = 0 THEN '{{\"utm\":\"x\"}}' END AS rescued, CASE WHEN {_ok} THEN round(score, 6) END AS score, "
+    f"CASE WHEN {_ok} THEN {band_left_sql()} END AS classificacao FROM scored0"))
+
 # ---------------------------------------------------------------- fitted and fixed models
 NEWTON_STEPS = 9
 _NEWTON = _FIXED + newton_ctes(len(_SLOTS), NEWTON_STEPS)

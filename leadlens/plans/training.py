@@ -2,8 +2,9 @@
 on training rows -> three class-balanced classifiers -> evaluation on the
 test rows -> selection by AUC-ROC -> persistence.
 
-The logistic regression is fitted by Newton steps and the boosted trees by second-order
-boosting (operators ``logistic`` and ``boosting``); the forest is Spark ML's.  The logistic
+The logistic regression is fitted by Newton steps, the boosted trees by second-order boosting
+and the forest without a depth limit (operators ``logistic``, ``boosting``, ``forest``); a forest
+of bounded depth is Spark ML's.  The logistic
 model scores as a native expression (sigmoid of a sum of products over the slot columns), so
 batch and stream scoring stay inside whole-stage codegen; boosted trees score in Arrow batches.
 """
@@ -25,6 +26,7 @@ from ..functions.features import add_features
 from ..operators import explain as H
 from ..operators import metrics as M
 from ..operators.boosting import BoostedTrees
+from ..operators.forest import DeepForest
 from ..operators.logistic import LogisticModel, NewtonLogistic
 from ..operators.preprocess import Preprocessor
 from ..operators.split import allocation, stratified_split, weight_column
@@ -41,7 +43,7 @@ class TrainConfig:
     lr_max_iter: int = 1000
     lr_c: float = 1.0             # inverse regularisation strength (L2)
     rf_trees: int = 200
-    rf_max_depth: int = 30        # the largest depth Spark ML allows; the source's trees have no limit
+    rf_max_depth: int | None = None   # None: no limit, as in the source; a number gives Spark ML's forest
     gbt_iter: int = 200
     gbt_step: float = 0.1
     gbt_depth: int = 5
@@ -80,7 +82,9 @@ def estimators(cfg: TrainConfig, slots: list[str]) -> dict:
     est = {}
     if "LogisticRegression" in cfg.models:
         est["LogisticRegression"] = NewtonLogistic(label=S.LABEL_COL, c=cfg.lr_c, max_iter=cfg.lr_max_iter)
-    if "RandomForest" in cfg.models:
+    if "RandomForest" in cfg.models and cfg.rf_max_depth is None:
+        est["RandomForest"] = DeepForest(trees=cfg.rf_trees, seed=cfg.seed, label=S.LABEL_COL, key=S.ID_COL, names=slots)
+    elif "RandomForest" in cfg.models:
         est["RandomForest"] = RandomForestClassifier(
             featuresCol="features", labelCol=S.LABEL_COL, weightCol="weight", numTrees=cfg.rf_trees,
             maxDepth=cfg.rf_max_depth, seed=cfg.seed, maxMemoryInMB=1024,   # more nodes a pass, fewer passes
