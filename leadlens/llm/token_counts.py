@@ -61,6 +61,16 @@ def words_from(text: str, first: int = 0) -> Iterator[tuple[str, int]]:
         yield w.group(), w.end()
 
 
+def words_of(text: str) -> list[str]:
+    """All pre-tokens of ``text``."""
+    out, at = [], 0
+    for m in added_tokens().finditer(text):
+        out += _pattern().findall(text, at, m.start())
+        out.append(m.group())
+        at = m.end()
+    return out + _pattern().findall(text, at) if at else _pattern().findall(text)
+
+
 class Counter:
     """Token count of a pre-token, remembered up to a bound."""
 
@@ -103,7 +113,7 @@ class PreTokenTree:
 
     @classmethod
     def of(cls, text: str, count: Counter) -> PreTokenTree:
-        words = [w for w, _ in words_from(text)]
+        words = words_of(text)
         runs = [words[a:a + LEAF] for a in range(0, len(words), LEAF)]
         return cls.over([sum(map(len, r)) for r in runs], [sum(map(count, r)) for r in runs])
 
