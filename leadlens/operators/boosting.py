@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow import map_batches, matrix
-from .moments import summed
+from .moments import summed, tasks
 from .trees import TreeEnsemble
 
 
@@ -89,6 +89,7 @@ class BoostedTrees:
     cuts: list[list[float]] | None = None    # for each feature; else quantiles of the rows
     names: list[str] | None = None
     refresh: int = 20
+    _tasks: int | None = None
 
     def fit(self, df: DataFrame) -> TreeEnsemble:
         kind = df.schema[self.features].dataType.simpleString()
@@ -98,6 +99,7 @@ class BoostedTrees:
         if not cuts or max(map(len, cuts)) > 255:
             raise ValueError("between 1 and 255 cuts a feature are needed, for at least one feature")
         table = cut_lineage(self.binned(rows, cuts))
+        self._tasks = tasks(table)
         trees: list[_Tree] = []
         since: list[_Tree] = []
         for r in range(self.rounds):
@@ -183,7 +185,7 @@ class BoostedTrees:
                     out[:, k, f] = np.bincount(where, weights=v, minlength=len(nodes) * width).reshape(len(nodes), width)
             return out.reshape(len(nodes) * 2, d * width)
 
-        total = summed(table, part, (len(nodes) * 2, d * width)).reshape(len(nodes), 2, d, width)
+        total = summed(table, part, (len(nodes) * 2, d * width), self._tasks).reshape(len(nodes), 2, d, width)
         return dict(zip(nodes, total))
 
     def best_split(self, hist: np.ndarray, cuts: list[np.ndarray]):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow import for_workers, lists, map_batches, matrix
-from .moments import summed
+from .moments import summed, tasks
 from .trees import MAX_NODES, TreeEnsemble
 
 POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])   # up to 11 copies
@@ -119,12 +119,14 @@ class DeepForest:
     pass_nodes: int = 128               # large nodes handled in one pass
     bins: int = 64
     names: list[str] | None = None
+    _tasks: int | None = None
 
     def fit(self, df: DataFrame) -> TreeEnsemble:
         kind = df.schema[self.features].dataType.simpleString()
         x = F.col(self.features) if kind == "array<double>" else vector_to_array(self.features)
         rows = cut_lineage(df.select(x.alias("x"), F.col(self.label).cast("double").alias("y"),
                                      F.col(self.weight).cast("double").alias("w"), F.col(self.key).cast("long").alias("k")))
+        self._tasks = tasks(rows)
         shape = rows.agg(F.max(F.size("x")), F.count("*"), F.max(F.exists("x", lambda v: v.isNull() | F.isnan(v)))).first()
         if not shape[1]:
             raise ValueError("no rows to fit")
@@ -199,7 +201,7 @@ class DeepForest:
                             out[slot, k, f] = np.bincount(codes[mine, f], weights=v, minlength=width)
             return out.reshape(len(now) * 3, d * width)
 
-        total = summed(rows, part, (len(now) * 3, d * width)).reshape(len(now), 3, d, width)
+        total = summed(rows, part, (len(now) * 3, d * width), self._tasks).reshape(len(now), 3, d, width)
         return dict(zip(now, total))
 
     def _draw(self):
@@ -237,7 +239,10 @@ class DeepForest:
                 ["tree", "node", "local", "feature", "threshold", "left", "right", "value"]]
 
         spread = map_batches(rows, "tree int, node int, k long, x array<double>, y double, w double", dealt)
-        return for_workers(spread).groupBy("tree", "node").applyInPandas(
+        # a given number of partitions: small in bytes, but each takes long, so they must not be put together
+        spark = rows.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        return for_workers(spread).repartition(n, "tree", "node").groupBy("tree", "node").applyInPandas(
             grown, "tree int, node int, local int, feature int, threshold double, left int, right int, value double")
 
     def ensemble(self, top: list, closed: list, nodes: DataFrame, d: int) -> TreeEnsemble:

@@ -23,8 +23,9 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .arrow import matrix
-from .moments import summed
+from .moments import summed, tasks
 
 
 @dataclass
@@ -63,15 +64,16 @@ class NewtonLogistic:
     def fit(self, df: DataFrame) -> LogisticModel:
         kind = df.schema[self.features].dataType.simpleString()
         x = F.col(self.features) if kind == "array<double>" else vector_to_array(self.features)
-        rows = df.select(x.alias("x"), F.col(self.label).cast("double").alias("y"), F.col(self.weight).cast("double").alias("w"))
+        rows = cut_lineage(df.select(x.alias("x"), F.col(self.label).cast("double").alias("y"),
+                                     F.col(self.weight).cast("double").alias("w")))   # read once a step
         first = rows.select(F.size("x")).first()
         if first is None:
             raise ValueError("no rows to fit")
-        d = first[0]
+        d, n_tasks = first[0], tasks(rows)
         penalty = np.append(np.full(d, 1.0 / self.c), 0.0)
         beta, step, before = np.zeros(d + 1), np.zeros(d + 1), np.inf
         for passes in range(1, self.max_iter + 1):
-            sums = summed(rows, _normal_equations(beta), (d + 3, d + 1))
+            sums = summed(rows, _normal_equations(beta), (d + 3, d + 1), n_tasks)
             if passes == 1 and abs(sums[d + 1, d]) >= 2 * sums[d, d] * (1 - 1e-12):
                 return LogisticModel(Vectors.dense(np.zeros(d)), float(np.copysign(np.inf, sums[d + 1, d])), 1)
             loss = sums[d + 2, 0] + 0.5 * float(penalty @ beta ** 2)

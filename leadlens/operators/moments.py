@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from .arrow import lists, map_batches
 
 BLOCK_ROWS = 64    # rows of a matrix that travel together
+DIRECT_BYTES = 64 << 20   # tasks' results up to this size go straight to the driver
 
 
-def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum of the matrices ``part(batch)`` over all batches of ``df``."""
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int],
+           n_tasks: int | None = None) -> np.ndarray:
+    """The sum of the matrices ``part(batch)`` over all batches of ``df``.
+
+    The tasks' matrices are added up on the driver if all of them together are small, else in a
+    shuffle by block, from which one matrix comes.  ``n_tasks`` is the number of partitions of a
+    materialised ``df`` (see ``tasks``); unknown, the sums are shuffled."""
     starts = range(0, shape[0], BLOCK_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,14 +44,30 @@ def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: t
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), lists(total[a:a + BLOCK_ROWS].reshape(1, -1))],
                                              names=["block", "v"])
 
-    rows = map_batches(df, "block int, v array<double>", run) \
-        .groupBy("block").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()   # one row a block
     out = np.zeros(shape)
-    for r in rows:
-        out[r["block"] * BLOCK_ROWS:(r["block"] + 1) * BLOCK_ROWS] = r["v"].toArray().reshape(-1, shape[1])
+    parts = map_batches(df, "block int, v array<double>", run)
+    if n_tasks is not None and n_tasks * shape[0] * shape[1] * 8 <= DIRECT_BYTES:
+        table = parts.toArrow()
+        found = zip(table["block"].to_pylist(), _vectors(table["v"]))
+    else:
+        rows = parts.groupBy("block").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()   # one row a block
+        found = ((r["block"], r["v"].toArray()) for r in rows)
+    for block, v in found:
+        out[block * BLOCK_ROWS:(block + 1) * BLOCK_ROWS] += v.reshape(-1, shape[1])
     return out
 
 
+def _vectors(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for chunk in column.chunks:
+        for k in range(len(chunk)):
+            yield chunk[k].values.to_numpy()
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions of a materialised table."""
+    return df.rdd.getNumPartitions()
+
+
 def _batch_moments(values: np.ndarray, valid: np.ndarray) -> list[np.ndarray]:
     """Count, mean of i, spread of i and co-moment of i and j, over the rows where i and j are present."""
     some = valid.any(axis=0)
