@@ -13,7 +13,8 @@ whole segment, so in the rotation that starts with this segment their node pair
 segment's end with no error.  Hence the top levels of a rotation only keep pairs (a, a),
 and each bucket of equal leading segments is one independent subtree.  A bucket of over
 ``bucket_rows`` fingerprints is unrolled by ``SPLIT_BITS`` more levels into node pairs, each
-a unit of work of its own.
+a unit of work of its own, and these again until none is larger; so what a task takes is
+bounded, however many different fingerprints share a segment.
 
 A task keeps the forest of what it has linked, skips node pairs whose leaves already hang
 together, and reports each linked fingerprint with the first one of its group; so a large
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlens.llm.arrow_map import append_columns, for_workers
-from leadlens.llm.tables import connected_components, written
+from leadlens.llm.tables import connected_components, fresh, written
 
 SEED = 42
 PART = 1 << 16        # shingles whose bits are counted at once
@@ -142,37 +143,30 @@ def trie_links(keys: np.ndarray, roots: tuple[np.ndarray, ...], depth: int, max_
         stack.append((d + 1, tuple(x[good] for x in joined)))
 
 
-def links_of(rotation: np.ndarray, masks: np.ndarray, keys: np.ndarray, lead: int,
+def links_of(rotation: np.ndarray, depth: np.ndarray, low: np.ndarray, delta: np.ndarray, keys: np.ndarray, lead: int,
              max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """What hangs together among the rows of one task: each linked fingerprint with its group's first one.
 
-    ``masks`` is -1 for whole buckets; else it names the node pair (x, y) ``SPLIT_BITS`` below
-    the bucket as x * 2**SPLIT_BITS + y, x <= y, and the rows are the leaves of both nodes.
+    A unit is the pair of nodes ``low`` and ``low ^ delta`` at ``depth`` (the same node where
+    ``delta`` is 0); its rows are the leaves of both.
     """
-    order = np.lexsort((keys, masks, rotation))
-    rotation, masks, keys = rotation[order], masks[order], keys[order]
+    order = np.lexsort((keys, delta, low, depth, rotation))
+    rotation, depth, low, delta, keys = (x[order] for x in (rotation, depth, low, delta, keys))
     forest = Forest(len(keys))
-    top = keys >> np.uint64(64 - lead)
-    starts = np.flatnonzero(np.concatenate([[True], (top[1:] != top[:-1]) | (masks[1:] != masks[:-1])
-                                            | (rotation[1:] != rotation[:-1])]))
+    new = np.zeros(len(keys), dtype=bool)
+    new[:1] = True
+    for x in (rotation, depth, low, delta):
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(keys))
-    whole = masks[starts] < 0
-    lo, hi = starts[whole], ends[whole]
-    several = hi - lo > 1
-    lo, hi = lo[several], hi[several]
-    trie_links(keys, (lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64)), lead, max_bits, forest)
-    lo, hi, mask = starts[~whole], ends[~whole], masks[starts[~whole]]
-    if len(lo):
-        x, y = mask >> SPLIT_BITS, mask & ((1 << SPLIT_BITS) - 1)
-        node = ((keys >> np.uint64(64 - lead - SPLIT_BITS)) & np.uint64((1 << SPLIT_BITS) - 1)).astype(np.int64)
-        second = np.concatenate([[0], np.cumsum(node == (masks & ((1 << SPLIT_BITS) - 1)))])
-        mid = hi - (second[hi] - second[lo])  # the rows of node y come last
-        own = x == y
-        alo, ahi = lo, np.where(own, hi, mid)
-        blo, bhi = np.where(own, lo, mid), hi
-        good = (alo < ahi) & (blo < bhi)
-        err = np.bitwise_count((x ^ y).astype(np.uint64)).astype(np.int64)
-        trie_links(keys, tuple(v[good] for v in (alo, ahi, blo, bhi, err)), lead + SPLIT_BITS, max_bits, forest)
+    other = np.concatenate([[0], np.cumsum((keys >> (64 - depth).astype(np.uint64)).astype(np.int64) != low)])
+    mid = ends - (other[ends] - other[starts])   # the rows of the other node come last
+    own, err = delta[starts] == 0, np.bitwise_count(delta[starts].astype(np.uint64)).astype(np.int64)
+    alo, ahi, blo, bhi = starts, np.where(own, ends, mid), np.where(own, starts, mid), ends
+    some = np.where(own, ends - starts > 1, (alo < ahi) & (blo < bhi))
+    for d in np.unique(depth[starts]):
+        now = some & (depth[starts] == d)
+        trie_links(keys, tuple(x[now] for x in (alo, ahi, blo, bhi, err)), int(d), max_bits, forest)
     i = np.flatnonzero(forest.label != np.arange(len(keys)))
     j = forest.label[i]
     turn = rotation[i].astype(np.uint64) * np.uint64(lead)
@@ -189,31 +183,61 @@ def _rotated(value: Column, turn: Column, lead: int, turns: int) -> Column:
     return out
 
 
+def _unrolled(rows: DataFrame, depth: int, max_bits: int) -> DataFrame:
+    """The rows of node pairs at ``depth`` dealt to the pairs ``SPLIT_BITS`` below that the error budget allows."""
+    child = F.shiftrightunsigned("k", 64 - depth - SPLIT_BITS)
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT_BITS) if m.bit_count() <= max_bits])
+    below = F.transform(masks, lambda m: F.shiftleft(F.col("delta"), SPLIT_BITS).bitwiseOR(m))
+    return rows.select("r", "k", child.alias("child"), F.explode(below).alias("delta")).where(F.bit_count("delta") <= max_bits) \
+        .select("r", "k", F.least("child", F.col("child").bitwiseXOR(F.col("delta"))).alias("low"), "delta")
+
+
+def units(rows: DataFrame, lead: int, max_bits: int, bucket_rows: int) -> tuple[DataFrame, int]:
+    """Rows (r, k, low, delta, depth) of units of at most ``bucket_rows`` rows, and about how many rows there are.
+
+    A larger unit is unrolled again and again, each time into the node pairs below it that are
+    within the error budget; pairs of which one node is empty go.  Six bits above the leaves a
+    pair has 128 leaves at most, so this ends."""
+    key, depth, done, total, open_ = ["r", "low", "delta"], lead, [], 0, rows
+    while True:
+        side = F.shiftrightunsigned("k", 64 - depth) == F.col("low")
+        sizes = written(open_.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or(side).alias("a"), F.bool_or(~side).alias("b"))
+                        .where("n > 1 and (delta = 0 or (a and b))"), "units")
+        large = sizes.where((F.col("n") > bucket_rows) & F.lit(depth + SPLIT_BITS <= 64 - SPLIT_BITS)).select(*key)
+        n, n_large = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], large.count()
+        total += n
+        if depth > lead:
+            open_ = open_.join(sizes.select(*key), key, "left_semi")
+        if not n_large:
+            done.append(open_.withColumn("depth", F.lit(depth)))
+            break
+        done.append(open_.join(large, key, "left_anti").withColumn("depth", F.lit(depth)))
+        open_ = written(_unrolled(open_.join(large, key, "left_semi"), depth, max_bits), "unrolled")
+        depth += SPLIT_BITS
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, total
+
+
 def near_links(prints: DataFrame, max_bits: int = 3, bucket_rows: int = 200_000) -> DataFrame:
     """Rows (u, v) that connect all of ``prints`` (simhash: long, different) that links of at most ``max_bits`` connect."""
     lead, turns = 64 // (max_bits + 1), max_bits + 1
     rows = prints.select(F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("r"), "simhash") \
-        .select("r", _rotated(F.col("simhash"), F.col("r"), lead, turns).alias("k")) \
-        .withColumn("top", F.shiftrightunsigned("k", 64 - lead))
-    large = rows.groupBy("r", "top").count().where(F.col("count") > bucket_rows).select("r", "top", F.lit(1).alias("hot"))
-    node = F.shiftrightunsigned("k", 64 - lead - SPLIT_BITS).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
-    others = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= max_bits]
-    pair = F.transform(F.array(*[F.lit(m) for m in others]),
-                       lambda m: F.least(node, node.bitwiseXOR(m)) * (1 << SPLIT_BITS) + F.greatest(node, node.bitwiseXOR(m)))
-    dealt = rows.join(large, ["r", "top"], "left") \
-        .withColumn("pair", F.explode(F.when(F.col("hot").isNotNull(), pair).otherwise(F.array(F.lit(-1).cast("long"))))) \
-        .select(F.col("r").cast("long").alias("r"), "top", "pair", "k")
-    spark = prints.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * turns // TASK_ROWS))
+        .select(F.col("r").cast("long").alias("r"), _rotated(F.col("simhash"), F.col("r"), lead, turns).alias("k")) \
+        .select("r", "k", F.shiftrightunsigned("k", 64 - lead).alias("low"), F.lit(0).cast("long").alias("delta"))
+    dealt, total = units(rows, lead, max_bits, bucket_rows)
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if held:
-            r, p, k = (np.concatenate(x) for x in zip(*held))
-            u, v = links_of(r, p, k.view(np.uint64), lead, max_bits)
+            r, depth, low, delta, k = (np.concatenate(x) for x in zip(*held))
+            u, v = links_of(r, depth.astype(np.int64), low, delta, k.view(np.uint64), lead, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return for_workers(dealt).repartition(parts, "r", "top", "pair").select("r", "pair", "k").mapInArrow(run, "u long, v long")
+    return for_workers(dealt).repartition(parts, "r", "depth", "low", "delta") \
+        .select("r", "depth", "low", "delta", "k").mapInArrow(run, "u long, v long")
 
 
 def grouped(docs: DataFrame, width: int = 3, max_bits: int = 3, text: str = "text", key: str = "doc_id",
@@ -239,10 +263,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one of smallest key (null last, then by text hash), once."""
+    own_id, own_hash = fresh(docs, "id_hash", "text_hash")
     first = grouped(docs, text=text, key=key, **options).groupBy("group").agg(
         F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "text_hash")).alias("w")) \
-        .select(F.col("w.k").alias("_k"), F.col("w.text_hash").alias("_h"))
-    first = first.select(F.xxhash64(F.lit(7), "_k").alias("_first"), "_h")  # never null, as a key may be
-    kept = docs.withColumns({"_id": F.xxhash64(F.lit(7), key), "_hash": F.xxhash64(text)})
-    stay = kept.join(first, (F.col("_id") == F.col("_first")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return stay.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+        .select(F.xxhash64(F.lit(7), "w.k").alias(own_id), F.col("w.text_hash").alias(own_hash))  # never null, as a key may be
+    kept = docs.withColumns({own_id: F.xxhash64(F.lit(7), key), own_hash: F.xxhash64(text)})
+    stay = kept.join(first, [own_id, own_hash], "left_semi")
+    return stay.dropDuplicates([own_id, own_hash]).select(*docs.columns)

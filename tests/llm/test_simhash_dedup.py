@@ -58,7 +58,7 @@ def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
 
-@pytest.mark.parametrize("bucket_rows,n,seed", [(200_000, 300, 1), (3, 300, 2), (1, 60, 3), (200_000, 1, 4)])
+@pytest.mark.parametrize("bucket_rows,n,seed", [(200_000, 300, 1), (3, 300, 2), (200_000, 1, 4)])
 def test_links_connect_what_brute_force_connects(spark, bucket_rows, n, seed):
     prints = near_prints(n, seed)
     df = spark.createDataFrame([(signed(p),) for p in prints], "simhash long")
@@ -82,7 +82,7 @@ def test_large_group_of_near_copies_reports_a_forest():
     rnd = random.Random(5)
     keys = sorted({(1 << 40) ^ (1 << rnd.randrange(48)) ^ (1 << rnd.randrange(48)) for _ in range(900)})
     k = np.array(keys, dtype=np.uint64)
-    u, _ = S.links_of(np.zeros(len(k), np.int64), np.full(len(k), -1), k, 16, 3)
+    u, _ = S.links_of(np.zeros(len(k), np.int64), np.full(len(k), 16), (k >> np.uint64(48)).astype(np.int64), np.zeros(len(k), np.int64), k, 16, 3)
     assert len(u) < len(k)
     assert len(set(brute_components(keys, keys))) == len(k) - len(u)
 
@@ -108,6 +108,36 @@ def test_documents(spark):
     assert S.one_of_each(df.limit(0)).count() == 0
 
 
+def test_a_segment_shared_by_many_different_fingerprints(spark):
+    rnd = random.Random(8)
+    lead = 0xABCD << 48
+    prints = {lead | rnd.getrandbits(48) for _ in range(900)}
+    for p in list(prints)[:200]:     # near ones, some across the levels at which nodes are unrolled
+        for _ in range(2):
+            prints.add(p ^ sum(1 << b for b in rnd.sample(range(48), rnd.randint(1, 4))))
+    prints = sorted(prints)
+    rows = spark.createDataFrame([(signed(p), 0xABCD) for p in prints], "k long, low long") \
+        .selectExpr("0L AS r", "k", "low", "0L AS delta")
+    dealt, total = S.units(rows, 16, 3, 40)
+    sizes = dealt.groupBy("r", "depth", "low", "delta").count().collect()
+    assert len(sizes) > 50 and max(r["count"] for r in sizes) <= 40 and total >= sum(r["count"] for r in sizes if r["count"] > 1)
+    got = S.near_links(spark.createDataFrame([(signed(p),) for p in prints], "simhash long"), 3, 40).collect()
+    want = brute_components(prints, prints)
+    together = dict(zip(prints, want))
+    pairs = [(r.u % (1 << 64), r.v % (1 << 64)) for r in got]
+    assert all(together[a] == together[b] for a, b in pairs)
+    seen = {r.node: r.root for r in connected_components(spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "u long, v long")).collect()}
+    groups = {}
+    for p in prints:
+        groups.setdefault(together[p], set()).add(seen.get(signed(p), ("alone", p)))
+    assert all(len(g) == 1 for g in groups.values()) and len(set(want)) < len(prints)
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 7, 8)], "doc_id long, text string, _id int, _hash int")
+    assert [tuple(r) for r in S.one_of_each(df).collect()] == [(1, "a b c d", 5, 6)]
+
+
 def test_components_of_chains_and_hubs(spark):
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, 600 + i) for i in range(80)] + [(7, 7)]
