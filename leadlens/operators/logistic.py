@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import sigmoid
 from ..session import cut_lineage
 from .arrow import matrix
 from .moments import summed, tasks
@@ -42,6 +43,13 @@ class LogisticModel:
             z = z + F.lit(b) * features[k]
         return z
 
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """``df`` with the vector ``probability`` of both classes, as Spark ML's models give it."""
+        kind = df.schema[features].dataType.simpleString()
+        p = sigmoid(self.margin(F.col("_slots")))
+        slots = F.col(features) if kind == "array<double>" else vector_to_array(features)
+        return df.withColumn("_slots", slots).withColumn("probability", array_to_vector(F.array(1 - p, p))).drop("_slots")
+
     def to_json(self) -> str:
         return json.dumps({"coefficients": self.coefficients.toArray().tolist(), "intercept": self.intercept, "passes": self.passes})
 
