@@ -547,6 +547,23 @@ def q_stream_score(spark, sf):
     return out.select("lead_id", r6(F.col("score")).alias("score"), "classificacao")
 
 
+@register("kept_list")
+def q_kept_list(spark, sf):
+    """Three feeds with repeats and late corrections through the stateful stream: the list they leave."""
+    from ..streaming import kept_list as kl
+    kept = kl.run_feeds(spark, kl.event_feeds(leads_view(spark, sf)))
+    return kept.leads().select("lead_id", "n_tentativas", "respondeu_contato", F.dayofmonth("event_time").alias("event_day"),
+                               r6(F.col("score")).alias("score"), "classificacao")
+
+
+@register("kept_cards")
+def q_kept_cards(spark, sf):
+    """The management cards after the same feeds, from the maintained sums only."""
+    from ..streaming import kept_list as kl
+    kept = kl.run_feeds(spark, kl.event_feeds(leads_view(spark, sf)))
+    return _round_cols(kl.cards(kept.sums()), ["value"])
+
+
 # ---------------------------------------------------------------- step 9: exact attribution of a non-additive score
 from ..operators.permutation import exact_attribution  # noqa: E402
 

@@ -456,6 +456,27 @@ sql("script_table", with_ctes(
 # ---------------------------------------------------------------- streaming scoring (same result as batch, left-closed bands)
 sql("stream_score", with_ctes(f"SELECT lead_id, round(score, 6) AS score, {band_left_sql()} AS classificacao FROM scored0"))
 
+_KEPT = [
+    "latest AS (SELECT * REPLACE (CAST(n_tentativas + CASE WHEN lead_id % 5 = 0 THEN 1 WHEN lead_id % 11 = 0 THEN 2 ELSE 0 END AS INTEGER) "
+    "AS n_tentativas, CASE WHEN lead_id % 5 = 0 THEN 1 - respondeu_contato ELSE respondeu_contato END AS respondeu_contato), "
+    "CASE WHEN lead_id % 5 = 0 THEN 3 WHEN lead_id % 11 = 0 THEN 2 ELSE 1 END AS event_day FROM leads)",
+    f"latest_s AS (SELECT *, {sigmoid_sql(log_odds_sql())} AS score FROM latest)",
+    f"kept AS (SELECT *, {band_right_sql()} AS classificacao FROM latest_s)"]
+sql("kept_list", with_ctes("SELECT lead_id, n_tentativas, respondeu_contato, event_day, round(score, 6) AS score, classificacao FROM kept", _KEPT))
+_hi = f"COUNT(*) FILTER (WHERE classificacao = {q(S.CLASS_HIGH)})"
+_pct = f"CASE WHEN COUNT(*) > 0 THEN {_hi} / COUNT(*) * 100 ELSE 0e0 END"
+_heads = [("mean_score", "COUNT(*)", "AVG(score)"), ("focus_share", _hi, _pct), ("effort_saved", f"COUNT(*) - {_hi}", f"100e0 - ({_pct})"),
+          ("focus_mean_score", _hi, f"AVG(score) FILTER (WHERE classificacao = {q(S.CLASS_HIGH)})"),
+          ("response_rate", "COUNT(*)", "SUM(respondeu_contato) / COUNT(*) * 100")]
+_cards = [f"SELECT '{n}' AS card, CAST(NULL AS VARCHAR) AS key, {c} AS leads, {v} AS value FROM kept" for n, c, v in _heads]
+for _c, _k in (("channel", "canal_captacao"), ("course", "curso_interesse")):
+    _mean = f"AS card, {_k} AS key, COUNT(*) AS leads, AVG(score) AS value FROM kept WHERE {_k} IS NOT NULL GROUP BY {_k}"
+    _cards += [f"SELECT 'by_{_c}' {_mean}", f"(SELECT 'best_{_c}' {_mean} ORDER BY AVG(score) DESC, {_k} LIMIT 1)"]
+for _c, _k in (("class", "classificacao"), ("score_bin", "CAST(least(CAST(floor(score * 20) AS INTEGER), 19) AS VARCHAR)")):
+    _cards.append(f"SELECT '{_c}' AS card, key, leads, leads / SUM(leads) OVER () AS value FROM (SELECT {_k} AS key, COUNT(*) AS leads "
+                  f"FROM kept WHERE {_k} IS NOT NULL GROUP BY 1) t")
+sql("kept_cards", with_ctes("SELECT card, key, leads, round(value, 6) AS value FROM (" + " UNION ALL ".join(_cards) + ") t", _KEPT))
+
 # ---------------------------------------------------------------- scoring new leads, explained list
 _valid = "(" + " AND ".join(
     [f"{c} IS NOT NULL" for c in ["canal_captacao", "curso_interesse", "dias_sem_contato", "n_tentativas",
