@@ -110,6 +110,37 @@ def q_lookup_batch(spark, sf):
     return out.select("lead_id", "found", "nome_ficticio", r6(F.col("score")).alias("score"), "classificacao")
 
 
+def _lookup_table(spark, sf):
+    """The scored leads as a table bucketed by id, written for the caller's queries."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources import lookup as L
+    name = f"leads_by_id_{uuid.uuid4().hex[:12]}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    L.save_lookup(scoring.scored_leads(spark, sf), name, scratch_path(spark, "lookup"), buckets)
+    return name
+
+
+@register("lookup_bucketed")
+def q_lookup_bucketed(spark, sf):
+    """The requests of lookup_batch, joined with the table bucketed by id."""
+    from ..sources import lookup as L
+    req = read_table(spark, sf, "orders", ["o_orderkey"]).select((F.col("o_orderkey") * 2 + 1).alias("lead_id"))
+    out = L.lookup(spark, _lookup_table(spark, sf), req)
+    return out.select("lead_id", "found", "nome_ficticio", r6(F.col("score")).alias("score"), "classificacao")
+
+
+@register("lookup_few")
+def q_lookup_few(spark, sf):
+    """The orders of the ten customers of the smallest keys that have any: few ids, read from their buckets."""
+    from ..sources import lookup as L
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).orderBy("o_custkey").limit(10)
+    req = first.select(F.explode(F.array(F.col("k") + 1, -F.col("k") - 1)).alias("lead_id"))
+    out = L.lookup(spark, _lookup_table(spark, sf), req)
+    return out.select("lead_id", "found", "nome_ficticio", r6(F.col("score")).alias("score"), "classificacao")
+
+
 # ---------------------------------------------------------------- step 4: evaluation of the scorecard score
 from ..operators import metrics as M  # noqa: E402
 

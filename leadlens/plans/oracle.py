@@ -69,6 +69,15 @@ sql("lookup_batch", with_ctes(
     "round(s.score, 6) AS score, s.classificacao "
     "FROM (SELECT DISTINCT o_orderkey * 2 + 1 AS lead_id FROM orders) r LEFT JOIN scored s ON r.lead_id = s.lead_id"))
 
+def _lookup_sql(requests: str) -> str:
+    return with_ctes("SELECT r.lead_id, CASE WHEN s.lead_id IS NULL THEN 0 ELSE 1 END AS found, s.nome_ficticio, "
+                     f"round(s.score, 6) AS score, s.classificacao FROM ({requests}) r LEFT JOIN scored s ON r.lead_id = s.lead_id")
+
+
+sql("lookup_bucketed", _lookup_sql("SELECT DISTINCT o_orderkey * 2 + 1 AS lead_id FROM orders"))
+_first = "(SELECT MIN(o_orderkey) AS k FROM orders GROUP BY o_custkey ORDER BY o_custkey LIMIT 10)"
+sql("lookup_few", _lookup_sql(f"SELECT k + 1 AS lead_id FROM {_first} UNION SELECT -k - 1 FROM {_first}"))
+
 # ---------------------------------------------------------------- evaluation of the scorecard score
 _CURVE = [
     "sc AS (SELECT log_odds, MAX(score) AS score, SUM(converteu) AS pos, COUNT(*) - SUM(converteu) AS neg "
