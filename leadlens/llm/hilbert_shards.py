@@ -1,7 +1,7 @@
 """Shards as runs of a Hilbert curve over document metadata.
 
-Several columns are quantised to ``bits`` bits each: numbers at approximate quantiles,
-strings by a hash.  The cell's index on a Hilbert curve is the sort key.  Ties are broken by
+Several columns are quantised to ``bits`` bits each at approximate quantiles, strings by the
+six bytes after their common beginning, so cells keep the order of the values.  The cell's index on a Hilbert curve is the sort key.  Ties are broken by
 the text's checksum and the key, so equal texts of one cell stay together.  The sorted rows are cut
 into ``shards`` runs, of equal row counts (law ``rows``) or of equal bytes (law ``bytes``).  A
 run covers a compact region in all dimensions, so a file's ranges exclude it for most filters.
@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.llm.arrow_map import append_columns, without
-from leadlens.llm.tables import written
+from leadlens.llm.arrow_map import append_columns
+from leadlens.llm.tables import fresh, written
 
 OVERHEAD = 8  # bytes a row takes besides its text
+PREFIX = 1000  # characters in which a common beginning of a column's strings is looked for
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -55,20 +56,37 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _common_prefix(low: str, high: str) -> int:
+    """Length in bytes of what all strings from ``low`` to ``high`` begin with."""
+    a, b = low.encode(), high.encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _ordinal(c: str, skip: int) -> Column:
+    """The six bytes after the first ``skip`` as a number; strings that share those bytes keep their order."""
+    part = F.hex(F.substring(F.encode(F.col(c), "utf-8"), skip + 1, 6))
+    return F.when(F.col(c).isNotNull(), F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double"))
+
+
 def _cells(docs: DataFrame, numbers: list[str], strings: list[str], bits: int) -> list[Column]:
-    """The quantised dimensions, 0 for null."""
+    """A cell from 1 for each value, 0 for null, in the order of the values.
+
+    Cells are cut at quantiles and spread over the whole range, so that a column of few values
+    decides the first turns of the curve, not only the last."""
     top = (1 << bits) - 1
-    steps = [i / top for i in range(1, top)]
-    cuts = docs.agg(*[F.percentile_approx(F.col(c).cast("double"), steps, 10_000).alias(f"q{i}")
-                      for i, c in enumerate(numbers)]).first() if numbers else ()
+    head = [F.substring(F.col(c), 1, PREFIX) for c in strings]
+    ends = docs.agg(*[f(h).alias(f"e{i}{n}") for i, h in enumerate(head) for n, f in (("a", F.min), ("b", F.max))]).first() if strings else ()
+    skips = [_common_prefix(ends[2 * i] or "", ends[2 * i + 1] or "") for i in range(len(strings))]
+    values = [F.col(c).cast("double") for c in numbers] + [_ordinal(c, n) for c, n in zip(strings, skips)]
+    steps = [i / top for i in range(1, top + 1)]
+    cuts = docs.agg(*[F.percentile_approx(v, steps, 10_000).alias(f"q{i}") for i, v in enumerate(values)]).first() if values else ()
     out = []
-    for c, at in zip(numbers, cuts):
-        value, cell = F.col(c).cast("double"), F.lit(1)
-        for i, cut in enumerate(sorted(set(at or []))):
-            cell = F.when(value > cut, i + 2).otherwise(cell)
-        out.append(F.when(value.isNull(), 0).otherwise(cell))
-    for c in strings:
-        out.append(F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(top)) + 1))
+    for v, at in zip(values, cuts):
+        at = sorted(set(at or []))[:-1]     # nothing lies beyond the largest
+        cell = F.lit(1)
+        for i, cut in enumerate(at):
+            cell = F.when(v > cut, 1 + (i + 1) * top // (len(at) + 1)).otherwise(cell)
+        out.append(F.when(v.isNull(), 0).otherwise(cell))
     return out
 
 
@@ -126,20 +144,22 @@ def assign(docs: DataFrame, shards: int = 24, law: str = "rows", numbers: tuple[
 def write_shards(docs: DataFrame, path: str, shards: int = 24, law: str = "rows", key: str = "doc_id", **options) -> DataFrame:
     """Write ``docs`` as one folder a shard and return the manifest: each shard's rows, bytes and column ranges.
 
-    Rows of equal key go to the same shard: that of the first of them on the curve.
+    Rows of equal key go to the same shard: that of the first of them on the curve.  Every column of
+    ``docs`` is written; where one is called ``shard``, the folders' column is ``shard_``.
     """
-    docs = without(docs, ["shard", "slot", "hilbert", "size"])
+    part, slot = fresh(docs, "shard", "_slot")
     placed = assign(docs, shards, law, key=key, **options).groupBy(key).agg(
         F.min_by(F.struct("shard", "slot"), F.struct("shard", "slot")).alias("p"))
     out = docs.alias("d").join(placed.alias("a"), F.col(f"d.{key}").eqNullSafe(F.col(f"a.{key}"))) \
-        .select("d.*", F.col("a.p.shard").alias("shard"), F.col("a.p.slot").alias("_slot"))
-    out.repartition("shard", F.floor(F.col("_slot") / 100_000)).sortWithinPartitions("shard", "_slot").drop("_slot") \
-        .write.partitionBy("shard").parquet(path)
+        .select("d.*", F.col("a.p.shard").alias(part), F.col("a.p.slot").alias(slot))
+    out.repartition(part, F.floor(F.col(slot) / 100_000)).sortWithinPartitions(part, slot).drop(slot) \
+        .write.partitionBy(part).parquet(path)
     written_rows = docs.sparkSession.read.parquet(path)
-    ranged = [c for c, t in written_rows.dtypes if c != "shard" and t in ("string", "bigint", "int", "double", "date", "timestamp")
+    ranged = [c for c, t in written_rows.dtypes if c != part and t in ("string", "bigint", "int", "double", "date", "timestamp")
               and c != options.get("text", "text")]
-    return written_rows.groupBy("shard").agg(
-        F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in ranged for n, f in (("min", F.min), ("max", F.max))])
+    return written_rows.groupBy(F.col(part).alias("_part")).agg(
+        F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in ranged for n, f in (("min", F.min), ("max", F.max))]) \
+        .withColumnRenamed("_part", "shard")
 
 
 def prune(manifest: DataFrame, **ranges: tuple) -> DataFrame:

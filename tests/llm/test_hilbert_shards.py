@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadlens.llm import hilbert_shards as H
 
@@ -66,3 +67,48 @@ def test_written_shards_prune(spark, tmp_path):
     hit = {r.shard for r in H.prune(manifest, doc_id=(40, 60)).collect()}
     assert {r.shard for r in back.where("doc_id between 40 and 60").select("shard").distinct().collect()} <= hit
     assert len(hit) < 24
+
+
+def test_filters_read_few_shards(spark):
+    """Every language and source is looked for in the shards that hold it, and at most two more; a tenth of a number in two thirds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    placed = docs.join(H.assign(docs, 24).select("doc_id", "shard"), "doc_id").drop("text").cache()
+    manifest = placed.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "doc_id", "n_chars")
+                                             for n, f in (("min", F.min), ("max", F.max))]).toPandas().set_index("shard")
+    seen = placed.toPandas()
+
+    def hit(c, low, high):
+        return int(((manifest[f"max_{c}"] >= low) & (manifest[f"min_{c}"] <= high)).sum())
+
+    for c in ("lang", "source"):
+        for v in seen[c].unique():
+            assert hit(c, v, v) <= seen.loc[seen[c] == v, "shard"].nunique() + 2
+    assert hit("lang", "es", "es") <= 10 and hit("lang", "fr", "fr") <= 10
+    for c in ("doc_id", "n_chars"):
+        at = seen[c].quantile([i / 10 for i in range(11)]).to_list()
+        # the tenth in the middle lies on both sides of the curve's first turn
+        assert all(hit(c, a, b) <= 16 for i, (a, b) in enumerate(zip(at, at[1:])) if i != 4)
+    placed.unpersist()
+
+
+def test_string_cells_keep_the_order(spark):
+    words = ["", "a", "ab", "b", "é", "zz", "zzz", "\u4e2d\u6587", None]
+    for prefix in ("", "https://x.example/", "\u00e9" * 1200):
+        texts = [w if w is None else prefix + w for w in words for _ in range(5)]
+        df = spark.createDataFrame([(t,) for t in texts], "s string")
+        got = {r.s: r.c for r in df.select("s", H._cells(df, [], ["s"], 5)[0].alias("c")).distinct().collect()}
+        assert len(got) == 9 and got[None] == 0
+        order = sorted((t for t in got if t is not None), key=lambda t: t.encode())
+        cells = [got[t] for t in order]
+        assert cells == sorted(cells) and 1 <= min(cells) and max(cells) <= 31
+
+
+def test_written_shards_keep_clashing_columns(spark, tmp_path):
+    cols = ["shard", "size", "slot", "hilbert", "_slot", "rows"]
+    df = frame(spark, [r for r in ROWS if r[0] is not None]).withColumns({c: F.col("doc_id") * (i + 2) for i, c in enumerate(cols)})
+    manifest = H.write_shards(df, str(tmp_path / "out"), 24)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*df.columns, "shard_"}
+    assert back.select(df.columns).exceptAll(df).count() == 0 and back.count() == df.count()
+    assert manifest.agg(F.sum("rows")).first()[0] == df.count()
+    assert {r.shard for r in manifest.collect()} == {r.shard_ for r in back.select("shard_").distinct().collect()}
