@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +131,8 @@ def proposed_spans(text: str | None, taken: list[tuple[str, int, int]]) -> list[
     if not text:
         return []
     digit, out = DIGIT.search(text) is not None, []
+    held = sorted((a, b) for _, a, b in taken)
+    starts, ends = [a for a, _ in held], list(accumulate((b for _, b in held), max))
     for kind in KINDS[len(BASE):]:
         if (kind in ("phone_local", "national_id", "secret", "account") and not digit
                 or kind == "email_spelt" and "(at)" not in text and "[at]" not in text):
@@ -137,7 +141,8 @@ def proposed_spans(text: str | None, taken: list[tuple[str, int, int]]) -> list[
             a, b = m.span()
             if kind == "secret" and (not DIGIT.search(m.group()) or _digits(m.group()) == m.group()):
                 continue
-            if all(b <= x or a >= y for _, x, y in taken):
+            before = bisect_left(starts, b)     # base spans that start before this one ends
+            if not before or ends[before - 1] <= a:
                 out.append((kind, a, b))
     return out
 
@@ -241,8 +246,12 @@ class SpanModel:
     prior: float = 0.0
     votes: np.ndarray | None = None
 
+    def __post_init__(self):
+        codes = np.arange(int(np.prod(list(SIZES.values()))))
+        self.accepted = None if self.weights is None else _design(codes) @ self.weights > 0
+
     def accepts(self, feature: int) -> bool:
-        return self.weights is not None and float((_design(np.array([feature])) @ self.weights)[0]) > 0
+        return self.accepted is not None and bool(self.accepted[feature])
 
 
 def _design(codes: np.ndarray) -> np.ndarray:

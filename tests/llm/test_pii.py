@@ -54,6 +54,35 @@ def test_long_runs_take_linear_time(text):
     assert time.time() - began < 10
 
 
+def test_many_spans_in_one_text():
+    text = "".join(f"me{i}@host{i}.org, token: 04dbebab91ab85687d33{i:06d} and " for i in range(25_000))
+    began = time.time()
+    base = P.base_spans(text)
+    more = P.proposed_spans(text, base)
+    assert len(base) >= 25_000 and len(base) + len(more) >= 50_000
+    assert time.time() - began < 20
+
+
+def test_proposed_spans_touch_no_base_span():
+    rnd = random.Random(5)
+    parts = ["me@host.org ", "128.212.154.77 ", "token: 04dbebab91ab85687d33eeaa ", "4111 1111 1111 1111 ", "+1 743 555 3824 ",
+             "743 555 3824 ", "123-45-6789 ", "me (at) host.org ", "account 12345678901234 ", "Mr John Smith ", "x"]
+    for _ in range(500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        base = P.base_spans(text)
+        free = P.proposed_spans(text, [])
+        wanted = [s for s in free if all(s[2] <= a or s[1] >= b for _, a, b in base)]
+        assert P.proposed_spans(text, base) == wanted
+
+
+def test_accepted_codes_equal_the_weights_decision():
+    rnd = np.random.default_rng(3)
+    model = P.SpanModel(rnd.normal(size=sum(P.SIZES.values())))
+    for code in rnd.integers(0, int(np.prod(list(P.SIZES.values()))), 200):
+        assert model.accepts(int(code)) == (float((P._design(np.array([code])) @ model.weights)[0]) > 0)
+    assert not P.SpanModel(None).accepts(3)
+
+
 def test_em_finds_the_reliable_labelers():
     rnd = np.random.default_rng(2)
     truth = rnd.random(5000) < 0.3
