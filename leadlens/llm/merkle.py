@@ -9,15 +9,16 @@ section leads to the first differing paragraph.
 
 Below the paragraphs, leaves are sentences (pieces of one line between ``.!?``, of at most
 160 characters), known by 8 hex digits.  The likeness of two trees is the Dice coefficient
-of their different leaves: 1 for equal texts (also two without leaves), 0 with none in common.
+of their different leaves, of their different paragraphs if neither has a leaf: 1 for equal texts,
+0 with none in common.
 
 The next document by id comes without a sort of the whole table: ids are cut into buckets
-at approximate quantiles, a bucket's rows meet in one window, and the first row of each bucket
+at approximate quantiles, one cut a bucket, so clumped ids spread as even ones; a bucket's rows meet in one window, and the first row of each bucket
 is copied to the bucket before it.  So each text is shuffled once.  The copied rows' ids, one
 a bucket, are all that is broadcast.
 
 Defined cases: a null text counts as empty: one empty paragraph, no leaf.  Null ids come
-first.  Rows of equal id are ordered by text.  A single row follows itself.  An empty table
+first.  Rows of equal id are ordered by text, all of them in one bucket.  A single row follows itself.  An empty table
 gives no rows.
 """
 
@@ -26,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadlens.operators.common import attach_one_row
+from leadlens.operators.ordered import count_below
+
 LEAF_CHARS = 160
 LEAF = rf"[^.!?\n]{{1,{LEAF_CHARS}}}"
-COARSE = 32  # quantile segments of the ids, each cut further at equal widths
 
 
 def _let(value: Column, use) -> Column:
@@ -70,9 +73,11 @@ def fingerprint(sec: Column, leaf: Column) -> Column:
                        F.array_join(leaf, ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+def likeness(a: Column, b: Column, par_a: Column, par_b: Column) -> Column:
+    """Dice coefficient of two trees' leaves, or of their paragraphs (there always is one) if neither has a leaf."""
+    def dice(x: Column, y: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)))
+    return F.when(F.size(a) + F.size(b) == 0, dice(par_a, par_b)).otherwise(dice(a, b))
 
 
 def _first_difference(a: Column, b: Column) -> Column:
@@ -91,23 +96,21 @@ def first_edit(par_a: Column, sec_a: Column, par_b: Column, sec_b: Column) -> Co
         s + _first_difference(F.slice(par_a, s + 1, F.size(par_a)), F.slice(par_b, s + 1, F.size(par_b)))))
 
 
+def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """``docs`` with ``_bucket``, which rises with ``_at``: one cut at each quantile, so that buckets hold about equal numbers
+    of rows whatever the values.  Rows of one value share a bucket."""
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    cuts = docs.agg(F.expr(f"percentile_approx(_at, array({probs}), {max(10_000, 20 * buckets)})").alias("_cuts"))
+    return attach_one_row(docs, cuts).withColumn("_bucket", count_below(F.col("_cuts"), F.col("_at"), buckets)).drop("_cuts")
+
+
 def with_next(docs: DataFrame, columns: list[str], make=None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``next_<c>`` for each of ``columns``: those of the next row by (key, text), after the last the first.
 
     ``make``, if given, adds columns after the shuffle and before the rows meet.
     """
     docs = docs.withColumn("_at", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("_at", [i / COARSE for i in range(COARSE + 1)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or [0]))
-    each = max(1, buckets // len(cuts))
-    bucket = F.lit(0)
-    for i, low in enumerate(cuts):
-        width = (cuts[i + 1] - low if i + 1 < len(cuts) else 1) / each
-        inside = F.least(F.greatest(F.floor((F.col("_at") - F.lit(low)) / F.lit(float(width))), F.lit(0)), F.lit(each - 1))
-        bucket = F.when(F.col("_at") >= low, (inside + i * each).cast("int")).otherwise(bucket)
-    docs = docs.withColumn("_bucket", bucket)
+    docs = bucketed(docs, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     firsts = docs.groupBy("_bucket").agg(F.min("_at").alias("_at"))
     order = Window.orderBy("_bucket")
     copied = F.broadcast(firsts.select(  # one row a bucket, so of bounded size
@@ -129,7 +132,7 @@ def with_next(docs: DataFrame, columns: list[str], make=None, key: str = "doc_id
 def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text: the second half taken from the next document's start."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    led = with_next(rows, ["text", "leaf"], lambda d: with_tree(d, "text", ""), key)
+    led = with_next(rows, ["text", "par", "leaf"], lambda d: with_tree(d, "text", ""), key)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = led.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half),
                                                F.substring(F.col("next_text"), F.lit(1), half)))
@@ -138,8 +141,8 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
         key, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sec"), F.col("leaf")).alias("fingerprint"),
         fingerprint(F.col("e_sec"), F.col("e_leaf")).alias("edited_fingerprint"),
-        likeness(F.col("leaf"), F.col("e_leaf")).alias("near_edited"),
-        likeness(F.col("leaf"), F.col("next_leaf")).alias("near_next"),
+        likeness(F.col("leaf"), F.col("e_leaf"), F.col("par"), F.col("e_par")).alias("near_edited"),
+        likeness(F.col("leaf"), F.col("next_leaf"), F.col("par"), F.col("next_par")).alias("near_next"),
         first_edit(F.col("par"), F.col("sec"), F.col("e_par"), F.col("e_sec")).cast("long").alias("edit_paragraph"))
 
 
@@ -157,9 +160,11 @@ _DIGESTS = """
 _PRINT = """concat_ws('/', sha256(array_to_string({p}sec, '')),
   array_to_string(list_transform({p}sec, lambda s: substr(s, 1, 16)), ''), array_to_string({p}leaf, ''))"""
 
-_LIKE = """CASE WHEN len(list_distinct({a})) + len(list_distinct({b})) = 0 THEN 1.0::DOUBLE
-  ELSE 2.0::DOUBLE * len(list_intersect(list_distinct({a}), list_distinct({b})))
-       / (len(list_distinct({a})) + len(list_distinct({b}))) END"""
+_DICE = """2.0::DOUBLE * len(list_intersect(list_distinct({a}), list_distinct({b})))
+       / (len(list_distinct({a})) + len(list_distinct({b})))"""
+
+_LIKE = "CASE WHEN len({a}leaf) + len({b}leaf) = 0 THEN " + _DICE.format(a="{a}par", b="{b}par") + " ELSE " + \
+    _DICE.format(a="{a}leaf", b="{b}leaf") + " END"
 
 #: DuckDB twin of ``compare_with_edited`` over a table ``documents`` with different ids.
 SQL = f"""
@@ -175,7 +180,7 @@ ended AS (SELECT *, {_SECTIONS.format(p='a_')}, {_SECTIONS.format(p='e_')} FROM
 hashed AS (SELECT *, {_DIGESTS.format(p='a_')}, {_DIGESTS.format(p='e_')} FROM ended)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256,
        {_PRINT.format(p='a_')} AS fingerprint, {_PRINT.format(p='e_')} AS edited_fingerprint,
-       {_LIKE.format(a='a_leaf', b='e_leaf')} AS near_edited, {_LIKE.format(a='a_leaf', b='n_leaf')} AS near_next,
+       {_LIKE.format(a='a_', b='e_')} AS near_edited, {_LIKE.format(a='a_', b='n_')} AS near_next,
        CAST(list_filter(range(0, greatest(len(a_par), len(e_par)) + 1),
          lambda i: i = greatest(len(a_par), len(e_par)) OR a_par[i + 1] IS DISTINCT FROM e_par[i + 1])[1] AS BIGINT) AS edit_paragraph
 FROM hashed

@@ -28,8 +28,9 @@ def plain_print(t):
 
 
 def plain_like(a, b):
-    x, y = set(plain_tree(a)[2]), set(plain_tree(b)[2])
-    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+    a, b = plain_tree(a), plain_tree(b)
+    x, y = (set(a[2]), set(b[2])) if a[2] or b[2] else (set(a[0]), set(b[0]))
+    return 2 * len(x & y) / (len(x) + len(y))
 
 
 def plain(rows):
@@ -46,7 +47,7 @@ def plain(rows):
 
 
 ROWS = [(3, "one. two three!\nfour\n\nfive?"), (9, None), (4, ""), (4, "é🙂 ü\nb"), (4, "é🙂 ü\nb"), (None, "null id"), (None, "a"),
-        (-5, "x" * 1000), (10 ** 15, "far away. " * 3000)] + [(100 + i, "\n".join(f"paragraph {i % 5} {k}. more {k}" for k in range(40))) for i in range(60)]
+        (-5, "x" * 1000), (60, "..."), (61, "??!!"), (62, "??!!"), (63, "...\n??!!"), (10 ** 15, "far away. " * 3000)] + [(100 + i, "\n".join(f"paragraph {i % 5} {k}. more {k}" for k in range(40))) for i in range(60)]
 
 
 def test_documents(spark):
@@ -77,3 +78,23 @@ def test_an_inserted_paragraph_changes_one_section(spark):
         (M.root(F.col("a_sec")) == M.root(F.col("b_sec"))).alias("same"),
         M.first_edit(F.col("a_par"), F.col("a_sec"), F.col("a_par"), F.col("a_sec")).alias("none")).first()
     assert row.changed == 1 and row.all > 10 and row.at == 100 and not row.same and row.none == 200
+
+
+def test_texts_without_a_sentence_are_compared_by_paragraphs(spark):
+    rows = [(1, "..."), (2, "??!!"), (3, "??!!"), (4, "??!!\n..."), (5, "")]
+    got = {r.doc_id: r.near_next for r in M.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 2 / 3, 4: 0.0, 5: 0.0}
+
+
+def test_clumped_ids_spread_over_the_buckets(spark):
+    clumped = spark.range(40_000).select((F.col("id") % 20 * (1 << 40) + F.floor(F.col("id") / 20)).alias("_at"))
+    for at in (clumped, spark.range(40_000).select((F.col("id") * F.col("id")).alias("_at"))):
+        sizes = {r["_bucket"]: r["count"] for r in M.bucketed(at, 64).groupBy("_bucket").count().collect()}
+        assert max(sizes.values()) <= 2 * 40_000 / 64 and sum(sizes.values()) == 40_000
+        ends = M.bucketed(at, 64).groupBy("_bucket").agg(F.min("_at").alias("a"), F.max("_at").alias("b")).orderBy("_bucket").collect()
+        assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    hot = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).cast("long").alias("_at"))
+    sizes = {r["_bucket"]: (r["n"], r["d"]) for r in M.bucketed(hot, 30).groupBy("_bucket").agg(
+        F.count("*").alias("n"), F.count_distinct("_at").alias("d")).collect()}
+    assert all(n <= 2 * 300 for n, d in sizes.values() if n - d < 3000 - 1)   # all buckets but that of the repeated id
+    assert M.bucketed(hot.limit(0), 30).count() == 0
