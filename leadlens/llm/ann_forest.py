@@ -258,7 +258,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         "tree", "unit", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).alias("block"),
         F.lit(False).alias("query"), "vec_id", "leaf", F.lit(None).cast("binary").alias("visits"), "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but long work for each row
-    asked = held.where("query").groupBy("vec_id").agg(F.min("vec").alias("vec")).repartition(parts, "vec_id")
+    asked = held.where("query").groupBy("vec_id").agg(F.min("vec").alias("vec")) \
+        .repartition(parts, F.xxhash64("vec_id"))  # by vec_id alone, it would fold into the aggregate's exchange and be coalesced
     sent = append_columns(asked, [T.StructField("to", T.ArrayType(to))], walk) \
         .select("vec_id", "vec", F.inline("to")).join(blocks, ["tree", "unit"]) \
         .select("tree", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"),

@@ -74,3 +74,12 @@ def test_rows_that_take_no_part(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_the_walk_has_an_exchange_of_its_own(spark):
+    """The queries walk the trees in as many tasks as the session has shuffle partitions."""
+    df = spark.createDataFrame(made(500, 4, 1), "vec_id long, embedding array<float>")
+    plan = A.nearest(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    own = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line and "xxhash64" in line]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert own and all(f", {parts})" in line for line in own)
