@@ -10,8 +10,10 @@ a window over that small table; one window partitioned by (group, bucket) finish
 
 ``exact_quantiles`` brackets and selects: a sketch bounds each wanted order statistic from
 below and above, one aggregation counts the rows under the bracket and the values inside
-it, and the exact rank is found among those few values.  It reads the input twice and
-shuffles counts only.
+it, and the exact rank is found among those few values.  A bracket that may hold over
+``BRACKET_ROWS`` rows is sketched again inside, each time to about 1/200 of its rows, so the
+window over its values never has more.  It reads the input twice, and once more for each
+further sketch, and shuffles counts only.
 
 Results are exact whatever the sketches say: they only decide how the work is spread.
 """
@@ -26,6 +28,7 @@ from .common import attach_one_row
 
 POINTS = 1000              # equally spaced quantile points kept of each group
 BROADCAST_GROUPS = 10_000  # tables of one row a group are broadcast up to this many rows
+BRACKET_ROWS = 200_000     # rows between the ends of a bracket, above which it is sketched again
 
 
 def default_buckets(spark) -> int:
@@ -92,24 +95,59 @@ def running_totals(df: DataFrame, order: list[Column], key: Column, sums: dict[s
     return joined.withColumns(new).select(*df.columns, *new)
 
 
+def sketched(value: Column | str) -> Column:
+    """The equally spaced quantile points of a column, each off by at most 1/10 of their distance."""
+    return F.percentile_approx(value, [i / POINTS for i in range(POINTS + 1)], 10 * POINTS)
+
+
+def bracket_rows(n: int) -> int:
+    """At most so many of n sketched rows lie between the ends of a bracket: five steps, and the sketch's error."""
+    return 6 * n // POINTS
+
+
+def _narrowed(points: Column, n: Column, at: Column, low: Column, high: Column) -> list[Column]:
+    """``low`` and ``high`` of the ranks about ``at`` among ``n`` sketched rows; an end beyond the points stays as given."""
+    # the ranks lie between grid points; one more on each side covers the sketch's error
+    left = F.floor(F.floor(at) / n * POINTS).cast("int") - 1
+    right = F.ceil((F.ceil(at) + 1) / n * POINTS).cast("int") + 1
+    return [F.when(left < 0, low).otherwise(F.get(points, left)).alias("low"),
+            F.when(right > POINTS, high).otherwise(F.get(points, right)).alias("high")]
+
+
+def _sketched_again(src: DataFrame, wanted: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """The brackets of ``wanted`` narrowed by a sketch of the values between their ends, and the rows of the largest sketch.
+
+    Rows equal to an end are counted, not sketched: however many they are, they are one value."""
+    each = join_groups(src, wanted, by).select(*by, "_v", F.explode("_t").alias("t")).where("_v <= t.high")
+    between = (F.col("_v") > F.col("t.low")) & (F.col("_v") < F.col("t.high"))
+    inside = each.groupBy(*by, F.col("t").alias("t")).agg(
+        F.count_if(F.col("_v") <= F.col("t.low")).alias("_under"), F.count_if(between).alias("_n"),
+        sketched(F.when(between, F.col("_v"))).alias("_points"))
+    at, n, low, high = F.col("t.at") - F.col("_under"), F.col("_n"), F.col("t.low"), F.col("t.high")
+    first, last = _narrowed(F.col("_points"), n, at, low, high)
+    ends = [F.when(F.floor(at) >= n, high).when((n == 0) | (F.ceil(at) < 0), low).otherwise(first).alias("low"),
+            F.when(F.ceil(at) < 0, low).when((n == 0) | (F.floor(at) >= n), high).otherwise(last).alias("high")]
+    out = cut_lineage(inside.select(*by, "_n", F.struct("t.prob", "t.at", *ends).alias("t")).groupBy(*by).agg(
+        F.max("_n").alias("_n"), F.collect_list("t").alias("_t")))   # one entry a probability
+    return out, out.agg(F.max("_n")).first()[0] or 0
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """(by..., prob, quantile): exact quantiles with linear interpolation between order
     statistics (the 'linear' definition), nulls ignored; no row for a group without values."""
     by = list(by or [])
     src = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    grid = [i / POINTS for i in range(POINTS + 1)]
-    sketch = cut_lineage(src.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", grid, 10 * POINTS).alias("_points")).where("_n > 0"))
+    sketch = cut_lineage(src.groupBy(*by).agg(F.count("*").alias("_n"), sketched("_v").alias("_points")).where("_n > 0"))
     target = []
     for p in probs:
         at = (F.col("_n") - 1) * F.lit(float(p))
-        # the ranks lie between grid points; one more on each side covers the sketch's error (NaN is the largest value)
-        left = F.floor(F.floor(at) / F.col("_n") * POINTS).cast("int") - 1
-        right = F.ceil((F.ceil(at) + 1) / F.col("_n") * POINTS).cast("int") + 1
-        target.append(F.struct(F.lit(float(p)).alias("prob"), at.alias("at"),
-                               F.when(left < 0, F.lit(float("-inf"))).otherwise(F.get("_points", left)).alias("low"),
-                               F.when(right > POINTS, F.lit(float("nan"))).otherwise(F.get("_points", right)).alias("high")))
-    wanted = cut_lineage(sketch.select(*by, F.array(*target).alias("_t")))
+        ends = _narrowed(F.col("_points"), F.col("_n"), at, F.lit(float("-inf")), F.lit(float("nan")))   # NaN is the largest value
+        target.append(F.struct(F.lit(float(p)).alias("prob"), at.alias("at"), *ends))
+    wanted = cut_lineage(sketch.select(*by, "_n", F.array(*target).alias("_t")))
+    rows = wanted.agg(F.max("_n")).first()[0] or 0
+    while bracket_rows(rows) > BRACKET_ROWS:
+        wanted, rows = _sketched_again(src, wanted, by)
+    wanted = wanted.select(*by, "_t")
     hits = join_groups(src, wanted, by).select(*by, "_v", F.explode("_t").alias("t")).where("_v <= t.high")
     counts = hits.groupBy(*by, F.col("t.prob").alias("prob"), F.col("t.at").alias("_at"),
                           F.when(F.col("_v") >= F.col("t.low"), F.col("_v")).alias("_in")) \

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from .profile import quantiles_long
 
+MAX_CATEGORIES = 10_000   # different values of all categorical columns; more are refused when fitting
+
 
 @dataclass
 class Preprocessor:
@@ -45,7 +47,9 @@ class Preprocessor:
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in self.categorical])))
         vc = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        rows = vc.collect()   # the categories are part of the model
+        rows = vc.limit(MAX_CATEGORIES + 1).collect()   # the categories are part of the model
+        if len(rows) > MAX_CATEGORIES:
+            raise ValueError(f"over {MAX_CATEGORIES} different values in the categorical columns {self.categorical}")
         self.modes, self.categories = {}, {}
         for c in self.categorical:
             vals = [(r["value"], r["n"]) for r in rows if r["column"] == c]

@@ -7,7 +7,8 @@ is floor(n_c * n_train / n) plus one for the classes with the largest remainders
 class value).
 
 The t_c-th key of each class is found exactly by bracket and select: one pass gives the class
-sizes and a sketch of the keys, a second one ranks only the keys inside the class's bracket.
+sizes and a sketch of the keys, a second one ranks only the keys inside the class's bracket; a
+bracket that may hold over ``ordered.BRACKET_ROWS`` rows is sketched again before.
 The split itself is then a comparison with one key for each class: no shuffle, no window.
 """
 
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .ordered import POINTS
+from . import ordered
+from .ordered import POINTS, bracket_rows, sketched
 
 
 def order_key(id_col: str = S.ID_COL, seed: int = 42) -> Column:
@@ -54,22 +56,40 @@ def allocate_test(counts: dict, test_size: float = 0.2) -> dict:
     return {c: counts[c] - fl[c] for c in counts}
 
 
+def _narrowed(points: list | None, n: int, at: int, low: int, high: int) -> tuple[int, int]:
+    """A bracket that surely holds the rank ``at`` among ``n`` sketched keys (see exact_quantiles)."""
+    if at < 0 or not n:   # at the lower end, or nothing between the ends
+        return low, low if at < 0 else high
+    if at >= n:
+        return high, high
+    left, right = math.floor(at / n * POINTS) - 1, math.ceil((at + 1) / n * POINTS) + 1
+    return points[left] if left >= 0 else low, points[right] if right <= POINTS else high
+
+
 def cut_offs(df: DataFrame, label: str = S.LABEL_COL, test_size: float = 0.2, seed: int = 42,
              id_col: str = S.ID_COL) -> dict:
     """{class: (order key, id) of the last test row}, null-free; classes without a test row are absent.
 
-    Two passes over (label, id); one row for each class reaches the driver each time."""
+    Two passes over (label, id), and one more for each further sketch; one row for each class reaches
+    the driver each time."""
     keyed = df.select(label, id_col, order_key(id_col, seed).alias("_h")).withColumn("_p", _prefix52(F.col("_h")))
-    rows = keyed.groupBy(label).agg(F.count("*").alias("n"), F.percentile_approx(
-        "_p", [i / POINTS for i in range(POINTS + 1)], 10 * POINTS).alias("points")).collect()
+    rows = keyed.groupBy(label).agg(F.count("*").alias("n"), sketched("_p").alias("points")).collect()
     test_n = allocate_test({r[label]: r["n"] for r in rows}, test_size)
-    low, high, wanted = {}, {}, {c: t - 1 for c, t in test_n.items() if t}
-    for r in rows:
-        if r[label] in wanted:   # a bracket that surely holds the wanted rank (see exact_quantiles)
-            at = wanted[r[label]] / r["n"] * POINTS
-            left, right = math.floor(at) - 1, math.ceil(at + POINTS / r["n"]) + 1
-            low[r[label]] = r["points"][left] if left >= 0 else -1
-            high[r[label]] = r["points"][right] if right <= POINTS else 1 << 52
+    wanted = {c: t - 1 for c, t in test_n.items() if t}
+    low, high, under = {c: -1 for c in wanted}, {c: 1 << 52 for c in wanted}, {c: 0 for c in wanted}
+    while True:
+        for r in rows:
+            if r[label] in wanted:
+                c = r[label]
+                low[c], high[c] = _narrowed(r["points"], r["n"], wanted[c] - under[c], low[c], high[c])
+        if bracket_rows(max((r["n"] for r in rows), default=0)) <= ordered.BRACKET_ROWS:
+            break
+        p, a, b = F.col("_p"), _at_class(label, low), _at_class(label, high)
+        between = (p > a) & (p < b)
+        rows = keyed.where(p < b).groupBy(label).agg(
+            F.count_if(between).alias("n"), F.count_if(~between).alias("under"),
+            sketched(F.when(between, p)).alias("points")).collect()
+        under.update({r[label]: r["under"] for r in rows if r[label] in wanted})
     inside = F.col("_p") >= _at_class(label, low)
     counts = keyed.where(F.col("_p") <= _at_class(label, high)).groupBy(
         label, F.when(inside, F.struct("_h", F.col(id_col).alias("id"))).alias("_in")).agg(F.count("*").alias("_c"))

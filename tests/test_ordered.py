@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leadlens.operators import ordered
 from leadlens.operators.ordered import exact_quantiles, running_totals
-from leadlens.operators.split import allocate_test, stratified_split
+from leadlens.operators.split import allocate_test, cut_offs, stratified_split
 
 
 def test_quantiles_match_linear_interpolation(spark):
@@ -102,3 +103,37 @@ def test_split_takes_the_smallest_keys_of_each_class(spark):
     for c in counts:
         ordered = sorted((hashlib.md5(f"{i}|42".encode()).hexdigest(), i) for i, x in rows if x == c)
         assert {i for _, i in ordered[:test[c]]} == {i for i, x in rows if x == c and got[i] == "test"}
+
+
+@pytest.mark.parametrize("bound", [0, 20])
+def test_wide_brackets_are_sketched_again(spark, monkeypatch, bound):
+    """The quantiles stay exact, with heavy values, infinities and brackets down to no row between their ends."""
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", bound)
+    again = []
+    step = ordered._sketched_again
+    monkeypatch.setattr(ordered, "_sketched_again", lambda src, wanted, by: again.append(1) or step(src, wanted, by))
+    rng = np.random.default_rng(5)
+    n = 12_000
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, n), "v": rng.normal(size=n), "part": np.round(rng.normal(size=n), 1)})
+    pdf.loc[::3, "v"] = 0.25      # a third of all rows in one value
+    pdf.loc[:20, "v"] = float("-inf")
+    df = spark.createDataFrame(pdf).repartition(3).cache()
+    probs = [0.0, 0.001, 0.25, 0.5, 0.6, 0.999, 1.0]
+    for value in ("v", "part"):
+        for by in ([], ["g"]):
+            for r in exact_quantiles(df, value, probs, by=by).collect():
+                own = np.sort(pdf[pdf.g == r["g"]][value] if by else pdf[value])
+                at = r["prob"] * (len(own) - 1)
+                a, b = own[int(np.floor(at))], own[int(np.ceil(at))]
+                want = a if a == b else a + (b - a) * (at - np.floor(at))
+                assert r["quantile"] == want or abs(r["quantile"] - want) < 1e-9, (value, by, r)
+    assert len(again) >= 4
+
+
+@pytest.mark.parametrize("bound", [0, 2])
+def test_split_with_brackets_sketched_again(spark, monkeypatch, bound):
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(3000)] + [(None, 1)] * 50
+    df = spark.createDataFrame(rows, "lead_id long, converteu int").repartition(3)
+    want = cut_offs(df)
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", bound)
+    assert cut_offs(df) == want
