@@ -39,8 +39,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         w.format(fmt).save(path)
 
 
-def write_leads(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    write_table(df.select(*[f.name for f in S.LEADS_SCHEMA.fields]), path, fmt)
+def write_leads(df: DataFrame, path: str, fmt: str = "csv", byte_order_mark: bool = True) -> None:
+    """Lead file with the lead schema's columns.
+
+    A CSV file starts with a UTF-8 byte-order mark, as spreadsheet programs want it: the mark is the
+    first character of the header, so each part file has it."""
+    first, *rest = [f.name for f in S.LEADS_SCHEMA.fields]
+    mark = "\ufeff" if fmt == "csv" and byte_order_mark else ""
+    write_table(df.select(df[first].alias(mark + first), *rest), path, fmt)
 
 
 def _write_text(spark: SparkSession, text: str, path: str) -> None:

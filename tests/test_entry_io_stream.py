@@ -1,11 +1,14 @@
+import os
 import shutil
 import tempfile
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from leadlens import schema as S
 from leadlens.sources.io import load_model, read_leads, save_model, write_leads
 from leadlens.sources.leads import leads_view
 from leadlens.streaming.score_stream import run_scoring_stream, score_frame
@@ -34,6 +37,25 @@ def test_csv_roundtrip(spark):
     assert back.exceptAll(leads).count() == 0 and leads.exceptAll(back).count() == 0
 
 
+@pytest.mark.parametrize("mark", [True, False])
+def test_csv_byte_order_mark(spark, mark):
+    """Every part file starts with the mark and its first column keeps its name; the reader takes both kinds."""
+    d = tempfile.mkdtemp(prefix="leadlens-test-")
+    leads = leads_view(spark, SF_SMALL)
+    write_leads(leads.repartition(3), f"{d}/leads", byte_order_mark=mark)
+    parts = [f for f in os.listdir(f"{d}/leads") if f.endswith(".csv")]
+    assert len(parts) >= 1
+    n = 0
+    for f in parts:
+        with open(f"{d}/leads/{f}", "rb") as file:
+            assert file.read(3) == "\ufeff".encode() if mark else file.read(3) != "\ufeff".encode()
+        table = pd.read_csv(f"{d}/leads/{f}", encoding="utf-8-sig")
+        assert list(table.columns) == [c.name for c in S.LEADS_SCHEMA.fields]
+        n += len(table)
+    back = read_leads(spark, f"{d}/leads")
+    assert n == leads.count() == back.count() and back.exceptAll(leads).count() == 0
+
+
 def test_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="leadlens-test-")
     leads = leads_view(spark, SF_SMALL)
