@@ -1,6 +1,6 @@
 """Training plan: features -> exact stratified split -> preprocessing fitted
-on training rows -> three class-balanced classifiers -> evaluation on the
-test rows -> selection by AUC-ROC -> persistence.
+on training rows -> three class-balanced classifiers, fitted at the same time -> evaluation
+on the test rows -> selection by AUC-ROC -> persistence.
 
 The logistic regression is fitted by Newton steps, the boosted trees by second-order boosting
 and the forest without a depth limit (operators ``logistic``, ``boosting``, ``forest``); a forest
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -32,6 +33,7 @@ from ..operators.preprocess import Preprocessor
 from ..operators.split import allocation, stratified_split, weight_column
 from ..operators.trees import TreeEnsemble, score_trees
 from ..session import cut_lineage, shared_dir
+from .at_once import run_at_once
 
 MODEL_NAMES = ("LogisticRegression", "RandomForest", "GBT")
 
@@ -49,6 +51,7 @@ class TrainConfig:
     gbt_depth: int = 5
     models: tuple = MODEL_NAMES
     threshold: float = 0.6        # decision threshold stored in the metadata
+    at_once: bool = True          # fit the models at the same time, or one after the other
 
 
 @dataclass
@@ -133,16 +136,20 @@ def train_all(spark: SparkSession, leads: DataFrame, cfg: TrainConfig | None = N
     x = x.select(S.ID_COL, S.LABEL_COL, "split", "features", "weight", "pos_weight").persist()
     try:
         tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
-        fitted, rows, reports, curves = {}, [], {}, {}
-        for name, est in estimators(cfg, pp.slot_names()).items():
+
+        def job(est):
             model = est.fit(tr)
-            fitted[name] = model
             pred = cut_lineage(probabilities(model, te, [S.LABEL_COL]))
             table = cut_lineage(M.curve(pred))
             m = M.auc_ap(pred, table=table).collect()[0]
-            reports[name], curves[name] = M.class_report(pred), M.pr_points(pred, table=table)
-            auc, ap = m["auc"], m["avg_precision"]
-            rows.append((name, auc, ap))
+            return model, m["auc"], m["avg_precision"], M.class_report(pred), M.pr_points(pred, table=table)
+
+        jobs = {name: partial(job, est) for name, est in estimators(cfg, pp.slot_names()).items()}
+        x.count()   # held before the fits start, so that none computes it beside another
+        results = run_at_once(spark, jobs) if cfg.at_once else {name: fit() for name, fit in jobs.items()}
+        fitted = {n: r[0] for n, r in results.items()}
+        rows = [(n, r[1], r[2]) for n, r in results.items()]
+        reports, curves = {n: r[3] for n, r in results.items()}, {n: r[4] for n, r in results.items()}
         best = max(rows, key=lambda r: (r[1] if r[1] is not None else -1.0))[0]
         comp = spark.createDataFrame([(n, a, p, n == best) for n, a, p in rows],
                                      "model string, auc_roc double, avg_precision double, best boolean")
