@@ -13,8 +13,10 @@ Fitting uses a bounded sample of the labelled rows that are not held out: about
 rows of each language, chosen by a hash of ``doc_id``, with texts of ``min_chars`` to
 ``max_chars`` characters.  A language with fewer of these is filled up with longer texts, the
 shortest first and whole, to ``per_lang * max_chars`` characters in all, and then with shorter
-ones; any language with a letter in a labelled text has a row at least, however long.  The
-sample is all that reaches the driver.  Scoring covers every whole text: a batch becomes a
+ones; any learned language has a row at least, however long.  With many languages ``max_rows``
+rows are shared out evenly, ``landmarks`` is the number in all, and the ``max_labels`` most
+frequent labels are learned, so a dirty label column cannot grow the sample, which is all that
+reaches the driver.  Scoring covers every whole text: a batch becomes a
 presence matrix, which is multiplied with the landmark matrix and then with the coefficients.
 
 Defined cases: null text, empty text or a text without letters gives ``und`` with score 0;
@@ -185,6 +187,8 @@ def train(texts: list[str], labels: list[str], landmarks: int = 160, max_n: int
         return KernelModel([], max_n, np.empty(0, np.uint64), np.empty((0, 0), np.uint8), np.empty((0, 0)), np.empty(0))
     each = max(1, landmarks // len(langs))
     chosen = [i for lang in langs for i in [j for j, x in enumerate(labels) if x == lang][:each]]
+    if len(chosen) > landmarks:   # more languages than landmarks: the first ones of all
+        chosen = sorted(chosen)[:landmarks]
     grams = [text_grams(texts[i], max_n) for i in chosen]
     vocab = np.unique(np.concatenate(grams))
     bits = np.array([np.isin(vocab, g, assume_unique=True) for g in grams])
@@ -228,19 +232,23 @@ def sample_cuts(sizes: dict[int, tuple[int, int, float]], rows: int, chars: int)
 
 def fit(docs: DataFrame, per_lang: int = 512, landmarks: int = 160, max_n: int = 3,
         min_chars: int = 100, max_chars: int = 4000, text: str = "text", lang: str = "lang",
-        key: str = "doc_id") -> KernelModel:
-    """Learn from rows with a label that are not held out (see the module text for the sample)."""
+        key: str = "doc_id", max_labels: int = 1000, max_rows: int = 8192) -> KernelModel:
+    """Learn from rows with a label that are not held out (see the module text for the sample).
+
+    The ``max_labels`` most frequent labels are learned (ties: smallest), from about ``max_rows``
+    rows in all, shared out evenly, and at least one a label."""
     size = F.length("t")
     longer = F.lit(2) + F.floor(2 * F.log2(size / max_chars)).cast("int")
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         F.col("l").isNotNull() & ~held_out(F.col("k")) & F.col("k").isNotNull() & F.col("t").rlike(LETTER)) \
         .withColumn("class", F.when(size < min_chars, SHORT).when(size <= max_chars, INSIDE).otherwise(longer)) \
         .withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    sizes: dict[str, dict[int, tuple[int, int, float]]] = {}
-    for r in usable.groupBy("l", "class").agg(F.count("*").alias("n"), F.sum(size).alias("chars"),
-                                              F.min("u").alias("first")).collect():
-        sizes.setdefault(r["l"], {})[r["class"]] = (r["n"], r["chars"], r["first"])
-    cuts = [(name, c, cut) for name, of in sizes.items() for c, cut in sample_cuts(of, per_lang, per_lang * max_chars).items()]
+    classes = usable.groupBy("l", "class").agg(F.count("*").alias("n"), F.sum(size).alias("chars"), F.min("u").alias("first"))
+    frequent = classes.groupBy("l").agg(F.sum("n").alias("n"), F.collect_list(F.struct("class", "n", "chars", "first")).alias("of")) \
+        .orderBy(F.desc("n"), "l").limit(max_labels).collect()   # a label's length classes are few: they grow with the logarithm
+    rows_each = max(1, min(per_lang, max_rows // max(1, len(frequent))))
+    cuts = [(r["l"], c, cut) for r in frequent for c, cut in
+            sample_cuts({s["class"]: (s["n"], s["chars"], s["first"]) for s in r["of"]}, rows_each, rows_each * max_chars).items()]
     if not cuts:
         return train([], [], landmarks, max_n)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, class int, cut double"))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,18 @@ def test_no_gram_leaves_the_kernel(monkeypatch, slot_bits, columns):
         for x, value in zip(land, row):
             both, a, b = common(t, x)
             assert value == pytest.approx(len(both) / max(1, len(a & vocab) * len(b)) ** 0.5, abs=1e-6)
+
+
+def test_many_labels_stay_within_the_bounds(spark, monkeypatch):
+    """Whatever the number of labels, rows, labels and landmarks of the fit are bounded."""
+    rows = [(1000 * i + j, f"text of the label number {i} written {j} times over " * 3, f"l{i:03d}")
+            for i in range(200) for j in range(12 if i % 4 else 8)]
+    seen = {}
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda texts, labels, *a: seen.update(texts=texts, labels=labels) or train(texts, labels, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, landmarks=20, max_labels=50, max_rows=150)
+    learned = {i: sum(zlib.crc32(str(d).encode()) % 4 != 2 for d, _, x in rows if x == i) for i in {r[2] for r in rows}}
+    assert model.langs == sorted(sorted(learned, key=lambda i: (-learned[i], i))[:50])
+    assert 50 <= len(seen["texts"]) <= 300 and len(model.landmarks) == 20
+    assert all(p.lang_pred in model.langs for p in langid.annotate(docs, model).collect())
