@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,5 +29,9 @@ def clip(c, lo, hi) -> Column:
     return F.least(F.greatest(as_col(c), F.lit(lo)), F.lit(hi))
 
 
-def sigmoid(x) -> Column:
+def sigmoid(x) -> Column | np.ndarray:
+    """Of a column (or its name), or of the numbers of an array."""
+    if isinstance(x, np.ndarray):
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-x))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(x)))

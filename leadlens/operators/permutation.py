@@ -21,14 +21,19 @@ no window, no join, no all-pairs product.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .arrow import map_batches
+
+LINK_ROWS = 1024    # rows whose links are computed together
+
 
 def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFrame], features: list[str],
                             background: DataFrame, n_permutations: int = 2, seed: int = 42,
@@ -78,35 +83,58 @@ def permutation_attribution(df: DataFrame, predict: Callable[[DataFrame], DataFr
                 .agg((F.sum("g.v") / F.lit(float(n_permutations * nb))).alias("impact")))
 
 
-def _mean_score(own: Column, pairs: Column, link: Callable[[Column], Column]) -> Column:
-    return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * link(own + p["c"]))
-
-
-def exact_attribution(df: DataFrame, terms: dict[str, Column], background: DataFrame, link: Callable[[Column], Column],
+def exact_attribution(df: DataFrame, terms: dict[str, Column], background: DataFrame, link: Callable[[np.ndarray], np.ndarray],
                       intercept: float = 0.0, id_col: str = S.ID_COL) -> DataFrame:
     """(id, feature, impact): exact Shapley values of ``link(intercept + sum of terms)``.
 
     A coalition's value is the mean over the background of the score with the other features
-    taken from there; of those only the sum of terms matters, a literal for each background
-    row (equal ones counted once).  All 2^d values are computed inside the row: no explode of
-    background rows, no shuffle.  An unknown term makes the lead's values null.
+    taken from there; of those only the sum of terms matters, one number for each background
+    row (equal ones counted once).  The rows are spread evenly over tasks, as each takes 2^d
+    times the background's size of links; a task computes them for a batch of rows at a time, so
+    ``link`` is a function of numpy arrays, applied to each element.  An unknown term makes the
+    lead's values null.
     """
     names, d = list(terms), len(terms)
-    rows = background.select(*[t.cast("double").alias(f"t{j}") for j, t in enumerate(terms.values())]).collect()
+    columns = [t.cast("double").alias(f"t{j}") for j, t in enumerate(terms.values())]
+    rows = background.select(*columns).collect()
     if not rows:
         raise ValueError("empty background")
-    values = []
+    others = []     # of each coalition: the background's sums of the other terms, and their shares
     for mask in range(1 << d):
         rest = Counter(sum((r[j] for j in range(d) if not mask >> j & 1), intercept) for r in rows
                        if all(r[j] is not None for j in range(d) if not mask >> j & 1))
         n = sum(rest.values())
-        pairs = F.expr("array(" + ", ".join(   # one expression to parse, not a column object for each number
-            f"named_struct('c', {float(c)!r}D, 'w', {k / n!r}D)" for c, k in sorted(rest.items())) + ")")
-        values.append(_mean_score(sum((F.col(f"_t{j}") for j in range(d) if mask >> j & 1), F.lit(0.0)), pairs, link))
+        others.append((np.array(sorted(rest)), np.array([rest[c] / n for c in sorted(rest)])))
     weight = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
-    out = df.select(id_col, *[t.cast("double").alias(f"_t{j}") for j, t in enumerate(terms.values())]) \
-        .withColumn("_v", F.array(*values))
-    impact = lambda j: sum((F.lit(weight[m.bit_count()]) * (F.col("_v")[m | 1 << j] - F.col("_v")[m])
-                            for m in range(1 << d) if not m >> j & 1), F.lit(0.0))
-    return out.select(id_col, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), impact(j).alias("impact"))
+
+    def impacts(t: np.ndarray) -> np.ndarray:
+        values = np.empty((1 << d, len(t)))
+        for mask, (c, w) in enumerate(others):
+            own = sum((t[:, j] for j in range(d) if mask >> j & 1), np.zeros(len(t)))
+            values[mask] = link(own[:, None] + c) @ w if len(c) else np.nan
+        out = np.zeros((len(t), d))
+        for j in range(d):
+            for m in range(1 << d):
+                if not m >> j & 1:
+                    out[:, j] += weight[m.bit_count()] * (values[m | 1 << j] - values[m])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINK_ROWS):
+                part = batch.slice(at, LINK_ROWS)
+                given = [part.column(f"t{j}") for j in range(d)]
+                known = np.all([v.is_valid().to_numpy(zero_copy_only=False) for v in given], axis=0)
+                if not all(len(c) for c, _ in others):    # a coalition that no background row can complete
+                    known[:] = False
+                found = impacts(np.column_stack([v.to_numpy(zero_copy_only=False).astype(float) for v in given]))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), *[pa.array(v, mask=~known) for v in found.T]],
+                                                 names=[id_col, *[f"i{j}" for j in range(d)]])
+
+    spark = df.sparkSession
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    spread = df.select(id_col, *columns).repartition(n_tasks)    # a given number: small in bytes, but long to compute
+    kind = df.schema[id_col].dataType.simpleString()
+    out = map_batches(spread, f"`{id_col}` {kind}, " + ", ".join(f"i{j} double" for j in range(d)), run)
+    return out.select(id_col, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"i{j}").alias("impact"))
                                                  for j, n in enumerate(names)])))
