@@ -134,6 +134,6 @@ def choose_method(model) -> str:
     name = type(model).__name__
     if name in ("LogisticModel", "LogisticRegressionModel", "LinearRegressionModel", "LinearSVCModel"):
         return "linear"
-    if name in ("TreeEnsemble", "RandomForestClassificationModel", "GBTClassificationModel", "DecisionTreeClassificationModel"):
+    if name in ("TreeEnsemble", "StoredTrees", "RandomForestClassificationModel", "GBTClassificationModel", "DecisionTreeClassificationModel"):
         return "tree"
     return "permutation"

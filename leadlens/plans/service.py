@@ -27,7 +27,7 @@ from ..operators import messages as MSG
 from ..operators import scoring
 from ..operators.permutation import permutation_attribution
 from ..operators.preprocess import Preprocessor
-from ..operators.trees import TreeEnsemble, from_spark_model, top_impacts, tree_impacts
+from ..operators.trees import StoredTrees, TreeEnsemble, from_spark_model, top_impacts, tree_impacts
 from ..session import cut_lineage
 from .training import linear_score_expr, score_with
 
@@ -42,7 +42,7 @@ class LeadService:
     means: dict
     background: DataFrame
     metadata: dict
-    trees: TreeEnsemble | None = None     # the node table of a tree ensemble
+    trees: TreeEnsemble | StoredTrees | None = None     # the node table of a tree ensemble
 
     @classmethod
     def start(cls, spark: SparkSession, leads: DataFrame, preprocessor: Preprocessor, model,
@@ -55,7 +55,7 @@ class LeadService:
             scored = MSG.with_explanations(scored, terms, means)
         trees = None
         if H.choose_method(model) == "tree":
-            trees = model if isinstance(model, TreeEnsemble) else from_spark_model(spark, model, preprocessor.slot_names())
+            trees = model if isinstance(model, (TreeEnsemble, StoredTrees)) else from_spark_model(spark, model, preprocessor.slot_names())
         return cls(spark, preprocessor, model, cut_lineage(scored), terms, means, background, metadata or {}, trees)
 
     def attributions(self, leads: DataFrame, id_col: str = S.ID_COL, n_permutations: int = 2) -> DataFrame:

@@ -67,7 +67,7 @@ def save_model(spark: SparkSession, path: str, preprocessor, model, metadata: di
     _write_text(spark, kind, f"{path}/kind")
     if kind == "LogisticModel":
         _write_text(spark, model.to_json(), f"{path}/model")
-    elif kind == "TreeEnsemble":
+    elif kind in ("TreeEnsemble", "StoredTrees"):
         model.to_frame(spark).write.mode("overwrite").parquet(f"{path}/model")
     else:
         model.write().overwrite().save(f"{path}/model")
@@ -85,7 +85,7 @@ def load_model(spark: SparkSession, path: str):
 
     from ..operators.logistic import LogisticModel
     from ..operators.preprocess import Preprocessor
-    from ..operators.trees import TreeEnsemble
+    from ..operators.trees import StoredTrees, TreeEnsemble
     try:
         meta = json.loads(_read_text(spark, f"{path}/metadata"))
     except AnalysisException as e:
@@ -98,5 +98,7 @@ def load_model(spark: SparkSession, path: str):
         return pp, LogisticModel.from_json(_read_text(spark, f"{path}/model")), meta
     if kind == "TreeEnsemble":
         return pp, TreeEnsemble.from_frame(spark.read.parquet(f"{path}/model")), meta
+    if kind == "StoredTrees":
+        return pp, StoredTrees.from_frame(spark.read.parquet(f"{path}/model")), meta
     saved = DefaultParamsReader.loadMetadata(f"{path}/model", spark)["class"]   # the class that was saved
     return pp, getattr(C, saved.rpartition(".")[2]).load(f"{path}/model"), meta

@@ -85,3 +85,20 @@ def test_one_class_and_no_rows(spark):
     assert (model.sums(x) > 0).all()
     with pytest.raises(ValueError):
         BoostedTrees(rounds=1).fit(df.limit(0))
+
+
+def test_a_pass_is_one_job_over_held_blocks_of_enough_rows(spark, monkeypatch):
+    from leadlens.operators import boosting as B
+    x, y, w = made(5)
+    seen, histograms = [], BoostedTrees.histograms
+    monkeypatch.setattr(BoostedTrees, "histograms", lambda self, blocks, *a: seen.append(
+        (blocks.is_cached, blocks.getNumPartitions())) or histograms(self, blocks, *a))
+    df, kw = frame(spark, x, y, w), dict(rounds=3, depth=2, cuts=[[1.0, 4.0], [0.0], [0.0], [0.0]], refresh=2)
+    few = BoostedTrees(**kw).fit(df)
+    assert set(seen) == {(True, 1)}          # five small partitions, one task
+    seen.clear()
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    many = BoostedTrees(**kw).fit(df)
+    assert set(seen) == {(True, 5)} and (few.feature == many.feature).all() and np.allclose(few.value, many.value)
+    monkeypatch.setattr(B, "DIRECT_BYTES", 0)   # sums met in tasks
+    assert np.allclose(BoostedTrees(**kw).fit(df).value, many.value)

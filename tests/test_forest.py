@@ -84,3 +84,73 @@ def test_defined_cases(spark):
         FO.DeepForest(trees=1).fit(frame(spark, x, np.zeros(3)).limit(0))
     with pytest.raises(ValueError):
         FO.DeepForest(trees=1).fit(frame(spark, x * np.nan, np.zeros(3)))
+
+
+def test_a_forest_of_more_nodes_than_one_broadcast_stays_in_a_table_and_scores_the_same(spark, monkeypatch):
+    from leadlens.operators import trees as TT
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = (rng.random(300) < 0.4).astype(float)
+    df = frame(spark, x, y)
+    est = FO.DeepForest(trees=5, local_rows=100, bins=16)
+    whole = est.fit(df)
+    assert isinstance(whole, FO.TreeEnsemble)
+    monkeypatch.setattr(TT, "MAX_NODES", len(whole.feature) // 2)
+    stored = est.fit(df)
+    assert isinstance(stored, FO.StoredTrees) and len(stored.ranges()) > 1 and sum(stored.sizes) == len(whole.feature)
+    for e in (stored, FO.StoredTrees.from_frame(stored.to_frame(spark))):
+        got = {r.lead_id: r.score for r in TT.score_trees(df, e, F.col("features"), ["lead_id"]).collect()}
+        assert [got[i] for i in range(300)] == whole.sums(x).tolist()
+        some = df.where("lead_id < 8")
+        impacts = {r.lead_id: r.impacts for r in TT.tree_impacts(some, e, some, F.col("features"), ["lead_id"]).collect()}
+        assert np.allclose([impacts[i] for i in range(8)], whole.impacts(x[:8], x[:8]))
+
+
+def plain_subtree(x, y, w, tried, seed):
+    """One feature and one node at a time, on the values themselves."""
+    out, todo = [], [(np.arange(len(y)), None)]
+    while todo:
+        rows, parent = todo.pop()
+        at, one, all_ = len(out), float(w[rows] @ y[rows]), float(w[rows].sum())
+        out.append([-1, 0.0, -1, -1, one / all_])
+        if parent is not None:
+            out[parent[0]][parent[1]] = at
+        if one <= 0 or one >= all_:
+            continue
+        best, seen = None, 0
+        for f in np.random.default_rng([seed, 0, at]).permutation(x.shape[1]):
+            v = np.unique(x[rows, f])
+            if len(v) < 2 or seen == tried:
+                continue
+            seen += 1
+            for low, high in zip(v, v[1:]):
+                left = rows[x[rows, f] <= low]
+                a, b = w[left].sum(), w[left] @ y[left]
+                cost = FO._gini(b, a) + FO._gini(one - b, all_ - a)
+                if best is None or cost < best[0] - 1e-12:
+                    best = (cost, f, low + (high - low) / 2)
+        if best is None:
+            continue
+        out[at][:2] = [int(best[1]), float(best[2])]
+        low = x[rows, best[1]] <= best[2]
+        todo += [(rows[~low], (at, 3)), (rows[low], (at, 2))]
+    return [tuple(n) for n in out]
+
+
+def test_subtrees_equal_a_plain_version_for_small_and_large_nodes(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 5, 400), rng.integers(0, 2, (400, 4))]).astype(float)
+    y, w = (rng.random(400) < 0.3).astype(float), rng.integers(1, 4, 400).astype(float)
+    want = plain_subtree(x, y, w, 3, 9)
+    assert FO.subtree(x, y, w, 3, 9, 0, 0) == want
+    monkeypatch.setattr(FO, "TOGETHER", 20)
+    assert FO.subtree(x, y, w, 3, 9, 0, 0) == want
+
+
+def test_small_nodes_take_their_features_in_one_go(monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(1000, 9)), (rng.random(1000) < 0.5).astype(float)
+    calls, cheapest = [], FO._cheapest
+    monkeypatch.setattr(FO, "_cheapest", lambda v, *a: calls.append(v.shape) or cheapest(v, *a))
+    nodes = FO.subtree(x, y, np.ones(1000), 3, 0, 0, 0)
+    assert len(calls) == sum(n[0] >= 0 for n in nodes) and {c for _, c in calls} == {3}
