@@ -102,3 +102,11 @@ def test_a_pass_is_one_job_over_held_blocks_of_enough_rows(spark, monkeypatch):
     assert set(seen) == {(True, 5)} and (few.feature == many.feature).all() and np.allclose(few.value, many.value)
     monkeypatch.setattr(B, "DIRECT_BYTES", 0)   # sums met in tasks
     assert np.allclose(BoostedTrees(**kw).fit(df).value, many.value)
+
+
+def test_given_cuts_and_no_rows_add_nothing(spark):
+    x, y, w = made(6, 20)
+    df = frame(spark, x, y, w).where("id < 0")
+    model = BoostedTrees(rounds=2, depth=2, cuts=[[1.0], [0.0], [0.0], [0.0]]).fit(df)
+    assert (model.sums(x) == 0).all()
+    assert (BoostedTrees(rounds=1, depth=2, cuts=[[1.0], [0.0], [0.0], [0.0]]).fit(df.limit(0)).sums(x) == 0).all()
