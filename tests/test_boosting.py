@@ -110,3 +110,19 @@ def test_given_cuts_and_no_rows_add_nothing(spark):
     model = BoostedTrees(rounds=2, depth=2, cuts=[[1.0], [0.0], [0.0], [0.0]]).fit(df)
     assert (model.sums(x) == 0).all()
     assert (BoostedTrees(rounds=1, depth=2, cuts=[[1.0], [0.0], [0.0], [0.0]]).fit(df.limit(0)).sums(x) == 0).all()
+
+
+def test_rounds_in_one_task_equal_passes(spark, monkeypatch):
+    from leadlens.operators import boosting as B
+    x, y, w = made(7, 600)
+    passes, histograms = [], BoostedTrees.histograms
+    monkeypatch.setattr(BoostedTrees, "histograms", lambda self, *a: passes.append(1) or histograms(self, *a))
+    kw = dict(rounds=6, rate=0.3, depth=3, cuts=[[1.0, 3.0, 5.0, 7.0], [-1.0, -0.3, 0.0, 0.4, 1.2], [0.0, 1.0], []])
+    one = BoostedTrees(**kw).fit(frame(spark, x, y, w))
+    assert len(passes) <= 3             # those of the first round, whatever the rounds
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    many = BoostedTrees(**kw).fit(frame(spark, x, y, w))
+    assert len(passes) > 12 and (one.feature == many.feature).all() and (one.threshold == many.threshold).all()
+    assert np.allclose(one.value, many.value, atol=1e-12)
+    want = plain(x, y, w, kw["cuts"], 6, 0.3, 3)
+    assert np.allclose(one.sums(x), want, atol=1e-9)

@@ -154,3 +154,48 @@ def test_small_nodes_take_their_features_in_one_go(monkeypatch):
     monkeypatch.setattr(FO, "_cheapest", lambda v, *a: calls.append(v.shape) or cheapest(v, *a))
     nodes = FO.subtree(x, y, np.ones(1000), 3, 0, 0, 0)
     assert len(calls) == sum(n[0] >= 0 for n in nodes) and {c for _, c in calls} == {3}
+
+
+def test_orders_made_together_are_those_of_the_generator():
+    from leadlens.operators import subtrees as ST
+    rng = np.random.default_rng(8)
+    trees, nodes = rng.integers(0, 200, 400), rng.integers(0, 1 << 32, 400)
+    for d in (1, 2, 9, 32):
+        assert (ST.orders(d, 42, trees, nodes) == [ST.order(d, 42, int(t), int(k)) for t, k in zip(trees, nodes)]).all()
+    assert (ST.orders(5, 1 << 40, trees[:3], nodes[:3]) == [ST.order(5, 1 << 40, int(t), int(k)) for t, k in zip(trees, nodes[:3])]).all()
+
+
+def test_subtrees_grown_side_by_side_equal_those_grown_alone(monkeypatch):
+    from leadlens.operators import subtrees as ST
+    rng = np.random.default_rng(9)
+    n = 900
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 5, n), rng.integers(0, 2, (n, 5)), np.ones(n)]).astype(float)
+    y = (rng.random(n) < 0.3).astype(float)
+    w = np.where(y == 1, 4.185559818625741, 0.5678323001940093)
+    values, codes = zip(*(np.unique(v, return_inverse=True) for v in x.T))
+    data, calls, split = ST.Rows.of(codes, list(values), n), [], ST._Lanes.split
+    monkeypatch.setattr(ST._Lanes, "split", lambda self, lanes: calls.append(len(lanes)) or split(self, lanes))
+    drawn = [(t, node, FO.copies(np.arange(n), t, 3)) for t in range(12) for node in (0, 7)]
+    members = [ST.Member(t, node, np.flatnonzero(c), (w * c)[c > 0]) for t, node, c in drawn]
+    member, local, *columns = ST.grow(data, y, members, 3, 3)
+    for m, (t, node, c) in enumerate(drawn):
+        some = c > 0
+        got = [tuple(v) for v in zip(*(k[member == m].tolist() for k in columns))]
+        assert got == FO.subtree(x[some], y[some], (w * c)[some], 3, 3, t, node)
+    inner = int((columns[0] >= 0).sum())
+    assert len(calls) * 4 < inner and max(calls) > 4      # many nodes a call
+
+
+def test_a_task_grows_a_group_and_rows_come_once(spark):
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(300, 4)), (rng.random(300) < 0.4).astype(float)
+    df = frame(spark, x, y)
+    fits = [FO.DeepForest(trees=6, group_rows=g, local_rows=100, bins=16, spare=s).fit(df) for g, s in ((200, 0), (10_000, 0), (10_000, 3))]
+    for e in fits[1:]:       # the same forest, however its subtrees are put together
+        assert (e.feature == fits[0].feature).all() and (e.threshold == fits[0].threshold).all() and (e.value == fits[0].value).all()
+    est = FO.DeepForest(trees=6, group_rows=200)
+    rows = df.select(F.col("features").alias("x"), F.col("converteu").alias("y"), F.col("weight").alias("w"), F.col("lead_id").alias("k"))
+    top, none = [[[-1, 0.0, -1, -1]] for _ in range(6)], [{} for _ in range(6)]
+    groups = est.groups(rows, top, none, 4)
+    assert sorted(v for g in groups for v in g) == [(t, 0) for t in range(6)] and len(groups) == 6
+    assert len(FO.DeepForest(trees=6, spare=3).groups(rows, top, none, 4)) == 1
