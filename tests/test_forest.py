@@ -199,3 +199,10 @@ def test_a_task_grows_a_group_and_rows_come_once(spark):
     groups = est.groups(rows, top, none, 4)
     assert sorted(v for g in groups for v in g) == [(t, 0) for t in range(6)] and len(groups) == 6
     assert len(FO.DeepForest(trees=6, spare=3).groups(rows, top, none, 4)) == 1
+
+
+def test_a_forest_is_sent_out_in_small_parts_of_whole_trees(spark, monkeypatch):
+    from leadlens.operators import trees as TT
+    e = FO.StoredTrees(["x"], spark.createDataFrame([], FO.NODE_ROWS), [400_000] * 5 + [3_000_000, 400_000])
+    assert e.ranges() == [(0, 2), (2, 4), (4, 5), (5, 6), (6, 7)] and e.loaded() is e
+    assert max(sum(e.sizes[a:b]) for a, b in e.ranges() if b > a + 1) <= TT.PART_NODES
