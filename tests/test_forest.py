@@ -203,6 +203,6 @@ def test_a_task_grows_a_group_and_rows_come_once(spark):
 
 def test_a_forest_is_sent_out_in_small_parts_of_whole_trees(spark, monkeypatch):
     from leadlens.operators import trees as TT
-    e = FO.StoredTrees(["x"], spark.createDataFrame([], FO.NODE_ROWS), [400_000] * 5 + [3_000_000, 400_000])
+    e = FO.StoredTrees(["x"], spark.createDataFrame([], FO.NODE_ROWS), [200_000] * 5 + [3_000_000, 200_000])
     assert e.ranges() == [(0, 2), (2, 4), (4, 5), (5, 6), (6, 7)] and e.loaded() is e
     assert max(sum(e.sizes[a:b]) for a, b in e.ranges() if b > a + 1) <= TT.PART_NODES
